@@ -9,14 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from podium.plans import analytics, oracle
+from podium.plans import analytics, championship, oracle
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
-    for module in (analytics,):
+    for module in (analytics, championship):
         out.update(module.QUERIES)
     return out
 

@@ -87,3 +87,47 @@ def circuit_of_race(t: Tables) -> DataFrame:
             .join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
                                   F.col("n_name").alias("CircuitName")), "c_nationkey")
             .select("RaceId", "CircuitName"))
+
+
+# -- championship model (Q3, Q7) --------------------------------------------------------------
+
+def round_results(t: Tables) -> DataFrame:
+    """One result per (round, nation): Points, Position in the round, constructor.
+
+    Order values are pre-aggregated per (round, nation, segment) before the
+    per-round ranking, so the ranking window sees one row per competitor.
+    """
+    from podium.operators.standings import rank_in_round
+
+    sale = (t.orders.select(F.year("o_orderdate").alias("RaceYear"),
+                            F.month("o_orderdate").alias("NrOfRound"),
+                            F.col("o_custkey").alias("c_custkey"),
+                            F.col("o_totalprice").cast("decimal(18,2)").alias("Value"))
+            .join(t.customer.select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey"))
+    seg = (sale.groupBy("RaceYear", "NrOfRound", "c_nationkey", "c_mktsegment")
+           .agg(F.sum("Value").alias("SegPoints")))
+    per = (seg.groupBy("RaceYear", "NrOfRound", F.col("c_nationkey").alias("DriverId"))
+           .agg(F.sum("SegPoints").alias("Points"),
+                F.min_by("c_mktsegment", F.struct(-F.col("SegPoints"), F.col("c_mktsegment")))
+                .alias("ConstructorName"))
+           .withColumn("RaceId", F.col("RaceYear") * 100 + F.col("NrOfRound"))
+           .withColumn("ResultId", F.col("RaceId").cast("long") * 1000 + F.col("DriverId")))
+    return rank_in_round(per, race="RaceId", points="Points", entity="DriverId")
+
+
+def rounds(results_by_round: DataFrame) -> DataFrame:
+    """The championship's races: one per (season, month) that has results."""
+    return (results_by_round.select("RaceId", "RaceYear", "NrOfRound").distinct()
+            .withColumn("RaceDate", F.make_date("RaceYear", "NrOfRound", F.lit(1)).cast("string"))
+            .withColumn("RaceName", F.concat(F.lit("Round "), F.col("NrOfRound").cast("string"))))
+
+
+def nation_driver(t: Tables) -> DataFrame:
+    """Nations as competitors; 'NATION_7' splits into 'NATION' and '7' (F15)."""
+    from podium.functions import nth_part
+
+    return (t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select(F.col("n_nationkey").alias("DriverId"),
+                    nth_part("n_name", "_", 1).alias("Firstname"),
+                    nth_part("n_name", "_", 2).alias("Lastname"),
+                    F.col("r_name").alias("Nationality")))

@@ -210,3 +210,89 @@ ORACLE = {
     "q6_win_share": Q6_SINGLE,
     "q6_left_join": Q6_LATERAL,
 }
+
+
+# -- championship (Q3, Q7) ---------------------------------------------------------------
+
+CHAMPIONSHIP = """Sale AS (SELECT CAST(year(o.o_orderdate) AS INTEGER) AS RaceYear,
+                 CAST(month(o.o_orderdate) AS INTEGER) AS NrOfRound, c.c_nationkey AS DriverId,
+                 c.c_mktsegment AS Seg, CAST(o.o_totalprice AS DECIMAL(18,2)) AS Value
+          FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey),
+SegPts AS (SELECT RaceYear, NrOfRound, DriverId, Seg, SUM(Value) AS SegPoints
+           FROM Sale GROUP BY RaceYear, NrOfRound, DriverId, Seg),
+RoundAgg AS (SELECT RaceYear * 100 + NrOfRound AS RaceId, RaceYear, NrOfRound, DriverId,
+                    SUM(SegPoints) AS Points,
+                    first(Seg ORDER BY SegPoints DESC, Seg) AS ConstructorName
+             FROM SegPts GROUP BY RaceYear, NrOfRound, DriverId),
+RoundResult AS (SELECT *, CAST(RaceId AS BIGINT) * 1000 + DriverId AS ResultId,
+                       ROW_NUMBER() OVER (PARTITION BY RaceId ORDER BY Points DESC, DriverId) AS Position
+                FROM RoundAgg),
+Race AS (SELECT DISTINCT RaceId, RaceYear, NrOfRound,
+                CAST(make_date(RaceYear, NrOfRound, 1) AS VARCHAR) AS RaceDate,
+                'Round ' || CAST(NrOfRound AS VARCHAR) AS RaceName FROM RoundResult),
+Entrant AS (SELECT DISTINCT RaceYear, DriverId FROM RoundResult),
+Cum AS (SELECT r.RaceId, r.RaceYear, r.NrOfRound, e.DriverId,
+               SUM(COALESCE(rr.Points, 0)) OVER (PARTITION BY r.RaceYear, e.DriverId ORDER BY r.NrOfRound
+                                                ROWS UNBOUNDED PRECEDING) AS Points
+        FROM Race r JOIN Entrant e ON e.RaceYear = r.RaceYear
+        LEFT JOIN RoundResult rr ON rr.RaceId = r.RaceId AND rr.DriverId = e.DriverId),
+DriverStanding AS (SELECT RaceId, DriverId, Points,
+                          ROW_NUMBER() OVER (PARTITION BY RaceId ORDER BY Points DESC, DriverId) AS Position
+                   FROM Cum),
+Driver AS (SELECT n.n_nationkey AS DriverId, split_part(n.n_name, '_', 1) AS Firstname,
+                  CASE WHEN len(string_split(n.n_name, '_')) >= 2 THEN string_split(n.n_name, '_')[2] END AS Lastname,
+                  r.r_name AS Nationality
+           FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey)"""
+
+STANDINGS = _with(CHAMPIONSHIP) + """
+SELECT CAST(RaceId AS BIGINT) AS RaceId, CAST(DriverId AS BIGINT) AS DriverId,
+       CAST(Points AS DOUBLE) AS Points, CAST(Position AS BIGINT) AS Position FROM DriverStanding
+"""
+
+# Option 2 of the reference: CROSS APPLY as LATERAL, NOT EXISTS two levels deep.
+Q3 = _with(CHAMPIONSHIP) + """
+, SeasonWinner AS (
+    SELECT Race.RaceYear, ds.DriverId, concat_ws(' ', Driver.Firstname, Driver.Lastname) AS DriverName
+    FROM DriverStanding ds JOIN Race ON Race.RaceId = ds.RaceId JOIN Driver ON Driver.DriverId = ds.DriverId
+    WHERE ds.Position = 1
+      AND Race.NrOfRound = (SELECT MAX(r2.NrOfRound) FROM Race r2 WHERE r2.RaceYear = Race.RaceYear
+                            AND EXISTS (SELECT 1 FROM DriverStanding s2 WHERE s2.RaceId = r2.RaceId)))
+SELECT CAST(sw.RaceYear AS BIGINT) AS Seizoen, sw.DriverName AS Kampioen,
+       CAST(rw.RaceWins AS BIGINT) AS RaceWins, CAST(st.TotaalRaces AS BIGINT) AS TotaalRaces,
+       f.RaceDate AS LeiderVanaf, CAST(f.NrOfRound AS BIGINT) AS Volgnummer, f.RaceName AS Race
+FROM SeasonWinner sw,
+     LATERAL (SELECT COUNT(*) AS TotaalRaces FROM Race WHERE Race.RaceYear = sw.RaceYear) st,
+     LATERAL (SELECT COUNT(*) AS RaceWins FROM RoundResult rr
+              WHERE rr.DriverId = sw.DriverId AND rr.RaceYear = sw.RaceYear AND rr.Position = 1) rw,
+     LATERAL (SELECT Race.RaceDate, Race.NrOfRound, Race.RaceName
+              FROM DriverStanding ds JOIN Race ON Race.RaceId = ds.RaceId
+              WHERE ds.DriverId = sw.DriverId AND Race.RaceYear = sw.RaceYear AND ds.Position = 1
+                AND NOT EXISTS (SELECT 1 FROM DriverStanding ds2 JOIN Race r2 ON r2.RaceId = ds2.RaceId
+                                WHERE ds2.DriverId = sw.DriverId AND r2.RaceYear = sw.RaceYear
+                                  AND ds2.Position > 1 AND r2.NrOfRound > Race.NrOfRound)
+              ORDER BY Race.NrOfRound LIMIT 1) f
+"""
+
+# Option 2 of the reference: last race by subquery, constructor by TOP 1 ... ORDER BY ResultId DESC.
+Q7 = _with(CHAMPIONSHIP) + """
+, LastRace AS (SELECT s.RaceYear,
+                      (SELECT r.RaceId FROM Race r WHERE r.RaceYear = s.RaceYear
+                         AND EXISTS (SELECT 1 FROM DriverStanding x WHERE x.RaceId = r.RaceId)
+                       ORDER BY r.NrOfRound DESC LIMIT 1) AS RaceId
+               FROM (SELECT DISTINCT RaceYear FROM Race) s)
+SELECT CAST(lr.RaceYear AS BIGINT) AS Season, CAST(ds.Position AS BIGINT) AS POS,
+       Driver.Firstname || ' ' || Driver.Lastname AS DRIVER, Driver.Nationality AS NATIONALITY,
+       car.ConstructorName AS CAR, CAST(ds.Points AS DOUBLE) AS PTS
+FROM LastRace lr
+JOIN DriverStanding ds ON ds.RaceId = lr.RaceId
+JOIN Driver ON Driver.DriverId = ds.DriverId
+LEFT JOIN LATERAL (SELECT rr.ConstructorName FROM RoundResult rr
+                   WHERE rr.DriverId = ds.DriverId AND rr.RaceId = ds.RaceId
+                   ORDER BY rr.ResultId DESC LIMIT 1) car ON TRUE
+"""
+
+ORACLE.update({
+    "standings_builder": STANDINGS,
+    "q3_unbroken_lead": Q3,
+    "q7_final_standings": Q7,
+})
