@@ -296,3 +296,206 @@ ORACLE.update({
     "q3_unbroken_lead": Q3,
     "q7_final_standings": Q7,
 })
+
+
+# -- integrity: rules, overlays, upserts ----------------------------------------------------
+
+from podium.plans import integrity as I  # noqa: E402
+
+_CUT = f"TIMESTAMP '{I.CUT} 00:00:00'"
+_SEQ = "ShipDate, RaceId, Position, ResultNumber, DriverId"
+
+IRACE = """IRace AS (SELECT o_orderkey AS RaceId, CAST(year(o_orderdate) AS INTEGER) AS RaceYear,
+                    o_custkey AS CustomerId, o_orderstatus AS Status, o_orderdate AS RaceDate FROM orders)"""
+IRES = """IRes AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ResultId,
+                   l_orderkey AS RaceId, l_suppkey AS DriverId, l_linenumber AS Position,
+                   l_partkey AS ResultNumber, l_linestatus AS LineStatus, l_shipdate AS ShipDate
+            FROM lineitem)"""
+ISPLIT = f"""IBase AS (SELECT * FROM IRes WHERE ShipDate < {_CUT}),
+IBatch AS (SELECT * FROM IRes WHERE ShipDate >= {_CUT})"""
+IUPD = """IUpd AS (SELECT ResultId, RaceId, DriverId, Position + 1 AS Position, ResultNumber
+                 FROM IRes WHERE LineStatus = 'O')"""
+
+
+def _dup_sql(key: str, label: str, gate: int | None, extra: str = "") -> str:
+    gate_sql = f" AND ra.RaceYear >= {gate}" if gate is not None else ""
+    return _with(IRACE, IRES, ISPLIT) + f"""
+SELECT r.RaceId, r.{key}, CAST(COUNT(*) AS BIGINT) AS Count,
+       concat('Duplicate {label} detected: RaceId = ', r.RaceId, ', {key} = ', r.{key},
+              ', Count = ', COUNT(*)) AS Message
+FROM IRes r JOIN IRace ra ON ra.RaceId = r.RaceId
+WHERE r.{key} IS NOT NULL{gate_sql}{extra}
+GROUP BY r.RaceId, r.{key} HAVING COUNT(*) > 1
+"""
+
+
+R1_AUDIT = _dup_sql("Position", "position", I.POSITION_GATE)
+R1_TOUCHED = _dup_sql("Position", "position", None, " AND r.RaceId IN (SELECT RaceId FROM IBatch)")
+R2_AUDIT = _dup_sql("DriverId", "driver", I.DRIVER_GATE)
+R2_TOUCHED = _dup_sql("DriverId", "driver", I.DRIVER_GATE,
+                      " AND r.RaceId IN (SELECT RaceId FROM IBatch) AND r.DriverId IN (SELECT DriverId FROM IBatch)")
+
+R3_AUDIT = _with(IRACE) + f"""
+SELECT CustomerId, CAST(RaceYear AS BIGINT) AS RaceYear, CAST(COUNT(*) AS BIGINT) AS Count,
+       concat('Season with more than {I.SEASON_CAP} races detected: RaceYear = ', CustomerId, '/', RaceYear) AS Message
+FROM IRace GROUP BY CustomerId, RaceYear HAVING COUNT(*) > {I.SEASON_CAP}
+"""
+
+
+def _owner_sql(extra: str = "") -> str:
+    return _with(IRACE, IRES, ISPLIT) + f"""
+SELECT CAST(ra.RaceYear AS BIGINT) AS RaceYear, r.ResultNumber,
+       CAST(COUNT(DISTINCT r.DriverId) AS BIGINT) AS Drivers,
+       'ResultNumber already used by another driver in this season' AS Message
+FROM IRes r JOIN IRace ra ON ra.RaceId = r.RaceId
+WHERE r.ResultNumber IS NOT NULL AND r.DriverId IS NOT NULL AND ra.RaceYear >= {I.NUMBER_GATE}{extra}
+GROUP BY ra.RaceYear, r.ResultNumber HAVING COUNT(DISTINCT r.DriverId) > 1
+"""
+
+
+R4_AUDIT = _owner_sql()
+R4_TOUCHED = _owner_sql(" AND (ra.RaceYear, r.ResultNumber) IN (SELECT (x.RaceYear, b.ResultNumber) "
+                        "FROM IBatch b JOIN IRace x ON x.RaceId = b.RaceId WHERE b.ResultNumber IS NOT NULL)")
+
+S8 = _with(IRACE, IRES, IUPD) + """
+SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM IRes
+WHERE ResultId NOT IN (SELECT ResultId FROM IUpd)
+UNION ALL
+SELECT u.ResultId, u.RaceId, u.DriverId, u.Position, u.ResultNumber FROM IUpd u
+WHERE u.ResultId IN (SELECT ResultId FROM IRes)
+"""
+
+S9 = _with(IRACE, IRES, IUPD) + """
+SELECT r.ResultId, r.RaceId, r.DriverId,
+       CASE WHEN u.ResultId IS NOT NULL THEN u.Position ELSE r.Position END AS Position, r.ResultNumber
+FROM IRes r LEFT JOIN IUpd u ON u.ResultId = r.ResultId
+"""
+
+
+def _create_unique_sql(key: str, gate: int, message: str) -> str:
+    return _with(IRACE, IRES, ISPLIT) + f"""
+, B AS (SELECT b.*, ra.RaceYear FROM IBatch b LEFT JOIN IRace ra ON ra.RaceId = b.RaceId),
+Ranked AS (SELECT ResultId, ROW_NUMBER() OVER (PARTITION BY RaceId, {key} ORDER BY {_SEQ}) AS rn
+           FROM B WHERE RaceYear IS NOT NULL AND {key} IS NOT NULL AND RaceYear >= {gate}),
+E AS (SELECT B.ResultId,
+             CASE WHEN B.RaceYear IS NULL THEN 'Race does not exist'
+                  WHEN B.{key} IS NOT NULL AND B.RaceYear >= {gate}
+                       AND (EXISTS (SELECT 1 FROM IBase x WHERE x.RaceId = B.RaceId AND x.{key} = B.{key})
+                            OR k.rn > 1) THEN '{message}' END AS Error
+      FROM B LEFT JOIN Ranked k ON k.ResultId = B.ResultId)
+SELECT ResultId, CASE WHEN Error IS NULL THEN 'accepted' ELSE 'rejected' END AS Status, Error FROM E
+"""
+
+
+U1 = _create_unique_sql("Position", I.POSITION_GATE, "Position is already occupied in race")
+U3 = _create_unique_sql("DriverId", I.DRIVER_GATE, "Driver already has a result in this race")
+
+U5 = _with(IRACE) + f"""
+, Base AS (SELECT * FROM IRace WHERE RaceDate < {_CUT}),
+Batch AS (SELECT * FROM IRace WHERE RaceDate >= {_CUT}),
+BC AS (SELECT CustomerId, RaceYear, COUNT(*) AS n FROM Base GROUP BY CustomerId, RaceYear),
+Rk AS (SELECT b.RaceId, COALESCE(bc.n, 0) AS n,
+              ROW_NUMBER() OVER (PARTITION BY b.CustomerId, b.RaceYear ORDER BY b.RaceDate, b.RaceId) AS rn
+       FROM Batch b LEFT JOIN BC bc ON bc.CustomerId = b.CustomerId AND bc.RaceYear = b.RaceYear)
+SELECT RaceId, CASE WHEN n + rn <= {I.SEASON_CAP} THEN 'accepted' ELSE 'rejected' END AS Status,
+       CASE WHEN n + rn <= {I.SEASON_CAP} THEN NULL
+            ELSE 'The number of races in the season will exceed {I.SEASON_CAP} with the insertion of a new one.' END AS Error
+FROM Rk
+"""
+
+U7 = _with(IRACE, IRES, ISPLIT) + f"""
+, B AS (SELECT b.*, ra.RaceYear FROM IBatch b LEFT JOIN IRace ra ON ra.RaceId = b.RaceId),
+BaseOwn AS (SELECT ra.RaceYear, r.ResultNumber, COUNT(DISTINCT r.DriverId) AS n, MIN(r.DriverId) AS o
+            FROM IBase r JOIN IRace ra ON ra.RaceId = r.RaceId
+            WHERE r.ResultNumber IS NOT NULL AND r.DriverId IS NOT NULL
+            GROUP BY ra.RaceYear, r.ResultNumber),
+FirstOwn AS (SELECT RaceYear, ResultNumber, first(DriverId ORDER BY {_SEQ}) AS o FROM B
+             WHERE RaceYear IS NOT NULL AND ResultNumber IS NOT NULL AND RaceYear >= {I.NUMBER_GATE}
+             GROUP BY RaceYear, ResultNumber),
+E AS (SELECT B.ResultId,
+             CASE WHEN B.RaceYear IS NULL THEN 'Race does not exist'
+                  WHEN B.ResultNumber IS NOT NULL AND B.RaceYear >= {I.NUMBER_GATE}
+                       AND COALESCE(B.DriverId <> CASE WHEN bo.n IS NULL THEN fo.o WHEN bo.n = 1 THEN bo.o END, TRUE)
+                  THEN 'ResultNumber already used by another driver in this season' END AS Error
+      FROM B LEFT JOIN BaseOwn bo ON bo.RaceYear = B.RaceYear AND bo.ResultNumber = B.ResultNumber
+             LEFT JOIN FirstOwn fo ON fo.RaceYear = B.RaceYear AND fo.ResultNumber = B.ResultNumber)
+SELECT ResultId, CASE WHEN Error IS NULL THEN 'accepted' ELSE 'rejected' END AS Status, Error FROM E
+"""
+
+_REFUSED = "Batch refused: another row of the batch violates a rule"
+
+
+def _update_sql(clash: str, message: str) -> str:
+    return _with(IRACE, IRES, IUPD) + f"""
+, B AS (SELECT u.*, ra.RaceYear, u.ResultId IN (SELECT ResultId FROM IRes) AS known
+        FROM IUpd u LEFT JOIN IRace ra ON ra.RaceId = u.RaceId),
+State AS (SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM IRes
+          WHERE ResultId NOT IN (SELECT ResultId FROM B WHERE RaceYear IS NOT NULL AND known)
+          UNION ALL
+          SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM B WHERE RaceYear IS NOT NULL AND known),
+E AS (SELECT B.ResultId,
+             CASE WHEN B.RaceYear IS NULL THEN 'Race does not exist'
+                  WHEN NOT B.known THEN 'Result does not exist'
+                  WHEN {clash} THEN '{message}' END AS Error FROM B),
+Failed AS (SELECT COUNT(*) FILTER (WHERE Error IS NOT NULL) AS failed FROM E)
+SELECT ResultId,
+       CASE WHEN COALESCE(Error, CASE WHEN failed > 0 THEN '{_REFUSED}' END) IS NULL THEN 'accepted'
+            ELSE 'rejected' END AS Status,
+       COALESCE(Error, CASE WHEN failed > 0 THEN '{_REFUSED}' END) AS Error
+FROM E, Failed
+"""
+
+
+U2 = _update_sql(f"""B.Position IS NOT NULL AND B.RaceYear >= {I.POSITION_GATE} AND EXISTS (
+    SELECT 1 FROM State s WHERE s.RaceId = B.RaceId AND s.Position = B.Position AND s.ResultId <> B.ResultId)""",
+                 "Position is already occupied in race")
+U4 = _update_sql(f"""B.DriverId IS NOT NULL AND B.RaceYear >= {I.DRIVER_GATE} AND EXISTS (
+    SELECT 1 FROM State s WHERE s.RaceId = B.RaceId AND s.DriverId = B.DriverId AND s.ResultId <> B.ResultId)""",
+                 "Driver already has a result in this race")
+U8 = _update_sql(f"""B.ResultNumber IS NOT NULL AND B.RaceYear >= {I.NUMBER_GATE} AND EXISTS (
+    SELECT 1 FROM State s JOIN IRace r2 ON r2.RaceId = s.RaceId
+    WHERE r2.RaceYear = B.RaceYear AND s.ResultNumber = B.ResultNumber
+      AND s.DriverId <> B.DriverId AND s.ResultId <> B.ResultId)""",
+                 "ResultNumber already used by another driver in this season")
+
+U6 = _with(IRACE) + f"""
+, Base AS (SELECT RaceId, CustomerId, RaceYear FROM IRace),
+Upd AS (SELECT RaceId, CustomerId, RaceYear + 1 AS RaceYear FROM IRace WHERE Status = 'P'),
+B AS (SELECT u.*, b.RaceYear AS OldYear, b.CustomerId AS OldCust, b.RaceId IS NOT NULL AS known
+      FROM Upd u LEFT JOIN Base b ON b.RaceId = u.RaceId),
+State AS (SELECT * FROM Base WHERE RaceId NOT IN (SELECT RaceId FROM Upd)
+          UNION ALL SELECT RaceId, CustomerId, RaceYear FROM Upd WHERE RaceId IN (SELECT RaceId FROM Base)),
+E AS (SELECT B.RaceId, B.known,
+             CASE WHEN B.known
+                   AND NOT (B.CustomerId IS NOT DISTINCT FROM B.OldCust AND B.RaceYear IS NOT DISTINCT FROM B.OldYear)
+                   AND (SELECT COUNT(*) FROM State s WHERE s.CustomerId = B.CustomerId AND s.RaceYear = B.RaceYear) > {I.SEASON_CAP}
+                  THEN 'The number of races in the season will exceed {I.SEASON_CAP} with the addition of a new one.' END AS Error
+      FROM B),
+Failed AS (SELECT COUNT(*) FILTER (WHERE Error IS NOT NULL) AS failed FROM E)
+SELECT RaceId,
+       CASE WHEN NOT known THEN 'ignored'
+            WHEN COALESCE(Error, CASE WHEN failed > 0 THEN '{_REFUSED}' END) IS NULL THEN 'accepted'
+            ELSE 'rejected' END AS Status,
+       CASE WHEN NOT known THEN NULL ELSE COALESCE(Error, CASE WHEN failed > 0 THEN '{_REFUSED}' END) END AS Error
+FROM E, Failed
+"""
+
+ORACLE.update({
+    "r1_dup_position": R1_AUDIT,
+    "r1_touched": R1_TOUCHED,
+    "r2_dup_driver": R2_AUDIT,
+    "r2_touched_groups": R2_TOUCHED,
+    "r3_season_cap": R3_AUDIT,
+    "r4_number_owner": R4_AUDIT,
+    "r4_touched": R4_TOUCHED,
+    "s8_overlay": S8,
+    "s9_partial_update": S9,
+    "u1_create": U1,
+    "u2_update": U2,
+    "u3_create": U3,
+    "u4_update": U4,
+    "u5_cap_create": U5,
+    "u6_cap_move": U6,
+    "u7_create": U7,
+    "u8_update": U8,
+})
