@@ -9,14 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from podium.plans import analytics, championship, integrity, oracle
+from podium.plans import analytics, championship, integrity, layouts, loading, oracle, streams
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
-    for module in (analytics, championship, integrity):
+    for module in (analytics, championship, integrity, loading, layouts, streams):
         out.update(module.QUERIES)
     return out
 

@@ -27,7 +27,11 @@ SEASON_CAP = 3         # R3 / U5 / U6 (reference: 25 races per season)
 
 
 def results(t) -> DataFrame:
-    li = t.lineitem
+    return results_from_lines(t.lineitem)
+
+
+def results_from_lines(li: DataFrame) -> DataFrame:
+    """The result projection of lineitem rows (batch or streaming)."""
     return li.select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ResultId"),
         F.col("l_orderkey").alias("RaceId"),

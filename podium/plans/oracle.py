@@ -499,3 +499,61 @@ ORACLE.update({
     "u7_create": U7,
     "u8_update": U8,
 })
+
+
+# -- ingest (I2, I6, I7): the reference's ROW_NUMBER() OVER (ORDER BY ...) + MAX(id) ---------
+
+from podium.plans import loading as L  # noqa: E402
+
+I2 = f"""
+WITH Named AS (SELECT o.o_custkey, o.o_orderdate, c.c_name FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey),
+Existing AS (SELECT DISTINCT o_custkey AS DriverId, c_name AS DriverRef FROM Named
+             WHERE o_orderdate < TIMESTAMP '{L.DIM_CUT} 00:00:00'),
+Cand AS (SELECT DISTINCT c_name AS DriverRef FROM Named WHERE o_orderdate >= TIMESTAMP '{L.DIM_CUT} 00:00:00'),
+New AS (SELECT DriverRef FROM Cand WHERE NOT EXISTS (SELECT 1 FROM Existing e WHERE e.DriverRef = Cand.DriverRef))
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY DriverRef) + (SELECT COALESCE(MAX(DriverId), 0) FROM Existing) AS BIGINT)
+         AS DriverId, DriverRef
+FROM New
+"""
+
+_LINES = """Lines AS (SELECT l_orderkey AS RaceId, l_linenumber AS Position, l_partkey AS PartId,
+                     l_suppkey AS DriverId, l_shipdate AS ShipDate,
+                     concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ResultKey FROM lineitem)"""
+
+I6 = f"""WITH {_LINES}
+SELECT ResultKey, CAST(ROW_NUMBER() OVER (ORDER BY RaceId, Position, PartId, DriverId) AS BIGINT) AS ResultId
+FROM Lines
+"""
+
+I7 = f"""WITH {_LINES},
+Loaded AS (SELECT *, ROW_NUMBER() OVER (ORDER BY RaceId, Position, PartId, DriverId) AS ResultId
+           FROM Lines WHERE ShipDate < TIMESTAMP '{I.CUT} 00:00:00'),
+Staged AS (SELECT * FROM Lines WHERE ShipDate >= TIMESTAMP '{I.CUT} 00:00:00'),
+New AS (SELECT * FROM Staged s WHERE NOT EXISTS (SELECT 1 FROM Loaded l
+        WHERE l.RaceId = s.RaceId AND l.DriverId = s.DriverId))
+SELECT ResultKey, CAST(ROW_NUMBER() OVER (ORDER BY RaceId, Position, PartId, DriverId)
+                       + (SELECT COALESCE(MAX(ResultId), 0) FROM Loaded) AS BIGINT) AS ResultId
+FROM New
+"""
+
+ORACLE.update({"i2_new_dimension": I2, "i6_surrogate_keys": I6, "i7_new_facts": I7})
+
+
+# -- layouts (same answers as the plain questions) and the stream ---------------------------
+
+TS1 = _with(IRACE, IRES) + f"""
+, B AS (SELECT b.*, ra.RaceYear FROM IRes b LEFT JOIN IRace ra ON ra.RaceId = b.RaceId),
+Ranked AS (SELECT ResultId, ROW_NUMBER() OVER (PARTITION BY RaceId, Position ORDER BY {_SEQ}) AS rn
+           FROM B WHERE RaceYear IS NOT NULL AND Position IS NOT NULL AND RaceYear >= {I.POSITION_GATE})
+SELECT B.ResultId,
+       CASE WHEN k.rn > 1 OR B.RaceYear IS NULL THEN 'rejected' ELSE 'accepted' END AS Status,
+       CASE WHEN B.RaceYear IS NULL THEN 'Race does not exist'
+            WHEN k.rn > 1 THEN 'Position is already occupied in race' END AS Error
+FROM B LEFT JOIN Ranked k ON k.ResultId = B.ResultId
+"""
+
+ORACLE.update({
+    "s11_bucketed_win_share": Q6_SINGLE,
+    "s13_clustered_fastest": Q2_FIRST,
+    "ts1_stream": TS1,
+})

@@ -33,6 +33,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="podium-warehouse-"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
     )
     for k, v in SESSION_DEFAULTS.items():
