@@ -85,7 +85,7 @@ def q2_scalar_top1(spark: SparkSession, root: str) -> DataFrame:
     t = read_tables(spark, root)
     races = model.race(t).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO)).select("RaceId")
     res = model.result(t).withColumn(
-        "ResultKey", F.struct("RaceId", "Position", "PartId", "DriverId"))
+        "ResultKey", F.struct("RaceId", "Position", "PartId", "DriverId", "FastestLapTime"))
     keyed = first_per_group_scalar(races, res, group="RaceId", value="FastestLapTime",
                                    key="ResultKey", tiebreak=("Position", "PartId", "DriverId"))
     best = res.join(keyed.select("ResultKey"), "ResultKey").drop("ResultKey")

@@ -1,7 +1,7 @@
 """Registered rule, overlay and upsert queries on the test tables.
 
 Binding (SURVEY 7.2): a result is a lineitem (key ``ResultId`` =
-``orderkey:linenumber:partkey:suppkey``), its race the order, its season the
+``orderkey:linenumber:partkey:suppkey:shipdate`` - the first four repeat once at sf0.001), its race the order, its season the
 order year, its position the line number, its driver the supplier, its car
 number the part. Results shipped before ``CUT`` are the loaded base; later ones
 arrive as a change batch in ``seq`` order (ship date, then the key). The year
@@ -33,7 +33,8 @@ def results(t) -> DataFrame:
 def results_from_lines(li: DataFrame) -> DataFrame:
     """The result projection of lineitem rows (batch or streaming)."""
     return li.select(
-        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ResultId"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.date_format("l_shipdate", "yyyyMMdd")).alias("ResultId"),
         F.col("l_orderkey").alias("RaceId"),
         F.col("l_suppkey").alias("DriverId"),
         F.col("l_linenumber").alias("Position"),

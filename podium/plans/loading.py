@@ -17,7 +17,7 @@ from podium.plans.integrity import CUT
 from podium.sources.tables import read_tables
 
 DIM_CUT = "1996-01-01"
-KEY_ORDER = ["RaceId", "Position", "PartId", "DriverId"]
+KEY_ORDER = ["RaceId", "Position", "PartId", "DriverId", "ShipDate"]
 
 
 def _customers_by_period(t):
@@ -45,7 +45,8 @@ def _lines(t):
         F.col("l_orderkey").alias("RaceId"), F.col("l_linenumber").alias("Position"),
         F.col("l_partkey").alias("PartId"), F.col("l_suppkey").alias("DriverId"),
         F.col("l_shipdate").alias("ShipDate"),
-        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ResultKey"))
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.date_format("l_shipdate", "yyyyMMdd")).alias("ResultKey"))
 
 
 def i6_surrogate_keys(spark: SparkSession, root: str) -> DataFrame:

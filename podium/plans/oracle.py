@@ -129,14 +129,15 @@ WHERE ra.RaceYear BETWEEN {A.Q2_FROM} AND {A.Q2_TO}
 
 Q2_SCALAR = _with(RACE, RESULT, SUPPLIER_DRIVER, CIRCUIT_OF_RACE) + f"""
 , Fastest AS (SELECT Race.RaceId,
-                 (SELECT struct_pack(p := x.Position, k := x.PartId, s := x.DriverId) FROM Result x
+                 (SELECT struct_pack(p := x.Position, k := x.PartId, s := x.DriverId, t := x.FastestLapTime)
+                  FROM Result x
                   WHERE x.RaceId = Race.RaceId AND x.FastestLapTime IS NOT NULL
                   ORDER BY x.FastestLapTime, x.Position, x.PartId, x.DriverId LIMIT 1) AS k
               FROM Race WHERE Race.RaceYear BETWEEN {A.Q2_FROM} AND {A.Q2_TO})
 {_Q2_SELECT}
 FROM Fastest f
 JOIN Result rr ON rr.RaceId = f.RaceId AND rr.Position = f.k.p AND rr.PartId = f.k.k
-              AND rr.DriverId = f.k.s
+              AND rr.DriverId = f.k.s AND rr.FastestLapTime = f.k.t
 {_Q2_DIMS}
 """
 
@@ -307,7 +308,8 @@ _SEQ = "ShipDate, RaceId, Position, ResultNumber, DriverId"
 
 IRACE = """IRace AS (SELECT o_orderkey AS RaceId, CAST(year(o_orderdate) AS INTEGER) AS RaceYear,
                     o_custkey AS CustomerId, o_orderstatus AS Status, o_orderdate AS RaceDate FROM orders)"""
-IRES = """IRes AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ResultId,
+IRES = """IRes AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                             strftime(l_shipdate, '%Y%m%d')) AS ResultId,
                    l_orderkey AS RaceId, l_suppkey AS DriverId, l_linenumber AS Position,
                    l_partkey AS ResultNumber, l_linestatus AS LineStatus, l_shipdate AS ShipDate
             FROM lineitem)"""
@@ -518,20 +520,21 @@ FROM New
 
 _LINES = """Lines AS (SELECT l_orderkey AS RaceId, l_linenumber AS Position, l_partkey AS PartId,
                      l_suppkey AS DriverId, l_shipdate AS ShipDate,
-                     concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ResultKey FROM lineitem)"""
+                     concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                               strftime(l_shipdate, '%Y%m%d')) AS ResultKey FROM lineitem)"""
 
 I6 = f"""WITH {_LINES}
-SELECT ResultKey, CAST(ROW_NUMBER() OVER (ORDER BY RaceId, Position, PartId, DriverId) AS BIGINT) AS ResultId
+SELECT ResultKey, CAST(ROW_NUMBER() OVER (ORDER BY RaceId, Position, PartId, DriverId, ShipDate) AS BIGINT) AS ResultId
 FROM Lines
 """
 
 I7 = f"""WITH {_LINES},
-Loaded AS (SELECT *, ROW_NUMBER() OVER (ORDER BY RaceId, Position, PartId, DriverId) AS ResultId
+Loaded AS (SELECT *, ROW_NUMBER() OVER (ORDER BY RaceId, Position, PartId, DriverId, ShipDate) AS ResultId
            FROM Lines WHERE ShipDate < TIMESTAMP '{I.CUT} 00:00:00'),
 Staged AS (SELECT * FROM Lines WHERE ShipDate >= TIMESTAMP '{I.CUT} 00:00:00'),
 New AS (SELECT * FROM Staged s WHERE NOT EXISTS (SELECT 1 FROM Loaded l
         WHERE l.RaceId = s.RaceId AND l.DriverId = s.DriverId))
-SELECT ResultKey, CAST(ROW_NUMBER() OVER (ORDER BY RaceId, Position, PartId, DriverId)
+SELECT ResultKey, CAST(ROW_NUMBER() OVER (ORDER BY RaceId, Position, PartId, DriverId, ShipDate)
                        + (SELECT COALESCE(MAX(ResultId), 0) FROM Loaded) AS BIGINT) AS ResultId
 FROM New
 """
@@ -557,3 +560,27 @@ ORACLE.update({
     "s13_clustered_fastest": Q2_FIRST,
     "ts1_stream": TS1,
 })
+
+
+# -- single operators ---------------------------------------------------------------------
+
+def _nth(text: str, sep: str, n: int) -> str:
+    return f"CASE WHEN len(string_split({text}, '{sep}')) >= {n} THEN string_split({text}, '{sep}')[{n}] END"
+
+
+_FIN = hundredths("SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)", "COUNT(*)")
+
+ORACLE.update({
+    "w5_w6_periods_lag": Q4_ALL,
+    "f12_name_split": _with(PART_DRIVER) + "SELECT DriverId, Firstname, Lastname FROM Driver",
+    "f15_nth_part": f"""SELECT o_orderkey AS OrderId, {_nth('o_orderpriority', '-', 1)} AS Part1,
+        {_nth('o_orderpriority', '-', 2)} AS Part2, {_nth('o_orderpriority', '-', 3)} AS Part3 FROM orders""",
+    "f5_f6_percent_text": f"""SELECT o_custkey AS CustomerId, CAST(COUNT(*) AS BIGINT) AS Orders,
+        CAST(SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS Finished,
+        {pct_trimmed(_FIN)} AS Trimmed, {pct_fixed(_FIN)} AS Fixed
+        FROM orders GROUP BY o_custkey""",
+    "j13_lateral_count": _with(RACE, RESULT) + """SELECT Race.RaceId, CAST(c.n AS BIGINT) AS Results FROM Race,
+        LATERAL (SELECT COUNT(*) AS n FROM Result WHERE Result.RaceId = Race.RaceId) c""",
+    "j9_anti": _with(RACE, RESULT) + """SELECT RaceId, CAST(RaceYear AS BIGINT) AS RaceYear FROM Race
+        WHERE NOT EXISTS (SELECT 1 FROM Result WHERE Result.RaceId = Race.RaceId)""",
+})
