@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from podium.functions import full_name, strict_name
 from podium.operators.standings import build_standings, final_standings, season_champions
 from podium.plans import model
+from podium.sources.sinks import materialize
 from podium.sources.tables import read_tables
 
 
 def _championship(spark: SparkSession, root: str):
+    """Round results are read by the standings, the calendar, the wins and the
+    constructor lookup; the standings by every step of Q3 and Q7. Both hold one
+    row per (round, competitor) - seasons x rounds x nations, whatever the order
+    volume - so they are computed once (the only pass over orders is the round
+    aggregation) and stored in the shared folder, as the reference stores its
+    DriverStanding table, instead of being recomputed in every branch."""
     t = read_tables(spark, root)
-    rr = model.round_results(t)
+    rr = materialize(model.round_results(t), "round_results")
     races = model.rounds(rr)
-    standings = build_standings(rr.select("RaceId", "DriverId", "Points"), races)
+    standings = materialize(build_standings(rr.select("RaceId", "DriverId", "Points"), races), "standings")
     return t, rr, races, standings
 
 

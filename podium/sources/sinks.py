@@ -78,3 +78,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     from podium.session import checkpoint_dir
 
     return f"{checkpoint_dir(spark).rstrip('/')}/podium/{name}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a fresh folder under the shared checkpoint directory and
+    read it back: one computation, lineage cut, and the result survives executor
+    loss (unlike a cache or a local checkpoint). For intermediates that later steps
+    read several times, such as the standings table."""
+    import uuid
+
+    path = shared_folder(df.sparkSession, f"{name}/{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
