@@ -28,7 +28,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.operators.overlay import overlay_rows
 from podium.operators.rules import (
     MSG_CAP_INSERT, MSG_CAP_MOVE, MSG_NUMBER_OWNER, MSG_RACE_MISSING, MSG_RESULT_MISSING, CapRule,
     OwnerRule,
@@ -56,6 +55,15 @@ def _finish(df: DataFrame, error: F.Column, batch_cols: list[str]) -> DataFrame:
             .select(*batch_cols, "Status", "Error"))
 
 
+def _touched(base: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
+    """Base rows in the groups a batch touches (a semi-join on the group key).
+
+    The batch's distinct groups are the small side: AQE broadcasts them when
+    they are small, and the base is never shuffled or counted as a whole.
+    """
+    return base.join(groups.select(*keys).distinct(), keys, "left_semi")
+
+
 def create_unique(base: DataFrame, batch: DataFrame, races: DataFrame, rule: UniqueRule, *,
                   seq: str = "seq") -> DataFrame:
     """U1 (position rule) / U3 (driver rule): create results in ``seq`` order."""
@@ -64,10 +72,12 @@ def create_unique(base: DataFrame, batch: DataFrame, races: DataFrame, rule: Uni
     b = _with_race_year(batch, races, race, season)
     exists = F.col(season).isNotNull()
     governed = exists & F.col(key).isNotNull() & _gated(season, rule.from_year)
-    # occupied in the base (the EXISTS of the procedure), as a semi-join on the pair
-    taken = base.filter(F.col(key).isNotNull()).select(race, key).distinct().withColumn("_taken", F.lit(True))
+    claims = b.filter(governed)
+    # occupied in the base (the EXISTS of the procedure), only for the claimed pairs
+    taken = (_touched(base.filter(F.col(key).isNotNull()).select(race, key), [race, key], claims)
+             .distinct().withColumn("_taken", F.lit(True)))
     # first claimant inside the batch: min(seq) per pair, a partial aggregate
-    first = (b.filter(governed).groupBy(race, key).agg(F.min(seq).alias("_first")))
+    first = claims.groupBy(race, key).agg(F.min(seq).alias("_first"))
     j = b.join(taken, [race, key], "left").join(first, [race, key], "left")
     error = (F.when(~exists, F.lit(MSG_RACE_MISSING))
              .when(governed & (F.col("_taken").isNotNull() | (F.col(seq) != F.col("_first"))),
@@ -80,7 +90,8 @@ def create_capped(base_races: DataFrame, batch: DataFrame, rule: CapRule, *,
     """Create races while each season group stays within ``cap``."""
     group = list(rule.group)
     cols = batch.columns
-    base_count = base_races.groupBy(*group).agg(F.count(F.lit(1)).alias("_base"))
+    base_count = (_touched(base_races.select(*group), group, batch)
+                  .groupBy(*group).agg(F.count(F.lit(1)).alias("_base")))
     w = Window.partitionBy(*group).orderBy(seq)
     # rn <= cap: Catalyst plans a partial WindowGroupLimit before the shuffle
     ranked = (batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= rule.cap)
@@ -92,11 +103,25 @@ def create_capped(base_races: DataFrame, batch: DataFrame, rule: CapRule, *,
     return _finish(j, error, cols)
 
 
+def _owners_in(base: DataFrame, races: DataFrame, rule: OwnerRule, race: str,
+               groups: DataFrame) -> DataFrame:
+    """Distinct (season, number, owner) of base results in the touched groups.
+
+    The base is cut to the touched numbers before it meets the race table, so
+    only that slice of results is joined for its season.
+    """
+    season, number, owner = rule.season, rule.number, rule.owner
+    rows = (_touched(base.filter(F.col(number).isNotNull() & F.col(owner).isNotNull())
+                     .select(race, number, owner), [number], groups)
+            .join(races.select(race, season), race))
+    return _touched(rows, [season, number], groups).select(season, number, owner).distinct()
+
+
 def create_owned(base: DataFrame, batch: DataFrame, races: DataFrame, rule: OwnerRule, *,
                  race: str = "RaceId", seq: str = "seq") -> DataFrame:
     """Create results; a number belongs to one driver per season from the gate on.
 
-    base: results with a season column.
+    base: results (race, number and owner columns).
     """
     season, number, owner = rule.season, rule.number, rule.owner
     cols = batch.columns
@@ -104,12 +129,11 @@ def create_owned(base: DataFrame, batch: DataFrame, races: DataFrame, rule: Owne
     exists = F.col(season).isNotNull()
     governed = exists & F.col(number).isNotNull() & _gated(season, rule.from_year)
     keys = [season, number]
-    base_owners = (base.filter(F.col(number).isNotNull() & F.col(owner).isNotNull())
-                   .select(*keys, owner).distinct()
+    claims = b.filter(governed)
+    base_owners = (_owners_in(base, races, rule, race, claims)
                    .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_owners"),
                                        F.min(owner).alias("_base_owner")))
-    first_owner = (b.filter(governed).groupBy(*keys)
-                   .agg(F.min_by(F.col(owner), F.col(seq)).alias("_first_owner")))
+    first_owner = claims.groupBy(*keys).agg(F.min_by(F.col(owner), F.col(seq)).alias("_first_owner"))
     j = b.join(base_owners, keys, "left").join(first_owner, keys, "left")
     rightful = F.when(F.col("_n_owners").isNull(), F.col("_first_owner")).when(
         F.col("_n_owners") == 1, F.col("_base_owner"))
@@ -139,26 +163,37 @@ def update_results(base: DataFrame, batch: DataFrame, races: DataFrame, rule, *,
 
     base: results without season. Checks in the procedures' order: race exists,
     result exists, then the rule on the state after the batch, excluding the row
-    itself.
+    itself. Only the groups the batch writes into are counted: holders of a
+    group = its base rows not rewritten by the batch + the batch rows now in it.
     """
     cols = batch.columns
     b = _with_race_year(batch, races, race, season)
-    known = base.select(key).withColumn("_known", F.lit(True))
+    known = _touched(base.select(key), [key], batch).withColumn("_known", F.lit(True))
     b = b.join(known, key, "left")
     valid = F.col(season).isNotNull() & F.col("_known").isNotNull()
-    state = overlay_rows(base, b.filter(valid).select(*base.columns), key)
+    moved = b.filter(valid)
     if isinstance(rule, UniqueRule):
-        counts = (state.filter(F.col(rule.key).isNotNull()).groupBy(race, rule.key)
+        gkeys = [race, rule.key]
+        stay = (_touched(base.filter(F.col(rule.key).isNotNull()).select(key, *gkeys), gkeys, moved)
+                .join(moved.select(key), key, "left_anti"))
+        arrive = moved.filter(F.col(rule.key).isNotNull()).select(key, *gkeys)
+        counts = (stay.unionByName(arrive).groupBy(*gkeys)
                   .agg(F.count(F.lit(1)).alias("_holders")))
-        b = b.join(counts, [race, rule.key], "left")
+        b = b.join(counts, gkeys, "left")
         clash = F.col(rule.key).isNotNull() & _gated(season, rule.from_year) & (F.col("_holders") > 1)
         message = rule.create_message
     elif isinstance(rule, OwnerRule):
-        owners = (state.join(races.select(race, season), race)
-                  .filter(F.col(rule.number).isNotNull() & F.col(rule.owner).isNotNull())
-                  .select(season, rule.number, rule.owner).distinct()
-                  .groupBy(season, rule.number).agg(F.count(F.lit(1)).alias("_owners")))
-        b = b.join(owners, [season, rule.number], "left")
+        gkeys = [season, rule.number]
+        claims = moved.filter(F.col(rule.number).isNotNull())
+        stay_rows = (_touched(base.filter(F.col(rule.number).isNotNull() & F.col(rule.owner).isNotNull())
+                              .select(key, race, rule.number, rule.owner), [rule.number], claims)
+                     .join(moved.select(key), key, "left_anti")
+                     .join(races.select(race, season), race))
+        stay = _touched(stay_rows, gkeys, claims).select(*gkeys, rule.owner)
+        arrive = claims.filter(F.col(rule.owner).isNotNull()).select(*gkeys, rule.owner)
+        owners = (stay.unionByName(arrive).distinct()
+                  .groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_owners")))
+        b = b.join(owners, gkeys, "left")
         clash = (F.col(rule.number).isNotNull() & _gated(season, rule.from_year)
                  & (F.col("_owners") > 1))
         message = rule_message(rule)
@@ -173,17 +208,20 @@ def update_results(base: DataFrame, batch: DataFrame, races: DataFrame, rule, *,
 def update_races(base_races: DataFrame, batch: DataFrame, rule: CapRule, *,
                  race: str = "RaceId", season: str = "RaceYear") -> DataFrame:
     """Full-row race updates; an unknown race is a silent no-op ('ignored'), and
-    the cap is checked only for races whose season changes (trap T17)."""
+    the cap is checked only for races whose season changes (trap T17). Counts
+    cover only the season groups the batch moves races into."""
     cols = batch.columns
     group = list(rule.group)
-    old = base_races.select(race, *[F.col(c).alias(f"_old_{c}") for c in group])
+    old = (_touched(base_races.select(race, *group), [race], batch)
+           .select(race, *[F.col(c).alias(f"_old_{c}") for c in group]))
     b = batch.join(old, race, "left")
     known = F.col(f"_old_{group[0]}").isNotNull()
     same_season = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in group])
     moved = known & ~same_season
-    state = overlay_rows(base_races, batch.join(base_races.select(race), race, "left_semi")
-                         .select(*base_races.columns), race)
-    counts = state.groupBy(*group).agg(F.count(F.lit(1)).alias("_count"))
+    arrivals = b.filter(known).select(race, *group)
+    stay = (_touched(base_races.select(race, *group), group, arrivals)
+            .join(arrivals.select(race), race, "left_anti"))
+    counts = stay.unionByName(arrivals).groupBy(*group).agg(F.count(F.lit(1)).alias("_count"))
     b = b.join(counts, group, "left")
     error = F.when(moved & (F.col("_count") > rule.cap), F.lit(MSG_CAP_MOVE.format(cap=rule.cap)))
     report = _all_or_nothing(_finish(b.withColumn("_known", known), error, cols + ["_known"]))

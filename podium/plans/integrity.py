@@ -187,8 +187,8 @@ def u7_create(spark: SparkSession, root: str) -> DataFrame:
     """Create the arriving results under the number rule."""
     t = read_tables(spark, root)
     base, batch = _split(t)
-    return _report(U.create_owned(R.with_season(base, races(t)), batch.select(*RESULT_COLS, "seq"),
-                                  races(t), R.number_owner_rule(NUMBER_GATE)))
+    return _report(U.create_owned(base, batch.select(*RESULT_COLS, "seq"), races(t),
+                                  R.number_owner_rule(NUMBER_GATE)))
 
 
 def u2_update(spark: SparkSession, root: str) -> DataFrame:

@@ -48,7 +48,7 @@ def validate_feed(spark: SparkSession, feed: DataFrame, *, base: DataFrame, race
         if isinstance(rule, R.UniqueRule):
             report = U.create_unique(state, batch, races, rule, seq=seq)
         elif isinstance(rule, R.OwnerRule):
-            report = U.create_owned(R.with_season(state, races, season=rule.season), batch, races, rule, seq=seq)
+            report = U.create_owned(state, batch, races, rule, seq=seq)
         elif isinstance(rule, R.CapRule):
             report = U.create_capped(state, batch, rule, seq=seq)
         else:
