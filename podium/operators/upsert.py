@@ -64,6 +64,14 @@ def _touched(base: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
     return base.join(groups.select(*keys).distinct(), keys, "left_semi")
 
 
+def _first_claims(claims: DataFrame, keys: list[str], seq: str, cols: list[str]) -> DataFrame:
+    """The lowest-``seq`` claim per group: ``row_number() == 1`` gets a partial
+    ``WindowGroupLimit`` before the shuffle, so a hot group forwards one row per
+    map task."""
+    w = Window.partitionBy(*keys).orderBy(seq)
+    return claims.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).select(*cols)
+
+
 def create_unique(base: DataFrame, batch: DataFrame, races: DataFrame, rule: UniqueRule, *,
                   seq: str = "seq") -> DataFrame:
     """U1 (position rule) / U3 (driver rule): create results in ``seq`` order."""
@@ -76,8 +84,8 @@ def create_unique(base: DataFrame, batch: DataFrame, races: DataFrame, rule: Uni
     # occupied in the base (the EXISTS of the procedure), only for the claimed pairs
     taken = (_touched(base.filter(F.col(key).isNotNull()).select(race, key), [race, key], claims)
              .distinct().withColumn("_taken", F.lit(True)))
-    # first claimant inside the batch: min(seq) per pair, a partial aggregate
-    first = claims.groupBy(race, key).agg(F.min(seq).alias("_first"))
+    # first claimant inside the batch
+    first = _first_claims(claims, [race, key], seq, [race, key, F.col(seq).alias("_first")])
     j = b.join(taken, [race, key], "left").join(first, [race, key], "left")
     error = (F.when(~exists, F.lit(MSG_RACE_MISSING))
              .when(governed & (F.col("_taken").isNotNull() | (F.col(seq) != F.col("_first"))),
@@ -133,7 +141,7 @@ def create_owned(base: DataFrame, batch: DataFrame, races: DataFrame, rule: Owne
     base_owners = (_owners_in(base, races, rule, race, claims)
                    .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_owners"),
                                        F.min(owner).alias("_base_owner")))
-    first_owner = claims.groupBy(*keys).agg(F.min_by(F.col(owner), F.col(seq)).alias("_first_owner"))
+    first_owner = _first_claims(claims, keys, seq, [*keys, F.col(owner).alias("_first_owner")])
     j = b.join(base_owners, keys, "left").join(first_owner, keys, "left")
     rightful = F.when(F.col("_n_owners").isNull(), F.col("_first_owner")).when(
         F.col("_n_owners") == 1, F.col("_base_owner"))
@@ -148,7 +156,9 @@ def rule_message(rule) -> str:
 
 def _all_or_nothing(report: DataFrame) -> DataFrame:
     """Refuse the whole batch when any row failed: J12, a cross join with a one-row
-    global aggregate (broadcast; its size is one row by construction)."""
+    global aggregate (broadcast; its size is one row by construction). Both
+    branches read the same report plan; AQE reuses its exchanges, so inputs are
+    not shuffled twice."""
     failed = report.agg(F.count_if(F.col("Error").isNotNull()).alias("_failed"))
     return (report.crossJoin(F.broadcast(failed))
             .withColumn("Error", F.when((F.col("_failed") > 0) & F.col("Error").isNull(),
@@ -167,9 +177,8 @@ def update_results(base: DataFrame, batch: DataFrame, races: DataFrame, rule, *,
     group = its base rows not rewritten by the batch + the batch rows now in it.
     """
     cols = batch.columns
-    b = _with_race_year(batch, races, race, season)
     known = _touched(base.select(key), [key], batch).withColumn("_known", F.lit(True))
-    b = b.join(known, key, "left")
+    b = _with_race_year(batch, races, race, season).join(known, key, "left")
     valid = F.col(season).isNotNull() & F.col("_known").isNotNull()
     moved = b.filter(valid)
     if isinstance(rule, UniqueRule):
