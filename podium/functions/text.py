@@ -1,7 +1,9 @@
 """Column -> Column helpers for the scalar functions the queries use.
 
 All of them are built from ``pyspark.sql.functions`` so they stay inside
-whole-stage codegen; none is a Python UDF.
+whole-stage codegen; none is a Python UDF. Casts (F4) are ``Column.cast``,
+IIF/CASE (F11) is ``when/otherwise``, arithmetic (F19) stays in integers where
+the reference relies on decimal rounding.
 """
 
 from __future__ import annotations
@@ -93,7 +95,10 @@ def after_first_word(name: ColumnOrName) -> Column:
 
 
 def nth_part(text: ColumnOrName, sep: str, n: int) -> Column:
-    """N-th (1-based) field of ``text`` split on ``sep``; NULL when out of range."""
+    """N-th (1-based) field of ``text`` split on ``sep``; NULL when out of range.
+
+    W8's ``ROW_NUMBER() OVER (ORDER BY (SELECT NULL))`` over STRING_SPLIT is not
+    needed: the array position is the real field ordinal."""
     return F.get(F.split(_c(text), re.escape(sep)), n - 1)
 
 

@@ -1,4 +1,7 @@
-"""Staged result file -> new circuits, constructors, drivers, seasons, races, results.
+"""Staged result file -> new circuits, constructors, drivers, seasons and races (I5), results.
+
+The staging table (S6) is a DataFrame read by every step; callers that stage
+from an expensive source persist it first. Appending the returned rows is S7.
 
 Every step is "distinct natural keys of the staging rows, minus what the
 dimension already holds (anti-join), numbered on from the current maximum"

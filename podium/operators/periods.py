@@ -1,7 +1,9 @@
 """Active periods per driver as gaps-and-islands over seasons.
 
 ``'1991-2006, 2010-2012'``: consecutive seasons form one island, islands are
-listed in season order (trap T8: the order is fixed inside the aggregate).
+listed in season order (trap T8: the order is fixed inside the aggregate; the
+reference's ``ORDER BY ... OFFSET 0 ROWS`` inside a CTE (O6) has no meaning in
+Spark and is dropped).
 """
 
 from __future__ import annotations

@@ -1,10 +1,14 @@
-"""Integrity rules R1-R4 as set-based validators (the reference's AFTER triggers).
+"""Integrity rules R1-R4 as set-based validators (the reference's AFTER triggers, X3).
 
 A rule inspects a table state (base, or base with a change batch applied) and
 returns its violations as rows; an empty frame means the state is accepted.
 ``touched`` restricts the check to the groups a change batch touched, like the
 trigger's ``inserted`` pseudo-table. Every check is a grouped aggregate with a
-HAVING filter: partial aggregation before the shuffle, no self-join, no pairs.
+HAVING filter (G12 duplicates, G13 capacity): partial aggregation before the
+shuffle, no self-join, no pairs. Gates are comparisons (P4); NULL keys are
+exempt, which is what the procedures' ``Position = @Position`` gives for a NULL
+argument (P7). Where a trigger takes ``TOP 1`` violation for its message (O5),
+these return every violating group; ``publish`` shows a bounded sample.
 """
 
 from __future__ import annotations

@@ -1,7 +1,10 @@
 """Q5 and Q6: entries, wins and win share per driver (career) or per driver-season.
 
-Both are one grouped pass with a plain count and a conditional count (G1 + G4),
-the reference's "single pass" options: one scan of results, partial
+Both are one grouped pass with a plain count and a conditional count (G1 + G4;
+the COUNT(CASE ...) form G5 is the same aggregate), the reference's "single
+pass" options. Their windowed forms - COUNT(*) and COUNT(CASE) OVER (PARTITION
+BY driver) inside CROSS APPLY followed by DISTINCT (W3, W4, J15) - collapse to
+this plain ``groupBy``. One scan of results, partial
 aggregation before the shuffle, so a driver with a third of all rows costs one
 pre-aggregated row per map task.
 """

@@ -64,7 +64,9 @@ def season_champions(standings: DataFrame, races: DataFrame, round_results: Data
     champion: P1 in the standings of the season's last round that has standings
     (Z3: per-season max as an aggregate joined back). The lead is unbroken from
     the first P1 round after the last round the champion was not P1 (Z4 as a
-    window over one competitor's rounds, Z6 rewritten; J14 as ``min_by``). Seasons
+    window over one competitor's rounds; Z6 and J10 - NOT EXISTS a later round off
+    P1 - rewritten as that window; G6's conditional MIN and J14 as filter +
+    ``min_by``). Joins on (season, entity) are J2. Seasons
     where the champion led from round 1 are kept (trap T1), so are champions
     without a win (``coalesce`` after a left join, T9/J13). TotaalRaces counts the
     season's races (T10).
@@ -107,7 +109,9 @@ def final_standings(standings: DataFrame, races: DataFrame, round_results: DataF
                     constructor: str = "ConstructorName", seasons: list[int] | None = None) -> DataFrame:
     """Q7: standings after each season's last round, with the competitor's constructor.
 
-    Last race = the highest round **that has standings** (trap T5: a later round
+    Last race = the highest round **that has standings**, for every season at once
+    instead of a global ``TOP 1 ... ORDER BY RaceDate DESC`` per season (O3, Z7)
+    (trap T5: a later round
     without standings, such as a sprint, must not empty the report). The
     constructor is the one on the competitor's result in that race with the
     highest result id (``max_by``, option 2's ``TOP 1 ... ORDER BY ResultId DESC``),

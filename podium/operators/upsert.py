@@ -1,4 +1,4 @@
-"""Guarded batch upserts U1-U8 (the reference's stored procedures, one call per row)
+"""Guarded batch upserts U1-U8 (the reference's stored procedures X2, one call per row)
 re-aimed as jobs over a batch DataFrame of requested rows.
 
 Each function returns the batch with ``Status`` ('accepted', 'rejected' or

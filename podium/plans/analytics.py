@@ -1,5 +1,9 @@
 """Registered analytic queries Q1, Q2, Q4, Q5, Q6 on the test tables.
 
+CTE chains and derived tables (Z1, Z2) are DataFrame variables. Reports are
+sorted as the reference sorts them (O1 aliases, O2 expressions descending),
+with ids as the last keys so ties do not reorder between runs (T14).
+
 Each function takes ``(spark, sf_dir)`` and returns a lazy DataFrame whose
 columns match the DuckDB twin in ``podium.plans.oracle``. Integer outputs are
 cast to ``long`` so both engines report BIGINT.
@@ -35,7 +39,7 @@ def q1_min_completion(spark: SparkSession, root: str, method: str = "aggregate")
     res = model.result(t).withColumnRenamed("DriverId", "SupplierId").withColumnRenamed("PartId", "DriverId")
     out = min_completion(res, model.race(t), model.part_driver(t), season_value=Q1_SEASON,
                          method=method)
-    return out.select("Name", "Completion", "MinCompletion")
+    return out.select("Name", "Completion", "MinCompletion").orderBy(F.col("MinCompletion").desc(), "Name")
 
 
 def q1_window(spark: SparkSession, root: str) -> DataFrame:
@@ -44,7 +48,8 @@ def q1_window(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _q2_context(t, fastest: DataFrame) -> DataFrame:
-    """J3 star join of the chosen results with race, circuit and driver."""
+    """J3 star join of the chosen results with race, circuit and driver, sorted by
+    circuit and lap time (O1)."""
     return (fastest
             .join(model.race(t).select("RaceId", "RaceDate"), "RaceId")
             .join(model.circuit_of_race(t), "RaceId")
@@ -55,7 +60,8 @@ def _q2_context(t, fastest: DataFrame) -> DataFrame:
                     F.col("FastestLap").cast("long").alias("FastestLap"),
                     "FastestLapTime",
                     F.col("PositionText").alias("Position"),
-                    "Points", "Laps", "ResultStatus"))
+                    "Points", "Laps", "ResultStatus")
+            .orderBy("CircuitName", "FastestLapTime", "RaceDate", "Name"))
 
 
 def _q2_results(t) -> DataFrame:
@@ -104,8 +110,9 @@ def q4_periods(spark: SparkSession, root: str, min_periods: int = 1) -> DataFram
     """Q4 option 1 (S10 view, W5/W6 replaced by islands, G9, G10, F20)."""
     t = read_tables(spark, root)
     drivers = model.customer_driver(t)
-    return periods_report(_periods(t, "customer"), drivers,
-                          name_col=full_name("Firstname", "Lastname"), min_periods=min_periods)
+    return (periods_report(_periods(t, "customer"), drivers,
+                           name_col=full_name("Firstname", "Lastname"), min_periods=min_periods)
+            .orderBy("Coureur", "Periodes"))
 
 
 def q4_returners(spark: SparkSession, root: str) -> DataFrame:
@@ -120,7 +127,8 @@ def q5_career_wins(spark: SparkSession, root: str) -> DataFrame:
     return (career_wins_report(wins, _periods(t, "supplier"), model.supplier_driver(t),
                                name_col=full_name("Firstname", "Lastname"))
             .withColumn("Entries", F.col("Entries").cast("long"))
-            .withColumn("Wins", F.col("Wins").cast("long")))
+            .withColumn("Wins", F.col("Wins").cast("long"))
+            .orderBy(F.col("Wins").desc(), "Driver"))
 
 
 def q6_win_share(spark: SparkSession, root: str) -> DataFrame:
@@ -140,7 +148,8 @@ def _q6_report(t, shares: DataFrame) -> DataFrame:
     return (season_win_share_report(shares, model.supplier_driver(t),
                                     name_col=full_name("Firstname", "Lastname"))
             .withColumn("Races", F.col("Races").cast("long"))
-            .withColumn("Wins", F.col("Wins").cast("long")))
+            .withColumn("Wins", F.col("Wins").cast("long"))
+            .orderBy((F.col("Wins") / F.col("Races")).desc(), "Driver", "Season"))
 
 
 QUERIES = {

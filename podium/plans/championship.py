@@ -43,7 +43,8 @@ def q3_unbroken_lead(spark: SparkSession, root: str) -> DataFrame:
             .select(F.col("RaceYear").cast("long").alias("Seizoen"),
                     full_name("Firstname", "Lastname").alias("Kampioen"),
                     "RaceWins", "TotaalRaces", "LeiderVanaf",
-                    F.col("Volgnummer").cast("long").alias("Volgnummer"), "Race"))
+                    F.col("Volgnummer").cast("long").alias("Volgnummer"), "Race")
+            .orderBy("Seizoen"))
 
 
 def q7_final_standings(spark: SparkSession, root: str) -> DataFrame:
@@ -56,7 +57,8 @@ def q7_final_standings(spark: SparkSession, root: str) -> DataFrame:
                     strict_name("Firstname", "Lastname").alias("DRIVER"),
                     F.col("Nationality").alias("NATIONALITY"),
                     F.col("ConstructorName").alias("CAR"),
-                    F.col("Points").cast("double").alias("PTS")))
+                    F.col("Points").cast("double").alias("PTS"))
+            .orderBy("Season", "POS"))
 
 
 QUERIES = {

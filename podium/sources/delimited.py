@@ -36,16 +36,30 @@ def read_delimited(spark: SparkSession, path: str, fields: Sequence[tuple[str, s
             .option("enforceSchema", True).csv(path))
 
 
+def literal_lines(spark: SparkSession, text: str) -> DataFrame:
+    """S4 + F14 + F18: a pasted literal (``DECLARE @csv = N'...'``) as one row per line,
+    ``STRING_SPLIT(@csv, CHAR(10))`` as ``explode(split(text, '\\n'))``. For fixtures;
+    files go through ``spark.read.text``."""
+    return (spark.createDataFrame([(text,)], "text string")
+            .select(F.explode(F.split("text", "\n")).alias("line")))
+
+
 def tolerant_load(spark: SparkSession, path: str, fields: Sequence[tuple[str, str]] = RACE_RESULT_FIELDS,
                   sep: str = ";", header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """S3: returns ``(staged, rejects)``.
+    """S3: ``tolerant_parse`` over the lines of the files at ``path``."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return tolerant_parse(lines, fields, sep=sep, header=header)
+
+
+def tolerant_parse(lines: DataFrame, fields: Sequence[tuple[str, str]] = RACE_RESULT_FIELDS,
+                   sep: str = ";", header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S3: returns ``(staged, rejects)`` from a DataFrame of text ``line`` rows.
 
     staged: one typed row per non-blank line (the reference's INSERT ... SELECT
     TRY_CAST(SplitPart(...))). A header line is recognised by its first field
     equal to the first field name. rejects: ``line``, ``reason`` for lines with
     a short field list or a number that did not convert.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"))
     lines = lines.filter(F.trim("line") != "")  # F13
     if header:
         lines = lines.filter(F.lower(F.trim(nth_part("line", sep, 1))) != fields[0][0].lower())

@@ -93,3 +93,17 @@ def test_dense_index_matches_row_number(spark):
     offset = spark.createDataFrame([(41,)], "m long")
     got = dense_index(df, ["k"], out="sid", offset=offset).select("k", "sid").collect()
     assert sorted((r["k"], r["sid"]) for r in got) == [(k, k + 42) for k in range(5000)]
+
+
+def test_literal_source_matches_file(spark):
+    """The pasted literal of the reference parses like the file."""
+    from podium.sources.delimited import literal_lines, tolerant_parse
+
+    with open(CLEAN) as fh:
+        text = fh.read()
+    staged, rejects = tolerant_parse(literal_lines(spark, text))
+    from_file = read_delimited(spark, CLEAN).withColumnRenamed("TIME/RETIRED", "TimeRetired")
+    cols = ["RaceNr", "Circuit", "POS", "NO", "Driver", "Car", "Laps", "TimeRetired", "Points"]
+    assert sorted(tuple(r) for r in staged.select(cols).collect()) == \
+        sorted(tuple(r) for r in from_file.select(cols).collect())
+    assert rejects.count() == 0
