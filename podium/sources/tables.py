@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -18,15 +18,20 @@ class Tables:
 
     Each attribute is a plain ``spark.read.parquet`` scan: Catalyst prunes columns
     and pushes filters into it, so reading a table here costs nothing until used.
+    The scan object is created once per table (one footer read for the schema),
+    however often a query refers to it.
     """
 
     spark: SparkSession
     root: str
+    _scans: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name in ("spark", "root"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+        if name not in self._scans:
+            self._scans[name] = self.spark.read.parquet(f"{self.root.rstrip('/')}/{name}.parquet")
+        return self._scans[name]
 
     def register_views(self, names=TEST_TABLES) -> None:
         """Expose the tables to ``spark.sql`` under their own names."""
