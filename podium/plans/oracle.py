@@ -435,6 +435,9 @@ State AS (SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM IRes
           WHERE ResultId NOT IN (SELECT ResultId FROM B WHERE RaceYear IS NOT NULL AND known)
           UNION ALL
           SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM B WHERE RaceYear IS NOT NULL AND known),
+StateSeason AS (SELECT s.*, r2.RaceYear FROM State s JOIN IRace r2 ON r2.RaceId = s.RaceId),
+NumberSpan AS (SELECT RaceYear, ResultNumber, MIN(DriverId) AS lo, MAX(DriverId) AS hi FROM StateSeason
+               WHERE ResultNumber IS NOT NULL GROUP BY RaceYear, ResultNumber),
 E AS (SELECT B.ResultId,
              CASE WHEN B.RaceYear IS NULL THEN 'Race does not exist'
                   WHEN NOT B.known THEN 'Result does not exist'
@@ -454,10 +457,12 @@ U2 = _update_sql(f"""B.Position IS NOT NULL AND B.RaceYear >= {I.POSITION_GATE}
 U4 = _update_sql(f"""B.DriverId IS NOT NULL AND B.RaceYear >= {I.DRIVER_GATE} AND EXISTS (
     SELECT 1 FROM State s WHERE s.RaceId = B.RaceId AND s.DriverId = B.DriverId AND s.ResultId <> B.ResultId)""",
                  "Driver already has a result in this race")
+# another row of the season holds the number with another driver exactly when the
+# number's lowest or highest driver differs from this row's driver
 U8 = _update_sql(f"""B.ResultNumber IS NOT NULL AND B.RaceYear >= {I.NUMBER_GATE} AND EXISTS (
-    SELECT 1 FROM State s JOIN IRace r2 ON r2.RaceId = s.RaceId
-    WHERE r2.RaceYear = B.RaceYear AND s.ResultNumber = B.ResultNumber
-      AND s.DriverId <> B.DriverId AND s.ResultId <> B.ResultId)""",
+    SELECT 1 FROM NumberSpan n
+    WHERE n.RaceYear = B.RaceYear AND n.ResultNumber = B.ResultNumber
+      AND (n.lo <> B.DriverId OR n.hi <> B.DriverId))""",
                  "ResultNumber already used by another driver in this season")
 
 U6 = _with(IRACE) + f"""
