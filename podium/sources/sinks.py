@@ -52,15 +52,18 @@ def publish(snapshot: DataFrame, checks: dict[str, DataFrame], path: str, *,
 
 
 def save_bucketed(df: DataFrame, table: str, *, bucket_by: Sequence[str], sort_by: Sequence[str],
-                  buckets: int | None = None) -> None:
+                  buckets: int | None = None, path: str | None = None) -> None:
     """A bucketed, sorted catalog table (``bucketBy`` needs ``saveAsTable``).
 
     buckets: defaults to the session's shuffle partition count, so a join with
     an unbucketed side shuffles that side only into matching partitions.
+    path: where the files go (an external table); by default a folder under the
+    shared checkpoint directory, never the driver's working directory.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.write.mode("overwrite").format("parquet")
+    location = path or shared_folder(spark, f"tables/{table}")
+    (df.write.mode("overwrite").format("parquet").option("path", location)
      .bucketBy(n, *bucket_by).sortBy(*sort_by).saveAsTable(table))
 
 
