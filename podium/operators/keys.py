@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,11 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], *, out: str = "id"
     ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
     tagged = ranged.withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
-        tagged = tagged.checkpoint(eager=True)
+        # persist first: a reliable checkpoint writes in a second job, which then
+        # reads the persisted rows instead of recomputing the sort
+        staged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+        tagged = staged.checkpoint(eager=True)
+        staged.unpersist()
     tagged = (tagged.withColumn("_part", F.shiftright("_mid", 33))
               .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
