@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def rank_in_round(df: DataFrame, *, race: str, points: str, entity: str,
@@ -31,26 +32,33 @@ def build_standings(round_points: DataFrame, races: DataFrame, *, race: str = "R
     round_points: points per (race, entity), sparse (only rounds scored in).
     races: one row per race with its season and round number.
 
-    Densify without a many-to-many join on the season key: every season's
-    rounds are packed into one array (bounded by rounds per season, which rule
-    R3 caps) and broadcast - the packed table has one row per season - then each
-    (season, entity) row explodes it. The cumulative sum runs over one
-    competitor's rounds of one season.
+    Densify without a many-to-many join on the season key, and without a
+    window over the dense rows: every season's rounds are packed into one
+    ordered array (one row per season, bounded by rounds per season, which rule
+    R3 caps) and broadcast; every (season, competitor) packs its scored rounds
+    the same way. Points per calendar round and their running sums are array
+    expressions on that one row, then exploded - a competitor who scores nothing
+    in a round keeps a standing. Only the per-round rank is a window.
     """
-    season_rounds = (races.select(season, round_, race)
-                     .groupBy(season)
-                     .agg(F.collect_list(F.struct(round_, race)).alias("_rounds")))
-    scored = round_points.join(races.select(race, season, round_), race)
-    entrants = scored.select(season, entity).distinct()
-    dense = (entrants.join(F.broadcast(season_rounds), season)
-             .select(season, entity, F.explode("_rounds").alias("_r"))
-             .select(season, entity, F.col(f"_r.{round_}").alias(round_), F.col(f"_r.{race}").alias(race)))
-    filled = (dense.join(scored.select(race, entity, points), [race, entity], "left")
-              .withColumn(points, F.coalesce(F.col(points), F.lit(0).cast(scored.schema[points].dataType))))
-    running = (Window.partitionBy(season, entity).orderBy(round_)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cumulative = filled.withColumn("_cum", F.sum(points).over(running))
-    ranked = rank_in_round(cumulative, race=race, points="_cum", entity=entity)
+    src_type = round_points.schema[points].dataType
+    acc_type = T.DecimalType(38, src_type.scale) if isinstance(src_type, T.DecimalType) else src_type
+    zero = F.lit(0).cast(acc_type)
+    cal = races.select(season, round_, race)
+    season_rounds = (cal.groupBy(season)
+                     .agg(F.array_sort(F.collect_list(F.struct(round_, race))).alias("_rounds")))
+    scored = (round_points.select(race, entity, points).join(cal, race)
+              .groupBy(season, entity)
+              .agg(F.collect_list(F.struct(F.col(round_).alias("r"), F.col(points).alias("p"))).alias("_scored")))
+    dense = scored.join(F.broadcast(season_rounds), season)
+    per_round = F.transform("_rounds", lambda rd: F.aggregate(
+        F.filter("_scored", lambda x: x["r"] == rd[round_]), zero,
+        lambda acc, x: (acc + x["p"]).cast(acc_type)))
+    running = F.transform(per_round, lambda _, i: F.aggregate(
+        F.slice(per_round, 1, i + 1), zero, lambda acc, x: (acc + x).cast(acc_type)))
+    rows = (dense.select(season, entity, F.explode(F.arrays_zip(
+                F.col("_rounds").alias("rd"), running.alias("cum"))).alias("_z"))
+            .select(season, entity, F.col(f"_z.rd.{race}").alias(race), F.col("_z.cum").alias("_cum")))
+    ranked = rank_in_round(rows, race=race, points="_cum", entity=entity)
     return ranked.select(race, entity, F.col("_cum").alias(points), "Position")
 
 
