@@ -18,6 +18,12 @@ Updates (U2, U4, U6, U8) are validated set-wise against the batch applied to
 the base, each row excluding itself like the procedures, and the batch is
 accepted or refused as a whole (trigger semantics), because an update that
 frees a slot for another row has no closed form.
+
+The batch, once enriched with its season (and, for updates, whether its key
+exists), is read by every later step, and an update's per-row report is read
+twice (the failure count and the rows). Both are batch-sized and are stored once
+in the shared folder (``materialize``), so the base is scanned only by its
+semi-joins instead of once per reference.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.sources.sinks import materialize
 from podium.operators.rules import (
     MSG_CAP_INSERT, MSG_CAP_MOVE, MSG_NUMBER_OWNER, MSG_RACE_MISSING, MSG_RESULT_MISSING, CapRule,
     OwnerRule,
@@ -77,7 +84,7 @@ def create_unique(base: DataFrame, batch: DataFrame, races: DataFrame, rule: Uni
     """U1 (position rule) / U3 (driver rule): create results in ``seq`` order."""
     race, key, season = rule.race, rule.key, rule.season
     cols = batch.columns
-    b = _with_race_year(batch, races, race, season)
+    b = materialize(_with_race_year(batch, races, race, season), "upsert_batch")
     exists = F.col(season).isNotNull()
     governed = exists & F.col(key).isNotNull() & _gated(season, rule.from_year)
     claims = b.filter(governed)
@@ -133,7 +140,7 @@ def create_owned(base: DataFrame, batch: DataFrame, races: DataFrame, rule: Owne
     """
     season, number, owner = rule.season, rule.number, rule.owner
     cols = batch.columns
-    b = _with_race_year(batch, races, race, season)
+    b = materialize(_with_race_year(batch, races, race, season), "upsert_batch")
     exists = F.col(season).isNotNull()
     governed = exists & F.col(number).isNotNull() & _gated(season, rule.from_year)
     keys = [season, number]
@@ -156,9 +163,9 @@ def rule_message(rule) -> str:
 
 def _all_or_nothing(report: DataFrame) -> DataFrame:
     """Refuse the whole batch when any row failed: J12, a cross join with a one-row
-    global aggregate (broadcast; its size is one row by construction). Both
-    branches read the same report plan; AQE reuses its exchanges, so inputs are
-    not shuffled twice."""
+    global aggregate (broadcast; its size is one row by construction). The report
+    is stored first, so the count and the rows read it instead of recomputing it."""
+    report = materialize(report, "upsert_report")
     failed = report.agg(F.count_if(F.col("Error").isNotNull()).alias("_failed"))
     return (report.crossJoin(F.broadcast(failed))
             .withColumn("Error", F.when((F.col("_failed") > 0) & F.col("Error").isNull(),
@@ -178,7 +185,7 @@ def update_results(base: DataFrame, batch: DataFrame, races: DataFrame, rule, *,
     """
     cols = batch.columns
     known = _touched(base.select(key), [key], batch).withColumn("_known", F.lit(True))
-    b = _with_race_year(batch, races, race, season).join(known, key, "left")
+    b = materialize(_with_race_year(batch, races, race, season).join(known, key, "left"), "upsert_batch")
     valid = F.col(season).isNotNull() & F.col("_known").isNotNull()
     moved = b.filter(valid)
     if isinstance(rule, UniqueRule):
@@ -223,7 +230,7 @@ def update_races(base_races: DataFrame, batch: DataFrame, rule: CapRule, *,
     group = list(rule.group)
     old = (_touched(base_races.select(race, *group), [race], batch)
            .select(race, *[F.col(c).alias(f"_old_{c}") for c in group]))
-    b = batch.join(old, race, "left")
+    b = materialize(batch.join(old, race, "left"), "upsert_batch")
     known = F.col(f"_old_{group[0]}").isNotNull()
     same_season = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in group])
     moved = known & ~same_season
