@@ -66,7 +66,7 @@ def season_champions(standings: DataFrame, races: DataFrame, round_results: Data
                      race: str = "RaceId", season: str = "RaceYear", round_: str = "NrOfRound",
                      entity: str = "DriverId", position: str = "Position",
                      date: str = "RaceDate", name: str = "RaceName",
-                     seasons: tuple[int, int] | None = None) -> DataFrame:
+                     seasons: tuple[int, int] | None = None, method: str = "window") -> DataFrame:
     """Q3: ``season, entity, RaceWins, TotaalRaces, LeiderVanaf, Volgnummer, Race``.
 
     champion: P1 in the standings of the season's last round that has standings
@@ -78,6 +78,10 @@ def season_champions(standings: DataFrame, races: DataFrame, round_results: Data
     where the champion led from round 1 are kept (trap T1), so are champions
     without a win (``coalesce`` after a left join, T9/J13). TotaalRaces counts the
     season's races (T10).
+
+    method="window" computes the last round off P1 as a window over the
+    champion's rounds; method="aggregate" as a grouped MAX joined back (the
+    reference's option 1/3 shape). Same result.
     """
     r = races.select(race, season, round_, date, name)
     if seasons is not None:
@@ -89,9 +93,17 @@ def season_champions(standings: DataFrame, races: DataFrame, round_results: Data
               .filter((F.col(round_) == F.col("_last")) & (F.col(position) == 1))
               .select(season, entity))
     champ_rows = st.join(F.broadcast(champs), [season, entity])
-    last_off = F.max(F.when(F.col(position) > 1, F.col(round_))).over(
-        Window.partitionBy(season, entity))
-    lead = (champ_rows.withColumn("_last_off", F.coalesce(last_off, F.lit(0)))
+    off_p1 = F.max(F.when(F.col(position) > 1, F.col(round_)))
+    if method == "window":
+        with_off = champ_rows.withColumn("_last_off", F.coalesce(off_p1.over(Window.partitionBy(season, entity)),
+                                                                 F.lit(0)))
+    elif method == "aggregate":
+        offs = champ_rows.groupBy(season, entity).agg(off_p1.alias("_off"))
+        with_off = (champ_rows.join(offs, [season, entity], "left")
+                    .withColumn("_last_off", F.coalesce("_off", F.lit(0))))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    lead = (with_off
             .filter((F.col(position) == 1) & (F.col(round_) > F.col("_last_off")))
             .groupBy(season, entity)
             .agg(F.min_by(F.struct(date, round_, name), F.col(round_)).alias("_from")))
@@ -114,7 +126,8 @@ def season_champions(standings: DataFrame, races: DataFrame, round_results: Data
 def final_standings(standings: DataFrame, races: DataFrame, round_results: DataFrame, *,
                     race: str = "RaceId", season: str = "RaceYear", round_: str = "NrOfRound",
                     entity: str = "DriverId", result_id: str = "ResultId",
-                    constructor: str = "ConstructorName", seasons: list[int] | None = None) -> DataFrame:
+                    constructor: str = "ConstructorName", seasons: list[int] | None = None,
+                    car_method: str = "max_by") -> DataFrame:
     """Q7: standings after each season's last round, with the competitor's constructor.
 
     Last race = the highest round **that has standings**, for every season at once
@@ -125,6 +138,9 @@ def final_standings(standings: DataFrame, races: DataFrame, round_results: DataF
     highest result id (``max_by``, option 2's ``TOP 1 ... ORDER BY ResultId DESC``),
     left-joined so a competitor without a result keeps a NULL car and one with two
     results appears once (trap T13).
+    car_method="top1": the same constructor as ``row_number() == 1`` over the
+    competitor's results in that race ordered by result id descending (J14/O4
+    shape of option 3), limited map-side before the shuffle.
     Output: ``season, race, entity, Position, Points, <constructor>``.
     """
     r = races.select(race, season, round_)
@@ -134,7 +150,14 @@ def final_standings(standings: DataFrame, races: DataFrame, round_results: DataF
     last = with_standing.groupBy(season).agg(F.max(round_).alias(round_))
     last_race = with_standing.join(last, [season, round_]).select(season, race)
     st = standings.join(F.broadcast(last_race), race)  # one row per season
-    car = (round_results.join(F.broadcast(last_race.select(race)), race)
-           .groupBy(race, entity)
-           .agg(F.max_by(F.col(constructor), F.col(result_id)).alias(constructor)))
+    last_results = round_results.join(F.broadcast(last_race.select(race)), race)
+    if car_method == "max_by":
+        car = (last_results.groupBy(race, entity)
+               .agg(F.max_by(F.col(constructor), F.col(result_id)).alias(constructor)))
+    elif car_method == "top1":
+        w = Window.partitionBy(race, entity).orderBy(F.col(result_id).desc())
+        car = (last_results.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+               .select(race, entity, constructor))
+    else:
+        raise ValueError(f"unknown car_method {car_method!r}")
     return st.join(car, [race, entity], "left")

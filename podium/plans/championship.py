@@ -35,10 +35,10 @@ def standings_table(spark: SparkSession, root: str) -> DataFrame:
                             F.col("Position").cast("long").alias("Position"))
 
 
-def q3_unbroken_lead(spark: SparkSession, root: str) -> DataFrame:
+def q3_unbroken_lead(spark: SparkSession, root: str, method: str = "window") -> DataFrame:
     """Q3: champion per season, wins, races, and the round the lead became unbroken."""
     t, rr, races, standings = _championship(spark, root)
-    champs = season_champions(standings, races, rr)
+    champs = season_champions(standings, races, rr, method=method)
     return (champs.join(model.nation_driver(t), "DriverId")
             .select(F.col("RaceYear").cast("long").alias("Seizoen"),
                     full_name("Firstname", "Lastname").alias("Kampioen"),
@@ -47,10 +47,17 @@ def q3_unbroken_lead(spark: SparkSession, root: str) -> DataFrame:
             .orderBy("Seizoen"))
 
 
-def q7_final_standings(spark: SparkSession, root: str) -> DataFrame:
+def q3_apply_rewrite(spark: SparkSession, root: str) -> DataFrame:
+    """Q3 with the last round off P1 as a grouped MAX joined back (options 1/3 shape;
+    the APPLY of option 2 with its two-level NOT EXISTS, Z6, is not expressible in
+    Spark and is rewritten)."""
+    return q3_unbroken_lead(spark, root, method="aggregate")
+
+
+def q7_final_standings(spark: SparkSession, root: str, car_method: str = "max_by") -> DataFrame:
     """Q7: final standings of every season with nationality and constructor."""
     t, rr, races, standings = _championship(spark, root)
-    final = final_standings(standings, races, rr)
+    final = final_standings(standings, races, rr, car_method=car_method)
     return (final.join(model.nation_driver(t), "DriverId")
             .select(F.col("RaceYear").cast("long").alias("Season"),
                     F.col("Position").cast("long").alias("POS"),
@@ -61,8 +68,16 @@ def q7_final_standings(spark: SparkSession, root: str) -> DataFrame:
             .orderBy("Season", "POS"))
 
 
+def q7_lateral_top1(spark: SparkSession, root: str) -> DataFrame:
+    """Q7 with the car as the top-1 result per driver by result id (options 2/3: CROSS
+    APPLY TOP 1 / scalar TOP 1, J14 + O4)."""
+    return q7_final_standings(spark, root, car_method="top1")
+
+
 QUERIES = {
     "standings_builder": standings_table,
+    "q3_apply_rewrite": q3_apply_rewrite,
+    "q7_lateral_top1": q7_lateral_top1,
     "q3_unbroken_lead": q3_unbroken_lead,
     "q7_final_standings": q7_final_standings,
 }

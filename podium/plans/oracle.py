@@ -293,6 +293,8 @@ LEFT JOIN LATERAL (SELECT rr.ConstructorName FROM RoundResult rr
 """
 
 ORACLE.update({
+    "q3_apply_rewrite": Q3,
+    "q7_lateral_top1": Q7,
     "standings_builder": STANDINGS,
     "q3_unbroken_lead": Q3,
     "q7_final_standings": Q7,
