@@ -174,6 +174,39 @@ def _all_or_nothing(report: DataFrame) -> DataFrame:
             .drop("_failed"))
 
 
+def _rule_clash(b: DataFrame, base: DataFrame, arriving: DataFrame, races: DataFrame, rule, *,
+                key: str, race: str, season: str, idx: int) -> tuple[DataFrame, F.Column, str]:
+    """Join onto ``b`` the rule's holder count in the groups ``arriving`` writes into.
+
+    Holders of a group = its base rows not replaced by an arriving row + the
+    arriving rows. Returns (b with the count, clash condition, message).
+    """
+    n = f"_n{idx}"
+    if isinstance(rule, UniqueRule):
+        gkeys = [race, rule.key]
+        arrive = arriving.filter(F.col(rule.key).isNotNull())
+        stay = (_touched(base.filter(F.col(rule.key).isNotNull()).select(key, *gkeys), gkeys, arrive)
+                .join(arriving.select(key), key, "left_anti"))
+        counts = (stay.unionByName(arrive.select(key, *gkeys)).groupBy(*gkeys)
+                  .agg(F.count(F.lit(1)).alias(n)))
+        clash = F.col(rule.key).isNotNull() & _gated(season, rule.from_year) & (F.col(n) > 1)
+        return b.join(counts, gkeys, "left"), clash, rule.create_message
+    if isinstance(rule, OwnerRule):
+        gkeys = [season, rule.number]
+        claims = arriving.filter(F.col(rule.number).isNotNull())
+        stay_rows = (_touched(base.filter(F.col(rule.number).isNotNull() & F.col(rule.owner).isNotNull())
+                              .select(key, race, rule.number, rule.owner), [rule.number], claims)
+                     .join(arriving.select(key), key, "left_anti")
+                     .join(races.select(race, season), race))
+        stay = _touched(stay_rows, gkeys, claims).select(*gkeys, rule.owner)
+        arrive = claims.filter(F.col(rule.owner).isNotNull()).select(*gkeys, rule.owner)
+        owners = (stay.unionByName(arrive).distinct()
+                  .groupBy(*gkeys).agg(F.count(F.lit(1)).alias(n)))
+        clash = F.col(rule.number).isNotNull() & _gated(season, rule.from_year) & (F.col(n) > 1)
+        return b.join(owners, gkeys, "left"), clash, MSG_NUMBER_OWNER
+    raise TypeError(f"unsupported rule for results: {rule!r}")
+
+
 def update_results(base: DataFrame, batch: DataFrame, races: DataFrame, rule, *,
                    key: str = "ResultId", race: str = "RaceId", season: str = "RaceYear") -> DataFrame:
     """Full-row updates of results, checked on the updated state.
@@ -182,42 +215,49 @@ def update_results(base: DataFrame, batch: DataFrame, races: DataFrame, rule, *,
     result exists, then the rule on the state after the batch, excluding the row
     itself. Only the groups the batch writes into are counted: holders of a
     group = its base rows not rewritten by the batch + the batch rows now in it.
+    ``rule`` may be a list of rules; each row reports the first one it breaks.
     """
+    rules = list(rule) if isinstance(rule, (list, tuple)) else [rule]
     cols = batch.columns
     known = _touched(base.select(key), [key], batch).withColumn("_known", F.lit(True))
     b = materialize(_with_race_year(batch, races, race, season).join(known, key, "left"), "upsert_batch")
-    valid = F.col(season).isNotNull() & F.col("_known").isNotNull()
-    moved = b.filter(valid)
-    if isinstance(rule, UniqueRule):
-        gkeys = [race, rule.key]
-        stay = (_touched(base.filter(F.col(rule.key).isNotNull()).select(key, *gkeys), gkeys, moved)
-                .join(moved.select(key), key, "left_anti"))
-        arrive = moved.filter(F.col(rule.key).isNotNull()).select(key, *gkeys)
-        counts = (stay.unionByName(arrive).groupBy(*gkeys)
-                  .agg(F.count(F.lit(1)).alias("_holders")))
-        b = b.join(counts, gkeys, "left")
-        clash = F.col(rule.key).isNotNull() & _gated(season, rule.from_year) & (F.col("_holders") > 1)
-        message = rule.create_message
-    elif isinstance(rule, OwnerRule):
-        gkeys = [season, rule.number]
-        claims = moved.filter(F.col(rule.number).isNotNull())
-        stay_rows = (_touched(base.filter(F.col(rule.number).isNotNull() & F.col(rule.owner).isNotNull())
-                              .select(key, race, rule.number, rule.owner), [rule.number], claims)
-                     .join(moved.select(key), key, "left_anti")
-                     .join(races.select(race, season), race))
-        stay = _touched(stay_rows, gkeys, claims).select(*gkeys, rule.owner)
-        arrive = claims.filter(F.col(rule.owner).isNotNull()).select(*gkeys, rule.owner)
-        owners = (stay.unionByName(arrive).distinct()
-                  .groupBy(*gkeys).agg(F.count(F.lit(1)).alias("_owners")))
-        b = b.join(owners, gkeys, "left")
-        clash = (F.col(rule.number).isNotNull() & _gated(season, rule.from_year)
-                 & (F.col("_owners") > 1))
-        message = rule_message(rule)
-    else:
-        raise TypeError(f"unsupported rule for result updates: {rule!r}")
+    moved = b.filter(F.col(season).isNotNull() & F.col("_known").isNotNull())
     error = (F.when(F.col(season).isNull(), F.lit(MSG_RACE_MISSING))
-             .when(F.col("_known").isNull(), F.lit(MSG_RESULT_MISSING))
-             .when(clash, F.lit(message)))
+             .when(F.col("_known").isNull(), F.lit(MSG_RESULT_MISSING)))
+    for i, r in enumerate(rules):
+        b, clash, message = _rule_clash(b, base, moved, races, r, key=key, race=race, season=season, idx=i)
+        error = error.when(clash, F.lit(message))
+    return _all_or_nothing(_finish(b, error, cols))
+
+
+def create_with_rules(base: DataFrame, batch: DataFrame, races: DataFrame, rules, *,
+                      key: str = "ResultId", race: str = "RaceId", season: str = "RaceYear",
+                      seq: str = "seq") -> DataFrame:
+    """Create results under several rules at once (``rules=[R1, R2, R4]``).
+
+    The reference installs one procedure per rule under the same name, so only
+    the last one applies; here the rules are values passed together. One rule:
+    the exact sequential-replay closed form (``create_unique`` / ``create_owned``).
+    Several rules: they do not decompose (a row refused by one rule frees its slot
+    under another), so the batch is validated set-wise on base + batch - each row
+    reports the first rule its group breaks - and accepted or refused as a whole,
+    the trigger semantics.
+    """
+    rules = list(rules)
+    if len(rules) == 1:
+        only = rules[0]
+        if isinstance(only, UniqueRule):
+            return create_unique(base, batch, races, only, seq=seq)
+        if isinstance(only, OwnerRule):
+            return create_owned(base, batch, races, only, race=race, seq=seq)
+        raise TypeError(f"unsupported rule for results: {only!r}")
+    cols = batch.columns
+    b = materialize(_with_race_year(batch, races, race, season), "upsert_batch")
+    arriving = b.filter(F.col(season).isNotNull())
+    error = F.when(F.col(season).isNull(), F.lit(MSG_RACE_MISSING))
+    for i, r in enumerate(rules):
+        b, clash, message = _rule_clash(b, base, arriving, races, r, key=key, race=race, season=season, idx=i)
+        error = error.when(clash, F.lit(message))
     return _all_or_nothing(_finish(b, error, cols))
 
 

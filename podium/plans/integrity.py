@@ -222,7 +222,17 @@ def u6_cap_move(spark: SparkSession, root: str) -> DataFrame:
     return _report(U.update_races(base, batch, rule), key="RaceId")
 
 
+def t15_combined_rules(spark: SparkSession, root: str) -> DataFrame:
+    """Create the arriving results under R1, R2 and R4 together (set-wise, all or nothing)."""
+    t = read_tables(spark, root)
+    base, batch = _split(t)
+    rules = [R.position_rule(POSITION_GATE), R.driver_rule(DRIVER_GATE), R.number_owner_rule(NUMBER_GATE)]
+    return _report(U.create_with_rules(base.select(*RESULT_COLS), batch.select(*RESULT_COLS, "seq"),
+                                       races(t), rules))
+
+
 QUERIES = {
+    "t15_combined_rules": t15_combined_rules,
     "r1_dup_position": r1_dup_position,
     "r1_touched": r1_touched,
     "r2_dup_driver": r2_dup_driver,

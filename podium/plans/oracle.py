@@ -489,7 +489,39 @@ SELECT RaceId,
 FROM E, Failed
 """
 
+# All three result rules at once, each row reporting the first rule its group breaks
+# in base + batch; the batch is refused as a whole if any row fails.
+T15 = _with(IRACE, IRES, ISPLIT) + f"""
+, B AS (SELECT b.*, ra.RaceYear FROM IBatch b LEFT JOIN IRace ra ON ra.RaceId = b.RaceId),
+State AS (SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM IBase
+          UNION ALL SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM B WHERE RaceYear IS NOT NULL),
+StateSeason AS (SELECT s.*, r.RaceYear FROM State s JOIN IRace r ON r.RaceId = s.RaceId),
+PosCount AS (SELECT RaceId, Position, COUNT(*) AS n FROM State WHERE Position IS NOT NULL GROUP BY RaceId, Position),
+DrvCount AS (SELECT RaceId, DriverId, COUNT(*) AS n FROM State WHERE DriverId IS NOT NULL GROUP BY RaceId, DriverId),
+NumberSpan AS (SELECT RaceYear, ResultNumber, MIN(DriverId) AS lo, MAX(DriverId) AS hi FROM StateSeason
+               WHERE ResultNumber IS NOT NULL GROUP BY RaceYear, ResultNumber),
+E AS (SELECT B.ResultId,
+             CASE WHEN B.RaceYear IS NULL THEN 'Race does not exist'
+                  WHEN B.Position IS NOT NULL AND B.RaceYear >= {I.POSITION_GATE} AND pc.n > 1
+                       THEN 'Position is already occupied in race'
+                  WHEN B.DriverId IS NOT NULL AND B.RaceYear >= {I.DRIVER_GATE} AND dc.n > 1
+                       THEN 'Driver already has a result in this race'
+                  WHEN B.ResultNumber IS NOT NULL AND B.RaceYear >= {I.NUMBER_GATE}
+                       AND (ns.lo <> B.DriverId OR ns.hi <> B.DriverId)
+                       THEN 'ResultNumber already used by another driver in this season' END AS Error
+      FROM B LEFT JOIN PosCount pc ON pc.RaceId = B.RaceId AND pc.Position = B.Position
+             LEFT JOIN DrvCount dc ON dc.RaceId = B.RaceId AND dc.DriverId = B.DriverId
+             LEFT JOIN NumberSpan ns ON ns.RaceYear = B.RaceYear AND ns.ResultNumber = B.ResultNumber),
+Failed AS (SELECT COUNT(*) FILTER (WHERE Error IS NOT NULL) AS failed FROM E)
+SELECT ResultId,
+       CASE WHEN COALESCE(Error, CASE WHEN failed > 0 THEN '{_REFUSED}' END) IS NULL THEN 'accepted'
+            ELSE 'rejected' END AS Status,
+       COALESCE(Error, CASE WHEN failed > 0 THEN '{_REFUSED}' END) AS Error
+FROM E, Failed
+"""
+
 ORACLE.update({
+    "t15_combined_rules": T15,
     "r1_dup_position": R1_AUDIT,
     "r1_touched": R1_TOUCHED,
     "r2_dup_driver": R2_AUDIT,
