@@ -116,6 +116,17 @@ def r3_season_cap(spark: SparkSession, root: str) -> DataFrame:
                     F.col("Count").cast("long").alias("Count"), "Message")
 
 
+def r3_touched(spark: SparkSession, root: str) -> DataFrame:
+    """R3 as the trigger fires it: only the season groups the arriving races touch."""
+    t = read_tables(spark, root)
+    r = races(t)
+    arriving = r.filter(F.col("RaceDate") >= F.lit(CUT).cast("timestamp_ntz"))
+    rule = R.season_cap_rule(SEASON_CAP, group=("CustomerId", "RaceYear"))
+    v = R.violations(rule, r, arriving)
+    return v.select(F.col("CustomerId"), F.col("RaceYear").cast("long").alias("RaceYear"),
+                    F.col("Count").cast("long").alias("Count"), "Message")
+
+
 def r4_number_owner(spark: SparkSession, root: str) -> DataFrame:
     """R4 (J11 as a grouped test): numbers held by several drivers in a season."""
     t = read_tables(spark, root)
@@ -238,6 +249,7 @@ QUERIES = {
     "r2_dup_driver": r2_dup_driver,
     "r2_touched_groups": r2_touched_groups,
     "r3_season_cap": r3_season_cap,
+    "r3_touched": r3_touched,
     "r4_number_owner": r4_number_owner,
     "r4_touched": r4_touched,
     "s8_overlay": s8_overlay,

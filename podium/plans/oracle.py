@@ -345,6 +345,14 @@ SELECT CustomerId, CAST(RaceYear AS BIGINT) AS RaceYear, CAST(COUNT(*) AS BIGINT
 FROM IRace GROUP BY CustomerId, RaceYear HAVING COUNT(*) > {I.SEASON_CAP}
 """
 
+R3_TOUCHED = _with(IRACE) + f"""
+SELECT CustomerId, CAST(RaceYear AS BIGINT) AS RaceYear, CAST(COUNT(*) AS BIGINT) AS Count,
+       concat('Season with more than {I.SEASON_CAP} races detected: RaceYear = ', CustomerId, '/', RaceYear) AS Message
+FROM IRace
+WHERE (CustomerId, RaceYear) IN (SELECT (CustomerId, RaceYear) FROM IRace WHERE RaceDate >= {_CUT})
+GROUP BY CustomerId, RaceYear HAVING COUNT(*) > {I.SEASON_CAP}
+"""
+
 
 def _owner_sql(extra: str = "") -> str:
     return _with(IRACE, IRES, ISPLIT) + f"""
@@ -527,6 +535,7 @@ ORACLE.update({
     "r2_dup_driver": R2_AUDIT,
     "r2_touched_groups": R2_TOUCHED,
     "r3_season_cap": R3_AUDIT,
+    "r3_touched": R3_TOUCHED,
     "r4_number_owner": R4_AUDIT,
     "r4_touched": R4_TOUCHED,
     "s8_overlay": S8,
