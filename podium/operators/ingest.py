@@ -99,6 +99,7 @@ def ingest_race_results(stage: DataFrame, tables: Mapping[str, DataFrame], *,
 
 
 def _new_circuits(stage: DataFrame, circuit: DataFrame) -> DataFrame:
+    """Circuits named in the stage and not yet known, ids continuing from MAX(CircuitId)."""
     cand = stage.filter(F.col("Circuit").isNotNull()).select(F.col("Circuit").alias("CircuitName")).distinct()
     new = cand.join(circuit.select("CircuitName"), "CircuitName", "left_anti")
     new = dense_index(new, ["CircuitName"], out="CircuitId", offset=current_max(circuit, "CircuitId"))
@@ -108,6 +109,7 @@ def _new_circuits(stage: DataFrame, circuit: DataFrame) -> DataFrame:
 
 
 def _new_constructors(stage: DataFrame, constructor: DataFrame) -> DataFrame:
+    """Constructors not yet known (case-insensitive), 'UNKNOWN' already applied."""
     # case-insensitive natural key, like the reference's default collation
     cand = (stage.select(F.col("Car").alias("ContstructorName"))
             .withColumn("_k", F.lower("ContstructorName"))
@@ -126,6 +128,8 @@ def _driver_key(first: Column, last: Column) -> Column:
 
 
 def _new_drivers(stage: DataFrame, driver: DataFrame) -> DataFrame:
+    """I4: drivers not yet known by name; the name is split at the first space
+    and the car number kept as DriverNumber (trap T4)."""
     named = stage.filter(F.col("Driver").isNotNull() & (F.trim("Driver") != ""))
     cand = (named.groupBy(F.lower("Driver").alias("_k"))
             .agg(F.min("Driver").alias("Driver"),
@@ -140,6 +144,7 @@ def _new_drivers(stage: DataFrame, driver: DataFrame) -> DataFrame:
 
 
 def _new_races(stage: DataFrame, race: DataFrame, circuits: DataFrame, race_date) -> DataFrame:
+    """Races by (season, round) from RaceNr div/mod 100 (F16), circuit resolved by name."""
     cand = (stage.filter(F.col("RaceNr").isNotNull())
             .select(idiv("RaceNr", F.lit(100)).cast("int").alias("RaceYear"),      # F16
                     (F.col("RaceNr") % 100).cast("int").alias("NrOfRound"),
@@ -156,6 +161,7 @@ def _new_races(stage: DataFrame, race: DataFrame, circuits: DataFrame, race_date
 
 def _new_results(stage: DataFrame, result: DataFrame, races: DataFrame, drivers: DataFrame,
                  constructors: DataFrame) -> DataFrame:
+    """Results resolved to race, driver and constructor, skipping existing (race, driver)."""
     resolved = (stage.filter(F.col("RaceNr").isNotNull())
                 .withColumn("RaceYear", idiv("RaceNr", F.lit(100)).cast("int"))
                 .withColumn("NrOfRound", (F.col("RaceNr") % 100).cast("int"))

@@ -23,7 +23,7 @@ _LOW_BITS = (1 << 33) - 1
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], *, out: str = "id",
                 offset: DataFrame | None = None, checkpoint: bool = True) -> DataFrame:
-    """Add ``out`` = 1..n in ``order`` (a total order), plus ``offset``.
+    """Add ``out`` = 1..n in ``order`` (a total order), plus ``offset``.
 
     offset: an optional one-row DataFrame with one numeric column (e.g. the
     current ``MAX(id)``, NULL read as 0); it is cross-joined as a broadcast.
