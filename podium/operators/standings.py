@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from podium.operators.hints import sized_broadcast
+
 
 def rank_in_round(df: DataFrame, *, race: str, points: str, entity: str,
                   out: str = "Position") -> DataFrame:
@@ -35,7 +37,7 @@ def build_standings(round_points: DataFrame, races: DataFrame, *, race: str = "R
     Densify without a many-to-many join on the season key, and without a
     window over the dense rows: every season's rounds are packed into one
     ordered array (one row per season, bounded by rounds per season, which rule
-    R3 caps) and broadcast; every (season, competitor) packs its scored rounds
+    R3 caps) and broadcast after a size check; every (season, competitor) packs its scored rounds
     the same way. Points per calendar round and their running sums are array
     expressions on that one row, then exploded - a competitor who scores nothing
     in a round keeps a standing. Only the per-round rank is a window.
@@ -49,7 +51,7 @@ def build_standings(round_points: DataFrame, races: DataFrame, *, race: str = "R
     scored = (round_points.select(race, entity, points).join(cal, race)
               .groupBy(season, entity)
               .agg(F.collect_list(F.struct(F.col(round_).alias("r"), F.col(points).alias("p"))).alias("_scored")))
-    dense = scored.join(F.broadcast(season_rounds), season)
+    dense = scored.join(sized_broadcast(season_rounds), season)
     per_round = F.transform("_rounds", lambda rd: F.aggregate(
         F.filter("_scored", lambda x: x["r"] == rd[round_]), zero,
         lambda acc, x: (acc + x["p"]).cast(acc_type)))
@@ -88,11 +90,11 @@ def season_champions(standings: DataFrame, races: DataFrame, round_results: Data
         r = r.filter(F.col(season).between(*seasons))
     st = standings.select(race, entity, position).join(r, race)
     last_round = st.groupBy(season).agg(F.max(round_).alias("_last"))
-    # one row per season: a bounded broadcast side for the joins below
-    champs = (st.join(last_round, season)
-              .filter((F.col(round_) == F.col("_last")) & (F.col(position) == 1))
-              .select(season, entity))
-    champ_rows = st.join(F.broadcast(champs), [season, entity])
+    # one row per season: broadcast for the joins below once its size is checked
+    champs = sized_broadcast(st.join(last_round, season)
+                             .filter((F.col(round_) == F.col("_last")) & (F.col(position) == 1))
+                             .select(season, entity))
+    champ_rows = st.join(champs, [season, entity])
     off_p1 = F.max(F.when(F.col(position) > 1, F.col(round_)))
     if method == "window":
         with_off = champ_rows.withColumn("_last_off", F.coalesce(off_p1.over(Window.partitionBy(season, entity)),
@@ -109,7 +111,7 @@ def season_champions(standings: DataFrame, races: DataFrame, round_results: Data
             .agg(F.min_by(F.struct(date, round_, name), F.col(round_)).alias("_from")))
     wins = (round_results.filter(F.col(position) == 1).select(race, entity)
             .join(r.select(race, season), race)
-            .join(F.broadcast(champs), [season, entity])
+            .join(champs, [season, entity])
             .groupBy(season, entity).agg(F.count(F.lit(1)).alias("RaceWins")))
     totals = r.groupBy(season).agg(F.count(F.lit(1)).alias("TotaalRaces"))
     return (champs.join(lead, [season, entity])
@@ -148,9 +150,10 @@ def final_standings(standings: DataFrame, races: DataFrame, round_results: DataF
         r = r.filter(F.col(season).isin(seasons))
     with_standing = standings.select(race).distinct().join(r, race)
     last = with_standing.groupBy(season).agg(F.max(round_).alias(round_))
-    last_race = with_standing.join(last, [season, round_]).select(season, race)
-    st = standings.join(F.broadcast(last_race), race)  # one row per season
-    last_results = round_results.join(F.broadcast(last_race.select(race)), race)
+    # one row per season: broadcast once its size is checked
+    last_race = sized_broadcast(with_standing.join(last, [season, round_]).select(season, race))
+    st = standings.join(last_race, race)
+    last_results = round_results.join(last_race.select(race), race)
     if car_method == "max_by":
         car = (last_results.groupBy(race, entity)
                .agg(F.max_by(F.col(constructor), F.col(result_id)).alias(constructor)))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions import full_name
+from podium.operators.hints import sized_broadcast
 from podium.operators.completion import min_completion
 from podium.operators.fastest import fastest_per_group, first_per_group_scalar
 from podium.operators.periods import active_periods, driver_seasons, periods_report
@@ -52,14 +53,14 @@ def _q2_races(t) -> DataFrame:
     return (model.race(t).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO))
             .select("RaceId", "RaceDate", F.col("CustomerId").alias("c_custkey"))
             .join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
-            .join(F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
-                                              F.col("n_name").alias("CircuitName"))), "c_nationkey")
+            .join(sized_broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
+                                                  F.col("n_name").alias("CircuitName"))), "c_nationkey")
             .select("RaceId", "RaceDate", "CircuitName"))
 
 
 def _q2_context(t, fastest: DataFrame, races: DataFrame | None = None) -> DataFrame:
     """J3 star join of the chosen results with race, circuit and driver, sorted by
-    circuit and lap time (O1). The nation dimension is broadcast (25 rows)."""
+    circuit and lap time (O1). The nation dimension is broadcast after a size check."""
     races = _q2_races(t) if races is None else races
     return (fastest
             .join(races, "RaceId")

@@ -126,7 +126,9 @@ def nation_driver(t: Tables) -> DataFrame:
     """Nations as competitors; 'NATION_7' splits into 'NATION' and '7' (F15)."""
     from podium.functions import nth_part
 
-    return (t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    from podium.operators.hints import sized_broadcast
+
+    return (t.nation.join(sized_broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("n_nationkey").alias("DriverId"),
                     nth_part("n_name", "_", 1).alias("Firstname"),
                     nth_part("n_name", "_", 2).alias("Lastname"),
