@@ -38,8 +38,8 @@ def q1_min_completion(spark: SparkSession, root: str, method: str = "aggregate")
     """Q1 (A/1 options 1 and 3; J1, J5, G2, G3, P9, P11, F1, F5)."""
     t = read_tables(spark, root)
     res = model.result(t).withColumnRenamed("DriverId", "SupplierId").withColumnRenamed("PartId", "DriverId")
-    out = min_completion(res, model.race(t), model.part_driver(t), season_value=Q1_SEASON,
-                         method=method)
+    out = min_completion(res, model.race(t, years=(Q1_SEASON, Q1_SEASON)), model.part_driver(t),
+                         season_value=Q1_SEASON, method=method)
     return out.select("Name", "Completion", "MinCompletion").orderBy(F.col("MinCompletion").desc(), "Name")
 
 
@@ -50,7 +50,7 @@ def q1_window(spark: SparkSession, root: str) -> DataFrame:
 
 def _q2_races(t) -> DataFrame:
     """The window's races with their date and circuit (context of the chosen results)."""
-    return (model.race(t).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO))
+    return (model.race(t, years=(Q2_FROM, Q2_TO)).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO))
             .select("RaceId", "RaceDate", F.col("CustomerId").alias("c_custkey"))
             .join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
             .join(sized_broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
@@ -77,7 +77,8 @@ def _q2_context(t, fastest: DataFrame, races: DataFrame | None = None) -> DataFr
 
 def _q2_results(t, races: DataFrame) -> DataFrame:
     """Results of the window's races; the filter needs only the order dates."""
-    in_window = model.race(t).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO)).select("RaceId")
+    in_window = (model.race(t, years=(Q2_FROM, Q2_TO)).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO))
+                 .select("RaceId"))
     return model.result(t).join(in_window, "RaceId", "left_semi")
 
 
@@ -103,7 +104,8 @@ def q2_fastest_all_ties(spark: SparkSession, root: str) -> DataFrame:
 def q2_scalar_top1(spark: SparkSession, root: str) -> DataFrame:
     """Q2 option 1 (Z5/O4: scalar ``TOP 1`` per race, then inner join on the key)."""
     t = read_tables(spark, root)
-    races = model.race(t).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO)).select("RaceId")
+    races = (model.race(t, years=(Q2_FROM, Q2_TO)).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO))
+             .select("RaceId"))
     res = model.result(t).withColumn(
         "ResultKey", F.struct("RaceId", "Position", "PartId", "DriverId", "FastestLapTime"))
     keyed = first_per_group_scalar(races, res, group="RaceId", value="FastestLapTime",

@@ -38,8 +38,8 @@ def s13_clustered_fastest(spark: SparkSession, root: str) -> DataFrame:
     path = shared_folder(spark, f"s13_results_{zlib.crc32(root.encode())}")
     write_range_clustered(model.result(t), path, cluster_by=["RaceId"], sort_by=["RaceId", "FastestLapTime"])
     clustered = spark.read.parquet(path)
-    season_races = (model.race(t).filter(F.col("RaceYear").between(analytics.Q2_FROM, analytics.Q2_TO))
-                    .select("RaceId"))
+    season_races = (model.race(t, years=(analytics.Q2_FROM, analytics.Q2_TO))
+                    .filter(F.col("RaceYear").between(analytics.Q2_FROM, analytics.Q2_TO)).select("RaceId"))
     best = fastest_per_group(clustered.join(season_races, "RaceId", "left_semi"), group="RaceId",
                              value="FastestLapTime", tiebreak=("Position", "PartId", "DriverId"))
     return analytics._q2_context(t, best)

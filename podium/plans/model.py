@@ -28,8 +28,16 @@ from podium.functions import after_first_word, first_word
 from podium.sources.tables import Tables
 
 
-def race(t: Tables) -> DataFrame:
-    return t.orders.select(
+def race(t: Tables, years: tuple[int, int] | None = None) -> DataFrame:
+    """Orders as races. ``years=(lo, hi)`` keeps seasons lo..hi with a range
+    predicate on the raw order date, which parquet can push down and prune row
+    groups with; a ``year(date)`` predicate cannot be pushed."""
+    orders = t.orders
+    if years is not None:
+        lo, hi = years
+        orders = orders.filter((F.col("o_orderdate") >= F.lit(f"{lo}-01-01").cast("timestamp_ntz"))
+                               & (F.col("o_orderdate") < F.lit(f"{hi + 1}-01-01").cast("timestamp_ntz")))
+    return orders.select(
         F.col("o_orderkey").alias("RaceId"),
         F.year("o_orderdate").alias("RaceYear"),
         F.to_date("o_orderdate").alias("RaceDate"),

@@ -60,3 +60,11 @@ def test_touched_groups_use_semi_joins(spark):
 def test_unbroken_lead_needs_no_two_level_correlation(spark):
     plan = _plan(QUERIES["q3_unbroken_lead"](spark, SF_SMALL))
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_season_filters_reach_the_scan(spark):
+    """SURVEY 4: a year(date) predicate cannot prune row groups; the binding adds the
+    equivalent range on the raw date, which parquet receives as pushed filters."""
+    for name in ("q1_min_completion", "q2_fastest_first"):
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
