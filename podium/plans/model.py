@@ -11,7 +11,7 @@ order model (one order = one race):
                     Position=l_linenumber, Laps=l_quantity, FastestLapTime=l_extendedprice,
                     ResultNumber=l_partkey, ResultStatus=l_returnflag, Points=l_discount
   Driver  supplier (career questions), part (Q1, names split F12), customer (Q4)
-  Circuit nation, reached through the ordering customer
+  Circuit nation, reached through the ordering customer (plans.analytics._q2_races)
 
 championship model (Q3, Q7; one calendar month = one round):
   RoundResult  per (year, month, nation): Points = order value, Position = rank in the round,
@@ -88,15 +88,6 @@ def customer_driver(t: Tables) -> DataFrame:
     )
 
 
-def circuit_of_race(t: Tables) -> DataFrame:
-    """RaceId -> CircuitName through the ordering customer's nation."""
-    return (t.orders.select(F.col("o_orderkey").alias("RaceId"), F.col("o_custkey").alias("c_custkey"))
-            .join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
-            .join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
-                                  F.col("n_name").alias("CircuitName")), "c_nationkey")
-            .select("RaceId", "CircuitName"))
-
-
 # -- championship model (Q3, Q7) --------------------------------------------------------------
 
 def round_results(t: Tables) -> DataFrame:

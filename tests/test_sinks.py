@@ -57,3 +57,17 @@ def test_layouts(spark):
     files = [f for f in os.listdir(path.replace("file:", "")) if f.endswith(".parquet")]
     assert len(files) == 4
     assert spark.read.parquet(path).filter("RaceId = 5").count() == df.filter("RaceId = 5").count()
+
+
+def test_update_where_and_sql_views(spark):
+    """S9 with a predicate (no join), and the tables exposed to spark.sql."""
+    from podium.operators.overlay import update_where
+    from podium.sources.tables import read_tables
+    from tests.conftest import SF_SMALL
+
+    base = results(spark, [(1, 900000, 7, 2), (2, 900000, 8, 3)])
+    out = update_where(base, F.col("ResultId") == 2, {"Position": F.lit(5)})
+    assert sorted((r["ResultId"], r["Position"]) for r in out.collect()) == [(1, 2), (2, 5)]
+    read_tables(spark, SF_SMALL).register_views(["orders"])
+    assert spark.sql("SELECT count(*) AS n FROM orders").first()["n"] == spark.read.parquet(
+        f"{SF_SMALL}/orders.parquet").count()
