@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle at sf0.001 (the driver's check runs sf0.01)."""
 
 import os
+import tempfile
 
 import duckdb
 import pytest
@@ -16,6 +17,7 @@ ORACLES = E.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='podium-duck-')}'")
     for t in TABLES:
         p = f"{SF_SMALL}/{t}.parquet"
         if os.path.exists(p):
