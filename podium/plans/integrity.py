@@ -1,7 +1,8 @@
 """Registered rule, overlay and upsert queries on the test tables.
 
-Binding (SURVEY 7.2): a result is a lineitem (key ``ResultId`` =
-``orderkey:linenumber:partkey:suppkey:shipdate`` - the first four repeat once at sf0.001), its race the order, its season the
+Binding (SURVEY 7.2): a result is a lineitem (key ``ResultId`` = the struct
+(orderkey, linenumber, partkey, suppkey, shipdate) - the first four repeat once at
+sf0.001 - printed as ``orderkey:linenumber:partkey:suppkey:yyyyMMdd``), its race the order, its season the
 order year, its position the line number, its driver the supplier, its car
 number the part. Results shipped before ``CUT`` are the loaded base; later ones
 arrive as a change batch in ``seq`` order (ship date, then the key). The year
@@ -33,8 +34,9 @@ def results(t) -> DataFrame:
 def results_from_lines(li: DataFrame) -> DataFrame:
     """The result projection of lineitem rows (batch or streaming)."""
     return li.select(
-        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                    F.date_format("l_shipdate", "yyyyMMdd")).alias("ResultId"),
+        # the key is a struct: joins hash five fixed-width fields instead of a
+        # formatted string; the text form is produced only for output rows
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("ResultId"),
         F.col("l_orderkey").alias("RaceId"),
         F.col("l_suppkey").alias("DriverId"),
         F.col("l_linenumber").alias("Position"),
@@ -57,6 +59,13 @@ def races(t) -> DataFrame:
 RESULT_COLS = ["ResultId", "RaceId", "DriverId", "Position", "ResultNumber"]
 
 
+def result_id_text(key) -> F.Column:
+    """``orderkey:linenumber:partkey:suppkey:yyyyMMdd`` of a ResultId struct."""
+    k = F.col(key) if isinstance(key, str) else key
+    return F.concat_ws(":", k["l_orderkey"], k["l_linenumber"], k["l_partkey"], k["l_suppkey"],
+                       F.date_format(k["l_shipdate"], "yyyyMMdd"))
+
+
 def _split(t):
     res = results(t)
     base = res.filter(F.col("ShipDate") < F.lit(CUT).cast("timestamp_ntz"))
@@ -152,20 +161,22 @@ def s8_overlay(spark: SparkSession, root: str) -> DataFrame:
     """The state after the full-row update batch."""
     t = read_tables(spark, root)
     base = results(t).select(*RESULT_COLS)
-    return overlay_rows(base, _update_batch(t), "ResultId")
+    return overlay_rows(base, _update_batch(t), "ResultId").withColumn("ResultId", result_id_text("ResultId"))
 
 
 def s9_partial_update(spark: SparkSession, root: str) -> DataFrame:
     """The same batch applied to the Position column only."""
     t = read_tables(spark, root)
     base = results(t).select(*RESULT_COLS)
-    return update_columns(base, _update_batch(t), "ResultId", ["Position"])
+    return (update_columns(base, _update_batch(t), "ResultId", ["Position"])
+            .withColumn("ResultId", result_id_text("ResultId")))
 
 
 # -- U1-U8 -----------------------------------------------------------------------------------
 
 def _report(df: DataFrame, key: str = "ResultId") -> DataFrame:
-    return df.select(key, "Status", "Error")
+    key_col = result_id_text(key).alias(key) if key == "ResultId" else F.col(key)
+    return df.select(key_col, "Status", "Error")
 
 
 def u1_create(spark: SparkSession, root: str) -> DataFrame:

@@ -24,7 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.functions import after_first_word, first_word
+from podium.functions import after_first_word, first_word, nth_part
+from podium.operators.hints import sized_broadcast
+from podium.operators.standings import rank_in_round
 from podium.sources.tables import Tables
 
 
@@ -96,8 +98,6 @@ def round_results(t: Tables) -> DataFrame:
     Order values are pre-aggregated per (round, nation, segment) before the
     per-round ranking, so the ranking window sees one row per competitor.
     """
-    from podium.operators.standings import rank_in_round
-
     sale = (t.orders.select(F.year("o_orderdate").alias("RaceYear"),
                             F.month("o_orderdate").alias("NrOfRound"),
                             F.col("o_custkey").alias("c_custkey"),
@@ -123,10 +123,6 @@ def rounds(results_by_round: DataFrame) -> DataFrame:
 
 def nation_driver(t: Tables) -> DataFrame:
     """Nations as competitors; 'NATION_7' splits into 'NATION' and '7' (F15)."""
-    from podium.functions import nth_part
-
-    from podium.operators.hints import sized_broadcast
-
     return (t.nation.join(sized_broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("n_nationkey").alias("DriverId"),
                     nth_part("n_name", "_", 1).alias("Firstname"),

@@ -28,7 +28,8 @@ def ts1_stream(spark: SparkSession, root: str) -> DataFrame:
                           rule=R.position_rule(integrity.POSITION_GATE),
                           out_dir=out, checkpoint=f"{out}/_checkpoint")
     query.awaitTermination()
-    return read_reports(spark, out).select("ResultId", "Status", "Error")
+    return read_reports(spark, out).select(integrity.result_id_text("ResultId").alias("ResultId"),
+                                           "Status", "Error")
 
 
 QUERIES = {"ts1_stream": ts1_stream}
