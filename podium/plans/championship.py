@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions import full_name, strict_name
+from podium.operators import standings as standings_ops
 from podium.operators.standings import build_standings, final_standings, season_champions
 from podium.plans import model
-from podium.sources.sinks import materialize
+from podium.sources.sinks import input_fingerprint, stored_table
 from podium.sources.tables import read_tables
 
 
+_DERIVING_CODE = (model, standings_ops)
+
+
 def _championship(spark: SparkSession, root: str):
     """Round results are read by the standings, the calendar, the wins and the
     constructor lookup; the standings by every step of Q3 and Q7. Both hold one
     row per (round, competitor) - seasons x rounds x nations, whatever the order
     volume - so they are computed once (the only pass over orders is the round
     aggregation) and stored in the shared folder, as the reference stores its
-    DriverStanding table, instead of being recomputed in every branch."""
+    DriverStanding table, instead of being recomputed in every branch or by
+    every query. They are rebuilt when the orders/customer files or the code
+    deriving them change."""
     t = read_tables(spark, root)
-    rr = materialize(model.round_results(t), "round_results")
+    code = "".join(inspect.getsource(m) for m in _DERIVING_CODE)
+    fp = input_fingerprint(spark, [f"{root.rstrip('/')}/{n}.parquet" for n in ("orders", "customer")], code)
+    rr = stored_table(spark, "round_results", fp, lambda: model.round_results(t))
     races = model.rounds(rr)
-    standings = materialize(build_standings(rr.select("RaceId", "DriverId", "Points"), races), "standings")
+    standings = stored_table(spark, "standings", fp,
+                             lambda: build_standings(rr.select("RaceId", "DriverId", "Points"), races))
     return t, rr, races, standings
 
 

@@ -93,3 +93,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, f"{name}/{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def input_fingerprint(spark: SparkSession, paths: Sequence[str], extra: str = "") -> str:
+    """A short hash of the inputs' paths, sizes and modification times (plus ``extra``,
+    e.g. the source of the code that derives a table), read from the file system."""
+    import hashlib
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1(extra.encode())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        for st in fs.listStatus(path):
+            h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()};".encode())
+    return h.hexdigest()[:16]
+
+
+def stored_table(spark: SparkSession, name: str, fingerprint: str, build) -> DataFrame:
+    """A derived table stored once per input fingerprint in the shared folder.
+
+    Rebuilt when the inputs or the deriving code change (the fingerprint), read
+    back otherwise - a table maintained the way the reference keeps its
+    DriverStanding table, instead of being recomputed by every query that needs it.
+    ``build`` is called only when the table is missing.
+    """
+    path = shared_folder(spark, f"stored/{name}/{fingerprint}")
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
