@@ -7,6 +7,7 @@ runs a question on it; the answer must equal the question on the plain tables
 
 from __future__ import annotations
 
+import inspect
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from podium.operators.fastest import fastest_per_group
 from podium.operators.shares import season_win_share
 from podium.plans import analytics, model
-from podium.sources.sinks import save_bucketed, shared_folder, write_range_clustered
+from podium.sources.sinks import input_fingerprint, save_bucketed, shared_folder, write_range_clustered
 from podium.sources.tables import read_tables
 
 
@@ -32,11 +33,19 @@ def s11_bucketed_win_share(spark: SparkSession, root: str) -> DataFrame:
     return analytics._q6_report(t, shares)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def s13_clustered_fastest(spark: SparkSession, root: str) -> DataFrame:
     """Results range-clustered on RaceId, sorted by lap time; Q2 on that copy."""
     t = read_tables(spark, root)
-    path = shared_folder(spark, f"s13_results_{zlib.crc32(root.encode())}")
-    write_range_clustered(model.result(t), path, cluster_by=["RaceId"], sort_by=["RaceId", "FastestLapTime"])
+    # the layout is written once per version of lineitem (and of this code) and reused
+    fp = input_fingerprint(spark, [f"{root.rstrip('/')}/lineitem.parquet"], inspect.getsource(model.result))
+    path = shared_folder(spark, f"s13_results/{fp}")
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        write_range_clustered(model.result(t), path, cluster_by=["RaceId"], sort_by=["RaceId", "FastestLapTime"])
     clustered = spark.read.parquet(path)
     season_races = (model.race(t, years=(analytics.Q2_FROM, analytics.Q2_TO))
                     .filter(F.col("RaceYear").between(analytics.Q2_FROM, analytics.Q2_TO)).select("RaceId"))
