@@ -124,14 +124,20 @@ def _new_constructors(stage: DataFrame, constructor: DataFrame) -> DataFrame:
 
 
 def _driver_key(first: Column, last: Column) -> Column:
-    return F.lower(full_name(first, last))
+    """Case-insensitive name key; trimmed, because a one-word name is stored with an
+    empty last name and CONCAT_WS keeps the separator before ''."""
+    return F.lower(F.trim(full_name(first, last)))
+
+
+def _staged_driver_key(name: str = "Driver") -> Column:
+    return F.lower(F.trim(F.col(name)))
 
 
 def _new_drivers(stage: DataFrame, driver: DataFrame) -> DataFrame:
     """I4: drivers not yet known by name; the name is split at the first space
     and the car number kept as DriverNumber (trap T4)."""
     named = stage.filter(F.col("Driver").isNotNull() & (F.trim("Driver") != ""))
-    cand = (named.groupBy(F.lower("Driver").alias("_k"))
+    cand = (named.groupBy(_staged_driver_key().alias("_k"))
             .agg(F.min("Driver").alias("Driver"),
                  F.max_by("NO", "RaceNr").alias("DriverNumber")))  # latest number used
     known = driver.select(_driver_key(F.col("Firstname"), F.col("Lastname")).alias("_k")).distinct()
@@ -167,7 +173,7 @@ def _new_results(stage: DataFrame, result: DataFrame, races: DataFrame, drivers:
                 .withColumn("NrOfRound", (F.col("RaceNr") % 100).cast("int"))
                 .join(races.select("RaceYear", "NrOfRound", "RaceId"), ["RaceYear", "NrOfRound"])
                 .join(drivers.select(_driver_key(F.col("Firstname"), F.col("Lastname")).alias("_dk"), "DriverId"),
-                      F.lower("Driver") == F.col("_dk"))
+                      _staged_driver_key() == F.col("_dk"))
                 .join(constructors.select(F.lower("ContstructorName").alias("_ck"), "ConstructorId"),
                       F.lower("Car") == F.col("_ck")))
     staged = resolved.select(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -107,3 +108,19 @@ def test_literal_source_matches_file(spark):
     assert sorted(tuple(r) for r in staged.select(cols).collect()) == \
         sorted(tuple(r) for r in from_file.select(cols).collect())
     assert rejects.count() == 0
+
+
+def test_ingest_job_appends_once(spark):
+    """I1-I7 + S7 as a job over stored tables: the second run appends nothing."""
+    from podium.plans.ingest_job import TABLES, run_ingest
+
+    tables_dir = tempfile.mkdtemp(prefix="podium-tables-")
+    seed = _tables(spark)
+    for name in TABLES:
+        seed[name].write.parquet(f"{tables_dir}/{name}")
+    first, rejects = run_ingest(spark, DIRTY, tables_dir, race_date="2021-12-31")
+    assert first["Result"] > 0 and first["Driver"] > 0
+    assert rejects.count() == 2
+    again, _ = run_ingest(spark, DIRTY, tables_dir, race_date="2021-12-31")
+    assert all(v == 0 for v in again.values())
+    assert spark.read.parquet(f"{tables_dir}/Result").count() == 1 + first["Result"]
