@@ -138,7 +138,7 @@ def _new_drivers(stage: DataFrame, driver: DataFrame) -> DataFrame:
     and the car number kept as DriverNumber (trap T4)."""
     named = stage.filter(F.col("Driver").isNotNull() & (F.trim("Driver") != ""))
     cand = (named.groupBy(_staged_driver_key().alias("_k"))
-            .agg(F.min("Driver").alias("Driver"),
+            .agg(F.min(F.trim("Driver")).alias("Driver"),
                  F.max_by("NO", "RaceNr").alias("DriverNumber")))  # latest number used
     known = driver.select(_driver_key(F.col("Firstname"), F.col("Lastname")).alias("_k")).distinct()
     new = cand.join(known, "_k", "left_anti")
