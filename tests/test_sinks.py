@@ -71,3 +71,26 @@ def test_update_where_and_sql_views(spark):
     read_tables(spark, SF_SMALL).register_views(["orders"])
     assert spark.sql("SELECT count(*) AS n FROM orders").first()["n"] == spark.read.parquet(
         f"{SF_SMALL}/orders.parquet").count()
+
+
+def test_apply_and_publish(spark):
+    """SURVEY 3.2: updates that keep every rule publish; one that breaks R1 publishes nothing."""
+    from podium.plans.publish_job import apply_and_publish
+
+    race = races(spark, [(900000, 2030)])
+    base = results(spark, [(1, 900000, 7, 1, 44), (2, 900000, 8, 2, 33)])
+    rules = [R.position_rule(), R.driver_rule(), R.number_owner_rule()]
+    ok_target = _fresh(spark)
+    fine = results(spark, [(2, 900000, 8, 3, 33)])
+    assert apply_and_publish(base, fine, race, rules, ok_target) == ok_target
+    assert sorted(r["Position"] for r in spark.read.parquet(ok_target).collect()) == [1, 3]
+    bad_target = _fresh(spark)
+    clash = results(spark, [(2, 900000, 8, 1, 33)])
+    with pytest.raises(ConstraintViolation) as err:
+        apply_and_publish(base, clash, race, rules, bad_target, columns=["Position"])
+    assert err.value.name == "R1"
+    assert not os.path.exists(bad_target.replace("file:", ""))
+    new_row = results(spark, [(3, 900000, 9, 4, 44)])
+    with pytest.raises(ConstraintViolation) as err:
+        apply_and_publish(base, new_row, race, rules, _fresh(spark), insert=True)
+    assert err.value.name == "R4"
