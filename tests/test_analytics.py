@@ -2,7 +2,6 @@
 formats of the golden outputs and the traps where the reference's formulations
 disagree (SURVEY 6.2)."""
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 

@@ -1,7 +1,6 @@
 """S14 publish-or-reject, S7 append, S11/S13 layouts."""
 
 import os
-import tempfile
 import uuid
 
 import pytest

@@ -2,7 +2,6 @@
 
 import tempfile
 
-from pyspark.sql import functions as F
 
 from podium.operators import rules as R
 from podium.streaming.validate import read_reports, validate_feed
