@@ -55,3 +55,22 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], *, out: str = "id"
 def current_max(df: DataFrame, column: str) -> DataFrame:
     """``ISNULL((SELECT MAX(id) FROM T), 0)`` as a one-row DataFrame."""
     return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("_max"))
+
+
+def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], *,
+                     out: str = "rn") -> DataFrame:
+    """``row_number() OVER (PARTITION BY group ORDER BY order)`` without one task per group.
+
+    A window puts every row of a group in one task; a group holding a third of all
+    rows would run alone. Here the rows are numbered globally in (group, order)
+    order by ``dense_index`` - range partitioning splits a hot group over many
+    partitions along its order keys - and each row's number is its global index
+    minus its group's first index (a partial aggregate joined back on the group).
+    ``order`` must make the order total within a group.
+    """
+    keys = [F.col(g) for g in group] + [F.col(c) if isinstance(c, str) else c for c in order]
+    indexed = dense_index(df, keys, out="_gidx")
+    first = indexed.groupBy(*group).agg(F.min("_gidx").alias("_gfirst"))
+    return (indexed.join(first, list(group))
+            .withColumn(out, F.col("_gidx") - F.col("_gfirst") + 1)
+            .drop("_gidx", "_gfirst"))

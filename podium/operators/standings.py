@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from podium.operators.hints import sized_broadcast
+from podium.operators.keys import group_row_number
 
 
 def rank_in_round(df: DataFrame, *, race: str, points: str, entity: str,
-                  out: str = "Position") -> DataFrame:
+                  out: str = "Position", method: str = "window") -> DataFrame:
     """Position within a round: most points first, entity id breaking ties.
 
-    The window holds one round's field of competitors (the entities of one
-    season), not its results, so its size is bounded by the field size.
+    method="window": the window holds one round's field of competitors (the
+    entities of one season), not its results, so its size is bounded by the
+    field size - the right choice for championships. method="distributed":
+    ``keys.group_row_number``, for fields too large for one task.
     """
-    w = Window.partitionBy(race).orderBy(F.col(points).desc(), F.col(entity))
-    return df.withColumn(out, F.row_number().over(w))
+    order = [F.col(points).desc(), F.col(entity)]
+    if method == "distributed":
+        return group_row_number(df, [race], order, out=out)
+    if method != "window":
+        raise ValueError(f"unknown method {method!r}")
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(race).orderBy(*order)))
 
 
 def build_standings(round_points: DataFrame, races: DataFrame, *, race: str = "RaceId",

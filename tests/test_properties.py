@@ -52,3 +52,20 @@ def test_dense_index_is_a_permutation(spark, keys, start):
     offset = spark.createDataFrame([(start,)], "m long")
     got = {r["k"]: r["sid"] for r in dense_index(df, ["k"], out="sid", offset=offset).collect()}
     assert [got[k] for k in sorted(keys)] == list(range(start + 1, start + len(keys) + 1))
+
+
+@SETTINGS
+@given(st.integers(0, 10_000))
+def test_distributed_rank_equals_window(spark, seed):
+    """A hot round (most rows in one group) ranked without a per-group window."""
+    from podium.operators.standings import rank_in_round
+
+    rng = random.Random(seed)
+    rows = [(1 if rng.random() < 0.7 else rng.randint(2, 6), e, float(rng.randint(0, 20))) for e in range(400)]
+    df = spark.createDataFrame(rows, "RaceId int, DriverId int, Points double").repartition(4)
+    a = {(r["RaceId"], r["DriverId"]): r["Position"]
+         for r in rank_in_round(df, race="RaceId", points="Points", entity="DriverId").collect()}
+    b = {(r["RaceId"], r["DriverId"]): r["Position"]
+         for r in rank_in_round(df, race="RaceId", points="Points", entity="DriverId",
+                                method="distributed").collect()}
+    assert a == b
