@@ -11,6 +11,7 @@ from podium.functions.text import (
     percent_text_fixed,
     percent_text_trimmed,
     strict_name,
+    time_text,
     whole_percent,
     year_range,
 )
@@ -18,5 +19,5 @@ from podium.functions.text import (
 __all__ = [
     "after_first_word", "concat_nulls_as_empty", "first_word", "full_name",
     "hundredths_of_percent", "idiv", "nth_part", "percent_text_fixed",
-    "percent_text_trimmed", "strict_name", "whole_percent", "year_range",
+    "percent_text_trimmed", "strict_name", "time_text", "whole_percent", "year_range",
 ]

@@ -107,3 +107,17 @@ def year_range(lo: ColumnOrName, hi: ColumnOrName, dash: str = "-") -> Column:
     lo_c, hi_c = _c(lo), _c(hi)
     return F.when(lo_c == hi_c, lo_c.cast("string")).otherwise(
         F.concat_ws(dash, lo_c.cast("string"), hi_c.cast("string")))
+
+
+def time_text(micros: ColumnOrName) -> Column:
+    """A TIME kept as microseconds (a long, SURVEY 1.3) printed like the reference's
+    TIME(7) values: ``'00:01:19.8130000'`` (hours, minutes, seconds, 7 decimals)."""
+    us = _c(micros).cast("long")
+    hours = idiv(us, F.lit(3_600_000_000))
+    minutes = idiv(us % 3_600_000_000, F.lit(60_000_000))
+    seconds = idiv(us % 60_000_000, F.lit(1_000_000))
+    fraction = (us % 1_000_000) * 10
+    return F.concat(F.lpad(hours.cast("string"), 2, "0"), F.lit(":"),
+                    F.lpad(minutes.cast("string"), 2, "0"), F.lit(":"),
+                    F.lpad(seconds.cast("string"), 2, "0"), F.lit("."),
+                    F.lpad(fraction.cast("string"), 7, "0"))

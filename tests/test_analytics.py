@@ -134,3 +134,11 @@ def test_q7_last_race_with_standings(spark):
     # round 4 had no results, so nobody has a car there (T13: left join keeps the row)
     assert rows[2] == (201604, 1, None)
     assert set(rows) == {2, 3, 4, 5}
+
+
+def test_time_text(spark):
+    from podium.functions import time_text
+
+    df = spark.createDataFrame([(79_813_000,), (3_723_000_001,), (0,)], "us long")
+    assert [r[0] for r in df.select(time_text("us")).collect()] == [
+        "00:01:19.8130000", "01:02:03.0000010", "00:00:00.0000000"]
