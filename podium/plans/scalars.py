@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions import (
-    hundredths_of_percent, nth_part, percent_text_fixed, percent_text_trimmed,
+    full_name, hundredths_of_percent, nth_part, percent_text_fixed, percent_text_trimmed,
 )
 from podium.operators.periods import active_periods, periods_report
 from podium.plans import model
 from podium.sources.tables import read_tables
-from podium.functions import full_name
 
 
 def w5_w6_periods_lag(spark: SparkSession, root: str) -> DataFrame:
