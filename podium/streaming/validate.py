@@ -11,6 +11,8 @@ idempotent by batch id; the streaming checkpoint records progress.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -58,7 +60,7 @@ def validate_feed(spark: SparkSession, feed: DataFrame, *, base: DataFrame, race
 
     writer = (feed.writeStream.foreachBatch(handle)
               .option("checkpointLocation", checkpoint)
-              .queryName(f"podium_validate_{abs(hash(out_dir)) % 10**6}"))
+              .queryName(f"podium_validate_{zlib.crc32(out_dir.encode())}"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
