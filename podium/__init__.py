@@ -7,7 +7,8 @@ Subpackages:
   plans       bindings onto the test tables, registered queries, DuckDB oracles, jobs
   streaming   the change-feed validator (foreachBatch)
 
-Operators are built from Spark SQL built-ins only; nothing runs until an action.
+Operators are built from Spark SQL built-ins only (no Python UDFs). They are lazy, except for
+the documented steps that store an intermediate, checkpoint, or check a broadcast side's size.
 See README.md for the operator map and the scale notes.
 """
 
