@@ -68,3 +68,12 @@ def test_season_filters_reach_the_scan(spark):
     for name in ("q1_min_completion", "q2_fastest_first"):
         plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n[:2] in ("q1", "q2", "q3", "q4", "q5", "q6", "q7",
+                                                                          "r1", "r2", "r3", "r4")))
+def test_questions_never_funnel_into_one_partition(spark, name):
+    """No question or rule check gathers its rows into a single task (the only
+    single-partition steps in the library are one-row counts and per-partition offsets)."""
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
+    assert "SinglePartition" not in plan
