@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from podium.functions import nth_part
 
-# Fields of the sprint-results file, in file order (csvdata header); types per the
+# Fields of the sprint-results file, in file order (its header line); types per the
 # reference's staging table.
 RACE_RESULT_FIELDS: list[tuple[str, str]] = [
     ("RaceNr", "int"), ("Circuit", "string"), ("POS", "int"), ("NO", "int"), ("Driver", "string"),
