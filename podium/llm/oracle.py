@@ -30,6 +30,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
 
+OP3 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+bg AS (SELECT DISTINCT item_id, least(13, len(words)) AS n, array_to_string(words[i:i + least(13, len(words)) - 1], ' ') AS gram
+       FROM (SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS i FROM bw WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM bg),
+dg AS (SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS gram
+       FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM dw, sizes WHERE len(words) >= n)),
+hits AS (SELECT doc_id, i, n, item_id FROM dg JOIN bg USING (n, gram)),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS w FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
+SELECT dw.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM dw LEFT JOIN covered ON dw.doc_id = covered.doc_id LEFT JOIN found ON dw.doc_id = found.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": OP1,
+    "op3_decontamination": OP3,
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from podium.llm import oracle
 from podium.llm.common import read_table, workers_find_package
+from podium.llm.decontaminate import judged
 from podium.llm.quality_rules import judge
 from podium.llm.simhash_dedup import components, fingerprints
 
@@ -22,12 +23,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits and the contamination verdict of every document."""
+    return judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     return components(fingerprints(read_table(spark, sf_dir, "documents")))
 
 
-_ALL: list[Callable[[SparkSession, str], DataFrame]] = [op1_quality_rules, op5_simhash_dedup]
+_ALL: list[Callable[[SparkSession, str], DataFrame]] = [
+    op1_quality_rules, op3_decontamination, op5_simhash_dedup,
+]
 
 
 def _bound(fn):

@@ -303,6 +303,9 @@ def components(prints: DataFrame, distance: int = 3) -> DataFrame:
 
 def keep_first(docs: DataFrame, distance: int = 3) -> DataFrame:
     """One document of each near-duplicate component: the rows whose doc_id is the smallest of
-    its component, with their columns as they came; one row if such a doc_id is repeated."""
-    firsts = components(fingerprints(docs), distance).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    its component, with their columns as they came; one row if such a doc_id is repeated.
+    Rows without a doc_id cannot be told apart: they stay."""
+    found = components(fingerprints(docs), distance)
+    firsts = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
