@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from podium.llm import oracle
 from podium.llm.common import read_table, workers_find_package
 from podium.llm.decontaminate import judged
+from podium.llm.packing import packed
 from podium.llm.quality_rules import judge
 from podium.llm.simhash_dedup import components, fingerprints
+from podium.llm.token_counts import prefix_counts
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +35,19 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(fingerprints(read_table(spark, sf_dir, "documents")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, from its prefix table."""
+    counts = prefix_counts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens")
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens, related documents together."""
+    return packed(read_table(spark, sf_dir, "documents")).drop("ids")
+
+
 _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
-    op1_quality_rules, op3_decontamination, op5_simhash_dedup,
+    op1_quality_rules, op3_decontamination, op5_simhash_dedup, op6_token_counts, op8_packing,
 ]
 
 
