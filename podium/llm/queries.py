@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.llm import oracle
-from podium.llm.common import read_table, workers_find_package
+from podium.llm import oracle, quality_classifier, toxicity
+from podium.llm.common import fold_of, read_table, workers_find_package
 from podium.llm.decontaminate import judged
+from podium.llm.language_id import identify, train
 from podium.llm.packing import packed
 from podium.llm.quality_rules import judge
 from podium.llm.simhash_dedup import components, fingerprints
@@ -25,11 +26,37 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, from labels outside the held-out fold."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return _judged(toxicity.score(docs, toxicity.train(docs, labels)), 0.5)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, from trusted positives and unlabelled documents."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    network, _ = quality_classifier.train(docs, labels)
+    return _judged(quality_classifier.score(docs, network), 0.3)
+
+
+def _judged(scores: DataFrame, limit: float) -> DataFrame:
+    """The contract's held_out and predicted beside a score."""
+    return scores.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits and the contamination verdict of every document."""
     return judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, from a model that has not seen the held-out fold."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs)).select("doc_id", "lang_pred", "score")
+    return found.withColumn("held_out", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     return components(fingerprints(read_table(spark, sf_dir, "documents")))
@@ -47,7 +74,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
-    op1_quality_rules, op3_decontamination, op5_simhash_dedup, op6_token_counts, op8_packing,
+    op1_quality_rules, op2_toxicity, op3_decontamination, op4_language_id, op5_simhash_dedup, op6_token_counts,
+    op7_quality_classifier, op8_packing,
 ]
 
 
