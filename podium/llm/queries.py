@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.llm import oracle, quality_classifier, toxicity
-from podium.llm.common import fold_of, read_table, workers_find_package
+from podium.llm.common import fold_of, read_table, stored, workers_find_package
 from podium.llm.decontaminate import judged
+from podium.llm.html_extract import extract, infer_wrappers
 from podium.llm.language_id import identify, train
 from podium.llm.packing import packed
 from podium.llm.quality_rules import judge
@@ -73,9 +74,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by its host's wrapper."""
+    pages = read_table(spark, sf_dir, "pages")
+    texts = extract(pages, stored(infer_wrappers(pages), "wrappers"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_quality_rules, op2_toxicity, op3_decontamination, op4_language_id, op5_simhash_dedup, op6_token_counts,
-    op7_quality_classifier, op8_packing,
+    op7_quality_classifier, op8_packing, op9_html_extraction,
 ]
 
 
