@@ -50,7 +50,24 @@ SELECT dw.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n
 FROM dw LEFT JOIN covered ON dw.doc_id = covered.doc_id LEFT JOIN found ON dw.doc_id = found.doc_id
 """
 
+OP10 = """
+WITH t AS (SELECT DISTINCT ON (conv_id, turn) conv_id AS pair_id, turn, role, text FROM conversations ORDER BY conv_id, turn, role, text),
+l AS (SELECT pair_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY pair_id),
+m AS (SELECT t.*, last, arg_max(CASE WHEN turn < last THEN text END, CASE WHEN turn < last THEN turn END)
+             OVER (PARTITION BY t.pair_id) AS echo
+      FROM t LEFT JOIN l ON t.pair_id = l.pair_id),
+c AS (SELECT * FROM m WHERE last IS NULL OR turn <= last),
+x AS (SELECT pair_id, turn, role, text AS chosen, last IS NOT NULL AND turn = last AS answer, coalesce(echo, '') AS echo FROM c),
+s AS (SELECT pair_id, CASE WHEN answer AND chosen <> echo THEN 'chosen' ELSE 'prompt' END AS part, turn, role, chosen AS text FROM x
+      UNION ALL SELECT pair_id, 'rejected', turn, role, echo FROM x WHERE answer AND chosen <> echo)
+SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment,
+       CASE WHEN part <> 'prompt' THEN length(role) + 5 ELSE 0 END::BIGINT AS train_begin,
+       CASE WHEN part <> 'prompt' THEN length(role) + 5 + length(text) + 8 ELSE 0 END::BIGINT AS train_end
+FROM s
+"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": OP1,
+    "op10_preference_format": OP10,
     "op3_decontamination": OP3,
 }

@@ -17,6 +17,7 @@ from podium.llm.decontaminate import judged
 from podium.llm.html_extract import extract, infer_wrappers
 from podium.llm.language_id import identify, train
 from podium.llm.packing import packed
+from podium.llm.preference_format import preference_segments, with_echo_answer
 from podium.llm.quality_rules import judge
 from podium.llm.simhash_dedup import components, fingerprints
 from podium.llm.token_counts import prefix_counts
@@ -81,9 +82,14 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and completion segments of every conversation against an echo answer."""
+    return preference_segments(*with_echo_answer(read_table(spark, sf_dir, "conversations")))
+
+
 _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_quality_rules, op2_toxicity, op3_decontamination, op4_language_id, op5_simhash_dedup, op6_token_counts,
-    op7_quality_classifier, op8_packing, op9_html_extraction,
+    op7_quality_classifier, op8_packing, op9_html_extraction, op10_preference_format,
 ]
 
 
