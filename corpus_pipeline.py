@@ -8,26 +8,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from podium.llm import decontaminate, language_id, packing, quality_rules, simhash_dedup
 from podium.llm.common import read_table, stored, workers_find_package
-from podium.llm.quality_rules import keep_good
-from podium.llm.simhash_dedup import keep_first
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    return quality_rules.keep_good(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a known main language."""
     workers_find_package(spark)
-    return keep_good(docs)
+    return language_id.keep_known(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     workers_find_package(spark)
-    return keep_first(docs)
+    return simhash_dedup.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test passage to a telling extent."""
+    workers_find_package(spark)
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 2048 tokens."""
+    workers_find_package(spark)
+    return packing.packed(docs).drop("ids")
 
 
-STAGES = [("quality rules", quality), ("near dedup", near_dedup)]
+STAGES = [
+    ("quality rules", quality), ("language ID", language), ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination), ("packing", pack),
+]
 
-#: SimHash components, the language model and packing have no SQL form.
+#: Language ID, SimHash and packing have no SQL form; tests/llm holds each stage against a brute-force twin.
 ORACLE_SQL = None
 
 
