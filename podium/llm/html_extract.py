@@ -217,31 +217,37 @@ class Matcher:
 
 def align(wrapper: list, stream: list) -> list:
     """The wrapper widened to accept ``stream`` too, mismatches resolved to repeated or optional groups."""
-    flat: list[tuple[object, int]] = []  # item, number of its optional group (0: must be there)
-    groups = 0
-    for x in wrapper:
-        if isinstance(x, list) and x[0] == "?":
-            groups += 1
-            flat += [(y, groups) for y in x[1]]
-        else:
-            flat.append((x, 0))
-    theirs = [y for x in stream for y in (x[1] if isinstance(x, list) and x[0] == "?" else [x])]
-    optional = [isinstance(x, list) and x[0] == "?" for x in stream for _ in (x[1] if isinstance(x, list) and x[0] == "?" else [0])]
-    matcher = difflib.SequenceMatcher(None, [_key(x) for x, _ in flat], [_key(x) for x in theirs], autojunk=False)
+    def numbered(items: list) -> list[tuple[object, int]]:
+        """Items with the number of their optional group (0: must be there)."""
+        out, groups = [], 0
+        for x in items:
+            if isinstance(x, list) and x[0] == "?":
+                groups += 1
+                out += [(y, groups) for y in x[1]]
+            else:
+                out.append((x, 0))
+        return out
+
+    def either(g: int, h: int) -> tuple | None:
+        """An item of both is optional if it is on either side; its run ends where a group does."""
+        return ("both", g, h) if g or h else None
+
+    flat, theirs = numbered(wrapper), numbered(stream)
+    matcher = difflib.SequenceMatcher(None, [_key(x) for x, _ in flat], [_key(x) for x, _ in theirs], autojunk=False)
     out: list[tuple[object, tuple | None]] = []  # item, name of its optional run
     for op, a1, a2, b1, b2 in matcher.get_opcodes():
-        mine, other = [x for x, _ in flat[a1:a2]], theirs[b1:b2]
+        mine, other = [x for x, _ in flat[a1:a2]], [x for x, _ in theirs[b1:b2]]
         if op == "equal":
-            out += [(x, ("kept", g) if g else ("theirs", b1) if optional[b1 + i] else None) for i, (x, g) in enumerate(flat[a1:a2])]
+            out += [(x, either(g, h)) for (x, g), (_, h) in zip(flat[a1:a2], theirs[b1:b2])]
         elif len(mine) == 1 and isinstance(mine[0], list) and other and _unrolled(mine[0][1]) == _unrolled(other):
-            out.append((mine[0], ("kept", flat[a1][1]) if flat[a1][1] else None))  # one turn of a repeated group
+            out.append((mine[0], either(flat[a1][1], theirs[b1][1])))  # one turn of a repeated group
         elif len(other) == 1 and isinstance(other[0], list) and mine and _unrolled(other[0][1]) == _unrolled(mine):
-            out.append((other[0], None if not flat[a1][1] else ("kept", flat[a1][1])))
+            out.append((other[0], either(flat[a1][1], theirs[b1][1])))
         elif len(mine) == len(other) == 1 and isinstance(mine[0], list) and isinstance(other[0], list):
-            out.append((["+", align(mine[0][1], other[0][1])], ("kept", flat[a1][1]) if flat[a1][1] else None))
+            out.append((["+", align(mine[0][1], other[0][1])], either(flat[a1][1], theirs[b1][1])))
         else:
-            out += [(x, ("only mine", a1, flat[a1 + i][1])) for i, x in enumerate(mine)]
-            out += [(x, ("only theirs", b1)) for x in other]
+            out += [(x, ("only mine", a1, g)) for x, g in flat[a1:a2]]
+            out += [(x, ("only theirs", b1, h)) for x, h in theirs[b1:b2]]
     result: list = []
     last = None
     for x, run in out:
