@@ -21,9 +21,9 @@ def _c(x: ColumnOrName) -> Column:
 
 
 def idiv(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """Integer division of non-negative longs (SQL ``a div b``), exact."""
-    a_c, b_c = _c(a).cast("long"), _c(b).cast("long")
-    return ((a_c - a_c % b_c) / b_c).cast("long")
+    """Integer division of longs (SQL ``a div b``), exact over their whole range; NULL for b = 0."""
+    b_c = _c(b).cast("long")
+    return F.call_function("div", _c(a).cast("long"), F.nullif(b_c, F.lit(0)))
 
 
 def full_name(first: ColumnOrName, last: ColumnOrName) -> Column:

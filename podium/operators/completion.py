@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions import full_name, whole_percent
+from podium.operators.hints import join_on_hot_key
 
 
 def _season_results(results, races, race, driver, laps, season, season_value):
@@ -27,17 +28,21 @@ def min_completion(results: DataFrame, races: DataFrame, drivers: DataFrame, *,
     """Q1 (options 1-3). Output: ``Name``, ``Completion`` ('98%'), ``MinCompletion``.
 
     ``method="aggregate"`` (default, options 1/3): per-race ``max(laps)`` is a
-    partial aggregate joined back on the race key; a race holding a third of all
-    rows is pre-aggregated map-side and its join partition is split by AQE.
+    partial aggregate straight on the results; the season's races pick their maxima (one
+    row per race), and the results join these once, in a join that AQE can split for a race
+    with many rows.
     ``method="window"`` (option 2, W1): ``max(laps) OVER (PARTITION BY race)``;
-    same result, but each race's rows meet in one task.
+    same result, but a window brings all rows of a race into one task, so it is only for
+    races of bounded size. The other method is the one for hot races.
     """
-    r = _season_results(results, races, race, driver, laps, season, season_value)
     if method == "window":
+        r = _season_results(results, races, race, driver, laps, season, season_value)
         per = r.withColumn("_max_laps", F.max(laps).over(Window.partitionBy(race)))
     elif method == "aggregate":
-        race_laps = r.groupBy(race).agg(F.max(laps).alias("_max_laps"))
-        per = r.join(race_laps, race)
+        r = results.select(race, driver, laps)
+        season_races = races.filter(F.col(season) == season_value).select(race).distinct()
+        race_laps = r.groupBy(race).agg(F.max(laps).alias("_max_laps")).join(season_races, race)
+        per = join_on_hot_key(r, race_laps, race)
     else:
         raise ValueError(f"unknown method {method!r}")
     # P11 + T19: a race whose max laps is 0 has no completion (NULL), not an error.

@@ -21,7 +21,11 @@ def fastest_per_group(results: DataFrame, *, group: str, value: str,
     ``WindowGroupLimit`` before the shuffle, so each map task forwards at most one
     row per group - a hot group costs no more than a cold one.
     all: per-group ``min`` (partial aggregate) joined back on (group, value).
+    The tie-break columns of "first" must make the order total; without any the choice among
+    ties would differ between runs, so they are required.
     """
+    if ties == "first" and not tiebreak:
+        raise ValueError("ties='first' needs tie-break columns")
     present = results.filter(F.col(value).isNotNull())  # P5
     if ties == "first":
         w = Window.partitionBy(group).orderBy(F.col(value), *[F.col(c) for c in tiebreak])
@@ -34,14 +38,12 @@ def fastest_per_group(results: DataFrame, *, group: str, value: str,
 
 
 def first_per_group_scalar(groups: DataFrame, results: DataFrame, *, group: str, value: str,
-                           key: str, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Option 1 / O4: for every row of ``groups`` the key of its fastest result, or NULL.
+                           tiebreak: Sequence[str]) -> DataFrame:
+    """Option 1 / O4: every row of ``groups`` with the columns of its fastest result, or NULLs.
 
-    The correlated ``(SELECT TOP 1 ... ORDER BY)`` becomes a top-1 aggregate
-    (``min_by`` on a total order) and a left join, so groups without a timed
-    result keep a NULL key instead of a nested loop.
+    The correlated ``(SELECT TOP 1 ... ORDER BY)`` becomes the top-1 row per group (limited
+    on the scan's side) and a left join, so groups without a timed result keep
+    NULLs. The whole row is carried, so the results are not read again to look it up by key.
     """
-    order = F.struct(F.col(value), *[F.col(c) for c in tiebreak], F.col(key))
-    best = (results.filter(F.col(value).isNotNull())
-            .groupBy(group).agg(F.min_by(F.col(key), order).alias(key)))
+    best = fastest_per_group(results, group=group, value=value, tiebreak=tiebreak, ties="first")
     return groups.join(best, group, "left")

@@ -1,22 +1,25 @@
-"""Broadcast only behind a size check.
-
-``sized_broadcast`` counts at most ``max_rows + 1`` rows of a side (a small job
-that stops early) and marks it for broadcast only when it fits; otherwise the
-join is left to AQE, which broadcasts on measured shuffle sizes or falls back
-to a sort-merge join. Use it for sides that are small by construction (one row
-per season, a calendar, a dimension of nations) so that a wrong assumption
-costs a shuffle, never an oversized broadcast.
-"""
+"""Joins on keys of which one may hold a large part of all rows."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_ROWS = 100_000
+_HASH = "_join_hash"
+
 
+def join_on_hot_key(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys, how)`` for a ``right`` with one row per key.
 
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged."""
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
+    ``right`` usually comes out of an aggregate on the same keys and is already
+    partitioned by them; Spark then joins in that stage, and AQE cannot split the hot
+    key's rows of ``left``, because it only splits joins whose both sides come straight from an
+    exchange. The hash of the keys as one more join column gives both sides an exchange
+    of their own. ``right`` is small where it is worth it, and AQE broadcasts it on
+    its measured size.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hashed = [df.withColumn(_HASH, F.xxhash64(*keys)) for df in (left, right)]
+    return hashed[0].join(hashed[1], [*keys, _HASH], how).drop(_HASH)

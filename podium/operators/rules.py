@@ -108,16 +108,24 @@ def _fmt(template: str, **cols) -> F.Column:
 
 
 def unique_violations(rule: UniqueRule, rows: DataFrame, touched: DataFrame | None = None,
-                      touch_mode: str = "pairwise") -> DataFrame:
+                      touch_mode: str = "pairwise", races: DataFrame | None = None) -> DataFrame:
     """``race, key, Count, Message`` for every (race, key) held more than once.
 
-    rows: results with a season column. touched: the change batch (rows with the
-    race and key columns). ``touch_mode="pairwise"`` checks the touched (race,
+    rows: results. races: the races with their season, for the gate; without them ``rows`` must
+    have the season itself. The rows are counted per (race, key) first, a partial aggregate on
+    the scan's side; only the duplicate groups meet the touched keys and the gate,
+    which concern whole groups. touched: the change batch (rows with the race and key columns). ``touch_mode="pairwise"`` checks the touched (race,
     key) pairs; ``"touched_groups"`` reproduces the reference's two independent
     ``IN`` lists (race in batch and key in batch), which can also flag an old
     duplicate the batch did not touch (trap T16).
     """
-    r = _gate(rows.filter(F.col(rule.key).isNotNull()), rule.season, rule.from_year)
+    keyed = rows.filter(F.col(rule.key).isNotNull())
+    if races is None:
+        keyed = _gate(keyed, rule.season, rule.from_year)
+    r = (keyed.groupBy(rule.race, rule.key).agg(F.count(F.lit(1)).alias("Count"))
+         .filter(F.col("Count") > 1))
+    if races is not None:  # like the trigger's join with Race: a result of no race is not checked
+        r = _gate(r.join(races.select(rule.race, rule.season), rule.race), rule.season, rule.from_year)
     if touched is not None:
         if touch_mode == "pairwise":
             r = r.join(touched.select(rule.race, rule.key).distinct(), [rule.race, rule.key], "left_semi")
@@ -128,9 +136,7 @@ def unique_violations(rule: UniqueRule, rows: DataFrame, touched: DataFrame | No
             r = r.join(touched.select(rule.race).distinct(), rule.race, "left_semi")
         else:
             raise ValueError(f"unknown touch_mode {touch_mode!r}")
-    grouped = (r.groupBy(rule.race, rule.key).agg(F.count(F.lit(1)).alias("Count"))
-               .filter(F.col("Count") > 1))
-    return grouped.withColumn(
+    return r.select(rule.race, rule.key, "Count").withColumn(
         "Message", _fmt(rule.message, race=F.col(rule.race), key=F.col(rule.key), count=F.col("Count")))
 
 

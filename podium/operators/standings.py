@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podium.operators.hints import sized_broadcast
 from podium.operators.keys import group_row_number
 
 
@@ -44,10 +43,11 @@ def build_standings(round_points: DataFrame, races: DataFrame, *, race: str = "R
     Densify without a many-to-many join on the season key, and without a
     window over the dense rows: every season's rounds are packed into one
     ordered array (one row per season, bounded by rounds per season, which rule
-    R3 caps) and broadcast after a size check; every (season, competitor) packs its scored rounds
-    the same way. Points per calendar round and their running sums are array
-    expressions on that one row, then exploded - a competitor who scores nothing
-    in a round keeps a standing. Only the per-round rank is a window.
+    R3 caps); every (season, competitor) packs its scored rounds into a map. One pass over
+    the season's rounds looks each up and carries the running sum, then the
+    rows are exploded - a competitor who scores nothing in a round keeps a standing.
+    Points of one round are added up before, so the map has one entry per round. Only the
+    per-round rank is a window.
     """
     src_type = round_points.schema[points].dataType
     acc_type = T.DecimalType(38, src_type.scale) if isinstance(src_type, T.DecimalType) else src_type
@@ -55,18 +55,20 @@ def build_standings(round_points: DataFrame, races: DataFrame, *, race: str = "R
     cal = races.select(season, round_, race)
     season_rounds = (cal.groupBy(season)
                      .agg(F.array_sort(F.collect_list(F.struct(round_, race))).alias("_rounds")))
-    scored = (round_points.select(race, entity, points).join(cal, race)
-              .groupBy(season, entity)
-              .agg(F.collect_list(F.struct(F.col(round_).alias("r"), F.col(points).alias("p"))).alias("_scored")))
-    dense = scored.join(sized_broadcast(season_rounds), season)
-    per_round = F.transform("_rounds", lambda rd: F.aggregate(
-        F.filter("_scored", lambda x: x["r"] == rd[round_]), zero,
-        lambda acc, x: (acc + x["p"]).cast(acc_type)))
-    running = F.transform(per_round, lambda _, i: F.aggregate(
-        F.slice(per_round, 1, i + 1), zero, lambda acc, x: (acc + x).cast(acc_type)))
-    rows = (dense.select(season, entity, F.explode(F.arrays_zip(
-                F.col("_rounds").alias("rd"), running.alias("cum"))).alias("_z"))
-            .select(season, entity, F.col(f"_z.rd.{race}").alias(race), F.col("_z.cum").alias("_cum")))
+    per_round = (round_points.select(race, entity, points).join(cal, race)
+                 .groupBy(season, entity, round_).agg(F.sum(F.col(points).cast(acc_type)).cast(acc_type).alias("_p")))
+    scored = (per_round.groupBy(season, entity)
+              .agg(F.map_from_entries(F.collect_list(F.struct(round_, "_p"))).alias("_scored")))
+    dense = scored.join(season_rounds, season)
+    # one pass: the array of (race, running sum) so far; its last element is the sum to go on from
+    step = lambda acc, rd: F.concat(acc, F.array(F.struct(
+        rd[race].alias("race"),
+        (F.coalesce(F.try_element_at(acc, F.lit(-1))["cum"], zero)
+         + F.coalesce(F.try_element_at(F.col("_scored"), rd[round_]), zero)).cast(acc_type).alias("cum"))))
+    none = F.array().cast(T.ArrayType(T.StructType([
+        T.StructField("race", races.schema[race].dataType), T.StructField("cum", acc_type)])))
+    rows = (dense.select(season, entity, F.explode(F.aggregate("_rounds", none, step)).alias("_z"))
+            .select(season, entity, F.col("_z.race").alias(race), F.col("_z.cum").alias("_cum")))
     ranked = rank_in_round(rows, race=race, points="_cum", entity=entity)
     return ranked.select(race, entity, F.col("_cum").alias(points), "Position")
 
@@ -97,10 +99,10 @@ def season_champions(standings: DataFrame, races: DataFrame, round_results: Data
         r = r.filter(F.col(season).between(*seasons))
     st = standings.select(race, entity, position).join(r, race)
     last_round = st.groupBy(season).agg(F.max(round_).alias("_last"))
-    # one row per season: broadcast for the joins below once its size is checked
-    champs = sized_broadcast(st.join(last_round, season)
-                             .filter((F.col(round_) == F.col("_last")) & (F.col(position) == 1))
-                             .select(season, entity))
+    # one row per season: AQE broadcasts it in the joins below on its measured size
+    champs = (st.join(last_round, season)
+              .filter((F.col(round_) == F.col("_last")) & (F.col(position) == 1))
+              .select(season, entity))
     champ_rows = st.join(champs, [season, entity])
     off_p1 = F.max(F.when(F.col(position) > 1, F.col(round_)))
     if method == "window":
@@ -157,8 +159,8 @@ def final_standings(standings: DataFrame, races: DataFrame, round_results: DataF
         r = r.filter(F.col(season).isin(seasons))
     with_standing = standings.select(race).distinct().join(r, race)
     last = with_standing.groupBy(season).agg(F.max(round_).alias(round_))
-    # one row per season: broadcast once its size is checked
-    last_race = sized_broadcast(with_standing.join(last, [season, round_]).select(season, race))
+    # one row per season: AQE broadcasts it on its measured size
+    last_race = with_standing.join(last, [season, round_]).select(season, race)
     st = standings.join(last_race, race)
     last_results = round_results.join(last_race.select(race), race)
     if car_method == "max_by":

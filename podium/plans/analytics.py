@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.functions import full_name
-from podium.operators.hints import sized_broadcast
 from podium.operators.completion import min_completion
 from podium.operators.fastest import fastest_per_group, first_per_group_scalar
 from podium.operators.periods import active_periods, driver_seasons, periods_report
@@ -53,14 +52,15 @@ def _q2_races(t) -> DataFrame:
     return (model.race(t, years=(Q2_FROM, Q2_TO)).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO))
             .select("RaceId", "RaceDate", F.col("CustomerId").alias("c_custkey"))
             .join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
-            .join(sized_broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
-                                                  F.col("n_name").alias("CircuitName"))), "c_nationkey")
+            .join(t.nation.select(F.col("n_nationkey").alias("c_nationkey"),
+                                  F.col("n_name").alias("CircuitName")), "c_nationkey")
             .select("RaceId", "RaceDate", "CircuitName"))
 
 
 def _q2_context(t, fastest: DataFrame, races: DataFrame | None = None) -> DataFrame:
     """J3 star join of the chosen results with race, circuit and driver, sorted by
-    circuit and lap time (O1). The nation dimension is broadcast after a size check."""
+    circuit and lap time (O1). The join with the window's races is what restricts the
+    result to the window: the top-1 per race comes first, on the scan's side of the shuffle."""
     races = _q2_races(t) if races is None else races
     return (fastest
             .join(races, "RaceId")
@@ -75,18 +75,11 @@ def _q2_context(t, fastest: DataFrame, races: DataFrame | None = None) -> DataFr
             .orderBy("CircuitName", "FastestLapTime", "RaceDate", "Name"))
 
 
-def _q2_results(t, races: DataFrame) -> DataFrame:
-    """Results of the window's races; the filter needs only the order dates."""
-    in_window = (model.race(t, years=(Q2_FROM, Q2_TO)).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO))
-                 .select("RaceId"))
-    return model.result(t).join(in_window, "RaceId", "left_semi")
-
-
 def q2_fastest_first(spark: SparkSession, root: str) -> DataFrame:
     """Q2 option 2 (W2 ``ROW_NUMBER`` = 1, P3 BETWEEN, P5, J3): one row per race."""
     t = read_tables(spark, root)
     races = _q2_races(t)
-    best = fastest_per_group(_q2_results(t, races), group="RaceId", value="FastestLapTime",
+    best = fastest_per_group(model.result(t), group="RaceId", value="FastestLapTime",
                              tiebreak=("Position", "PartId", "DriverId"), ties="first")
     return _q2_context(t, best, races)
 
@@ -97,21 +90,18 @@ def q2_fastest_all_ties(spark: SparkSession, root: str) -> DataFrame:
     Bound to the fewest laps per race, where ties occur (trap T2)."""
     t = read_tables(spark, root)
     races = _q2_races(t)
-    best = fastest_per_group(_q2_results(t, races), group="RaceId", value="Laps", ties="all")
+    best = fastest_per_group(model.result(t), group="RaceId", value="Laps", ties="all")
     return _q2_context(t, best, races)
 
 
 def q2_scalar_top1(spark: SparkSession, root: str) -> DataFrame:
-    """Q2 option 1 (Z5/O4: scalar ``TOP 1`` per race, then inner join on the key)."""
+    """Q2 option 1 (Z5/O4: scalar ``TOP 1`` per race, NULL for races without a time)."""
     t = read_tables(spark, root)
     races = (model.race(t, years=(Q2_FROM, Q2_TO)).filter(F.col("RaceYear").between(Q2_FROM, Q2_TO))
              .select("RaceId"))
-    res = model.result(t).withColumn(
-        "ResultKey", F.struct("RaceId", "Position", "PartId", "DriverId", "FastestLapTime"))
-    keyed = first_per_group_scalar(races, res, group="RaceId", value="FastestLapTime",
-                                   key="ResultKey", tiebreak=("Position", "PartId", "DriverId"))
-    best = res.join(keyed.select("ResultKey"), "ResultKey").drop("ResultKey")
-    return _q2_context(t, best)
+    best = first_per_group_scalar(races, model.result(t), group="RaceId", value="FastestLapTime",
+                                  tiebreak=("Position", "PartId", "DriverId"))
+    return _q2_context(t, best.filter(F.col("FastestLapTime").isNotNull()))
 
 
 def _periods(t, driver_table: str):

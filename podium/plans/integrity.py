@@ -85,8 +85,7 @@ def _update_batch(t) -> DataFrame:
 def r1_dup_position(spark: SparkSession, root: str) -> DataFrame:
     """R1 over the whole table (P5, P8, P9, G12), gated by season."""
     t = read_tables(spark, root)
-    rows = R.with_season(results(t), races(t))
-    v = R.violations(R.position_rule(POSITION_GATE), rows)
+    v = R.violations(R.position_rule(POSITION_GATE), results(t), races=races(t))
     return v.select("RaceId", "Position", F.col("Count").cast("long").alias("Count"), "Message")
 
 
@@ -94,16 +93,14 @@ def r1_touched(spark: SparkSession, root: str) -> DataFrame:
     """R1 as the trigger fires it: races touched by the arriving batch (J7), no gate."""
     t = read_tables(spark, root)
     _, batch = _split(t)
-    rows = R.with_season(results(t), races(t))
-    v = R.violations(R.position_rule(None), rows, batch, touch_mode="races")
+    v = R.violations(R.position_rule(None), results(t), batch, touch_mode="races", races=races(t))
     return v.select("RaceId", "Position", F.col("Count").cast("long").alias("Count"), "Message")
 
 
 def r2_dup_driver(spark: SparkSession, root: str) -> DataFrame:
     """R2 over the whole table, gated by season."""
     t = read_tables(spark, root)
-    rows = R.with_season(results(t), races(t))
-    v = R.violations(R.driver_rule(DRIVER_GATE), rows)
+    v = R.violations(R.driver_rule(DRIVER_GATE), results(t), races=races(t))
     return v.select("RaceId", "DriverId", F.col("Count").cast("long").alias("Count"), "Message")
 
 
@@ -111,8 +108,7 @@ def r2_touched_groups(spark: SparkSession, root: str) -> DataFrame:
     """R2 with the reference's two independent IN lists (trap T16)."""
     t = read_tables(spark, root)
     _, batch = _split(t)
-    rows = R.with_season(results(t), races(t))
-    v = R.violations(R.driver_rule(DRIVER_GATE), rows, batch, touch_mode="touched_groups")
+    v = R.violations(R.driver_rule(DRIVER_GATE), results(t), batch, touch_mode="touched_groups", races=races(t))
     return v.select("RaceId", "DriverId", F.col("Count").cast("long").alias("Count"), "Message")
 
 

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions import after_first_word, first_word, nth_part
-from podium.operators.hints import sized_broadcast
 from podium.operators.standings import rank_in_round
 from podium.sources.tables import Tables
 
@@ -123,7 +122,7 @@ def rounds(results_by_round: DataFrame) -> DataFrame:
 
 def nation_driver(t: Tables) -> DataFrame:
     """Nations as competitors; 'NATION_7' splits into 'NATION' and '7' (F15)."""
-    return (t.nation.join(sized_broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    return (t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("n_nationkey").alias("DriverId"),
                     nth_part("n_name", "_", 1).alias("Firstname"),
                     nth_part("n_name", "_", 2).alias("Lastname"),
