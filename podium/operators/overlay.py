@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,14 +17,26 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def overlay_rows(base: DataFrame, changes: DataFrame, key: str | Sequence[str]) -> DataFrame:
+def last_change(changes: DataFrame, key: str | Sequence[str], seq: str | None = None) -> DataFrame:
+    """One change per key, as a sequence of UPDATEs would leave it: the one with the greatest
+    ``seq`` (ties, and a batch without ``seq``: the greatest by the columns' values, so that runs agree).
+    The top-1 is limited on the scan's side of the shuffle."""
+    rest = [c for c in changes.columns if c != seq]
+    order = ([F.col(seq).desc()] if seq else []) + [F.col(c).desc() for c in rest]
+    w = Window.partitionBy(*_keys(key)).orderBy(*order)
+    return changes.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).select(*rest)
+
+
+def overlay_rows(base: DataFrame, changes: DataFrame, key: str | Sequence[str], seq: str | None = None) -> DataFrame:
     """Full-row update ``UPDATE T SET <all columns> WHERE key = ...``.
 
     Change rows whose key is not in ``base`` update nothing (like an UPDATE that
     matches no row). Columns absent from ``changes`` become NULL, as the
-    procedures' omitted arguments do.
+    procedures' omitted arguments do. Of several changes of a key the last one holds
+    (``last_change``), so a key never becomes two rows.
     """
     keys = _keys(key)
+    changes = last_change(changes, keys, seq)
     matched = changes.join(base.select(*keys), keys, "left_semi")
     for field in base.schema.fields:
         if field.name not in matched.columns:
@@ -34,13 +46,15 @@ def overlay_rows(base: DataFrame, changes: DataFrame, key: str | Sequence[str])
 
 
 def update_columns(base: DataFrame, changes: DataFrame, key: str | Sequence[str],
-                   columns: Sequence[str]) -> DataFrame:
+                   columns: Sequence[str], seq: str | None = None) -> DataFrame:
     """``UPDATE T SET c = chg.c ... FROM changes WHERE key matches`` for some columns.
 
-    A left join on the key; rows without a change keep their values.
+    A left join on the key; rows without a change keep their values, and of several changes
+    of a key the last one holds.
     """
     keys = _keys(key)
-    chg = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns]).withColumn(
+    wanted = [*keys, *columns] + ([seq] if seq else [])
+    chg = last_change(changes.select(*wanted), keys, seq).select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns]).withColumn(
         "_hit", F.lit(True))
     joined = base.join(chg, keys, "left")
     for c in columns:

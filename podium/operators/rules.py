@@ -31,6 +31,11 @@ MSG_DRIVER_TAKEN = "Driver already has a result in this race"
 MSG_CAP_INSERT = "The number of races in the season will exceed {cap} with the insertion of a new one."
 MSG_CAP_MOVE = "The number of races in the season will exceed {cap} with the addition of a new one."
 
+# Our own texts for what the reference leaves to the tables' primary and foreign keys.
+MSG_KEY_EXISTS = "Key already exists"
+MSG_KEY_REPEATED = "Key is repeated in the batch"
+MSG_PARENT_MISSING = "{name} does not exist"
+
 
 @dataclass(frozen=True)
 class UniqueRule:

@@ -5,15 +5,19 @@ Each function returns the batch with ``Status`` ('accepted', 'rejected' or
 'ignored') and ``Error`` (NULL or the procedure's message).
 
 Creates (U1, U3, U5, U7) under one rule equal sequential replay of the batch in
-``seq`` order, computed in closed form with grouped aggregates:
+``(seq, key)`` order - the row key breaks ties of ``seq``, so the order is total - computed in
+closed form with grouped aggregates:
   unique (U1/U3): a row is accepted when the base holds nothing on its (race, key)
-      and it has the lowest ``seq`` of its group; NULL keys and seasons before the
-      gate bypass the rule.
+      and it is the first of its group; NULL keys and seasons before the gate bypass the rule.
   cap (U5): accepted while ``base_count + rank <= cap``; the per-group rank is a
       ``row_number() <= cap`` window, which Catalyst limits map-side
       (``WindowGroupLimit``), so a hot season forwards at most ``cap`` rows.
   owner (U7): several base drivers on (season, number) reject every new row; one
-      base driver owns it; none: the driver of the lowest ``seq`` row owns it.
+      base driver owns it; none: the driver of the first row owns it.
+Before the rules come the table's keys (``unique_key``, ``parents``): a row whose key
+the base holds, whose key stands twice in the batch, or whose parent row is missing is
+refused and claims nothing. Rows no rule governs are not joined to the rule's groups at all, so NULL
+keys do not meet in one partition.
 Updates (U2, U4, U6, U8) are validated set-wise against the batch applied to
 the base, each row excluding itself like the procedures, and the batch is
 accepted or refused as a whole (trigger semantics), because an update that
@@ -29,17 +33,18 @@ semi-joins instead of once per reference.
 from __future__ import annotations
 
 import operator
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.sources.sinks import materialize
+from podium.operators.hints import join_on_hot_key
 from podium.operators.rules import (
-    MSG_CAP_INSERT, MSG_CAP_MOVE, MSG_NUMBER_OWNER, MSG_RACE_MISSING, MSG_RESULT_MISSING, CapRule,
-    OwnerRule,
-    UniqueRule,
+    MSG_CAP_INSERT, MSG_CAP_MOVE, MSG_KEY_EXISTS, MSG_KEY_REPEATED, MSG_NUMBER_OWNER, MSG_PARENT_MISSING,
+    MSG_RACE_MISSING, MSG_RESULT_MISSING, CapRule, OwnerRule, UniqueRule,
 )
+from podium.sources.sinks import materialize
 
 ACCEPTED, REJECTED, IGNORED = "accepted", "rejected", "ignored"
 MSG_BATCH_REFUSED = "Batch refused: another row of the batch violates a rule"
@@ -66,55 +71,83 @@ def _touched(base: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
     """Base rows in the groups a batch touches (a semi-join on the group key).
 
     The batch's distinct groups are the small side: AQE broadcasts them when
-    they are small, and the base is never shuffled or counted as a whole.
+    they are small, and splits a hot group's base rows when they are not.
     """
-    return base.join(groups.select(*keys).distinct(), keys, "left_semi")
+    return join_on_hot_key(base, groups.select(*keys).distinct(), keys, "left_semi")
+
+
+def _repeated(batch: DataFrame, key: str) -> DataFrame:
+    """Keys that stand more than once in the batch."""
+    return batch.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
+
 
+def _check_keys(base: DataFrame, batch: DataFrame, key: str,
+                parents: Mapping[str, tuple[DataFrame, str]] | None) -> DataFrame:
+    """``batch`` with ``_key_error``: the row key exists, is repeated, or a parent is missing.
 
-def _first_claims(claims: DataFrame, keys: list[str], seq: str, cols: list[str]) -> DataFrame:
-    """The lowest-``seq`` claim per group: ``row_number() == 1`` gets a partial
+    parents: column -> (parent table, its key column); a NULL reference is no reference.
+    """
+    known = _touched(base.select(key), [key], batch).distinct().withColumn("_known", F.lit(True))
+    b = batch.join(known, key, "left").join(_repeated(batch, key), key, "left")
+    error = (F.when(F.col("_known").isNotNull(), F.lit(MSG_KEY_EXISTS))
+             .when(F.col("_copies").isNotNull(), F.lit(MSG_KEY_REPEATED)))
+    for i, (column, (parent, parent_key)) in enumerate((parents or {}).items()):
+        found = parent.select(F.col(parent_key).alias(column)).distinct().withColumn(f"_parent{i}", F.lit(True))
+        b = join_on_hot_key(b, found, column, "left")
+        name = column.removesuffix("Id")
+        error = error.when(F.col(column).isNotNull() & F.col(f"_parent{i}").isNull(),
+                           F.lit(MSG_PARENT_MISSING.format(name=name)))
+    return b.withColumn("_key_error", error)
+
+
+def _first_claims(claims: DataFrame, keys: list[str], order: list[str], cols: list) -> DataFrame:
+    """The first claim per group in a total order: ``row_number() == 1`` gets a partial
     ``WindowGroupLimit`` before the shuffle, so a hot group forwards one row per
     map task."""
-    w = Window.partitionBy(*keys).orderBy(seq)
+    w = Window.partitionBy(*keys).orderBy(*order)
     return claims.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).select(*cols)
 
 
 def create_unique(base: DataFrame, batch: DataFrame, races: DataFrame, rule: UniqueRule, *,
-                  seq: str = "seq") -> DataFrame:
-    """U1 (position rule) / U3 (driver rule): create results in ``seq`` order."""
+                  seq: str = "seq", unique_key: str = "ResultId",
+                  parents: Mapping[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """U1 (position rule) / U3 (driver rule): create results in ``(seq, unique_key)`` order."""
     race, key, season = rule.race, rule.key, rule.season
     cols = batch.columns
-    b = materialize(_with_race_year(batch, races, race, season), "upsert_batch")
-    exists = F.col(season).isNotNull()
-    governed = exists & F.col(key).isNotNull() & _gated(season, rule.from_year)
-    claims = b.filter(governed)
-    # occupied in the base (the EXISTS of the procedure), only for the claimed pairs
-    taken = (_touched(base.filter(F.col(key).isNotNull()).select(race, key), [race, key], claims)
-             .distinct().withColumn("_taken", F.lit(True)))
-    # first claimant inside the batch
-    first = _first_claims(claims, [race, key], seq, [race, key, F.col(seq).alias("_first")])
-    j = b.join(taken, [race, key], "left").join(first, [race, key], "left")
-    error = (F.when(~exists, F.lit(MSG_RACE_MISSING))
-             .when(governed & (F.col("_taken").isNotNull() | (F.col(seq) != F.col("_first"))),
-                   F.lit(rule.create_message)))
-    return _finish(j, error, cols)
+    b = materialize(_check_keys(base, _with_race_year(batch, races, race, season), unique_key, parents), "upsert_batch")
+    early = F.when(F.col(season).isNull(), F.lit(MSG_RACE_MISSING)).otherwise(F.col("_key_error"))
+    governed = F.coalesce(early.isNull() & F.col(key).isNotNull() & _gated(season, rule.from_year), F.lit(False))
+    claims, exempt = b.filter(governed), b.filter(~governed)
+    # occupied in the base (the EXISTS of the procedure); distinct before the join, on the scan's side
+    taken = (_touched(base.filter(F.col(key).isNotNull()).select(race, key).distinct(), [race, key], claims)
+             .withColumn("_taken", F.lit(True)))
+    # the first claimant inside the batch; one row per claimed group
+    first = _first_claims(claims, [race, key], [seq, unique_key], [race, key, F.col(unique_key).alias("_first")])
+    j = join_on_hot_key(claims, first.join(taken, [race, key], "left"), [race, key], "left")
+    clash = F.col("_taken").isNotNull() | (F.col(unique_key) != F.col("_first"))
+    return _finish(j, F.when(clash, F.lit(rule.create_message)), cols).unionByName(_finish(exempt, early, cols))
 
 
 def create_capped(base_races: DataFrame, batch: DataFrame, rule: CapRule, *,
-                  seq: str = "seq") -> DataFrame:
-    """Create races while each season group stays within ``cap``."""
+                  seq: str = "seq", unique_key: str | None = None,
+                  parents: Mapping[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """Create races in ``(seq, unique_key)`` order while each season group stays within
+    ``cap``. unique_key: the row key (default: the rule's race column)."""
     group = list(rule.group)
+    key = unique_key or rule.race
     cols = batch.columns
-    base_count = (_touched(base_races.select(*group), group, batch)
+    b = materialize(_check_keys(base_races, batch, key, parents), "upsert_batch")
+    sound = b.filter(F.col("_key_error").isNull())
+    base_count = (_touched(base_races.select(*group), group, sound)
                   .groupBy(*group).agg(F.count(F.lit(1)).alias("_base")))
-    w = Window.partitionBy(*group).orderBy(seq)
+    w = Window.partitionBy(*group).orderBy(seq, key)
     # rn <= cap: Catalyst plans a partial WindowGroupLimit before the shuffle
-    ranked = (batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= rule.cap)
-              .select(*group, seq, "_rn"))
-    j = (batch.join(ranked, [*group, seq], "left").join(base_count, group, "left")
+    ranked = (sound.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= rule.cap)
+              .select(key, "_rn"))
+    j = (join_on_hot_key(b.join(ranked, key, "left"), base_count, group, "left")
          .withColumn("_base", F.coalesce("_base", F.lit(0))))
     fits = F.col("_rn").isNotNull() & (F.col("_base") + F.col("_rn") <= rule.cap)
-    error = F.when(~fits, F.lit(MSG_CAP_INSERT.format(cap=rule.cap)))
+    error = F.coalesce(F.col("_key_error"), F.when(~fits, F.lit(MSG_CAP_INSERT.format(cap=rule.cap))))
     return _finish(j, error, cols)
 
 
@@ -133,28 +166,29 @@ def _owners_in(base: DataFrame, races: DataFrame, rule: OwnerRule, race: str,
 
 
 def create_owned(base: DataFrame, batch: DataFrame, races: DataFrame, rule: OwnerRule, *,
-                 race: str = "RaceId", seq: str = "seq") -> DataFrame:
+                 race: str = "RaceId", seq: str = "seq", unique_key: str = "ResultId",
+                 parents: Mapping[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
     """Create results; a number belongs to one driver per season from the gate on.
 
     base: results (race, number and owner columns).
     """
     season, number, owner = rule.season, rule.number, rule.owner
     cols = batch.columns
-    b = materialize(_with_race_year(batch, races, race, season), "upsert_batch")
-    exists = F.col(season).isNotNull()
-    governed = exists & F.col(number).isNotNull() & _gated(season, rule.from_year)
+    b = materialize(_check_keys(base, _with_race_year(batch, races, race, season), unique_key, parents), "upsert_batch")
+    early = F.when(F.col(season).isNull(), F.lit(MSG_RACE_MISSING)).otherwise(F.col("_key_error"))
+    governed = F.coalesce(early.isNull() & F.col(number).isNotNull() & _gated(season, rule.from_year), F.lit(False))
     keys = [season, number]
-    claims = b.filter(governed)
+    claims, exempt = b.filter(governed), b.filter(~governed)
     base_owners = (_owners_in(base, races, rule, race, claims)
                    .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_owners"),
                                        F.min(owner).alias("_base_owner")))
-    first_owner = _first_claims(claims, keys, seq, [*keys, F.col(owner).alias("_first_owner")])
-    j = b.join(base_owners, keys, "left").join(first_owner, keys, "left")
+    first_owner = _first_claims(claims, keys, [seq, unique_key], [*keys, F.col(owner).alias("_first_owner")])
+    j = join_on_hot_key(claims, first_owner.join(base_owners, keys, "left"), keys, "left")
     rightful = F.when(F.col("_n_owners").isNull(), F.col("_first_owner")).when(
         F.col("_n_owners") == 1, F.col("_base_owner"))
-    conflict = governed & (rightful.isNull() | (F.col(owner) != rightful))
-    error = F.when(~exists, F.lit(MSG_RACE_MISSING)).when(conflict, F.lit(rule_message(rule)))
-    return _finish(j, error, cols)
+    conflict = rightful.isNull() | (F.col(owner) != rightful)
+    return (_finish(j, F.when(conflict, F.lit(rule_message(rule))), cols)
+            .unionByName(_finish(exempt, early, cols)))
 
 
 def rule_message(rule) -> str:
@@ -190,7 +224,7 @@ def _rule_clash(b: DataFrame, base: DataFrame, arriving: DataFrame, races: DataF
         counts = (stay.unionByName(arrive.select(key, *gkeys)).groupBy(*gkeys)
                   .agg(F.count(F.lit(1)).alias(n)))
         clash = F.col(rule.key).isNotNull() & _gated(season, rule.from_year) & (F.col(n) > 1)
-        return b.join(counts, gkeys, "left"), clash, rule.create_message
+        return join_on_hot_key(b, counts, gkeys, "left"), clash, rule.create_message
     if isinstance(rule, OwnerRule):
         gkeys = [season, rule.number]
         claims = arriving.filter(F.col(rule.number).isNotNull())
@@ -203,7 +237,7 @@ def _rule_clash(b: DataFrame, base: DataFrame, arriving: DataFrame, races: DataF
         owners = (stay.unionByName(arrive).distinct()
                   .groupBy(*gkeys).agg(F.count(F.lit(1)).alias(n)))
         clash = F.col(rule.number).isNotNull() & _gated(season, rule.from_year) & (F.col(n) > 1)
-        return b.join(owners, gkeys, "left"), clash, MSG_NUMBER_OWNER
+        return join_on_hot_key(b, owners, gkeys, "left"), clash, MSG_NUMBER_OWNER
     raise TypeError(f"unsupported rule for results: {rule!r}")
 
 
@@ -214,16 +248,19 @@ def update_results(base: DataFrame, batch: DataFrame, races: DataFrame, rule, *,
     base: results without season. Checks in the procedures' order: race exists,
     result exists, then the rule on the state after the batch, excluding the row
     itself. Only the groups the batch writes into are counted: holders of a
-    group = its base rows not rewritten by the batch + the batch rows now in it.
+    group = its base rows not rewritten by the batch + the batch rows now in it. A key
+    that stands twice in the batch has no single new state: its rows are refused.
     ``rule`` may be a list of rules; each row reports the first one it breaks.
     """
     rules = list(rule) if isinstance(rule, (list, tuple)) else [rule]
     cols = batch.columns
-    known = _touched(base.select(key), [key], batch).withColumn("_known", F.lit(True))
-    b = materialize(_with_race_year(batch, races, race, season).join(known, key, "left"), "upsert_batch")
-    moved = b.filter(F.col(season).isNotNull() & F.col("_known").isNotNull())
+    known = _touched(base.select(key), [key], batch).distinct().withColumn("_known", F.lit(True))
+    b = materialize(_with_race_year(batch, races, race, season).join(known, key, "left")
+                    .join(_repeated(batch, key), key, "left"), "upsert_batch")
+    moved = b.filter(F.col(season).isNotNull() & F.col("_known").isNotNull() & F.col("_copies").isNull())
     error = (F.when(F.col(season).isNull(), F.lit(MSG_RACE_MISSING))
-             .when(F.col("_known").isNull(), F.lit(MSG_RESULT_MISSING)))
+             .when(F.col("_known").isNull(), F.lit(MSG_RESULT_MISSING))
+             .when(F.col("_copies").isNotNull(), F.lit(MSG_KEY_REPEATED)))
     for i, r in enumerate(rules):
         b, clash, message = _rule_clash(b, base, moved, races, r, key=key, race=race, season=season, idx=i)
         error = error.when(clash, F.lit(message))
@@ -232,7 +269,8 @@ def update_results(base: DataFrame, batch: DataFrame, races: DataFrame, rule, *,
 
 def create_with_rules(base: DataFrame, batch: DataFrame, races: DataFrame, rules, *,
                       key: str = "ResultId", race: str = "RaceId", season: str = "RaceYear",
-                      seq: str = "seq") -> DataFrame:
+                      seq: str = "seq",
+                      parents: Mapping[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
     """Create results under several rules at once (``rules=[R1, R2, R4]``).
 
     The reference installs one procedure per rule under the same name, so only
@@ -247,14 +285,15 @@ def create_with_rules(base: DataFrame, batch: DataFrame, races: DataFrame, rules
     if len(rules) == 1:
         only = rules[0]
         if isinstance(only, UniqueRule):
-            return create_unique(base, batch, races, only, seq=seq)
+            return create_unique(base, batch, races, only, seq=seq, unique_key=key, parents=parents)
         if isinstance(only, OwnerRule):
-            return create_owned(base, batch, races, only, race=race, seq=seq)
+            return create_owned(base, batch, races, only, race=race, seq=seq, unique_key=key, parents=parents)
         raise TypeError(f"unsupported rule for results: {only!r}")
     cols = batch.columns
-    b = materialize(_with_race_year(batch, races, race, season), "upsert_batch")
-    arriving = b.filter(F.col(season).isNotNull())
-    error = F.when(F.col(season).isNull(), F.lit(MSG_RACE_MISSING))
+    b = materialize(_check_keys(base, _with_race_year(batch, races, race, season), key, parents), "upsert_batch")
+    arriving = b.filter(F.col(season).isNotNull() & F.col("_key_error").isNull())
+    error = (F.when(F.col(season).isNull(), F.lit(MSG_RACE_MISSING))
+             .when(F.col("_key_error").isNotNull(), F.col("_key_error")))
     for i, r in enumerate(rules):
         b, clash, message = _rule_clash(b, base, arriving, races, r, key=key, race=race, season=season, idx=i)
         error = error.when(clash, F.lit(message))
@@ -269,17 +308,18 @@ def update_races(base_races: DataFrame, batch: DataFrame, rule: CapRule, *,
     cols = batch.columns
     group = list(rule.group)
     old = (_touched(base_races.select(race, *group), [race], batch)
-           .select(race, *[F.col(c).alias(f"_old_{c}") for c in group]))
-    b = materialize(batch.join(old, race, "left"), "upsert_batch")
-    known = F.col(f"_old_{group[0]}").isNotNull()
+           .select(race, F.lit(True).alias("_in_base"), *[F.col(c).alias(f"_old_{c}") for c in group]))
+    b = materialize(batch.join(old, race, "left").join(_repeated(batch, race), race, "left"), "upsert_batch")
+    known = F.col("_in_base").isNotNull()
     same_season = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in group])
     moved = known & ~same_season
-    arrivals = b.filter(known).select(race, *group)
+    arrivals = b.filter(known & F.col("_copies").isNull()).select(race, *group)
     stay = (_touched(base_races.select(race, *group), group, arrivals)
             .join(arrivals.select(race), race, "left_anti"))
     counts = stay.unionByName(arrivals).groupBy(*group).agg(F.count(F.lit(1)).alias("_count"))
-    b = b.join(counts, group, "left")
-    error = F.when(moved & (F.col("_count") > rule.cap), F.lit(MSG_CAP_MOVE.format(cap=rule.cap)))
+    b = join_on_hot_key(b, counts, group, "left")
+    error = (F.when(known & F.col("_copies").isNotNull(), F.lit(MSG_KEY_REPEATED))
+             .when(moved & (F.col("_count") > rule.cap), F.lit(MSG_CAP_MOVE.format(cap=rule.cap))))
     report = _all_or_nothing(_finish(b.withColumn("_known", known), error, cols + ["_known"]))
     return (report.withColumn("Status", F.when(~F.col("_known"), F.lit(IGNORED)).otherwise(F.col("Status")))
             .withColumn("Error", F.when(~F.col("_known"), F.lit(None).cast("string")).otherwise(F.col("Error")))

@@ -7,7 +7,8 @@ import inspect
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podium.functions import full_name, strict_name
+from podium.functions import full_name, strict_name, text
+from podium.operators import keys as key_ops
 from podium.operators import standings as standings_ops
 from podium.operators.standings import build_standings, final_standings, season_champions
 from podium.plans import model
@@ -15,7 +16,7 @@ from podium.sources.sinks import input_fingerprint, stored_table
 from podium.sources.tables import read_tables
 
 
-_DERIVING_CODE = (model, standings_ops)
+_DERIVING_CODE = (model, standings_ops, key_ops, text)
 
 
 def _championship(spark: SparkSession, root: str):

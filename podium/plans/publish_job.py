@@ -34,12 +34,16 @@ def apply_and_publish(base: DataFrame, changes: DataFrame, races: DataFrame, rul
     else:
         state = overlay_rows(base, changes, key)
     state = materialize(state, "snapshot_candidate")
+    # the groups to check are those of the new state's changed rows: a change that names only its key
+    # and some columns does not say which race or season it belongs to
+    touched = state.join(changes.select(key).distinct(), key, "left_semi")
     checks = {}
     for rule in rules:
         if isinstance(rule, R.CapRule):
-            checks[rule.name] = R.violations(rule, state, changes)
+            checks[rule.name] = R.violations(rule, state, touched)
+        elif isinstance(rule, R.OwnerRule):
+            checks[rule.name] = R.violations(rule, R.with_season(state, races, season=rule.season),
+                                             R.with_season(touched, races, season=rule.season))
         else:
-            season = getattr(rule, "season", "RaceYear")
-            touched = R.with_season(changes, races, season=season) if isinstance(rule, R.OwnerRule) else changes
-            checks[rule.name] = R.violations(rule, R.with_season(state, races, season=season), touched)
+            checks[rule.name] = R.violations(rule, state, touched, races=races)
     return publish(state, checks, target, dry_run=dry_run)

@@ -48,11 +48,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only when unset.
 
     The cluster setting wins; a machine-local folder is only used when the
-    session has none (local tests).
+    session has none and the master is local (tests): on a cluster each machine has its own
+    disk, so a missing setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         current = tempfile.mkdtemp(prefix="podium-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)

@@ -11,6 +11,8 @@ The reference's three covering indexes become table layouts:
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -87,27 +89,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a fresh folder under the shared checkpoint directory and
     read it back: one computation, lineage cut, and the result survives executor
     loss (unlike a cache or a local checkpoint). For intermediates that later steps
-    read several times, such as the standings table."""
-    import uuid
-
-    path = shared_folder(df.sparkSession, f"{name}/{uuid.uuid4().hex}")
+    read several times, such as the standings table. The folder goes when the application ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark, f"{name}/{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    return spark.read.parquet(path)
 
 
-def input_fingerprint(spark: SparkSession, paths: Sequence[str], extra: str = "") -> str:
-    """A short hash of the inputs' paths, sizes and modification times (plus ``extra``,
-    e.g. the source of the code that derives a table), read from the file system."""
-    import hashlib
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
 
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def input_fingerprint(spark: SparkSession, paths: Sequence[str], extra: str = "") -> str:
+    """A short hash of all files below the inputs - names, sizes and modification times, whatever
+    the depth - and of ``extra``, e.g. the source of the code that derives a table."""
     h = hashlib.sha1(extra.encode())
     for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        fs = path.getFileSystem(conf)
-        for st in fs.listStatus(path):
-            h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()};".encode())
+        fs, at = _file_system(spark, p)
+        files, found = fs.listFiles(at, True), []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()};")
+        h.update("".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 
@@ -117,12 +124,16 @@ def stored_table(spark: SparkSession, name: str, fingerprint: str, build) -> Dat
     Rebuilt when the inputs or the deriving code change (the fingerprint), read
     back otherwise - a table maintained the way the reference keeps its
     DriverStanding table, instead of being recomputed by every query that needs it.
-    ``build`` is called only when the table is missing.
+    ``build`` is called only when the table is missing. It is written under a name of its own
+    and renamed when complete, so two jobs never write into one folder; the one that is
+    second keeps the first one's table.
     """
     path = shared_folder(spark, f"stored/{name}/{fingerprint}")
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(marker):
-        build().write.mode("overwrite").parquet(path)
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at):
+        draft = f"{path}-{uuid.uuid4().hex}"
+        build().write.mode("errorifexists").parquet(draft)
+        _, draft_at = _file_system(spark, draft)
+        if fs.exists(at) or not fs.rename(draft_at, at):
+            fs.delete(draft_at, True)
     return spark.read.parquet(path)
