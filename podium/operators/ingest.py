@@ -39,12 +39,16 @@ def load_dimension(candidates: DataFrame, existing: DataFrame, *, natural_key: M
     natural_key: name -> expression over the candidates; existing_key: the same
     names over the dimension (default: its columns of those names; pass
     ``lower()`` on both for a case-insensitive match). attributes: output column
-    -> expression over the candidates. The surrogate continues from
-    ``MAX(surrogate)`` (I6).
+    -> expression over the candidates; of several spellings of a key the least row of attributes
+    holds, so runs agree. The surrogate continues from ``MAX(surrogate)`` (I6).
     """
-    keyed = candidates.select(*[e.alias(n) for n, e in natural_key.items()],
-                              *[e.alias(n) for n, e in attributes.items() if n not in natural_key])
-    keyed = keyed.dropDuplicates(list(natural_key))  # G9
+    extra = [n for n in attributes if n not in natural_key]
+    keyed = candidates.select(*[e.alias(n) for n, e in natural_key.items()], *[attributes[n].alias(n) for n in extra])
+    if extra:  # G9
+        keyed = (keyed.groupBy(*natural_key).agg(F.min(F.struct(*extra)).alias("_attributes"))
+                 .select(*natural_key, "_attributes.*"))
+    else:
+        keyed = keyed.distinct()
     ex_key = existing_key or {n: F.col(n) for n in natural_key}
     known = existing.select(*[e.alias(n) for n, e in ex_key.items()]).distinct()
     new = keyed.join(known, list(natural_key), "left_anti")  # J9 NOT EXISTS
@@ -66,7 +70,8 @@ def ingest_race_results(stage: DataFrame, tables: Mapping[str, DataFrame], *,
 
     tables: current ``Circuit``, ``Constructor``, ``Driver``, ``Season``, ``Race``,
     ``Result`` DataFrames. Returns the rows to append per table; each later step
-    resolves against the dimension including the rows added before it.
+    resolves against the dimension including the rows added before it. ``Unresolved`` holds the
+    staged lines that became no result, with the reason.
     """
     # a blank or missing car is unknown; the default goes in before the anti-join
     stage = stage.withColumn("Car", F.coalesce(F.nullif(F.trim("Car"), F.lit("")), F.lit("UNKNOWN")))
@@ -94,30 +99,28 @@ def ingest_race_results(stage: DataFrame, tables: Mapping[str, DataFrame], *,
     out["Race"] = _new_races(stage, race, circuits, race_date)
     races = race.unionByName(out["Race"], allowMissingColumns=True)
 
-    out["Result"] = _new_results(stage, tables["Result"], races, drivers, constructors)
+    resolved = _resolve(stage, races, drivers, constructors)
+    out["Result"] = _new_results(resolved, tables["Result"])
+    out["Unresolved"] = unresolved(resolved).select(*stage.columns, "reason")
     return out
 
 
 def _new_circuits(stage: DataFrame, circuit: DataFrame) -> DataFrame:
     """Circuits named in the stage and not yet known, ids continuing from MAX(CircuitId)."""
-    cand = stage.filter(F.col("Circuit").isNotNull()).select(F.col("Circuit").alias("CircuitName")).distinct()
-    new = cand.join(circuit.select("CircuitName"), "CircuitName", "left_anti")
-    new = dense_index(new, ["CircuitName"], out="CircuitId", offset=current_max(circuit, "CircuitId"))
+    new = load_dimension(stage.filter(F.col("Circuit").isNotNull()), circuit,
+                         natural_key={"CircuitName": F.col("Circuit")}, surrogate="CircuitId",
+                         order=["CircuitName"], attributes={})
     return new.select(F.col("CircuitId").cast("int").alias("CircuitId"),
                       F.col("CircuitName").alias("CircuitRef"), "CircuitName",
                       F.col("CircuitName").alias("CircuitLocation"), F.lit("Unknown").alias("Country"))
 
 
 def _new_constructors(stage: DataFrame, constructor: DataFrame) -> DataFrame:
-    """Constructors not yet known (case-insensitive), 'UNKNOWN' already applied."""
-    # case-insensitive natural key, like the reference's default collation
-    cand = (stage.select(F.col("Car").alias("ContstructorName"))
-            .withColumn("_k", F.lower("ContstructorName"))
-            .dropDuplicates(["_k"]))
-    known = constructor.select(F.lower("ContstructorName").alias("_k")).distinct()
-    new = cand.join(known, "_k", "left_anti")
-    new = dense_index(new, ["ContstructorName"], out="ConstructorId",
-                      offset=current_max(constructor, "ConstructorId"))
+    """Constructors not yet known (case-insensitive, like the reference's default
+    collation), 'UNKNOWN' already applied."""
+    new = load_dimension(stage, constructor, natural_key={"_k": F.lower("Car")},
+                         existing_key={"_k": F.lower("ContstructorName")}, surrogate="ConstructorId",
+                         order=["_k"], attributes={"ContstructorName": F.col("Car")})
     return new.select(F.col("ConstructorId").cast("int").alias("ConstructorId"),
                       F.col("ContstructorName").alias("ConstructorRef"), "ContstructorName",
                       F.lit("Unknown").alias("Nationality"), F.lit("").alias("ConstructorUrl"))
@@ -139,49 +142,72 @@ def _new_drivers(stage: DataFrame, driver: DataFrame) -> DataFrame:
     named = stage.filter(F.col("Driver").isNotNull() & (F.trim("Driver") != ""))
     cand = (named.groupBy(_staged_driver_key().alias("_k"))
             .agg(F.min(F.trim("Driver")).alias("Driver"),
-                 F.max_by("NO", "RaceNr").alias("DriverNumber")))  # latest number used
-    known = driver.select(_driver_key(F.col("Firstname"), F.col("Lastname")).alias("_k")).distinct()
-    new = cand.join(known, "_k", "left_anti")
-    new = dense_index(new, ["_k"], out="DriverId", offset=current_max(driver, "DriverId"))
+                 F.max(F.struct("RaceNr", "NO"))["NO"].alias("DriverNumber")))  # latest number used
+    new = load_dimension(cand, driver, natural_key={"_k": F.col("_k")},
+                         existing_key={"_k": _driver_key(F.col("Firstname"), F.col("Lastname"))}, surrogate="DriverId",
+                         order=["_k"], attributes={"Driver": F.col("Driver"), "DriverNumber": F.col("DriverNumber")})
     return new.select(F.col("DriverId").cast("int").alias("DriverId"), F.col("Driver").alias("DriverRef"),
                       F.col("DriverNumber").cast("int").alias("DriverNumber"),
                       first_word("Driver").alias("Firstname"), after_first_word("Driver").alias("Lastname"),
                       F.lit("Unknown").alias("Nationality"))
 
 
+def _season_round(stage: DataFrame) -> DataFrame:
+    """RaceNr split into season and round (F16)."""
+    return (stage.withColumn("RaceYear", idiv("RaceNr", F.lit(100)).cast("int"))
+            .withColumn("NrOfRound", (F.col("RaceNr") % 100).cast("int")))
+
+
+def _one_id(dimension: DataFrame, key: Column, surrogate: str, alias: str) -> DataFrame:
+    """Natural key -> lowest id, and how many ids carry it: a key side that never multiplies rows."""
+    return (dimension.groupBy(key.alias(alias))
+            .agg(F.min(surrogate).alias(surrogate), F.count(F.lit(1)).alias(f"{alias}_ids")))
+
+
 def _new_races(stage: DataFrame, race: DataFrame, circuits: DataFrame, race_date) -> DataFrame:
-    """Races by (season, round) from RaceNr div/mod 100 (F16), circuit resolved by name."""
-    cand = (stage.filter(F.col("RaceNr").isNotNull())
-            .select(idiv("RaceNr", F.lit(100)).cast("int").alias("RaceYear"),      # F16
-                    (F.col("RaceNr") % 100).cast("int").alias("NrOfRound"),
-                    F.col("Circuit").alias("CircuitName"))
-            .dropDuplicates(["RaceYear", "NrOfRound"]))
-    new = cand.join(race.select("RaceYear", "NrOfRound"), ["RaceYear", "NrOfRound"], "left_anti")
-    new = new.join(circuits.select("CircuitName", "CircuitId"), "CircuitName")
-    new = dense_index(new, ["RaceYear", "NrOfRound"], out="RaceId", offset=current_max(race, "RaceId"))
-    return new.select(F.col("RaceId").cast("int").alias("RaceId"), "RaceYear", "NrOfRound",
-                      F.col("CircuitId").cast("int").alias("CircuitId"),
-                      F.col("CircuitName").alias("RaceName"),
-                      F.lit(str(race_date)).cast("date").alias("RaceDate"))
-
-
-def _new_results(stage: DataFrame, result: DataFrame, races: DataFrame, drivers: DataFrame,
-                 constructors: DataFrame) -> DataFrame:
-    """Results resolved to race, driver and constructor, skipping existing (race, driver)."""
-    resolved = (stage.filter(F.col("RaceNr").isNotNull())
-                .withColumn("RaceYear", idiv("RaceNr", F.lit(100)).cast("int"))
-                .withColumn("NrOfRound", (F.col("RaceNr") % 100).cast("int"))
-                .join(races.select("RaceYear", "NrOfRound", "RaceId"), ["RaceYear", "NrOfRound"])
-                .join(drivers.select(_driver_key(F.col("Firstname"), F.col("Lastname")).alias("_dk"), "DriverId"),
-                      _staged_driver_key() == F.col("_dk"))
-                .join(constructors.select(F.lower("ContstructorName").alias("_ck"), "ConstructorId"),
-                      F.lower("Car") == F.col("_ck")))
-    staged = resolved.select(
+    """Races by (season, round) from RaceNr div/mod 100, circuit resolved by name. A race
+    whose lines name no circuit cannot be stored; its lines are reported by ``unresolved``."""
+    named = _season_round(stage.filter(F.col("RaceNr").isNotNull() & F.col("Circuit").isNotNull()))
+    ids = _one_id(circuits, F.col("CircuitName"), "CircuitId", "CircuitName").select("CircuitName", "CircuitId")
+    new = load_dimension(
+        named, race, natural_key={"RaceYear": F.col("RaceYear"), "NrOfRound": F.col("NrOfRound")},
+        surrogate="RaceId", order=["RaceYear", "NrOfRound"], attributes={"CircuitName": F.col("Circuit")})
+    return new.join(ids, "CircuitName").select(
+        F.col("RaceId").cast("int").alias("RaceId"), "RaceYear", "NrOfRound",
+        F.col("CircuitId").cast("int").alias("CircuitId"), F.col("CircuitName").alias("RaceName"),
+        F.lit(str(race_date)).cast("date").alias("RaceDate"))
+
+
+def _resolve(stage: DataFrame, races: DataFrame, drivers: DataFrame, constructors: DataFrame) -> DataFrame:
+    """Every staged line with the ids of its race, driver and constructor (NULL where there is none)."""
+    race_ids = (races.groupBy("RaceYear", "NrOfRound").agg(F.min("RaceId").alias("RaceId")))
+    driver_ids = _one_id(drivers, _driver_key(F.col("Firstname"), F.col("Lastname")), "DriverId", "_dk")
+    car_ids = _one_id(constructors, F.lower("ContstructorName"), "ConstructorId", "_ck")
+    return (_season_round(stage)
+            .join(race_ids, ["RaceYear", "NrOfRound"], "left")
+            .join(driver_ids, _staged_driver_key() == F.col("_dk"), "left")
+            .join(car_ids, F.lower("Car") == F.col("_ck"), "left"))
+
+
+def unresolved(resolved: DataFrame) -> DataFrame:
+    """Staged lines that became no result, or whose driver's name stands for several drivers (the lowest
+    id is taken), with the reason."""
+    reason = F.concat_ws(
+        "; ", F.when(F.col("RaceNr").isNull(), F.lit("race number is missing"))
+        .when(F.col("RaceId").isNull(), F.lit("race has no circuit")),
+        F.when(F.coalesce(F.trim("Driver"), F.lit("")) == "", F.lit("driver is missing")),
+        F.when(F.col("_dk_ids") > 1, F.lit("driver name is not unique, lowest id taken")))
+    return resolved.withColumn("reason", reason).filter(F.col("reason") != "")
+
+
+def _new_results(resolved: DataFrame, result: DataFrame) -> DataFrame:
+    """Lines resolved to race, driver and constructor, skipping existing (race, driver)."""
+    staged = resolved.filter(F.col("RaceId").isNotNull() & F.col("DriverId").isNotNull()).select(
         "RaceId", "DriverId", "ConstructorId", F.col("NO").alias("ResultNumber"), F.col("POS").alias("Grid"),
         F.col("POS").alias("Position"), F.col("POS").cast("string").alias("PositionText"),
         F.col("POS").alias("PositionOrder"), F.col("Points").cast("decimal(18,4)").alias("Points"),
         F.col("Laps"), F.col("TimeRetired").alias("Time"), F.lit(1).alias("ResultStatusId"),
         "RaceNr", "POS")
     new = load_fact(staged, result, natural_key=["RaceId", "DriverId"], surrogate="ResultId",
-                    order=["RaceNr", "POS", "DriverId"])
+                    order=["RaceNr", "POS", "DriverId", "ConstructorId", "ResultNumber", "Points", "Laps", "Time"])
     return new.withColumn("ResultId", F.col("ResultId").cast("int")).drop("RaceNr", "POS")

@@ -11,28 +11,36 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from podium.operators.ingest import ingest_race_results
 from podium.sources.delimited import tolerant_load
-from podium.sources.sinks import append
+from podium.sources.sinks import append, materialize
 
 TABLES = ("Circuit", "Constructor", "Driver", "Season", "Race", "Result")
 
 
 def run_ingest(spark: SparkSession, csv_path: str, tables_dir: str, *,
                race_date: dt.date | str = "1970-01-01") -> tuple[dict[str, int], DataFrame]:
-    """Returns (rows appended per table, rejected lines with reasons)."""
+    """Returns (rows appended per table, rejected lines with reasons: lines that did not
+    parse, and lines that found no race or driver).
+
+    The staged lines are stored once (S6): six steps read them, and an executor lost on the way
+    does not change them. New rows are stored before any table grows, since they are
+    computed from the tables' current contents.
+    """
     stage, rejects = tolerant_load(spark, csv_path)
-    stage = stage.persist()   # S6: the staging rows feed six steps
+    stage = materialize(stage, "ingest_stage")
     current = {name: spark.read.parquet(f"{tables_dir.rstrip('/')}/{name}") for name in TABLES}
     new = ingest_race_results(stage, current, race_date=race_date)
+    rows = {name: materialize(new[name].select(*[c for c in current[name].columns if c in new[name].columns]), "ingest_new")
+            for name in TABLES}
+    lost = new["Unresolved"]
+    lost = materialize(lost.select(F.concat_ws(";", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in stage.columns]).alias("line"),
+                                   "reason"), "ingest_lost")
     appended = {}
     for name in TABLES:      # dimensions first, facts last
-        rows = new[name].select(*current[name].columns) if new[name].columns != current[name].columns \
-            else new[name]
-        count = rows.count()
-        if count:
-            append(rows, f"{tables_dir.rstrip('/')}/{name}")
-        appended[name] = count
-    stage.unpersist()
-    return appended, rejects
+        appended[name] = rows[name].count()
+        if appended[name]:
+            append(rows[name], f"{tables_dir.rstrip('/')}/{name}")
+    return appended, rejects.unionByName(lost)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from podium.operators import rules as R
 from podium.operators import upsert as U
 from podium.operators.overlay import overlay_rows, update_columns
+from podium.plans.publish_job import apply_and_publish
+from podium.sources.sinks import ConstraintViolation, fresh_folder, path_exists
 from podium.sources.tables import read_tables
 
 CUT = "2000-01-01"
@@ -80,6 +82,29 @@ def _update_batch(t) -> DataFrame:
                     "ResultNumber"))
 
 
+def _held_once(t, *group: str) -> DataFrame:
+    """Open lines whose group holds no other result, moved to a place nobody uses: updates no rule objects to."""
+    rows = results(t)
+    alone = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 1).select(*group)
+    return (rows.filter(F.col("LineStatus") == "O").join(alone, list(group), "left_semi")
+            .select("ResultId", "RaceId", "DriverId", (F.col("Position") + 100).alias("Position"), "ResultNumber"))
+
+
+def _dirty_batch(t) -> DataFrame:
+    """Open lines one place lower, with everything a caller can get wrong: unknown races, unknown
+    results, a key given twice, and NULL positions and numbers (which are legal)."""
+    key = F.col("ResultId")
+    other = F.struct(key["l_orderkey"].alias("l_orderkey"), (key["l_linenumber"] + 1000).alias("l_linenumber"),
+                     key["l_partkey"].alias("l_partkey"), key["l_suppkey"].alias("l_suppkey"),
+                     key["l_shipdate"].alias("l_shipdate"))
+    rows = results(t).filter(F.col("LineStatus") == "O").select(
+        F.when(F.col("DriverId") % 41 == 0, other).otherwise(key).alias("ResultId"),
+        F.when(F.col("DriverId") % 40 == 0, -F.col("RaceId")).otherwise(F.col("RaceId")).alias("RaceId"),
+        "DriverId", F.nullif(F.col("Position") + 1, F.lit(7)).alias("Position"),
+        F.when(F.col("ResultNumber") % 10 != 0, F.col("ResultNumber")).alias("ResultNumber"))
+    return rows.unionByName(rows.filter(F.col("DriverId") % 43 == 0))
+
+
 # -- R1-R4: audits of the whole state, and checks restricted to a batch --------------------
 
 def r1_dup_position(spark: SparkSession, root: str) -> DataFrame:
@@ -209,35 +234,126 @@ def u7_create(spark: SparkSession, root: str) -> DataFrame:
                                   R.number_owner_rule(NUMBER_GATE)))
 
 
+def _updated(t, batch: DataFrame, rule) -> DataFrame:
+    return _report(U.update_results(results(t).select(*RESULT_COLS), batch, races(t), rule))
+
+
 def u2_update(spark: SparkSession, root: str) -> DataFrame:
-    """Full-row updates under the position rule, all or nothing."""
+    """A dirty batch of full-row updates under the position rule, refused as a whole."""
     t = read_tables(spark, root)
-    return _report(U.update_results(results(t).select(*RESULT_COLS), _update_batch(t), races(t),
-                                    R.position_rule(POSITION_GATE)))
+    return _updated(t, _dirty_batch(t), R.position_rule(POSITION_GATE))
+
+
+def u2_update_clean(spark: SparkSession, root: str) -> DataFrame:
+    """A clean batch, accepted as a whole."""
+    t = read_tables(spark, root)
+    return _updated(t, _held_once(t, "RaceId", "Position"), R.position_rule(POSITION_GATE))
 
 
 def u4_update(spark: SparkSession, root: str) -> DataFrame:
-    """U4: the same updates under the driver rule."""
+    """U4: the dirty batch under the driver rule."""
     t = read_tables(spark, root)
-    return _report(U.update_results(results(t).select(*RESULT_COLS), _update_batch(t), races(t),
-                                    R.driver_rule(DRIVER_GATE)))
+    return _updated(t, _dirty_batch(t), R.driver_rule(DRIVER_GATE))
+
+
+def u4_update_clean(spark: SparkSession, root: str) -> DataFrame:
+    """U4: updates of drivers with one result in the race, accepted as a whole."""
+    t = read_tables(spark, root)
+    return _updated(t, _held_once(t, "RaceId", "DriverId"), R.driver_rule(DRIVER_GATE))
 
 
 def u8_update(spark: SparkSession, root: str) -> DataFrame:
-    """U8: the same updates under the number rule."""
+    """U8: the dirty batch under the number rule."""
     t = read_tables(spark, root)
-    return _report(U.update_results(results(t).select(*RESULT_COLS), _update_batch(t), races(t),
-                                    R.number_owner_rule(NUMBER_GATE)))
+    return _updated(t, _dirty_batch(t), R.number_owner_rule(NUMBER_GATE))
+
+
+def u8_update_clean(spark: SparkSession, root: str) -> DataFrame:
+    """U8: results that change to a number nobody has, accepted as a whole."""
+    t = read_tables(spark, root)
+    batch = _held_once(t, "RaceId", "Position").withColumn(
+        "ResultNumber", F.lit(10 ** 9) + F.col("RaceId") * 1000 + F.col("Position"))
+    return _updated(t, batch, R.number_owner_rule(NUMBER_GATE))
+
+
+def _season_moves(t, years: int) -> DataFrame:
+    """Pending orders move ``years`` seasons on; some of them name a race that does not exist."""
+    return races(t).filter(F.col("Status") == "P").select(
+        F.when(F.col("CustomerId") % 20 == 0, -F.col("RaceId")).otherwise(F.col("RaceId")).alias("RaceId"),
+        "CustomerId", (F.col("RaceYear") + years).alias("RaceYear"))
 
 
 def u6_cap_move(spark: SparkSession, root: str) -> DataFrame:
-    """Pending orders move to the next season; cap checked on moved races only."""
+    """Pending orders move to the next season, where some seasons are full; cap checked on
+    moved races only, unknown races ignored."""
     t = read_tables(spark, root)
     base = races(t).select("RaceId", "CustomerId", "RaceYear")
-    batch = (races(t).filter(F.col("Status") == "P")
-             .select("RaceId", "CustomerId", (F.col("RaceYear") + 1).alias("RaceYear")))
     rule = R.season_cap_rule(SEASON_CAP, group=("CustomerId", "RaceYear"))
-    return _report(U.update_races(base, batch, rule), key="RaceId")
+    return _report(U.update_races(base, _season_moves(t, 1), rule), key="RaceId")
+
+
+def u6_cap_move_clean(spark: SparkSession, root: str) -> DataFrame:
+    """The same moves into empty seasons far ahead, of as many as a season holds: accepted,
+    and unknown races still ignored."""
+    t = read_tables(spark, root)
+    base = races(t).select("RaceId", "CustomerId", "RaceYear")
+    moves = _season_moves(t, 50)
+    small = (moves.groupBy("CustomerId", "RaceYear").agg(F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") <= SEASON_CAP).select("CustomerId", "RaceYear"))
+    rule = R.season_cap_rule(SEASON_CAP, group=("CustomerId", "RaceYear"))
+    return _report(U.update_races(base, moves.join(small, ["CustomerId", "RaceYear"], "left_semi"), rule), key="RaceId")
+
+
+def u_key_checks(spark: SparkSession, root: str) -> DataFrame:
+    """Key checks before the position rule: arriving results together with some that exist already,
+    some that are given twice, and drivers that no longer exist."""
+    t = read_tables(spark, root)
+    base, batch = _split(t)
+    rows = batch.select(*RESULT_COLS, "seq")
+    again = base.filter(F.col("DriverId") % 9 == 0).select(*RESULT_COLS, "seq")
+    twice = rows.filter(F.col("DriverId") % 7 == 0)
+    drivers = t.supplier.filter(F.col("s_nationkey") % 5 != 0)
+    return _report(U.create_unique(base, rows.unionByName(again).unionByName(twice), races(t), R.position_rule(POSITION_GATE),
+                                   parents={"DriverId": (drivers, "s_suppkey")}))
+
+
+def s8_last_change(spark: SparkSession, root: str) -> DataFrame:
+    """S8 with several changes of a key in one batch: the last one holds."""
+    t = read_tables(spark, root)
+    one = _update_batch(t)
+    changes = (one.withColumn("seq", F.lit(1))
+               .unionByName(one.withColumn("Position", F.col("Position") + 2).withColumn("seq", F.lit(3)))
+               .unionByName(one.withColumn("Position", F.col("Position") + 9).withColumn("seq", F.lit(2))))
+    base = results(t).select(*RESULT_COLS)
+    return overlay_rows(base, changes, "ResultId", seq="seq").withColumn("ResultId", result_id_text("ResultId"))
+
+
+def s14_publish_clean(spark: SparkSession, root: str) -> DataFrame:
+    """A clean change batch is published; the published snapshot is read back."""
+    t = read_tables(spark, root)
+    target = fresh_folder(spark, "s14_clean")
+    apply_and_publish(results(t).select(*RESULT_COLS), _held_once(t, "RaceId", "Position"), races(t),
+                      [R.position_rule(POSITION_GATE)], target)
+    return spark.read.parquet(target).withColumn("ResultId", result_id_text("ResultId"))
+
+
+def s14_publish_refused(spark: SparkSession, root: str) -> DataFrame:
+    """A batch that breaks the position rule leaves nothing behind. The rows are the groups
+    that the refused state would have held twice."""
+    t = read_tables(spark, root)
+    target = fresh_folder(spark, "s14_refused")
+    base, batch = results(t).select(*RESULT_COLS), _update_batch(t)
+    rule = R.position_rule(POSITION_GATE)
+    refused = None
+    try:
+        apply_and_publish(base, batch, races(t), [rule], target)
+    except ConstraintViolation as violation:
+        refused = violation.name
+    state = overlay_rows(base, batch, "ResultId")
+    touched = state.join(batch.select("ResultId"), "ResultId", "left_semi")
+    v = R.violations(rule, state, touched, races=races(t))
+    return v.select("RaceId", "Position", F.col("Count").cast("long").alias("Count"), F.lit(refused).alias("Refused"),
+                    F.lit(path_exists(spark, target)).alias("Published"))
 
 
 def t15_combined_rules(spark: SparkSession, root: str) -> DataFrame:
@@ -249,8 +365,29 @@ def t15_combined_rules(spark: SparkSession, root: str) -> DataFrame:
                                        races(t), rules))
 
 
+def t15_combined_rules_clean(spark: SparkSession, root: str) -> DataFrame:
+    """One new result per race, by a new driver on a place nobody has and without a number."""
+    t = read_tables(spark, root)
+    base, batch = _split(t)
+    first = batch.groupBy("RaceId").agg(F.min("seq").alias("seq"))
+    rows = batch.join(first, ["RaceId", "seq"], "left_semi").select(
+        "ResultId", "RaceId", (-F.col("DriverId")).alias("DriverId"), F.lit(1000).alias("Position"),
+        F.lit(None).cast("long").alias("ResultNumber"), "seq")
+    rules = [R.position_rule(POSITION_GATE), R.driver_rule(DRIVER_GATE), R.number_owner_rule(NUMBER_GATE)]
+    return _report(U.create_with_rules(base.select(*RESULT_COLS), rows, races(t), rules))
+
+
 QUERIES = {
     "t15_combined_rules": t15_combined_rules,
+    "t15_combined_rules_clean": t15_combined_rules_clean,
+    "u2_update_clean": u2_update_clean,
+    "u4_update_clean": u4_update_clean,
+    "u6_cap_move_clean": u6_cap_move_clean,
+    "u8_update_clean": u8_update_clean,
+    "u_key_checks": u_key_checks,
+    "s8_last_change": s8_last_change,
+    "s14_publish_clean": s14_publish_clean,
+    "s14_publish_refused": s14_publish_refused,
     "r1_dup_position": r1_dup_position,
     "r1_touched": r1_touched,
     "r2_dup_driver": r2_dup_driver,

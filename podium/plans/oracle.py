@@ -398,20 +398,37 @@ SELECT ResultId, CASE WHEN Error IS NULL THEN 'accepted' ELSE 'rejected' END AS
 _REFUSED = "Batch refused: another row of the batch violates a rule"
 
 
-def _update_sql(clash: str, message: str) -> str:
-    return _with(IRACE, IRES, IUPD) + f"""
-, B AS (SELECT u.*, ra.RaceYear, u.ResultId IN (SELECT ResultId FROM IRes) AS known
+IDIRTY = """IOne AS (SELECT CASE WHEN DriverId % 41 = 0 THEN concat_ws(':', RaceId, Position + 1000, ResultNumber, DriverId,
+                                      strftime(ShipDate, '%Y%m%d')) ELSE ResultId END AS ResultId,
+                CASE WHEN DriverId % 40 = 0 THEN -RaceId ELSE RaceId END AS RaceId, DriverId,
+                nullif(Position + 1, 7) AS Position, CASE WHEN ResultNumber % 10 <> 0 THEN ResultNumber END AS ResultNumber
+         FROM IRes WHERE LineStatus = 'O'),
+IUpd AS (SELECT * FROM IOne UNION ALL SELECT * FROM IOne WHERE DriverId % 43 = 0)"""
+
+
+def _held_once(*group: str, number: str = "ResultNumber") -> str:
+    return f"""IUpd AS (SELECT ResultId, RaceId, DriverId, Position + 100 AS Position, {number} AS ResultNumber
+             FROM (SELECT *, count(*) OVER (PARTITION BY {', '.join(group)}) AS held FROM IRes)
+             WHERE held = 1 AND LineStatus = 'O')"""
+
+
+def _update_sql(clash: str, message: str, batch: str = IDIRTY) -> str:
+    return _with(IRACE, IRES, batch) + f"""
+, B AS (SELECT u.*, ra.RaceYear, u.ResultId IN (SELECT ResultId FROM IRes) AS known,
+               count(*) OVER (PARTITION BY u.ResultId) AS copies
         FROM IUpd u LEFT JOIN IRace ra ON ra.RaceId = u.RaceId),
+Sound AS (SELECT * FROM B WHERE RaceYear IS NOT NULL AND known AND copies = 1),
 State AS (SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM IRes
-          WHERE ResultId NOT IN (SELECT ResultId FROM B WHERE RaceYear IS NOT NULL AND known)
+          WHERE ResultId NOT IN (SELECT ResultId FROM Sound)
           UNION ALL
-          SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM B WHERE RaceYear IS NOT NULL AND known),
+          SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM Sound),
 StateSeason AS (SELECT s.*, r2.RaceYear FROM State s JOIN IRace r2 ON r2.RaceId = s.RaceId),
 NumberSpan AS (SELECT RaceYear, ResultNumber, MIN(DriverId) AS lo, MAX(DriverId) AS hi FROM StateSeason
                WHERE ResultNumber IS NOT NULL GROUP BY RaceYear, ResultNumber),
 E AS (SELECT B.ResultId,
              CASE WHEN B.RaceYear IS NULL THEN 'Race does not exist'
                   WHEN NOT B.known THEN 'Result does not exist'
+                  WHEN B.copies > 1 THEN 'Key is repeated in the batch'
                   WHEN {clash} THEN '{message}' END AS Error FROM B),
 Failed AS (SELECT COUNT(*) FILTER (WHERE Error IS NOT NULL) AS failed FROM E)
 SELECT ResultId,
@@ -422,23 +439,26 @@ FROM E, Failed
 """
 
 
-U2 = _update_sql(f"""B.Position IS NOT NULL AND B.RaceYear >= {I.POSITION_GATE} AND EXISTS (
+_U2 = (f"""B.Position IS NOT NULL AND B.RaceYear >= {I.POSITION_GATE} AND EXISTS (
     SELECT 1 FROM State s WHERE s.RaceId = B.RaceId AND s.Position = B.Position AND s.ResultId <> B.ResultId)""",
-                 "Position is already occupied in race")
-U4 = _update_sql(f"""B.DriverId IS NOT NULL AND B.RaceYear >= {I.DRIVER_GATE} AND EXISTS (
+       "Position is already occupied in race")
+_U4 = (f"""B.DriverId IS NOT NULL AND B.RaceYear >= {I.DRIVER_GATE} AND EXISTS (
     SELECT 1 FROM State s WHERE s.RaceId = B.RaceId AND s.DriverId = B.DriverId AND s.ResultId <> B.ResultId)""",
-                 "Driver already has a result in this race")
+       "Driver already has a result in this race")
 # another row of the season holds the number with another driver exactly when the
 # number's lowest or highest driver differs from this row's driver
-U8 = _update_sql(f"""B.ResultNumber IS NOT NULL AND B.RaceYear >= {I.NUMBER_GATE} AND EXISTS (
+_U8 = (f"""B.ResultNumber IS NOT NULL AND B.RaceYear >= {I.NUMBER_GATE} AND EXISTS (
     SELECT 1 FROM NumberSpan n
     WHERE n.RaceYear = B.RaceYear AND n.ResultNumber = B.ResultNumber
       AND (n.lo <> B.DriverId OR n.hi <> B.DriverId))""",
-                 "ResultNumber already used by another driver in this season")
+       "ResultNumber already used by another driver in this season")
+
 
-U6 = _with(IRACE) + f"""
+def _cap_move_sql(years: int, which: str = "") -> str:
+    return _with(IRACE) + f"""
 , Base AS (SELECT RaceId, CustomerId, RaceYear FROM IRace),
-Upd AS (SELECT RaceId, CustomerId, RaceYear + 1 AS RaceYear FROM IRace WHERE Status = 'P'),
+Upd AS (SELECT CASE WHEN CustomerId % 20 = 0 THEN -RaceId ELSE RaceId END AS RaceId, CustomerId,
+               RaceYear + {years} AS RaceYear FROM IRace WHERE Status = 'P' {which}),
 B AS (SELECT u.*, b.RaceYear AS OldYear, b.CustomerId AS OldCust, b.RaceId IS NOT NULL AS known
       FROM Upd u LEFT JOIN Base b ON b.RaceId = u.RaceId),
 State AS (SELECT * FROM Base WHERE RaceId NOT IN (SELECT RaceId FROM Upd)
@@ -458,10 +478,18 @@ SELECT RaceId,
 FROM E, Failed
 """
 
+
+_SMALL = f"QUALIFY count(*) OVER (PARTITION BY CustomerId, RaceYear) <= {I.SEASON_CAP}"
+
 # All three result rules at once, each row reporting the first rule its group breaks
 # in base + batch; the batch is refused as a whole if any row fails.
-T15 = _with(IRACE, IRES, ISPLIT) + f"""
-, B AS (SELECT b.*, ra.RaceYear FROM IBatch b LEFT JOIN IRace ra ON ra.RaceId = b.RaceId),
+_T15_CLEAN = f"""INew AS (SELECT ResultId, RaceId, -DriverId AS DriverId, 1000 AS Position, NULL::BIGINT AS ResultNumber FROM IBatch
+                         QUALIFY row_number() OVER (PARTITION BY RaceId ORDER BY {_SEQ}) = 1)"""
+
+
+def _combined_sql(batch: str = "INew AS (SELECT * FROM IBatch)") -> str:
+    return _with(IRACE, IRES, ISPLIT, batch) + f"""
+, B AS (SELECT b.*, ra.RaceYear FROM INew b LEFT JOIN IRace ra ON ra.RaceId = b.RaceId),
 State AS (SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM IBase
           UNION ALL SELECT ResultId, RaceId, DriverId, Position, ResultNumber FROM B WHERE RaceYear IS NOT NULL),
 StateSeason AS (SELECT s.*, r.RaceYear FROM State s JOIN IRace r ON r.RaceId = s.RaceId),
@@ -489,8 +517,53 @@ SELECT ResultId,
 FROM E, Failed
 """
 
+# creates with keys that exist, keys given twice and drivers that are gone, in the order of the checks
+U_KEYS = _with(IRACE, IRES, ISPLIT) + f"""
+, Asked AS (SELECT * FROM IBatch UNION ALL SELECT * FROM IBase WHERE DriverId % 9 = 0
+            UNION ALL SELECT * FROM IBatch WHERE DriverId % 7 = 0),
+B AS (SELECT b.*, ra.RaceYear, count(*) OVER (PARTITION BY b.ResultId) AS copies FROM Asked b LEFT JOIN IRace ra ON ra.RaceId = b.RaceId),
+Early AS (SELECT *, CASE WHEN RaceYear IS NULL THEN 'Race does not exist'
+                         WHEN ResultId IN (SELECT ResultId FROM IBase) THEN 'Key already exists'
+                         WHEN copies > 1 THEN 'Key is repeated in the batch'
+                         WHEN DriverId NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 <> 0)
+                         THEN 'Driver does not exist' END AS e FROM B),
+Ranked AS (SELECT ResultId, row_number() OVER (PARTITION BY RaceId, Position ORDER BY {_SEQ}) AS rn FROM Early
+           WHERE e IS NULL AND Position IS NOT NULL AND RaceYear >= {I.POSITION_GATE}),
+Done AS (SELECT Early.ResultId, coalesce(e, CASE WHEN rn > 1 OR (rn = 1 AND EXISTS (
+             SELECT 1 FROM IBase x WHERE x.RaceId = Early.RaceId AND x.Position = Early.Position))
+             THEN 'Position is already occupied in race' END) AS Error
+         FROM Early LEFT JOIN Ranked ON Ranked.ResultId = Early.ResultId)
+SELECT ResultId, CASE WHEN Error IS NULL THEN 'accepted' ELSE 'rejected' END AS Status, Error FROM Done
+"""
+
+S8_LAST = _with(IRES) + """
+SELECT ResultId, RaceId, DriverId, CASE WHEN LineStatus = 'O' THEN Position + 3 ELSE Position END AS Position, ResultNumber FROM IRes
+"""
+
+S14_CLEAN = _with(IRES, _held_once("RaceId", "Position")) + """
+SELECT r.ResultId, r.RaceId, r.DriverId, coalesce(u.Position, r.Position) AS Position, r.ResultNumber
+FROM IRes r LEFT JOIN IUpd u ON u.ResultId = r.ResultId
+"""
+
+S14_REFUSED = _with(IRACE, IRES) + f"""
+, State AS (SELECT *, CASE WHEN LineStatus = 'O' THEN Position + 1 ELSE Position END AS Place FROM IRes)
+SELECT s.RaceId, Place AS Position, count(*) AS Count, 'R1' AS Refused, FALSE AS Published
+FROM State s JOIN IRace ra ON ra.RaceId = s.RaceId WHERE ra.RaceYear >= {I.POSITION_GATE}
+GROUP BY s.RaceId, Place HAVING count(*) > 1 AND count(*) FILTER (LineStatus = 'O') > 0
+"""
+
 ORACLE.update({
-    "t15_combined_rules": T15,
+    "t15_combined_rules": _combined_sql(),
+    "t15_combined_rules_clean": _combined_sql(_T15_CLEAN),
+    "u_key_checks": U_KEYS,
+    "s8_last_change": S8_LAST,
+    "s14_publish_clean": S14_CLEAN,
+    "s14_publish_refused": S14_REFUSED,
+    "u2_update_clean": _update_sql(*_U2, _held_once("RaceId", "Position")),
+    "u4_update_clean": _update_sql(*_U4, _held_once("RaceId", "DriverId")),
+    "u8_update_clean": _update_sql(*_U8, _held_once(
+        "RaceId", "Position", number="1000000000 + RaceId * 1000 + Position + 100")),
+    "u6_cap_move_clean": _cap_move_sql(50, _SMALL),
     "r1_dup_position": R1_AUDIT,
     "r1_touched": R1_TOUCHED,
     "r2_dup_driver": R2_AUDIT,
@@ -502,13 +575,13 @@ ORACLE.update({
     "s8_overlay": S8,
     "s9_partial_update": S9,
     "u1_create": U1,
-    "u2_update": U2,
+    "u2_update": _update_sql(*_U2),
     "u3_create": U3,
-    "u4_update": U4,
+    "u4_update": _update_sql(*_U4),
     "u5_cap_create": U5,
-    "u6_cap_move": U6,
+    "u6_cap_move": _cap_move_sql(1),
     "u7_create": U7,
-    "u8_update": U8,
+    "u8_update": _update_sql(*_U8),
 })
 
 

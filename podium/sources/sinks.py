@@ -85,16 +85,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/podium/{name}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = shared_folder(spark, f"{name}/{uuid.uuid4().hex}")
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to a fresh folder under the shared checkpoint directory and
     read it back: one computation, lineage cut, and the result survives executor
     loss (unlike a cache or a local checkpoint). For intermediates that later steps
     read several times, such as the standings table. The folder goes when the application ends."""
     spark = df.sparkSession
-    path = shared_folder(spark, f"{name}/{uuid.uuid4().hex}")
+    path = fresh_folder(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    fs, at = _file_system(spark, path)
-    fs.deleteOnExit(at)
     return spark.read.parquet(path)
 
 
