@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from podium.plans import (
-    analytics, championship, integrity, layouts, loading, oracle, scalars, streams,
+    analytics, championship, feeds, integrity, layouts, loading, oracle, scalars, streams,
 )
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 def all_queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
-    for module in (analytics, championship, integrity, loading, layouts, streams, scalars):
+    for module in (analytics, championship, feeds, integrity, loading, layouts, streams, scalars):
         out.update(module.QUERIES)
     return out
 
