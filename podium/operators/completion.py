@@ -21,12 +21,13 @@ def _season_results(results, races, race, driver, laps, season, season_value):
 
 
 def min_completion(results: DataFrame, races: DataFrame, drivers: DataFrame, *,
-                   season_value: int, threshold: float = 0.9, method: str = "aggregate",
+                   season_value: int, threshold: float = 0.9, min_entries: int = 1, method: str = "aggregate",
                    race: str = "RaceId", driver: str = "DriverId", laps: str = "Laps",
                    season: str = "RaceYear", first: str = "Firstname", last: str = "Lastname",
                    name: str = "Name") -> DataFrame:
     """Q1 (options 1-3). Output: ``Name``, ``Completion`` ('98%'), ``MinCompletion``.
 
+    min_entries: races a driver must have entered (1 lets one-race drivers qualify).
     ``method="aggregate"`` (default, options 1/3): per-race ``max(laps)`` is a
     partial aggregate straight on the results; the season's races pick their maxima (one
     row per race), and the results join these once, in a join that AQE can split for a race
@@ -50,8 +51,8 @@ def min_completion(results: DataFrame, races: DataFrame, drivers: DataFrame, *,
     per_driver = (per.groupBy(driver)
                   .agg(F.min(ratio).alias("MinCompletion"),
                        # rounding is monotone, so min of rounded = rounded min
-                       F.min(whole_percent(laps, "_max_laps")).alias("_pct")))
-    qualified = per_driver.filter(F.col("MinCompletion") >= threshold)  # P9 HAVING
+                       F.min(whole_percent(laps, "_max_laps")).alias("_pct"), F.count(F.lit(1)).alias("_entries")))
+    qualified = per_driver.filter((F.col("MinCompletion") >= threshold) & (F.col("_entries") >= min_entries))  # P9 HAVING
     return (qualified.join(drivers.select(driver, first, last), driver)
             .select(full_name(first, last).alias(name),
                     F.concat(F.col("_pct").cast("string"), F.lit("%")).alias("Completion"),

@@ -19,8 +19,8 @@ from podium.operators.completion import min_completion
 from podium.operators.fastest import fastest_per_group, first_per_group_scalar
 from podium.operators.periods import active_periods, driver_seasons, periods_report
 from podium.operators.shares import (
-    career_wins, career_wins_report, season_win_share, season_win_share_report,
-    season_win_share_two_pass,
+    career_wins, career_wins_report, career_wins_two_aggregates, career_wins_window, season_win_share,
+    season_win_share_lateral, season_win_share_report, season_win_share_two_pass,
 )
 from podium.plans import model
 from podium.sources.tables import read_tables
@@ -129,7 +129,28 @@ def q4_returners(spark: SparkSession, root: str) -> DataFrame:
 def q5_career_wins(spark: SparkSession, root: str) -> DataFrame:
     """Q5 option 3."""
     t = read_tables(spark, root)
-    wins = career_wins(model.result(t), min_wins=Q5_MIN_WINS)
+    return _q5_report(t, career_wins(model.result(t), min_wins=Q5_MIN_WINS))
+
+
+def q5_two_aggregates(spark: SparkSession, root: str) -> DataFrame:
+    """Q5 option 1 (two aggregates joined, G5)."""
+    t = read_tables(spark, root)
+    return _q5_report(t, career_wins_two_aggregates(model.result(t), min_wins=Q5_MIN_WINS))
+
+
+def q5_window(spark: SparkSession, root: str) -> DataFrame:
+    """Q5 option 2 (W3, W4 and DISTINCT, J15)."""
+    t = read_tables(spark, root)
+    return _q5_report(t, career_wins_window(model.result(t), min_wins=Q5_MIN_WINS))
+
+
+def q5_distinct_races(spark: SparkSession, root: str) -> DataFrame:
+    """Q5 with entries as distinct races (trap T12)."""
+    t = read_tables(spark, root)
+    return _q5_report(t, career_wins(model.result(t), min_wins=Q5_MIN_WINS, distinct_races=True))
+
+
+def _q5_report(t, wins: DataFrame) -> DataFrame:
     return (career_wins_report(wins, _periods(t, "supplier"), model.supplier_driver(t),
                                name_col=full_name("Firstname", "Lastname"))
             .withColumn("Entries", F.col("Entries").cast("long"))
@@ -150,6 +171,22 @@ def q6_left_join(spark: SparkSession, root: str) -> DataFrame:
     return _q6_report(t, season_win_share_two_pass(model.result(t), model.race(t)))
 
 
+def q6_lateral(spark: SparkSession, root: str) -> DataFrame:
+    """Q6 option 3 (correlated counts in a LATERAL subquery)."""
+    t = read_tables(spark, root)
+    return _q6_report(t, season_win_share_lateral(model.result(t), model.race(t)))
+
+
+def o3_latest_race(spark: SparkSession, root: str) -> DataFrame:
+    """O3: the one latest race, ``TOP 1 ... ORDER BY`` - each task keeps one row, one row per task is
+    compared - with its number of results."""
+    t = read_tables(spark, root)
+    latest = (model.race(t).orderBy(F.col("RaceDate").desc(), F.col("RaceId").desc()).limit(1)
+              .select("RaceId", F.col("RaceDate").cast("string").alias("RaceDate")))
+    counts = model.result(t).groupBy("RaceId").agg(F.count(F.lit(1)).alias("Results"))
+    return latest.join(counts, "RaceId", "left").select("RaceId", "RaceDate", F.coalesce("Results", F.lit(0)).alias("Results"))
+
+
 def _q6_report(t, shares: DataFrame) -> DataFrame:
     return (season_win_share_report(shares, model.supplier_driver(t),
                                     name_col=full_name("Firstname", "Lastname"))
@@ -169,4 +206,9 @@ QUERIES = {
     "q5_career_wins": q5_career_wins,
     "q6_win_share": q6_win_share,
     "q6_left_join": q6_left_join,
+    "q5_two_aggregates": q5_two_aggregates,
+    "q5_window": q5_window,
+    "q5_distinct_races": q5_distinct_races,
+    "q6_lateral": q6_lateral,
+    "o3_latest_race": o3_latest_race,
 }
