@@ -683,21 +683,30 @@ UNION ALL SELECT concat_ws(';', RaceNr, Circuit, coalesce(POS::VARCHAR, ''), NO,
 
 # -- layouts (same answers as the plain questions) and the stream ---------------------------
 
-TS1 = _with(IRACE, IRES) + f"""
-, B AS (SELECT b.*, ra.RaceYear FROM IRes b LEFT JOIN IRace ra ON ra.RaceId = b.RaceId),
-Ranked AS (SELECT ResultId, ROW_NUMBER() OVER (PARTITION BY RaceId, Position ORDER BY {_SEQ}) AS rn
-           FROM B WHERE RaceYear IS NOT NULL AND Position IS NOT NULL AND RaceYear >= {I.POSITION_GATE})
-SELECT B.ResultId,
-       CASE WHEN k.rn > 1 OR B.RaceYear IS NULL THEN 'rejected' ELSE 'accepted' END AS Status,
-       CASE WHEN B.RaceYear IS NULL THEN 'Race does not exist'
-            WHEN k.rn > 1 THEN 'Position is already occupied in race' END AS Error
-FROM B LEFT JOIN Ranked k ON k.ResultId = B.ResultId
+S12 = _with(CHAMPIONSHIP) + """
+SELECT s.RaceId::BIGINT AS RaceId, s.DriverId::BIGINT AS DriverId, s.Position::BIGINT AS Position, s.Points::DOUBLE AS Points,
+       r.Position::BIGINT AS Place, r.Points::DOUBLE AS Scored
+FROM DriverStanding s LEFT JOIN RoundResult r ON r.RaceId = s.RaceId AND r.DriverId = s.DriverId
 """
 
+from podium.plans import layouts as Y  # noqa: E402
+
+S13 = f"""
+SELECT l_orderkey AS RaceId, l_suppkey AS DriverId, l_partkey AS PartId, l_linenumber::BIGINT AS Position,
+       l_extendedprice AS FastestLapTime, l_quantity AS Laps
+FROM lineitem WHERE l_orderkey BETWEEN {Y.S13_FROM} AND {Y.S13_TO} AND l_extendedprice IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber, l_partkey, l_suppkey) = 1
+"""
+
+# deliveries come in the order of seq, so a feed ends as the creates do
 ORACLE.update({
     "s11_bucketed_win_share": Q6_SINGLE,
-    "s13_clustered_fastest": Q2_FIRST,
-    "ts1_stream": TS1,
+    "s12_standings_results": S12,
+    "s13_clustered_fastest": S13,
+    "ts1_stream": U1,
+    "ts1_stream_driver": U3,
+    "ts1_stream_number": U7,
+    "ts1_stream_cap": U5,
 })
 
 

@@ -57,15 +57,14 @@ def save_bucketed(df: DataFrame, table: str, *, bucket_by: Sequence[str], sort_b
                   buckets: int | None = None, path: str | None = None) -> None:
     """A bucketed, sorted catalog table (``bucketBy`` needs ``saveAsTable``).
 
-    buckets: defaults to the session's shuffle partition count, so a join with
-    an unbucketed side shuffles that side only into matching partitions.
-    path: where the files go (an external table); by default a folder under the
+    buckets: how many; ``files_for`` gives a number from bytes. The rows are dealt by
+    the bucket columns first, so each task writes one bucket's file instead of a file per bucket. path: where the files go (an external table); by default a folder under the
     shared checkpoint directory, never the driver's working directory.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     location = path or shared_folder(spark, f"tables/{table}")
-    (df.write.mode("overwrite").format("parquet").option("path", location)
+    (df.repartition(n, *bucket_by).write.mode("overwrite").format("parquet").option("path", location)
      .bucketBy(n, *bucket_by).sortBy(*sort_by).saveAsTable(table))
 
 
@@ -78,6 +77,16 @@ def write_range_clustered(df: DataFrame, path: str, *, cluster_by: Sequence[str]
      .write.mode("overwrite").parquet(path))
 
 
+def files_for(spark: SparkSession, inputs: Sequence[str], target_bytes: int = 256 << 20) -> int:
+    """How many files of about ``target_bytes`` the inputs' bytes make (they are columnar
+    as the copies are), at least one."""
+    total = 0
+    for p in inputs:
+        fs, at = _file_system(spark, p)
+        total += fs.getContentSummary(at).getLength()
+    return max(1, -(-total // target_bytes))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder under the cluster's checkpoint directory for materialized tables."""
     from podium.session import checkpoint_dir

@@ -2,34 +2,42 @@
 
 ``readStream`` -> ``foreachBatch``: each micro-batch is the trigger's
 ``inserted`` set. It is checked with the create semantics of the upserts
-against the base plus everything earlier batches accepted, and the batch's
-report (every row with Status and Error) is written to its own
-``batch_id=N`` folder with overwrite. A batch replayed after a failure reads
-only batches before it and rewrites the same folder, so the output is
-idempotent by batch id; the streaming checkpoint records progress.
+against the base plus everything earlier batches accepted. The accepted rows go to a claims table,
+partitioned by a hash bucket of what the rule groups by; a batch reads only the buckets it
+touches, and of the base only the groups it touches, so its work follows its own size and not the feed's
+history. Report and claims of a batch are written under its id with overwrite:
+a batch replayed after a failure reads only batches before it and rewrites the same
+folders, so the output is idempotent; the streaming checkpoint records progress.
 """
 
 from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from podium.operators import rules as R
 from podium.operators import upsert as U
+from podium.sources.sinks import path_exists
 
+BUCKETS = 64
 
-def _published(spark: SparkSession, report_dir: str, batch_id: int, columns: list[str]) -> DataFrame | None:
-    """Rows accepted by batches before ``batch_id`` (None before the first batch)."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(report_dir)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+
+def _bucket(rule) -> Column:
+    """The claims' partition: rows that can meet in one group of the rule share it."""
+    keys = {R.UniqueRule: lambda r: [r.race], R.OwnerRule: lambda r: [r.number], R.CapRule: lambda r: list(r.group)}[type(rule)](rule)
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _claims(spark: SparkSession, folder: str, batch: DataFrame, batch_id: int, rule, columns: list[str]) -> DataFrame | None:
+    """Rows accepted by batches before ``batch_id`` in the buckets that ``batch`` touches."""
+    if not path_exists(spark, folder):
         return None
-    prior = spark.read.parquet(report_dir)
-    return (prior.filter((F.col("batch_id") < batch_id) & (F.col("Status") == U.ACCEPTED))
-            .select(*columns))
+    touched = [r[0] for r in batch.select(_bucket(rule)).distinct().collect()]  # at most BUCKETS numbers
+    prior = spark.read.parquet(folder)
+    return prior.filter(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)).select(*columns)
 
 
 def validate_feed(spark: SparkSession, feed: DataFrame, *, base: DataFrame, races: DataFrame, rule,
@@ -41,11 +49,12 @@ def validate_feed(spark: SparkSession, feed: DataFrame, *, base: DataFrame, race
     base: the published table (results; for a cap rule, races).
     Reports land in ``{out_dir}/report/batch_id=N``.
     """
-    report_dir = f"{out_dir.rstrip('/')}/report"
+    report_dir, claims_dir = f"{out_dir.rstrip('/')}/report", f"{out_dir.rstrip('/')}/claims"
     base_cols = base.columns
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        prior = _published(spark, report_dir, batch_id, base_cols)
+        batch = batch.persist()  # the buckets and the check read it; the source would be read twice
+        prior = _claims(spark, claims_dir, batch, batch_id, rule, base_cols)
         state = base if prior is None else base.unionByName(prior)
         if isinstance(rule, R.UniqueRule):
             report = U.create_unique(state, batch, races, rule, seq=seq)
@@ -57,6 +66,11 @@ def validate_feed(spark: SparkSession, feed: DataFrame, *, base: DataFrame, race
             raise TypeError(f"not a rule: {rule!r}")
         (report.drop(seq).write.mode("overwrite")
          .parquet(f"{report_dir}/batch_id={batch_id}"))
+        accepted = spark.read.parquet(f"{report_dir}/batch_id={batch_id}").filter(F.col("Status") == U.ACCEPTED)
+        (accepted.select(*base_cols, _bucket(rule).alias("bucket"), F.lit(batch_id).alias("batch_id"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket", "batch_id").parquet(claims_dir))
+        batch.unpersist()
 
     writer = (feed.writeStream.foreachBatch(handle)
               .option("checkpointLocation", checkpoint)
