@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from podium.llm import decontaminate, language_id, packing, quality_rules, simhash_dedup
-from podium.llm.common import read_table, stored, workers_find_package
+from podium.llm.common import read_table, stored, prepare_workers
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,25 +19,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known main language."""
-    workers_find_package(spark)
+    prepare_workers(spark)
     return language_id.keep_known(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    workers_find_package(spark)
+    prepare_workers(spark)
     return simhash_dedup.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test passage to a telling extent."""
-    workers_find_package(spark)
+    prepare_workers(spark)
     return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 2048 tokens."""
-    workers_find_package(spark)
+    prepare_workers(spark)
     return packing.packed(docs).drop("ids")
 
 

@@ -32,9 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Let local Python workers import this package whatever the working directory is
-    (a cluster ships it with ``--py-files`` or installs it)."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Settings for the Python workers of this package's jobs: batches of few rows, since a row
+    is a whole text (a session that sets the size itself keeps it), and for local workers
+    the package's place (a cluster ships it with ``--py-files`` or installs it)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if spark.sparkContext.master.startswith("local"):
         spark.sparkContext.environment.setdefault("PYTHONPATH", REPO_ROOT)
 

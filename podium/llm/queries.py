@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.llm import oracle, quality_classifier, toxicity
-from podium.llm.common import fold_of, read_table, stored, workers_find_package
+from podium.llm.common import fold_of, read_table, stored, prepare_workers
 from podium.llm.decontaminate import judged
 from podium.llm.html_extract import extract, infer_wrappers
 from podium.llm.language_id import identify, train
@@ -95,7 +95,7 @@ _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
 
 def _bound(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        workers_find_package(spark)
+        prepare_workers(spark)
         return fn(spark, sf_dir)
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run

@@ -123,7 +123,7 @@ def grammar() -> Transducer:
 class Lexicon:
     """Word to class, by own statistics, then by the longest listed stem, then by the given lists."""
 
-    def __init__(self, words: dict[str, str] | None = None, stems: dict[str, str] | None = None, limit: int = 500_000):
+    def __init__(self, words: dict[str, str] | None = None, stems: dict[str, str] | None = None, limit: int = 400_000):
         self.words, self.stems, self.limit = dict(words or {}), dict(stems or {}), limit
         for names, kind in ((INSULTS, "3"), (THREATS, "H"), (TARGETS, "T"), (NEGATIONS, "N"), (REPORTING, "R")):
             for w in names:
