@@ -20,7 +20,9 @@ import regex
 
 # Unicode White_Space, and Latin characters that NFC leaves alone, that lower to
 # one character and that Python's re classes as the vocabulary's pattern does.
-WHITE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]")
+RARE_WHITE_CODES = [0x0B, 0x0C, 0x0D, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+NOT_PLAIN_TEXT = re.compile("[^\t\n\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
+WHITE = re.compile("[\t\n " + "".join(map(chr, RARE_WHITE_CODES)) + "]")
 PLAIN = re.compile("[\x21-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
@@ -60,7 +62,6 @@ class Vocabulary:
         self.symbols = {b: s for b, s in byte_symbols().items()}
         self._table = {b: s for b, s in self.symbols.items() if chr(b) != s}
         self.size = self.tokenizer.get_vocab_size()
-        self._word_ids = lru_cache(maxsize=200_000)(self._word_ids_of)
 
     def byte_level(self, word: str) -> str:
         if word.isascii():
@@ -77,19 +78,26 @@ class Vocabulary:
         """Lower case of each character by itself."""
         return "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
 
-    def _word_ids_of(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(self.byte_level(word))]
+    def word_ids(self, word: str) -> list[int]:
+        """Ids of one pre-token, from the library's model."""
+        if not word.isascii() or not word.isalpha():
+            word = self.byte_level(word)
+        return [t.id for t in self.model.tokenize(word)]
+
+    def plain_words(self, piece: str) -> list[str] | None:
+        """The lowered words of a plain piece; None if the library has to cut it."""
+        if piece.isascii() and piece.isalpha():
+            return [piece.lower()]
+        if "<" in piece and self.special and self.special.search(piece) or not PLAIN.fullmatch(piece):
+            return None
+        return PLAIN_WORDS.findall(piece.lower())
 
     def piece_ids(self, piece: str) -> list[int]:
         """The library's token ids of a piece without white space."""
-        if "<" in piece and self.special and self.special.search(piece):
+        words = self.plain_words(piece)
+        if words is None:
             return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        if PLAIN.fullmatch(piece):
-            out: list[int] = []
-            for w in PLAIN_WORDS.findall(piece.lower()):
-                out += self._word_ids(w)
-            return out
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return [i for w in words for i in self.word_ids(w)]
 
 
 @lru_cache(maxsize=2)
@@ -99,19 +107,19 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def pieces(text: str) -> list[str]:
-    """The text between single white space characters (empty pieces included)."""
-    if text.isascii():
-        for c in "\n\t\r\x0b\x0c":
-            if c in text:
-                text = text.replace(c, " ")
-        return text.split(" ")
-    return WHITE.split(text)
+    """The text between single white space characters (empty pieces included), lowered where
+    that is sure to change nothing: each character lowers to one, and no special string can arise."""
+    if NOT_PLAIN_TEXT.search(text):
+        return WHITE.split(text)
+    if "<" not in text:
+        text = text.lower()
+    return text.replace("\n", " ").replace("\t", " ").split(" ")
 
 
 class PieceCache(dict):
     """piece -> value, filled on demand; emptied when it holds ``limit`` pieces."""
 
-    def __init__(self, make, limit: int = 500_000):
+    def __init__(self, make, limit: int = 600_000):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -151,11 +159,11 @@ class PrefixBpe:
                     self.starts.setdefault(body[:i], (None, None))
                 inside, end = self.starts[body]
                 self.starts[body] = (inside, token) if token != body else (token, end)
-        self.seam = lru_cache(maxsize=400_000)(self._stable)
-        self.right_edge = lru_cache(maxsize=100_000)(lambda t: self._edge(t, 1))
-        self.left_edge = lru_cache(maxsize=100_000)(lambda t: self._edge(t, 0))
+        self.seam = lru_cache(maxsize=250_000)(self._stable)
+        self.right_edge = lru_cache(maxsize=50_000)(lambda t: self._edge(t, 1))
+        self.left_edge = lru_cache(maxsize=50_000)(lambda t: self._edge(t, 0))
         self.whole = lru_cache(maxsize=100_000)(self._is_whole)
-        self.counts = lru_cache(maxsize=250_000)(self._counts)
+        self.counts = lru_cache(maxsize=100_000)(self._counts)
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
         """Symbols on an edge of the token's merge tree, each with its parent's rank."""

@@ -38,26 +38,35 @@ ROWS_OUT = 256
 
 
 @lru_cache(maxsize=2)
-def _piece_bytes(path: str) -> PieceCache:
-    """Per worker: little-endian 32-bit ids of a piece."""
+def _piece_bytes(path: str, kind: str) -> PieceCache:
+    """Per worker: the ids of a piece as numbers of type ``kind``; a piece of several words is put
+    together from its words' entries."""
     vocab = vocabulary(path)
-    return PieceCache(lambda piece: np.array(vocab.piece_ids(piece), "<u4").tobytes())
 
+    def ids(piece: str) -> bytes:
+        words = vocab.plain_words(piece)
+        if words is None:
+            return np.array(vocab.piece_ids(piece), kind).tobytes()
+        if len(words) == 1:
+            return np.array(vocab.word_ids(words[0]), kind).tobytes()
+        return b"".join([cache[w] for w in words])
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """The text's ids, then the end id, as little-endian 32-bit numbers."""
-    cache = _piece_bytes(path)
-    return b"".join([cache[p] for p in pieces(text or "")]) + np.array([END_ID], "<u4").tobytes()
+    cache = PieceCache(ids)
+    return cache
 
 
-def _token_batches(path: str, wide: bool):
+def token_bytes(text: str | None, path: str, kind: str = "<u4") -> bytes:
+    """The text's ids, then the end id, as numbers of type ``kind``."""
+    cache = _piece_bytes(path, kind)
+    return b"".join([cache[p] for p in pieces(text or "")]) + np.array([END_ID], kind).tobytes()
+
+
+def _token_batches(path: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), ROWS_OUT):
                 batch = whole.slice(at, ROWS_OUT)
-                ids = [token_bytes(t, path) for t in batch.column("text").to_pylist()]
-                if not wide:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                ids = [token_bytes(t, path, kind) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
     return run
 
@@ -66,9 +75,16 @@ def tokenized(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> tuple[Da
     """doc_id and ids of every row, stored, and the numpy type of the ids (two bytes if the
     vocabulary allows)."""
     path = tokenizer_path(tokenizer)
-    wide = vocabulary(path).size > 1 << 16
-    out = docs.select("doc_id", "text").mapInArrow(_token_batches(path, wide), "doc_id long, ids binary")
-    return stored(out, "tokens"), "<u4" if wide else "<u2"
+    kind = "<u4" if vocabulary(path).size > 1 << 16 else "<u2"
+    out = docs.select("doc_id", "text").mapInArrow(_token_batches(path, kind), "doc_id long, ids binary")
+    return stored(out, "tokens"), kind
+
+
+def distinct_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document in order, and how often each occurs."""
+    ordered = np.sort(ids, kind="stable")  # a radix sort for two-byte ids
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[starts], np.diff(np.append(starts, len(ordered)))
 
 
 def global_statistics(tokens: DataFrame, kind: str, vocabulary_size: int) -> tuple[np.ndarray, int, int]:
@@ -80,7 +96,7 @@ def global_statistics(tokens: DataFrame, kind: str, vocabulary_size: int) -> tup
         for batch in batches:
             for ids in batch.column("ids"):
                 a = np.frombuffer(ids.as_py(), kind)
-                seen[np.unique(a)] += 1
+                seen[distinct_counts(a)[0]] += 1
                 docs += 1
                 total += len(a)
         at = np.flatnonzero(seen)
@@ -95,28 +111,42 @@ def global_statistics(tokens: DataFrame, kind: str, vocabulary_size: int) -> tup
 
 
 class InvertedIndex:
-    """BM25 postings of one shard, by token; document frequencies are the whole corpus's."""
+    """BM25 postings of one shard, by token; document frequencies are the whole corpus's. The list of a
+    token that over an eighth of the shard's documents have is kept as a row over all of them."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         terms, owners, weights, self.terms_of = [], [], [], []
         for d, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
+            t, tf = distinct_counts(ids)
             self.terms_of.append(t)
             terms.append(t)
-            owners.append(np.full(len(t), d, np.int32))
-            weights.append((idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))).astype(np.float32))
+            owners.append(np.full(len(t), d))
+            weights.append((idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))))
         term, owner, weight = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights)
+        size = np.bincount(term, minlength=len(idf))
+        common = np.flatnonzero(size > len(docs) / 8)
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        full = self.row[term] >= 0
+        self.common = np.zeros((len(common), len(docs)), np.float32)
+        self.common[self.row[term[full]], owner[full]] = weight[full]
+        term, owner, weight, size[common] = term[~full], owner[~full], weight[~full], 0
         by = np.argsort(term, kind="stable")
         self.owner, self.weight, self.docs = owner[by], weight[by], len(docs)
         self.at = np.zeros(len(idf) + 1, np.int64)
-        np.cumsum(np.bincount(term, minlength=len(idf)), out=self.at[1:])
+        np.cumsum(size, out=self.at[1:])
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of every document of the shard for the distinct tokens of ``doc``."""
         t = self.terms_of[doc]
-        start, size = self.at[t], self.at[t + 1] - self.at[t]
-        rows = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.bincount(self.owner[rows], self.weight[rows], minlength=self.docs)
+        asked = np.zeros(len(self.common), np.float32)
+        asked[self.row[t[self.row[t] >= 0]]] = 1
+        out = (asked @ self.common).astype(np.float64)
+        lists = [slice(a, b) for a, b in zip(self.at[t].tolist(), self.at[t + 1].tolist()) if a < b]
+        if lists:
+            owners = np.concatenate([self.owner[x] for x in lists])
+            out += np.bincount(owners, np.concatenate([self.weight[x] for x in lists]), minlength=self.docs)
+        return out
 
 
 def neighbour_order(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, room: int, window: int):
