@@ -8,9 +8,9 @@ optional groups, groups that repeat on one side only become repeated groups, and
 A host's streams are folded in salted parts first and the parts' wrappers then with each other,
 so a hot host is not one task's work.
 
-``extract`` matches each page with its host's wrapper. A slot is main text or not by its place in the
-wrapper: inside the article (or main) element and outside of menus, headers, footers, asides, forms, scripts,
-notices, adverts and comments. A page that its wrapper does not match (cut off, say)
+``extract`` matches each page with its host's wrapper. A text is main text or not by its place on the page's
+own tag path: inside the article (or main) element and outside of menus, headers, footers, asides, forms, scripts,
+notices, adverts and comments. (The wrapper's optional alternatives are no path: one page never has them all.) A page that its wrapper does not match (cut off, say)
 is its own wrapper. Main texts join to blocks at block tags, in page order.
 
 Defined results: null or empty html gives an empty text. A page without an article or main element gives
@@ -169,12 +169,8 @@ class Matcher:
 
     def __init__(self, wrapper: list):
         self.chars: dict[str, str] = {}
-        self.flat: list[str] = []
-        self.slots: list[int] = []
-        pattern = self._pattern(wrapper)
-        flags = places(self.flat)
-        self.main = [flags[i] for i in self.slots]
-        self.pattern = regex.compile(pattern, regex.V1)
+        self.slots = 0
+        self.pattern = regex.compile(self._pattern(wrapper), regex.V1)
 
     def _char(self, symbol: str) -> str:
         return self.chars.setdefault(symbol, chr(0xF0000 + len(self.chars)))
@@ -183,11 +179,9 @@ class Matcher:
         out = []
         for x in items:
             if x == TEXT:
-                self.slots.append(len(self.flat))
-                self.flat.append(x)
+                self.slots += 1
                 out.append(f"({self._char(x)})?")
             elif isinstance(x, str):
-                self.flat.append(x)
                 out.append(self._char(x))
             else:
                 out.append(f"(?:{self._pattern(x[1])}){x[0]}")
@@ -203,13 +197,7 @@ class Matcher:
             return None
         if m is None:
             return None
-        out = [False] * len(symbols)
-        for slot, main in enumerate(self.main):
-            if main:
-                for at, end in m.spans(slot + 1):
-                    if end > at:
-                        out[at] = True
-        return out
+        return places(symbols)
 
     def accepts(self, symbols: list[str]) -> bool:
         return self.main_texts(symbols) is not None

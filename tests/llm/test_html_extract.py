@@ -53,6 +53,14 @@ def test_folded_wrappers_accept_their_streams():
     assert json.loads(json.dumps(align(left, right))) == align(left, right)
 
 
+@pytest.mark.parametrize("one,two", [("<nav class='a'>m</nav>", "<nav class='b'>m</nav>"), ("<div class='ad'>m</div>", "<div class='post'>m</div>")])
+def test_templates_with_other_classes_keep_their_article(one, two):
+    pages = [page(f"{x}<article><h1>t</h1><p>p</p></article>") for x in (one, two)]
+    matcher = Matcher(fold([collapse(symbols(x)) for x in pages]))
+    assert all(matcher.accepts(symbols(x)) for x in pages)
+    assert [page_text(x, matcher) for x in pages] == ["t\np"] * 2
+
+
 def test_table_with_nulls_copies_and_clashes(spark):
     rows = [(i, f"http://H.example.com:80/{i}", page(f"<article><h1>t{i}</h1>" + "".join(f"<p>p{i} {k}</p>" for k in range(1 + i % 4)) + "</article>")) for i in range(20)]
     rows += [(100, "http://h.example.com/n", None), (101, None, page("<article>x</article>")), (102, "no host", ""), (3, rows[3][1], rows[3][2]),
