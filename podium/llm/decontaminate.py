@@ -228,28 +228,36 @@ def find_hits(shard: list[np.ndarray], phrases: Phrases) -> list[tuple[list[tupl
     return [(spans, sorted(set(ids))) for spans, ids in out]
 
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
+SCHEMA = "n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
+_ARROW = pa.schema([("n_words", pa.int64()),
                     ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                     ("items", pa.list_(pa.string()))])
 
 
+def _searched(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
+    """``docs`` (doc_id of any type, text) with the hits of the phrases instead of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+    return docs.mapInArrow(_search_batches(shared, shard_words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+
+
 def _search_batches(shared, shard_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = shared.value
         number = phrases.numbers.get
-        ids: list[int] = []
+        ids: list = []
         shard: list[np.ndarray] = []
         words = 0
+        kind = pa.int64()
 
         def flush():
             found = find_hits(shard, phrases)
             return pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([len(d) for d in shard], pa.int64()),
+                pa.array(ids, kind), pa.array([len(d) for d in shard], pa.int64()),
                 pa.array([[{"begin": b, "end": e} for b, e in s] for s, _ in found], _ARROW.field("spans").type),
-                pa.array([x for _, x in found], _ARROW.field("items").type)], schema=_ARROW)
+                pa.array([x for _, x in found], _ARROW.field("items").type)], names=["doc_id", *_ARROW.names])
 
         for batch in batches:
+            kind = batch.column("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 numbers = [number(w, 0) for w in words_of(text.as_py())]
                 ids.append(doc_id)
@@ -259,7 +267,8 @@ def _search_batches(shared, shard_words: int):
                     yield flush()
                     ids.clear(), shard.clear()
                     words = 0
-        yield flush()
+        if ids:
+            yield flush()
     return run
 
 
@@ -281,10 +290,8 @@ def contamination_spans(docs: DataFrame, items: DataFrame, shard_words: int = SH
                         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (merged ranges of hit words, end excluded) and items (ids, sorted
     as strings) of every row of ``docs``."""
-    spark = docs.sparkSession
     source = docs.select("doc_id", "text")
-    parts = [source.mapInArrow(_search_batches(spark.sparkContext.broadcast(Phrases(block)), shard_words), SCHEMA)
-             for block in _blocks(items, block_bytes)]
+    parts = [_searched(source, Phrases(block), shard_words) for block in _blocks(items, block_bytes)]
     if len(parts) == 1:
         return parts[0]
     # several blocks: a row's parts meet by its place in the scan, which every pass shares
@@ -294,11 +301,10 @@ def contamination_spans(docs: DataFrame, items: DataFrame, shard_words: int = SH
 
 def _merged_blocks(spots: DataFrame, items: DataFrame, shard_words: int, block_bytes: int) -> DataFrame:
     """The union of the blocks' results; spans of one row are merged again."""
-    spark = spots.sparkSession
     keyed = spots.select(F.col("_row").alias("doc_id"), "text")
     parts = None
     for block in _blocks(items, block_bytes):
-        one = keyed.mapInArrow(_search_batches(spark.sparkContext.broadcast(Phrases(block)), shard_words), SCHEMA)
+        one = _searched(keyed, Phrases(block), shard_words)
         parts = one if parts is None else parts.unionByName(one)
     merged = parts.groupBy(F.col("doc_id").alias("_row")).agg(
         F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -340,8 +346,8 @@ def judged(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns as they came. A doc_id
-    (null included) goes if any of its rows is contaminated."""
-    key = free_name(docs, "bad_id")
-    bad = judged(docs, items).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, with their columns as they came. The text decides,
+    and its hash finds the row again: rows that share a doc_id (or have none) are judged each by itself."""
+    key, text_key = free_name(docs, "bad_key"), F.sha2("text", 256)
+    bad = judged(docs.select(text_key.alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, text_key == F.col(key), "left_anti").select(*docs.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from podium.llm.common import bounded_sample, stored
+from podium.llm.common import bounded_sample, free_name, stored
 
 SEED = 42
 BITS = 64
@@ -62,7 +62,8 @@ def simhash(text: str | None, step: int = 8192) -> int:
 def _fingerprint_batches(batches):
     for batch in batches:
         fps = np.array([simhash(t.as_py()) for t in batch.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(fps.view(np.int64))], [*kept, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -289,12 +290,17 @@ def connected(edges: DataFrame) -> DataFrame:
         state = new
 
 
+def _members(prints: DataFrame, distance: int) -> DataFrame:
+    """fp, first (its smallest doc_id) and root (the smallest fp of its component) of every distinct fp."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
+    roots = connected(links(distinct.select("fp"), distance))
+    return distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def components(prints: DataFrame, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of
     every row of ``prints`` (doc_id, fp)."""
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
-    roots = connected(links(distinct.select("fp"), distance))
-    members = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    members = _members(prints, distance)
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = members.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
@@ -302,10 +308,17 @@ def components(prints: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """One document of each near-duplicate component: the rows whose doc_id is the smallest of
-    its component, with their columns as they came; one row if such a doc_id is repeated.
-    Rows without a doc_id cannot be told apart: they stay."""
-    found = components(fingerprints(docs), distance)
-    firsts = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate component: the row with the smallest doc_id, then the
+    smallest text hash, with its columns as they came. The hash tells texts under one doc_id apart, so each
+    component keeps its own. Rows without a doc_id cannot be told apart: they stay."""
+    named, text_key = docs.where(F.col("doc_id").isNotNull()), F.sha2("text", 256)
+    keyed = named.select("doc_id", "text", text_key.alias("row_key"))
+    prints = stored(keyed.mapInArrow(_fingerprint_batches, "doc_id long, row_key string, fp long"), "fingerprints")
+    rows = prints.join(_members(prints, distance), "fp")
+    firsts = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    least, row_key = free_name(docs, "least"), free_name(docs, "row_key")
+    firsts = firsts.select(F.col("least").alias(least)).distinct()
+    found = named.withColumn(row_key, text_key)
+    here = (F.col("doc_id") == F.col(f"{least}.doc_id")) & F.col(row_key).eqNullSafe(F.col(f"{least}.row_key"))
+    kept = found.join(firsts, here, "left_semi").dropDuplicates(["doc_id", row_key]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

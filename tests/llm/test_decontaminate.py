@@ -63,6 +63,13 @@ def test_rows_with_nulls_copies_and_clashes(spark, docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 7]
 
 
+def test_clean_rows_stay_beside_contaminated_ones(spark, docs_of):
+    passage = " ".join(f"p{i}" for i in range(20))
+    items = spark.createDataFrame([(1, passage)], ITEM)
+    docs = docs_of([(None, passage), (None, "clean one"), (None, None), (5, passage), (5, "clean two"), (6, passage + " x")])
+    assert sorted((r.doc_id or 0, r.text or "") for r in keep_clean(docs, items).collect()) == [(0, ""), (0, "clean one"), (5, "clean two")]
+
+
 def test_blocks_and_small_shards_change_nothing(spark, docs_of):
     rng = np.random.default_rng(5)
     words = lambda n: " ".join(rng.choice(["aa", "bb", "cc"], n))

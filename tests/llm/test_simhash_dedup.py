@@ -93,6 +93,14 @@ def test_documents_with_nulls_copies_and_clashes(docs_of):
     assert components(fingerprints(docs_of([]))).count() == 0
 
 
+def test_one_id_with_two_texts_keeps_one_of_each_group(docs_of):
+    a, b = "a b c d e", " ".join(f"w{i}" for i in range(60))
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in keep_first(docs_of(rows, extra=("row_key", "least"))).collect()), key=str)
+    assert kept([(5, a), (5, b), (5, b)]) == [(5, a), (5, b)]
+    assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(5, a.upper()), (5, a), (5, None), (7, "")]) in ([(5, a), (5, None)], [(5, a.upper()), (5, None)])
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r.fp: r.root for r in connected(edges).collect()}
