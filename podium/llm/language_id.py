@@ -6,7 +6,8 @@ transitions between languages are learned weights too. Forward-backward gives ea
 distribution, so code-switched text is labelled word by word; a text's language is the one with the largest
 share over its words, and its score is that share.
 
-``train`` fits on about ``max_docs`` labelled documents (a bounded sample). Training chains are
+``train`` fits on up to ``per_language`` labelled documents of each language, so a rare language is
+learned at every table size. Training chains are
 made of segments of documents of different languages, so that switches are seen. ``identify``
 labels every row over its whole text: the chains of a batch are run as one, in blocks, with
 each document's first step independent of what stands before it; blocks are exact, not windows.
@@ -27,14 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from podium.llm.common import bounded_sample, fold_of
+from podium.llm.common import fold_of
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-MAX_DOCS = 2000
+PER_LANGUAGE = 400
 MAX_FEATURES = 60_000
 LEXICON = 400
 BATCH_WORDS = 100_000
@@ -159,11 +160,23 @@ def fit(texts: list[str], langs: list[str], steps: int = 160, batch: int = 64, l
     return m
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    """A model from about ``max_docs`` of the rows with a lang whose crc32 fold (of 3) is not 1."""
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """text and lang of up to ``per_language`` rows of each lang, picked by a hash of id and text, from the
+    rows with a lang and a letter whose crc32 fold (of 3) is not 1. A lang's share of its rows is kept
+    first, with room to spare and its least hash always, so that only few texts are ranked."""
     rows = docs.select("doc_id", "text", "lang").where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & ((fold_of("doc_id", 3) != 1) | F.col("doc_id").isNull()))
-    got = bounded_sample(rows, "doc_id", max_docs).toPandas().sort_values(["doc_id", "text"])
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ((fold_of("doc_id", 3) != 1) | F.col("doc_id").isNull()))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"))
+    upto = F.greatest(F.col("least"), (F.lit(2.0 * per_language) / F.col("n") * F.lit(1 << 30)).cast("long"))
+    near = rows.join(F.broadcast(sizes.select("lang", upto.alias("upto"))), "lang").where(F.col("h") <= F.col("upto"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("doc_id", "text", "lang")
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """A model from the ``training_rows`` of ``docs``."""
+    got = training_rows(docs, per_language).toPandas().sort_values(["lang", "doc_id", "text"])
     return fit(list(got["text"]), list(got["lang"]))
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from podium.llm.common import read_table
-from podium.llm.language_id import UNKNOWN, Model, WordScores, chain_marginals, fit, identify, keep_known, label_texts, letter_words, train
+from podium.llm.language_id import UNKNOWN, Model, WordScores, chain_marginals, fit, identify, keep_known, label_texts, letter_words, train, training_rows
 from podium.llm.queries import QUERIES
 from tests.conftest import SF_CHECK
 
@@ -67,6 +67,13 @@ def test_empty_training_and_filter(docs_of):
     assert kept.columns == docs.columns and kept.count() == 60
 
 
+def test_a_rare_language_is_learned_at_every_size(docs_of):
+    rows = [(i, f"wort und satz {i}", "de") for i in range(6000)] + [(None, "same words", "en")] * 300 + [(7003, "harvinainen kieli", "fi")]
+    got = training_rows(docs_of(rows), 100).toPandas()["lang"].value_counts()
+    assert got["fi"] == 1 and got["de"] == 100 and got["en"] == 100
+    assert train(docs_of(rows), 20).languages == ["de", "en", "fi"]
+
+
 def test_held_out_accuracy(spark):
     got = QUERIES["op4_language_id"](spark, SF_CHECK).join(read_table(spark, SF_CHECK, "documents").select("doc_id", "lang"), "doc_id")
     rows = got.where("held_out").collect()
