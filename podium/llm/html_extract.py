@@ -5,8 +5,8 @@ leaves few different streams per host; they are counted before anything is group
 ``infer_wrappers`` aligns a host's streams one after the other: what the wrapper accepts
 already changes nothing, otherwise the streams are aligned and the tags that only one side has become
 optional groups, groups that repeat on one side only become repeated groups, and texts are slots.
-A host's streams are folded in salted parts first and the parts' wrappers then with each other,
-so a hot host is not one task's work.
+A host's streams are folded in a tree, about ``FAN`` of them in one group and round, each round stored, until
+one wrapper is left; so a hot host is not one task's work. Digits in class and id values are one symbol.
 
 ``extract`` matches each page with its host's wrapper. A text is main text or not by its place on the page's
 own tag path: inside the article (or main) element and outside of menus, headers, footers, asides, forms, scripts,
@@ -32,12 +32,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from podium.llm.common import stored
+
 TOKEN = regex.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     regex.S | regex.I)
 ATTR = regex.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", regex.I)
+DIGITS = regex.compile(r"[0-9]+")
 
 # HTML's element kinds, and names that pages give to what is not their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,7 +56,7 @@ EXCLUDED_NAMES = regex.compile(
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TEXT = "#"
 LONGEST_GROUP = 48
-PARTS = 8
+FAN = 64
 
 
 def tokens(page: str | None) -> list[tuple[str, str]]:
@@ -77,7 +80,7 @@ def tokens(page: str | None) -> list[tuple[str, str]]:
             if m["close"]:
                 out.append(("/" + name, ""))
             else:
-                marks = " ".join(f"{k.lower()}={v.strip(chr(34) + chr(39))}" for k, v in ATTR.findall(m["attrs"]))
+                marks = " ".join(f"{k.lower()}={DIGITS.sub('0', v.strip(chr(34) + chr(39)))}" for k, v in ATTR.findall(m["attrs"]))
                 out.append((f"{name} {marks}".strip(), ""))
     text(len(page))
     return out
@@ -295,12 +298,18 @@ def host_of(url):
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON) and pages, one row per host."""
     kind = "host string, stream string, pages long"
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_stream_batches, kind)
-    distinct = seen.groupBy("host", "stream").agg(F.sum("pages").alias("pages"))
-    parts = distinct.withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(PARTS)))
-    folded = parts.groupBy("host", "part").applyInPandas(_fold_group, kind)
-    whole = folded.groupBy("host").applyInPandas(_fold_group, kind)
-    return whole.select("host", F.col("stream").alias("wrapper"), "pages")
+    source = pages.select(host_of(F.col("url")).alias("host"), "html")
+    seen = source.mapInArrow(_stream_batches, kind)
+    now = stored(seen.groupBy("host", "stream").agg(F.sum("pages").alias("pages")), "streams")
+    while True:
+        sizes = now.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) < 2:
+            break
+        part = F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / FAN)).alias("part")
+        parts = now.join(sizes, "host").select("host", "stream", "pages", part)
+        folded = parts.groupBy("host", "part").applyInPandas(_fold_group, kind)
+        now = stored(folded.groupBy("host", "stream").agg(F.sum("pages").alias("pages")), "streams")
+    return now.select("host", F.col("stream").alias("wrapper"), "pages")
 
 
 # -- extraction --------------------------------------------------------------------------------

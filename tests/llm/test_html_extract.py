@@ -76,6 +76,24 @@ def test_table_with_nulls_copies_and_clashes(spark):
     assert extract(none, infer_wrappers(none)).count() == 0
 
 
+def test_many_streams_of_a_host_fold_in_rounds(spark, monkeypatch):
+    from podium.llm import html_extract
+
+    fold_group = html_extract._fold_group
+
+    def watched(group):
+        assert len(group) <= 40
+        return fold_group(group)
+
+    monkeypatch.setattr(html_extract, "FAN", 8)
+    monkeypatch.setattr(html_extract, "_fold_group", watched)
+    bodies = ["".join(f"<{t}>w{i}</{t}>" for t, b in zip(("h2", "p", "ul", "ol", "pre", "h3", "h4", "h5", "h6"), f"{i:09b}") if b == "1") for i in range(1, 512)]
+    pages = spark.createDataFrame([(i, "http://h.org", page(f"<article>{b}</article>")) for i, b in enumerate(bodies)], PAGE)
+    (row,) = html_extract.infer_wrappers(pages).collect()
+    assert row.pages == 511
+    assert sum(Matcher(json.loads(row.wrapper)).accepts(symbols(r.html)) for r in pages.collect()) >= 460
+
+
 def test_every_page_finds_its_document(spark):
     from podium.llm.common import read_table
     from podium.llm.queries import QUERIES
