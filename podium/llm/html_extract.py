@@ -8,9 +8,12 @@ optional groups, groups that repeat on one side only become repeated groups, and
 A host's streams are folded in a tree, about ``FAN`` of them in one group and round, each round stored, until
 one wrapper is left; so a hot host is not one task's work. Digits in class and id values are one symbol.
 
+A slot's texts are then compared over all pages of the host: a slot in which no two pages differ, though at least
+``TEMPLATE_PAGES`` pages with different main texts have it, holds the template's own text and is no main text.
+
 ``extract`` matches each page with its host's wrapper. A text is main text or not by its place on the page's
 own tag path: inside the article (or main) element and outside of menus, headers, footers, asides, forms, scripts,
-notices, adverts and comments. (The wrapper's optional alternatives are no path: one page never has them all.) A page that its wrapper does not match (cut off, say)
+notices, adverts and comments, unless it is the template's. (The wrapper's optional alternatives are no path: one page never has them all.) A page that its wrapper does not match (cut off, say)
 is its own wrapper. Main texts join to blocks at block tags, in page order.
 
 Defined results: null or empty html gives an empty text. A page without an article or main element gives
@@ -21,6 +24,7 @@ are extracted each. Only ``page_id``, ``url`` and ``html`` are read.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import json
 from collections.abc import Iterator
@@ -57,6 +61,8 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
 TEXT = "#"
 LONGEST_GROUP = 48
 FAN = 64
+TEMPLATE_PAGES = 3
+STEPS = 20_000
 
 
 def tokens(page: str | None) -> list[tuple[str, str]]:
@@ -167,43 +173,88 @@ def _unrolled(items: list) -> list[str]:
     return out
 
 
-class Matcher:
-    """The wrapper as a regular expression over one character per symbol, a slot per text."""
-
-    def __init__(self, wrapper: list):
-        self.chars: dict[str, str] = {}
-        self.slots = 0
-        self.pattern = regex.compile(self._pattern(wrapper), regex.V1)
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
 
-    def _char(self, symbol: str) -> str:
-        return self.chars.setdefault(symbol, chr(0xF0000 + len(self.chars)))
 
-    def _pattern(self, items: list) -> str:
-        out = []
+class Matcher:
+    """The wrapper as a position automaton, a state being the set of items that may have been read
+    last; its steps are worked out when a page first needs them. Texts are optional. ``template`` holds the text
+    hash of each slot whose text is the template's."""
+
+    def __init__(self, wrapper: list, template: dict[int, int] | None = None):
+        self.template = template or {}
+        self.follow = [0]  # of the start, then of each item
+        self.places_of: dict[str, int] = {}
+        empty, first, last = self._build(wrapper)
+        self.follow[0] = first
+        self.accepting = last | empty
+        self.steps: dict[tuple[int, str], int] = {}
+
+    def _build(self, items: list) -> tuple[bool, int, int]:
+        """Can the items be empty, and which can be first and last?"""
+        empty, first, last = True, 0, 0
         for x in items:
-            if x == TEXT:
-                self.slots += 1
-                out.append(f"({self._char(x)})?")
-            elif isinstance(x, str):
-                out.append(self._char(x))
+            if isinstance(x, str):
+                here = 1 << len(self.follow)
+                self.follow.append(0)
+                self.places_of[x] = self.places_of.get(x, 0) | here
+                none, f, t = x == TEXT, here, here
             else:
-                out.append(f"(?:{self._pattern(x[1])}){x[0]}")
-        return "".join(out)
+                none, f, t = self._build(x[1])
+                if x[0] == "+":
+                    for p in _bits(t):
+                        self.follow[p] |= f
+                none = none or x[0] == "?"
+            for p in _bits(last):
+                self.follow[p] |= f
+            if empty:
+                first |= f
+            last = t | last if none else t
+            empty = empty and none
+        return empty, first, last
+
+    def path(self, symbols: list[str]) -> list[int] | None:
+        """The item that each symbol of a page is, or None if the wrapper does not match."""
+        states = [1]
+        for s in symbols:
+            key = states[-1], s
+            to = self.steps.get(key)
+            if to is None:
+                to = 0
+                here = self.places_of.get(s, 0)
+                for p in _bits(key[0]) if here else ():
+                    to |= self.follow[p]
+                to &= here
+                if len(self.steps) >= STEPS:
+                    self.steps.clear()
+                self.steps[key] = to
+            if not to:
+                return None
+            states.append(to)
+        ends = states[-1] & self.accepting
+        if not ends:
+            return None
+        out = [next(_bits(ends))]
+        for state in states[-2:0:-1]:
+            out.append(next(p for p in _bits(state) if self.follow[p] >> out[-1] & 1))
+        return out[::-1] if symbols else []
 
-    def main_texts(self, symbols: list[str]) -> list[bool] | None:
+    def main_texts(self, symbols: list[str], hashes: list[int] | None = None) -> list[bool] | None:
         """For each symbol of a page: main text? None if the wrapper does not match."""
-        if not all(s in self.chars or s == TEXT for s in symbols):
+        path = self.path(symbols)
+        if path is None:
             return None
-        try:
-            m = self.pattern.fullmatch("".join(map(self._char, symbols)), timeout=2)
-        except TimeoutError:
-            return None
-        if m is None:
-            return None
-        return places(symbols)
+        main = places(symbols)
+        if self.template and hashes:
+            main = [m and self.template.get(p) != h for m, p, h in zip(main, path, hashes)]
+        return main
 
     def accepts(self, symbols: list[str]) -> bool:
-        return self.main_texts(symbols) is not None
+        return self.path(symbols) is not None
 
 
 def align(wrapper: list, stream: list) -> list:
@@ -296,7 +347,7 @@ def host_of(url):
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) and pages, one row per host."""
+    """host, wrapper (JSON), pages and template (JSON: slots and their text's hash), one row per host."""
     kind = "host string, stream string, pages long"
     source = pages.select(host_of(F.col("url")).alias("host"), "html")
     seen = source.mapInArrow(_stream_batches, kind)
@@ -309,21 +360,67 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         parts = now.join(sizes, "host").select("host", "stream", "pages", part)
         folded = parts.groupBy("host", "part").applyInPandas(_fold_group, kind)
         now = stored(folded.groupBy("host", "stream").agg(F.sum("pages").alias("pages")), "streams")
-    return now.select("host", F.col("stream").alias("wrapper"), "pages")
+    whole = now.select("host", F.col("stream").alias("wrapper"), "pages")
+    texts = source.join(whole, "host").select("host", "html", "wrapper").mapInArrow(
+        _slot_batches, "host string, slot long, least long, most long, page long")
+    slots = texts.groupBy("host", "slot").agg(F.min("least").alias("text"), F.max("most").alias("most"), F.countDistinct("page").alias("n"))
+    fixed = slots.where((F.col("text") == F.col("most")) & (F.col("n") >= TEMPLATE_PAGES))
+    template = fixed.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "text")))).alias("template"))
+    return whole.join(template, "host", "left").select("host", "wrapper", "pages", "template")
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _text_hashes(stream: list[tuple[str, str]]) -> list[int]:
+    return [_hash(" ".join(html.unescape(text).split())) if symbol == TEXT else 0 for symbol, text in stream]
+
+
+def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least and largest text hash of a task's main texts by host and slot, with up to ``TEMPLATE_PAGES``
+    different pages (hashes of their main texts) while the slot's texts are the same."""
+    slots: dict[tuple[str, int], list] = {}
+
+    def out():
+        rows = [(h, s, a, b, k) for (h, s), (a, b, keys) in slots.items() for k in (keys if a == b else [None])]
+        cols = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] + [pa.int64()] * 4)],
+                                          ["host", "slot", "least", "most", "page"])
+
+    for batch in batches:
+        for host, page, wrapper in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper").to_pylist()):
+            stream = tokens(page.as_py())
+            symbols = [s for s, _ in stream]
+            path = _matcher(wrapper).path(symbols)
+            if path is None:
+                continue
+            hashes = _text_hashes(stream)
+            found = [(p, h) for p, h, m in zip(path, hashes, places(symbols)) if m]
+            key = _hash(repr([h for _, h in found]))
+            for p, h in found:
+                entry = slots.setdefault((host, p), [h, h, set()])
+                entry[0], entry[1] = min(entry[0], h), max(entry[1], h)
+                if len(entry[2]) < TEMPLATE_PAGES:
+                    entry[2].add(key)
+        if len(slots) > 50_000:
+            yield out()
+            slots.clear()
+    yield out()
 
 
 # -- extraction --------------------------------------------------------------------------------
 
-@lru_cache(maxsize=5000)
-def _matcher(wrapper: str) -> Matcher:
-    return Matcher(json.loads(wrapper))
+@lru_cache(maxsize=1000)
+def _matcher(wrapper: str, template: str | None = None) -> Matcher:
+    return Matcher(json.loads(wrapper), dict(json.loads(template or "[]")))
 
 
 def page_text(page: str | None, matcher: Matcher | None = None) -> str:
     """The main text: blocks joined by a line feed, white space inside a block as one space."""
     stream = tokens(page)
     symbols = [s for s, _ in stream]
-    main = matcher.main_texts(symbols) if matcher else None
+    main = matcher.main_texts(symbols, _text_hashes(stream) if matcher.template else None) if matcher else None
     if main is None:
         main = places(symbols)
     blocks, now = [], []
@@ -343,13 +440,13 @@ def page_text(page: str | None, matcher: Matcher | None = None) -> str:
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [page_text(p.as_py(), _matcher(w) if w is not None else None)
-                 for p, w in zip(batch.column("html"), batch.column("wrapper").to_pylist())]
+        texts = [page_text(p.as_py(), _matcher(w, t) if w is not None else None)
+                 for p, w, t in zip(batch.column("html"), batch.column("wrapper").to_pylist(), batch.column("template").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """page_id, url and text of every row of ``pages``."""
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = own.join(wrappers.select("host", "wrapper"), "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = own.join(wrappers.select("host", "wrapper", "template"), "host", "left").select("page_id", "url", "html", "wrapper", "template")
     return joined.mapInArrow(_extract_batches, "page_id long, url string, text string")

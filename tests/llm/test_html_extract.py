@@ -53,6 +53,14 @@ def test_folded_wrappers_accept_their_streams():
     assert json.loads(json.dumps(align(left, right))) == align(left, right)
 
 
+def test_wrapper_with_many_optional_groups_is_matched_in_few_steps():
+    wrapper = ["+", [["?", ["p", "#", "/p"]], ["?", ["p", "/p", "p"]], ["?", ["p", ["+", ["b", "/b"]], "/p"]]]]
+    stream = ["p", "/p", "p", "#", "/p", "p", "b", "/b", "b", "/b", "/p"] * 300
+    assert Matcher([wrapper, "hr"]).accepts(stream + ["hr"]) and not Matcher([wrapper, "hr"]).accepts(stream + ["br"])
+    assert len(Matcher([wrapper, "hr"]).path(stream + ["hr"])) == len(stream) + 1
+    assert Matcher([]).path([]) == [] and Matcher(["p"]).path([]) is None
+
+
 @pytest.mark.parametrize("one,two", [("<nav class='a'>m</nav>", "<nav class='b'>m</nav>"), ("<div class='ad'>m</div>", "<div class='post'>m</div>")])
 def test_templates_with_other_classes_keep_their_article(one, two):
     pages = [page(f"{x}<article><h1>t</h1><p>p</p></article>") for x in (one, two)]
@@ -76,6 +84,15 @@ def test_table_with_nulls_copies_and_clashes(spark):
     assert extract(none, infer_wrappers(none)).count() == 0
 
 
+def test_constant_texts_of_a_host_are_its_template(spark):
+    notice = "<div class='x7'>Read us daily</div>"
+    rows = [(i, f"http://h.org/{i}", page(f"<article id='post-{i}'><h1>t{i}</h1><p>p{i}</p>{notice}</article>")) for i in range(5)]
+    rows += [(10 + i, f"http://two.org/{i}", page(f"<article><h1>same</h1><p>p{i}</p></article>")) for i in range(2)]
+    pages = spark.createDataFrame(rows, PAGE)
+    got = {r.page_id: r.text for r in extract(pages, infer_wrappers(pages)).collect()}
+    assert got == {i: f"t{i}\np{i}" for i in range(5)} | {10 + i: f"same\np{i}" for i in range(2)}
+
+
 def test_many_streams_of_a_host_fold_in_rounds(spark, monkeypatch):
     from podium.llm import html_extract
 
