@@ -66,7 +66,61 @@ SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|
 FROM s
 """
 
+#: crc32 of an id's decimal text: the table of the 256 bytes' remainders, and its use on ``{id}``
+CRC_TABLE = """crc AS (SELECT [list_reduce(list_prepend(x::BIGINT, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                FOR x IN range(256)] AS tab)"""
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(ch)::BIGINT FOR ch IN string_split({id}::VARCHAR, '')]),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+OP11 = """
+WITH {table},
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, coalesce({crc}, 1) AS h FROM documents, crc),
+e AS (SELECT doc_id, words, len(words) AS n, h // 10 AS g, h % 10 = 0 AND len(words) > 0 AS moved FROM d),
+f AS (SELECT *, CASE WHEN moved THEN g % n ELSE n END AS a FROM e),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS per FROM f),
+w AS (SELECT doc_id, n, i, CASE WHEN i < a THEN words[i + 1] ELSE words[a + (i - a) % per + 1] END AS word
+      FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+isles AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len
+          FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM same) GROUP BY doc_id, q, isle),
+runs AS (SELECT doc_id, s, len, min(q) AS q FROM isles WHERE len >= greatest(24, 3 * q) GROUP BY doc_id, s, len),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id),
+best AS (SELECT a.* FROM runs a WHERE NOT EXISTS (SELECT 1 FROM runs b WHERE b.doc_id = a.doc_id
+         AND (b.len * a.q > a.len * b.q OR (b.len * a.q = a.len * b.q AND (b.s < a.s OR (b.s = a.s AND b.q < a.q)))))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS txt FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, q::BIGINT AS period,
+       (1000 * len // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed ON d.doc_id = listed.doc_id LEFT JOIN best ON d.doc_id = best.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+""".format(table=CRC_TABLE, crc=CRC.format(id="doc_id"))
+
+OP12 = """
+WITH {table},
+t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dig) AS pos
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS dig FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id AS id, {crc} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+pre AS (SELECT id, pos AS d, role, text FROM c JOIN t ON t.conv_id = id - id % 5 AND pos <= h),
+took AS (SELECT id, count(*) AS k FROM pre GROUP BY id),
+r AS (SELECT * FROM pre UNION ALL
+      SELECT c.id, coalesce(k, 0) + pos - h, role, text FROM c JOIN t ON t.conv_id = c.id AND pos > h LEFT JOIN took ON took.id = c.id),
+keyed AS (SELECT id, d, strlen(text) AS size, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY id ORDER BY d) AS path FROM r),
+path AS (SELECT id, d, size, path, path[:d - 1] AS up FROM keyed UNION ALL SELECT id, 0, 0, [], NULL FROM c),
+node AS (SELECT path, d, any_value(up) AS up, min(id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved FROM path GROUP BY path, d),
+kids AS (SELECT up, count(*) AS n_children FROM node WHERE d > 0 GROUP BY up),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids ON kids.up = node.path),
+tree AS (SELECT a.path, sum((f.n_children = 0)::INT) AS n_leaves, sum(f.saved) AS saved_tokens
+         FROM full_node f JOIN path a ON a.id = f.conv_id AND a.d <= f.d GROUP BY a.path),
+last AS (SELECT id, max(d) AS d FROM path GROUP BY id),
+ends AS (SELECT path, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS ends_sha256 FROM path JOIN last USING (id, d) GROUP BY path)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+       tree.n_leaves::BIGINT AS n_leaves, tree.saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM full_node f JOIN tree ON tree.path = f.path LEFT JOIN full_node p ON p.path = f.up LEFT JOIN ends ON ends.path = f.path
+""".format(table=CRC_TABLE, crc=CRC.format(id="conv_id"))
+
 ORACLE: dict[str, str] = {
+    "op11_run_detection": OP11,
+    "op12_prefix_trie": OP12,
     "op1_quality_rules": OP1,
     "op10_preference_format": OP10,
     "op3_decontamination": OP3,

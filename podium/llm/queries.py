@@ -1,4 +1,4 @@
-"""The registered queries op1_ to op10_ and their DuckDB twins.
+"""The registered queries op1_ to op13_ and their DuckDB twins.
 
 Each takes (spark, sf_dir), applies one operator to its whole table with production
 parameters and derives the contract's columns from the operator's result.
@@ -18,7 +18,9 @@ from podium.llm.html_extract import extract, infer_wrappers
 from podium.llm.language_id import identify, train
 from podium.llm.packing import packed
 from podium.llm.preference_format import preference_segments, with_echo_answer
+from podium.llm.prefix_trie import conversation_trie
 from podium.llm.quality_rules import judge
+from podium.llm.run_detection import detect_runs, strongest
 from podium.llm.simhash_dedup import components, fingerprints
 from podium.llm.token_counts import prefix_counts
 
@@ -87,9 +89,27 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_segments(*with_echo_answer(read_table(spark, sf_dir, "conversations")))
 
 
+def op11_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document with its planted tail, and the text without the repetitions."""
+    found = detect_runs(read_table(spark, sf_dir, "documents"), rewrite=True)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = found.withColumn("best", strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt on the first of their five."""
+    return conversation_trie(read_table(spark, sf_dir, "conversations"), rebuild=True)
+
+
 _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_quality_rules, op2_toxicity, op3_decontamination, op4_language_id, op5_simhash_dedup, op6_token_counts,
     op7_quality_classifier, op8_packing, op9_html_extraction, op10_preference_format,
+    op11_run_detection, op12_prefix_trie,
 ]
 
 
