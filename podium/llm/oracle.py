@@ -118,9 +118,52 @@ SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::
 FROM full_node f JOIN tree ON tree.path = f.path LEFT JOIN full_node p ON p.path = f.up LEFT JOIN ends ON ends.path = f.path
 """.format(table=CRC_TABLE, crc=CRC.format(id="conv_id"))
 
+_SCORED = """
+k{n} AS (SELECT pattern, kind, 1000 AS score FROM edges WHERE kind >= 0 {found}),
+p{n} AS (SELECT k.pattern, k.kind, least(sum(score) // any_value(n), 990) AS share FROM k{n} k JOIN sizes USING (pattern)
+         GROUP BY k.pattern, k.kind HAVING count(*) FILTER (score >= 800) >= 3),
+s{n} AS (SELECT value, kind, round(1000 * (1 - exp(-sum(round(-ln(1 - share / 1000) * 1000000)::BIGINT) / 1000000)))::INT AS score
+         FROM (SELECT value, pattern FROM edges WHERE kind < 0) e JOIN p{n} USING (pattern) GROUP BY value, kind)"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f(kind, form) AS (VALUES (0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, '[0-9]([\x20-]?[0-9])+'),
+       (3, '\+[0-9][\x20().0-9-]+[0-9]'), (-1, '[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*')),
+m AS (SELECT r, kind, regexp_extract_all(t, form) AS hits, string_split_regex(t, form) AS pieces FROM d, f),
+i AS (SELECT r, kind, hits[i] AS value, pieces[i] AS before, pieces[i + 1] AS after, sum(length(pieces[i]) + length(hits[i])) OVER (PARTITION BY r, kind ORDER BY i) AS fin
+      FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
+w AS (SELECT *, [x FOR x IN string_split_regex(translate(before, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+') IF x <> ''] AS lw,
+             [x FOR x IN string_split_regex(translate(after, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+') IF x <> ''] AS rw,
+             regexp_replace(value, '[^0-9]', '', 'g') AS digits, ltrim(value, '{edges}') AS rest FROM i),
+base AS (SELECT r, kind, fin - length(value) AS start, fin, value, lw, rw FROM w WHERE kind = 0
+         OR (kind = 1 AND len([x FOR x IN string_split(value, '.') IF CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE ('0' || ltrim(x, '0'))::INT END > 255]) = 0)
+         OR (kind = 2 AND length(digits) BETWEEN 13 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)
+               ELSE translate(substr(reverse(digits), i, 1), '0123456789', '0246813579') END::INT FOR i IN range(1, length(digits) + 1)]) % 10 = 0)
+         OR (kind = 3 AND length(digits) BETWEEN 9 AND 15)),
+cand AS (SELECT r, kind, start, start + length(value) AS fin, value, lw, rw
+         FROM (SELECT r, kind, fin - length(rest) AS start, rtrim(rest, '{edges}') AS value, lw, rw FROM w WHERE kind = -1) c
+         WHERE (contains(value, '@') OR length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4)
+               AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.start < c.start + length(c.value) AND c.start < b.fin)),
+edges AS (SELECT DISTINCT kind, value, pattern FROM (
+          SELECT kind, value, unnest([CASE WHEN len(lw) > 1 THEN lw[-2] || ' ' || lw[-1] || ' _' END,
+                                      CASE WHEN len(lw) > 0 AND len(rw) > 0 THEN lw[-1] || ' _ ' || rw[1] END]) AS pattern
+          FROM (SELECT * FROM base UNION ALL SELECT * FROM cand)) WHERE pattern IS NOT NULL),
+sizes AS (SELECT pattern, count(*) AS n FROM edges GROUP BY pattern),{rounds},
+sure AS (SELECT value, arg_min(kind, -score * 10 + kind) AS kind FROM s3 GROUP BY value HAVING max(score) >= 800),
+spans AS (SELECT r, kind, start, fin, TRUE AS fixed FROM base UNION ALL SELECT c.r, s.kind, c.start, c.fin, FALSE FROM cand c JOIN sure s USING (value)),
+texts AS (SELECT r, fixed, kind, start, fin, ['email', 'ip', 'card', 'phone'][kind + 1] || ':' || start || ':' || fin AS txt FROM spans)
+SELECT doc_id, (count(*) FILTER (fixed AND kind = 0))::BIGINT AS n_email, (count(*) FILTER (fixed AND kind = 1))::BIGINT AS n_ip,
+       (count(*) FILTER (fixed AND kind = 2))::BIGINT AS n_card, (count(*) FILTER (fixed AND kind = 3))::BIGINT AS n_phone,
+       sha256(coalesce(string_agg(txt, ',' ORDER BY kind, start) FILTER (fixed), '')) AS base_sha256,
+       coalesce(string_agg(txt, ',' ORDER BY kind, start, fin), '') AS spans
+FROM d LEFT JOIN texts ON d.r = texts.r GROUP BY d.r, doc_id
+""".replace("{edges}", "\"''()[]{}<>.,;:!?#*%$&|").replace("{rounds}", ",".join(_SCORED.format(
+    n=n, found=f"UNION ALL SELECT pattern, s.kind, score FROM edges e JOIN s{n - 1} s USING (value) WHERE e.kind < 0" if n > 1 else "") for n in (1, 2, 3)))
+
 ORACLE: dict[str, str] = {
     "op11_run_detection": OP11,
     "op12_prefix_trie": OP12,
+    "op13_pii": OP13,
     "op1_quality_rules": OP1,
     "op10_preference_format": OP10,
     "op3_decontamination": OP3,

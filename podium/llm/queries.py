@@ -17,6 +17,7 @@ from podium.llm.decontaminate import judged
 from podium.llm.html_extract import extract, infer_wrappers
 from podium.llm.language_id import identify, train
 from podium.llm.packing import packed
+from podium.llm.pii import KINDS, listed, personal_data
 from podium.llm.preference_format import preference_segments, with_echo_answer
 from podium.llm.prefix_trie import conversation_trie
 from podium.llm.quality_rules import judge
@@ -106,10 +107,19 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(read_table(spark, sf_dir, "conversations"), rebuild=True)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and places of the fixed forms, and all spans."""
+    found = personal_data(read_table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_quality_rules, op2_toxicity, op3_decontamination, op4_language_id, op5_simhash_dedup, op6_token_counts,
     op7_quality_classifier, op8_packing, op9_html_extraction, op10_preference_format,
-    op11_run_detection, op12_prefix_trie,
+    op11_run_detection, op12_prefix_trie, op13_pii,
 ]
 
 
