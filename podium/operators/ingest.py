@@ -21,12 +21,15 @@ Decisions that differ from the reference on purpose (SURVEY 6.2):
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+import operator
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions import after_first_word, first_word, full_name, idiv
+from podium.operators.hints import join_on_hot_key
 from podium.operators.keys import current_max, dense_index
 
 
@@ -65,42 +68,44 @@ def load_fact(staged: DataFrame, existing: DataFrame, *, natural_key: Sequence[s
 
 
 def ingest_race_results(stage: DataFrame, tables: Mapping[str, DataFrame], *,
-                        race_date: dt.date | str = "1970-01-01") -> dict[str, DataFrame]:
+                        race_date: dt.date | str = "1970-01-01",
+                        keep: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows) -> dict[str, DataFrame]:
     """Run I2-I7 over a staged sprint-result file (columns of RACE_RESULT_FIELDS).
 
     tables: current ``Circuit``, ``Constructor``, ``Driver``, ``Season``, ``Race``,
     ``Result`` DataFrames. Returns the rows to append per table; each later step
     resolves against the dimension including the rows added before it. ``Unresolved`` holds the
-    staged lines that became no result, with the reason.
+    staged lines that became no result, with the reason. keep: stores a table's new rows as soon as they are
+    numbered and gives them back, so that the later steps read them instead of computing them again.
     """
     # a blank or missing car is unknown; the default goes in before the anti-join
     stage = stage.withColumn("Car", F.coalesce(F.nullif(F.trim("Car"), F.lit("")), F.lit("UNKNOWN")))
     out: dict[str, DataFrame] = {}
 
     circuit = tables["Circuit"]
-    out["Circuit"] = _new_circuits(stage, circuit)
+    out["Circuit"] = keep("Circuit", _new_circuits(stage, circuit))
     circuits = circuit.unionByName(out["Circuit"], allowMissingColumns=True)
 
     constructor = tables["Constructor"]
-    out["Constructor"] = _new_constructors(stage, constructor)
+    out["Constructor"] = keep("Constructor", _new_constructors(stage, constructor))
     constructors = constructor.unionByName(out["Constructor"], allowMissingColumns=True)
 
     driver = tables["Driver"]
-    out["Driver"] = _new_drivers(stage, driver)
+    out["Driver"] = keep("Driver", _new_drivers(stage, driver))
     drivers = driver.unionByName(out["Driver"], allowMissingColumns=True)
 
     season = tables["Season"]
-    out["Season"] = load_dimension(
+    out["Season"] = keep("Season", load_dimension(
         stage.filter(F.col("RaceNr").isNotNull()), season,
         natural_key={"RaceYear": idiv("RaceNr", F.lit(100)).cast("int")}, surrogate=None, order=[],
-        attributes={"SeasonUrl": F.lit("")})
+        attributes={"SeasonUrl": F.lit("")}))
 
     race = tables["Race"]
-    out["Race"] = _new_races(stage, race, circuits, race_date)
+    out["Race"] = keep("Race", _new_races(stage, race, circuits, race_date))
     races = race.unionByName(out["Race"], allowMissingColumns=True)
 
     resolved = _resolve(stage, races, drivers, constructors)
-    out["Result"] = _new_results(resolved, tables["Result"])
+    out["Result"] = keep("Result", _new_results(resolved, tables["Result"]))
     out["Unresolved"] = unresolved(resolved).select(*stage.columns, "reason")
     return out
 
@@ -183,10 +188,16 @@ def _resolve(stage: DataFrame, races: DataFrame, drivers: DataFrame, constructor
     race_ids = (races.groupBy("RaceYear", "NrOfRound").agg(F.min("RaceId").alias("RaceId")))
     driver_ids = _one_id(drivers, _driver_key(F.col("Firstname"), F.col("Lastname")), "DriverId", "_dk")
     car_ids = _one_id(constructors, F.lower("ContstructorName"), "ConstructorId", "_ck")
-    return (_season_round(stage)
-            .join(race_ids, ["RaceYear", "NrOfRound"], "left")
-            .join(driver_ids, _staged_driver_key() == F.col("_dk"), "left")
-            .join(car_ids, F.lower("Car") == F.col("_ck"), "left"))
+    lines = _season_round(stage).withColumns({"_dk": _staged_driver_key(), "_ck": F.lower("Car")})
+    return _look_up(_look_up(_look_up(lines, race_ids, ["RaceYear", "NrOfRound"]), driver_ids, ["_dk"]), car_ids, ["_ck"])
+
+
+def _look_up(lines: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines with the ids of their keys (NULL where there are none). A key with most lines is split; lines without
+    a key are not joined at all, so they do not meet in one partition."""
+    has_key = reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
+    found = join_on_hot_key(lines.filter(has_key), ids, keys, "left")
+    return found.unionByName(lines.filter(~has_key), allowMissingColumns=True)
 
 
 def unresolved(resolved: DataFrame) -> DataFrame:

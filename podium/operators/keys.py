@@ -18,6 +18,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podium.operators.hints import join_on_hot_key
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -71,6 +73,6 @@ def group_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str |
     keys = [F.col(g) for g in group] + [F.col(c) if isinstance(c, str) else c for c in order]
     indexed = dense_index(df, keys, out="_gidx")
     first = indexed.groupBy(*group).agg(F.min("_gidx").alias("_gfirst"))
-    return (indexed.join(first, list(group))
+    return (join_on_hot_key(indexed, first, list(group))
             .withColumn(out, F.col("_gidx") - F.col("_gfirst") + 1)
             .drop("_gidx", "_gfirst"))

@@ -88,7 +88,7 @@ def _check_keys(base: DataFrame, batch: DataFrame, key: str,
     parents: column -> (parent table, its key column); a NULL reference is no reference.
     """
     known = _touched(base.select(key), [key], batch).distinct().withColumn("_known", F.lit(True))
-    b = batch.join(known, key, "left").join(_repeated(batch, key), key, "left")
+    b = join_on_hot_key(join_on_hot_key(batch, known, key, "left"), _repeated(batch, key), key, "left")
     error = (F.when(F.col("_known").isNotNull(), F.lit(MSG_KEY_EXISTS))
              .when(F.col("_copies").isNotNull(), F.lit(MSG_KEY_REPEATED)))
     for i, (column, (parent, parent_key)) in enumerate((parents or {}).items()):
@@ -255,8 +255,8 @@ def update_results(base: DataFrame, batch: DataFrame, races: DataFrame, rule, *,
     rules = list(rule) if isinstance(rule, (list, tuple)) else [rule]
     cols = batch.columns
     known = _touched(base.select(key), [key], batch).distinct().withColumn("_known", F.lit(True))
-    b = materialize(_with_race_year(batch, races, race, season).join(known, key, "left")
-                    .join(_repeated(batch, key), key, "left"), "upsert_batch")
+    b = join_on_hot_key(_with_race_year(batch, races, race, season), known, key, "left")
+    b = materialize(join_on_hot_key(b, _repeated(batch, key), key, "left"), "upsert_batch")
     moved = b.filter(F.col(season).isNotNull() & F.col("_known").isNotNull() & F.col("_copies").isNull())
     error = (F.when(F.col(season).isNull(), F.lit(MSG_RACE_MISSING))
              .when(F.col("_known").isNull(), F.lit(MSG_RESULT_MISSING))
@@ -309,7 +309,7 @@ def update_races(base_races: DataFrame, batch: DataFrame, rule: CapRule, *,
     group = list(rule.group)
     old = (_touched(base_races.select(race, *group), [race], batch)
            .select(race, F.lit(True).alias("_in_base"), *[F.col(c).alias(f"_old_{c}") for c in group]))
-    b = materialize(batch.join(old, race, "left").join(_repeated(batch, race), race, "left"), "upsert_batch")
+    b = materialize(join_on_hot_key(join_on_hot_key(batch, old, race, "left"), _repeated(batch, race), race, "left"), "upsert_batch")
     known = F.col("_in_base").isNotNull()
     same_season = reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in group])
     moved = known & ~same_season

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podium.operators import ingest
-from podium.plans.ingest_job import TABLES, run_ingest
+from podium.plans.ingest_job import run_ingest_as_one
 from podium.sources.delimited import read_delimited, tolerant_load
 from podium.sources.sinks import fresh_folder
+from podium.sources.snapshots import Snapshots
 from podium.sources.tables import read_tables
 
 # Columns of the racing tables as the job fills them.
@@ -98,28 +99,26 @@ def i4_new_drivers(spark: SparkSession, root: str) -> DataFrame:
 def i5_seasons_races(spark: SparkSession, root: str) -> DataFrame:
     """I5 (F16): races from the race numbers, with their circuits' new ids."""
     stage = _stage(spark, root)
-    empty = {name: spark.createDataFrame([], ddl) for name, ddl in TABLE_DDL.items()}
-    new = ingest.ingest_race_results(stage, empty, race_date="2020-02-02")
-    return new["Race"].select(*[F.col(c).cast("long").alias(c) for c in ("RaceId", "RaceYear", "NrOfRound", "CircuitId")],
+    circuits = ingest._new_circuits(stage, spark.createDataFrame([], TABLE_DDL["Circuit"]))
+    races = ingest._new_races(stage, spark.createDataFrame([], TABLE_DDL["Race"]), circuits, "2020-02-02")
+    return races.select(*[F.col(c).cast("long").alias(c) for c in ("RaceId", "RaceYear", "NrOfRound", "CircuitId")],
                               "RaceName", F.col("RaceDate").cast("string").alias("RaceDate"))
 
 
-def _ingested(spark: SparkSession, root: str, runs: int) -> tuple[str, list[dict[str, int]], DataFrame]:
-    folder = fresh_folder(spark, "racing_tables")
-    for name in TABLES:
-        spark.createDataFrame([], TABLE_DDL[name]).write.parquet(f"{folder}/{name}")
-    path, counts, rejects = _file(spark, root), [], None
+def _ingested(spark: SparkSession, root: str, runs: int) -> tuple[Snapshots, DataFrame]:
+    store = Snapshots(spark, fresh_folder(spark, "racing_tables"))
+    store.create({name: spark.createDataFrame([], ddl) for name, ddl in TABLE_DDL.items()})
+    path, rejects = _file(spark, root), None
     for _ in range(runs):
-        appended, rejects = run_ingest(spark, path, folder)
-        counts.append(appended)
-    return folder, counts, rejects
+        _, rejects = run_ingest_as_one(spark, path, store)
+    return store, rejects
 
 
 def i7_ingest_job(spark: SparkSession, root: str) -> DataFrame:
-    """The whole job run twice on one file. The rows of the stored results, whose ids
-    are resolved to names again; the second run must not have added any."""
-    folder, _, _ = _ingested(spark, root, runs=2)
-    table = lambda name: spark.read.parquet(f"{folder}/{name}")
+    """The whole job run twice on one file, all tables in one commit. The rows of the stored
+    results, whose ids are resolved to names again; the second run must not have added any."""
+    store, _ = _ingested(spark, root, runs=2)
+    table = store.read
     return (table("Result").join(table("Race").select("RaceId", "RaceYear", "NrOfRound"), "RaceId")
             .join(table("Driver").select("DriverId", "DriverRef"), "DriverId")
             .join(table("Constructor").select("ConstructorId", "ContstructorName"), "ConstructorId")
@@ -130,7 +129,7 @@ def i7_ingest_job(spark: SparkSession, root: str) -> DataFrame:
 
 def i7_ingest_rejects(spark: SparkSession, root: str) -> DataFrame:
     """The job's report: lines that did not parse, and lines that found no driver."""
-    return _ingested(spark, root, runs=1)[2]
+    return _ingested(spark, root, runs=1)[1]
 
 
 QUERIES = {

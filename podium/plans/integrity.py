@@ -19,8 +19,9 @@ from podium.operators import rules as R
 from podium.operators import upsert as U
 from podium.operators.overlay import overlay_rows, update_columns
 from podium.plans.publish_job import apply_and_publish
-from podium.sources.sinks import ConstraintViolation, fresh_folder, path_exists
-from podium.sources.tables import read_tables
+from podium.sources.sinks import ConstraintViolation, files_for, fresh_folder, path_exists
+from podium.sources.snapshots import Snapshots
+from podium.sources.tables import Tables, read_tables
 
 CUT = "2000-01-01"
 POSITION_GATE = 1998   # R1 / U1 / U2 (reference: 1962)
@@ -193,6 +194,45 @@ def s9_partial_update(spark: SparkSession, root: str) -> DataFrame:
             .withColumn("ResultId", result_id_text("ResultId")))
 
 
+def _stored_results(spark: SparkSession, root: str) -> tuple[Snapshots, DataFrame, Tables]:
+    """The results in a store, clustered by their key (a file per 256 MB of lines, 16 at least); the lower and the
+    upper bound of the middle tenth of their races, as scalars."""
+    t = read_tables(spark, root)
+    store = Snapshots(spark, fresh_folder(spark, "results"))
+    n = max(16, files_for(spark, [f"{root.rstrip('/')}/lineitem.parquet"]))
+    store.create({"Result": results(t).select(*RESULT_COLS)}, cluster={"Result": ["ResultId"]}, files=n)
+    ends = t.orders.agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    low, high = F.col("low"), F.col("high")
+    return store, ends.select((low + F.expr("(high - low) * 45 div 100")).alias("low"), (low + F.expr("(high - low) * 55 div 100")).alias("high")), t
+
+
+def _middle(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows of the middle tenth of the races."""
+    return rows.filter(F.col("RaceId").between(ends.select("low").scalar(), ends.select("high").scalar()))
+
+
+def s8_file_overlay(spark: SparkSession, root: str) -> DataFrame:
+    """S8 on stored files: a full-row batch for the middle tenth of the races (and for results that do not
+    exist); files without one of its keys are carried over."""
+    store, ends, t = _stored_results(spark, root)
+    batch = _middle(_update_batch(t), ends)
+    key = F.col("ResultId")
+    unknown = batch.withColumn("ResultId", F.struct(key["l_orderkey"].alias("l_orderkey"), (key["l_linenumber"] + 1000).alias("l_linenumber"),
+                                                    key["l_partkey"].alias("l_partkey"), key["l_suppkey"].alias("l_suppkey"), key["l_shipdate"].alias("l_shipdate")))
+    store.update("Result", batch.unionByName(unknown), "ResultId", cluster=["ResultId"])
+    return store.read("Result").withColumn("ResultId", result_id_text("ResultId"))
+
+
+def s9_file_update(spark: SparkSession, root: str) -> DataFrame:
+    """S9 on stored files: the places of the middle tenth of the races, changed twice in one batch (the later change
+    holds)."""
+    store, ends, t = _stored_results(spark, root)
+    batch = _middle(_update_batch(t), ends).select("ResultId", "Position")
+    twice = batch.withColumn("seq", F.lit(1)).unionByName(batch.withColumn("Position", F.col("Position") + 10).withColumn("seq", F.lit(2)))
+    store.update("Result", twice, "ResultId", columns=["Position"], seq="seq", cluster=["ResultId"])
+    return store.read("Result").withColumn("ResultId", result_id_text("ResultId"))
+
+
 # -- U1-U8 -----------------------------------------------------------------------------------
 
 def _report(df: DataFrame, key: str = "ResultId") -> DataFrame:
@@ -398,6 +438,8 @@ QUERIES = {
     "r4_touched": r4_touched,
     "s8_overlay": s8_overlay,
     "s9_partial_update": s9_partial_update,
+    "s8_file_overlay": s8_file_overlay,
+    "s9_file_update": s9_file_update,
     "u1_create": u1_create,
     "u2_update": u2_update,
     "u3_create": u3_create,

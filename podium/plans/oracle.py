@@ -552,6 +552,13 @@ S8_LAST = _with(IRES) + """
 SELECT ResultId, RaceId, DriverId, CASE WHEN LineStatus = 'O' THEN Position + 3 ELSE Position END AS Position, ResultNumber FROM IRes
 """
 
+_MIDDLE = """
+, Ends AS (SELECT min(o_orderkey) + (max(o_orderkey) - min(o_orderkey)) * 45 // 100 AS low, min(o_orderkey) + (max(o_orderkey) - min(o_orderkey)) * 55 // 100 AS high FROM orders)
+SELECT ResultId, RaceId, DriverId, CASE WHEN LineStatus = 'O' AND RaceId BETWEEN low AND high THEN Position + {step} ELSE Position END AS Position, ResultNumber
+FROM IRes, Ends
+"""
+S8_FILES, S9_FILES = _with(IRES) + _MIDDLE.format(step=1), _with(IRES) + _MIDDLE.format(step=11)
+
 S14_CLEAN = _with(IRES, _held_once("RaceId", "Position")) + """
 SELECT r.ResultId, r.RaceId, r.DriverId, coalesce(u.Position, r.Position) AS Position, r.ResultNumber
 FROM IRes r LEFT JOIN IUpd u ON u.ResultId = r.ResultId
@@ -569,6 +576,8 @@ ORACLE.update({
     "t15_combined_rules_clean": _combined_sql(_T15_CLEAN),
     "u_key_checks": U_KEYS,
     "s8_last_change": S8_LAST,
+    "s8_file_overlay": S8_FILES,
+    "s9_file_update": S9_FILES,
     "s14_publish_clean": S14_CLEAN,
     "s14_publish_refused": S14_REFUSED,
     "u2_update_clean": _update_sql(*_U2, _held_once("RaceId", "Position")),

@@ -9,13 +9,14 @@ trigger's statement rollback becomes "decide before writing".
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from podium.operators import rules as R
 from podium.operators.overlay import overlay_rows, update_columns
-from podium.sources.sinks import materialize, publish
+from podium.sources.sinks import publish_draft
 
 
 def apply_and_publish(base: DataFrame, changes: DataFrame, races: DataFrame, rules: Sequence, target: str,
@@ -25,7 +26,7 @@ def apply_and_publish(base: DataFrame, changes: DataFrame, races: DataFrame, rul
 
     insert=True appends the changes as new rows (INSERT); otherwise they update
     rows by ``key`` - all columns (S8) or only ``columns`` (S9). The new state is
-    stored once (it is read by every check and by the write).
+    written once, beside the target; every check reads it there, and a clean one is renamed to the target.
     """
     if insert:
         state = base.unionByName(changes.select(*base.columns))
@@ -33,7 +34,9 @@ def apply_and_publish(base: DataFrame, changes: DataFrame, races: DataFrame, rul
         state = update_columns(base, changes, key, columns)
     else:
         state = overlay_rows(base, changes, key)
-    state = materialize(state, "snapshot_candidate")
+    spark, draft = base.sparkSession, f"{target.rstrip('/')}-draft-{uuid.uuid4().hex}"
+    state.write.mode("errorifexists").parquet(draft)
+    state = spark.read.parquet(draft)
     # the groups to check are those of the new state's changed rows: a change that names only its key
     # and some columns does not say which race or season it belongs to
     touched = state.join(changes.select(key).distinct(), key, "left_semi")
@@ -46,4 +49,4 @@ def apply_and_publish(base: DataFrame, changes: DataFrame, races: DataFrame, rul
                                              R.with_season(touched, races, season=rule.season))
         else:
             checks[rule.name] = R.violations(rule, state, touched, races=races)
-    return publish(state, checks, target, dry_run=dry_run)
+    return publish_draft(spark, draft, checks, target, dry_run=dry_run)

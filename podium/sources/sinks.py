@@ -53,6 +53,28 @@ def publish(snapshot: DataFrame, checks: dict[str, DataFrame], path: str, *,
     return path
 
 
+def publish_draft(spark: SparkSession, draft: str, checks: dict[str, DataFrame], path: str, *,
+                  dry_run: bool = False, sample: int = 20) -> str | None:
+    """S14 for a snapshot that is already stored in the folder ``draft``: when every check is empty the folder
+    becomes ``path`` by a rename, so the state is written once; otherwise (and after a dry run) it is deleted. The
+    target path must be new."""
+    fs, target = _file_system(spark, path)
+    _, at = _file_system(spark, draft)
+    try:
+        for name, check in checks.items():
+            rows = check.take(sample)
+            if rows:
+                raise ConstraintViolation(name, rows)
+        if dry_run:
+            return None
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(at, target):
+            raise FileExistsError(path)
+    finally:
+        fs.delete(at, True)
+    return path
+
+
 def save_bucketed(df: DataFrame, table: str, *, bucket_by: Sequence[str], sort_by: Sequence[str],
                   buckets: int | None = None, path: str | None = None) -> None:
     """A bucketed, sorted catalog table (``bucketBy`` needs ``saveAsTable``).

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from podium.operators.ingest import ingest_race_results
@@ -124,3 +125,52 @@ def test_ingest_job_appends_once(spark):
     again, _ = run_ingest(spark, DIRTY, tables_dir, race_date="2021-12-31")
     assert all(v == 0 for v in again.values())
     assert spark.read.parquet(f"{tables_dir}/Result").count() == 1 + first["Result"]
+
+
+def _store(spark):
+    from podium.plans.ingest_job import TABLES
+    from podium.sources.sinks import fresh_folder
+    from podium.sources.snapshots import Snapshots
+
+    store = Snapshots(spark, fresh_folder(spark, "test-ingest"))
+    seed = _tables(spark)
+    store.create({name: seed[name] for name in TABLES})
+    return store
+
+
+def test_ingest_into_a_store_is_one_commit(spark):
+    """The same rows as the job over folders, in one version; the second run makes none."""
+    from podium.plans.ingest_job import TABLES, run_ingest, run_ingest_as_one
+
+    store, tables_dir = _store(spark), tempfile.mkdtemp(prefix="podium-tables-")
+    for name in TABLES:
+        _tables(spark)[name].write.parquet(f"{tables_dir}/{name}")
+    first, rejects = run_ingest_as_one(spark, DIRTY, store, race_date="2021-12-31")
+    assert first == run_ingest(spark, DIRTY, tables_dir, race_date="2021-12-31")[0] and rejects.count() == 2
+    assert store.version() == 2
+    for name in TABLES:
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, spark.read.parquet(f"{tables_dir}/{name}").collect()))
+    again, _ = run_ingest_as_one(spark, DIRTY, store, race_date="2021-12-31")
+    assert not any(again.values()) and store.version() == 2
+
+
+def test_ingest_lost_between_two_tables_leaves_the_old_state(spark, monkeypatch):
+    from podium.plans.ingest_job import TABLES, run_ingest_as_one
+    from podium.sources.snapshots import Snapshots
+
+    store = _store(spark)
+    before = {name: sorted(map(str, store.read(name).collect())) for name in TABLES}
+    real = Snapshots.put_aside
+
+    def lost(self, table, df, **how):
+        if table == "Result":  # races, drivers and the others are written by now
+            raise RuntimeError("the job is lost")
+        return real(self, table, df, **how)
+    monkeypatch.setattr(Snapshots, "put_aside", lost)
+    with pytest.raises(RuntimeError):
+        run_ingest_as_one(spark, DIRTY, store, race_date="2021-12-31")
+    assert {name: sorted(map(str, store.read(name).collect())) for name in TABLES} == before
+    monkeypatch.setattr(Snapshots, "put_aside", real)
+    first, _ = run_ingest_as_one(spark, DIRTY, store, race_date="2021-12-31")
+    results = [(r.RaceId, r.DriverId) for r in store.read("Result").collect()]
+    assert first["Result"] > 0 and len(results) == len(set(results)) == len(before["Result"]) + first["Result"]
