@@ -90,6 +90,17 @@ class Snapshots:
         """A table as of a version (default: the newest)."""
         return self._frame(self._state(self.version() if version is None else version)[table])
 
+    def read_near(self, table: str, version: int, near: Mapping[str, Sequence[tuple]]) -> DataFrame:
+        """The files that may hold a row with a value in one of the given stretches (least, greatest) of one of the given
+        columns, by the ranges in the pointer: no other file is opened, not even for its footer."""
+        def meets(held: list, stretches: Sequence[tuple]) -> bool:
+            return held[0] is not None and any(low <= held[1] and held[0] <= high for low, high in stretches)
+        state = self._state(version)[table]
+        names = [f"{self.root}/{part['folder']}/{name}" for part in state["parts"] for name, held in part["ranges"].items()
+                 if any(meets(held[c], stretches) for c, stretches in near.items())]
+        schema = StructType.fromJson(state["schema"])
+        return self.spark.read.schema(schema).parquet(*names) if names else self.spark.createDataFrame([], schema)
+
     def files(self, table: str, version: int | None = None) -> list[str]:
         """The paths of a table's files."""
         state = self._state(self.version() if version is None else version)[table]
@@ -112,17 +123,24 @@ class Snapshots:
 
     # -- writing ---------------------------------------------------------------------------
 
-    def put_aside(self, table: str, df: DataFrame, *, cluster: Sequence[str] = (), files: int | None = None) -> dict:
+    def put_aside(self, table: str, df: DataFrame, *, cluster: Sequence[str] = (), files: int | None = None,
+                  ranges: Sequence[str] = ()) -> dict:
         """Write rows where no reader looks; the part takes effect when a ``commit`` names it.
 
         cluster: range-partition (into ``files``) and sort by these columns, so that each file covers a narrow
-        range of them and their filters skip files.
+        range of them and their filters skip files. ranges: columns (of whole numbers or strings) whose least and greatest
+        value in each file the pointer keeps, for ``read_near``.
         """
         if cluster:
             df = df.repartitionByRange(files or int(self.spark.conf.get("spark.sql.shuffle.partitions")), *cluster).sortWithinPartitions(*cluster)
         folder = f"{table}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        return {"folder": folder, "gone": []}
+        part = {"folder": folder, "gone": []}
+        if ranges:
+            held = self.spark.read.schema(_nullable(df.schema)).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("_file")).agg(
+                F.count(F.lit(1)).alias("_rows"), *[f(c).alias(f"{f.__name__}_{c}") for c in ranges for f in (F.min, F.max)])
+            part["ranges"] = {r["_file"]: {c: [r[f"min_{c}"], r[f"max_{c}"]] for c in ranges} for r in held.collect()}  # one row a file
+        return part
 
     def part(self, table: str, part: Mapping, schema: StructType) -> DataFrame:
         """The rows of a part that ``put_aside`` has written."""
