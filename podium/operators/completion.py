@@ -7,11 +7,12 @@ driver entered, so one-race drivers qualify (trap T6).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions import full_name, whole_percent
 from podium.operators.hints import join_on_hot_key
+from podium.operators.scan import running_max, scan
 
 
 def _season_results(results, races, race, driver, laps, season, season_value):
@@ -32,13 +33,13 @@ def min_completion(results: DataFrame, races: DataFrame, drivers: DataFrame, *,
     partial aggregate straight on the results; the season's races pick their maxima (one
     row per race), and the results join these once, in a join that AQE can split for a race
     with many rows.
-    ``method="window"`` (option 2, W1): ``max(laps) OVER (PARTITION BY race)``;
-    same result, but a window brings all rows of a race into one task, so it is only for
-    races of bounded size. The other method is the one for hot races.
+    ``method="window"`` (option 2, W1): ``max(laps) OVER (PARTITION BY race)`` without a join, as the running
+    maximum of the race's results from most to fewest laps (``scan``), so a race with many rows lies in several
+    tasks. It sorts the season's results, so the other method is the cheaper one.
     """
     if method == "window":
         r = _season_results(results, races, race, driver, laps, season, season_value)
-        per = r.withColumn("_max_laps", F.max(laps).over(Window.partitionBy(race)))
+        per = scan(r, [race], [F.col(laps).desc_nulls_last(), driver], _max_laps=running_max(laps))
     elif method == "aggregate":
         r = results.select(race, driver, laps)
         season_races = races.filter(F.col(season) == season_value).select(race).distinct()

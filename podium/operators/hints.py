@@ -18,8 +18,10 @@ def join_on_hot_key(left: DataFrame, right: DataFrame, keys: str | Sequence[str]
     key's rows of ``left``, because it only splits joins whose both sides come straight from an
     exchange. The hash of the keys as one more join column gives both sides an exchange
     of their own. ``right`` is small where it is worth it, and AQE broadcasts it on
-    its measured size.
+    its measured size. A key whose types differ (the join compares them as one type) stays out of the hash,
+    since equal numbers of two types have different hashes.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hashed = [df.withColumn(_HASH, F.xxhash64(*keys)) for df in (left, right)]
+    alike = [k for k in keys if left.schema[k].dataType.simpleString() == right.schema[k].dataType.simpleString()]
+    hashed = [df.withColumn(_HASH, F.xxhash64(F.lit(0), *alike)) for df in (left, right)]
     return hashed[0].join(hashed[1], [*keys, _HASH], how).drop(_HASH)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podium.functions import year_range
+from podium.operators.scan import previous, running_sum, scan
 
 
 def driver_seasons(results: DataFrame, races: DataFrame, *, race: str = "RaceId",
@@ -50,6 +51,16 @@ def season_islands(pairs: DataFrame, *, driver: str = "DriverId", season: str =
             .drop("_grp"))
 
 
+def numbered_islands(pairs: DataFrame, *, driver: str = "DriverId", season: str = "RaceYear") -> DataFrame:
+    """``driver, FromYear, ToYear, Island``: the view's own form, one ordered pass over the whole table (W6): LAG gives the
+    row before, and the running sum of the new-island flags numbers all islands from 1 on, by driver and season.
+    An unpartitioned window would sort the table in one task; ``scan`` spreads it. pairs: distinct, without NULLs."""
+    before = scan(pairs, [], [driver, season], _driver=previous(driver), _season=previous(season))
+    new = F.when((F.col("_driver") == F.col(driver)) & (F.col("_season") + 1 == F.col(season)), 0).otherwise(1)
+    numbered = scan(before.withColumn("_new", new), [], [driver, season], Island=running_sum("_new"))
+    return numbered.groupBy("Island").agg(F.first(driver).alias(driver), F.min(season).alias("FromYear"), F.max(season).alias("ToYear"))
+
+
 def active_periods(pairs: DataFrame, *, driver: str = "DriverId", season: str = "RaceYear",
                    sep: str = ", ", dash: str = "-", method: str = "rank") -> DataFrame:
     """The DriverYearRanges view: ``driver, Ranges, Periods`` from (driver, season) rows.

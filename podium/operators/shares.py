@@ -5,15 +5,16 @@ the COUNT(CASE ...) form G5 is the same aggregate), the reference's "single
 pass" options. One scan of results, partial aggregation before the shuffle, so a
 driver with a third of all rows costs one pre-aggregated row per map task. The other
 formulations of Q5 are kept as equivalence checks: two aggregates joined, and
-windows followed by DISTINCT (W3, W4, J15) over rows that are already counted per place.
+running values over each driver (W3, W4, J15) over rows that are already counted per place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.functions import hundredths_of_percent, percent_text_fixed, percent_text_trimmed
+from podium.operators.scan import running_sum, scan
 
 
 def _wins(position: str, win_position: int):
@@ -77,14 +78,14 @@ def career_wins_two_aggregates(results: DataFrame, *, driver: str = "DriverId",
 
 def career_wins_window(results: DataFrame, *, driver: str = "DriverId", position: str = "Position",
                        win_position: int = 1, min_wins: int = 25) -> DataFrame:
-    """Q5 option 2: entries and wins as windows over the driver, then DISTINCT (W3, W4, J15). The
-    windows run over one row per (driver, place), counted before the shuffle, so a driver's window is as
-    long as the places there are, not as his results."""
-    w = Window.partitionBy(driver)
+    """Q5 option 2: entries and wins as windows over the driver, then one row of each (W3, W4, J15). The
+    running values (``scan``) go over one row per (driver, place), counted before the shuffle, and a driver's
+    last row holds the whole window's; no task needs all rows of a driver, however many places there are."""
     places = results.groupBy(driver, position).agg(F.count(F.lit(1)).alias("_n"))
-    return (places.select(driver, F.sum("_n").over(w).alias("Entries"),
-                          F.sum(F.when(F.col(position) == win_position, F.col("_n")).otherwise(0)).over(w).alias("Wins"))
-            .distinct().filter(F.col("Wins") >= min_wins)
+    places = places.withColumn("_won", F.when(F.col(position) == win_position, F.col("_n")).otherwise(0))
+    running = scan(places, [driver], [position], Entries=running_sum("_n"), Wins=running_sum("_won"))
+    return (running.groupBy(driver).agg(F.max("Entries").alias("Entries"), F.max("Wins").alias("Wins"))
+            .filter(F.col("Wins") >= min_wins)
             .withColumn("Hundredths", hundredths_of_percent("Wins", "Entries")))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from podium.operators import rules as R
 from podium.operators import upsert as U
+from podium.operators.replay import create_replay, update_partial
 from podium.operators.overlay import overlay_rows, update_columns
 from podium.plans.publish_job import apply_and_publish
 from podium.sources.sinks import ConstraintViolation, files_for, fresh_folder, path_exists
@@ -405,6 +406,39 @@ def t15_combined_rules(spark: SparkSession, root: str) -> DataFrame:
                                        races(t), rules))
 
 
+def t15_combined_replay(spark: SparkSession, root: str) -> DataFrame:
+    """T15 row by row: the arriving results under R1, R2 and R4, as if created one after the other."""
+    t = read_tables(spark, root)
+    base, batch = _split(t)
+    rules = [R.position_rule(POSITION_GATE), R.driver_rule(DRIVER_GATE), R.number_owner_rule(NUMBER_GATE)]
+    report, _ = create_replay(base.select(*RESULT_COLS), batch.select(*RESULT_COLS, "seq"), races(t), rules)
+    return _report(report)
+
+
+def _moves(t) -> DataFrame:
+    """Open lines move within their race: one place down where the driver's number is even, to the place that mirrors
+    theirs (a swap) where it is odd; some move before the first place, which is free, and some have no place."""
+    place = F.col("Position")
+    new = (F.when(F.col("DriverId") % 7 == 0, -place).when(F.col("DriverId") % 11 == 0, F.lit(None).cast("long"))
+           .when(F.col("DriverId") % 2 == 0, place + 1).otherwise(8 - place))
+    return results(t).filter(F.col("LineStatus") == "O").select("ResultId", "RaceId", "DriverId", new.alias("Position"), "ResultNumber", "seq")
+
+
+def u2_update_partial(spark: SparkSession, root: str) -> DataFrame:
+    """U2 accepting the moves that fit: chains, swaps and contested places."""
+    t = read_tables(spark, root)
+    return _report(update_partial(results(t).select(*RESULT_COLS), _moves(t), races(t), R.position_rule(POSITION_GATE), seq="seq")[0])
+
+
+def u4_update_partial(spark: SparkSession, root: str) -> DataFrame:
+    """U4 accepting the moves that fit: every open line goes to the driver with the next number, or back."""
+    t = read_tables(spark, root)
+    step = F.when(F.col("Position") % 2 == 1, 1).otherwise(-1)
+    moves = results(t).filter(F.col("LineStatus") == "O").select(
+        "ResultId", "RaceId", (F.col("DriverId") + step).alias("DriverId"), "Position", "ResultNumber", "seq")
+    return _report(update_partial(results(t).select(*RESULT_COLS), moves, races(t), R.driver_rule(DRIVER_GATE), seq="seq")[0])
+
+
 def t15_combined_rules_clean(spark: SparkSession, root: str) -> DataFrame:
     """One new result per race, by a new driver on a place nobody has and without a number."""
     t = read_tables(spark, root)
@@ -426,6 +460,9 @@ QUERIES = {
     "u8_update_clean": u8_update_clean,
     "u_key_checks": u_key_checks,
     "s8_last_change": s8_last_change,
+    "t15_combined_replay": t15_combined_replay,
+    "u2_update_partial": u2_update_partial,
+    "u4_update_partial": u4_update_partial,
     "s14_publish_clean": s14_publish_clean,
     "s14_publish_refused": s14_publish_refused,
     "r1_dup_position": r1_dup_position,

@@ -529,6 +529,65 @@ SELECT ResultId,
 FROM E, Failed
 """
 
+# T15 row by row. A claim is a row's stake in a rule's group, under an owner; a row waits (U) while an earlier waiting row shares one
+# of its groups under another owner, and is refused (R) by the base or an earlier accepted row (A) that does.
+T15_REPLAY = "WITH RECURSIVE " + _with(IRACE, IRES, ISPLIT).removeprefix("WITH ") + f"""
+, B AS (SELECT b.*, ra.RaceYear FROM (SELECT *, row_number() OVER (ORDER BY {_SEQ}) AS turn FROM IBatch) b JOIN IRace ra ON ra.RaceId = b.RaceId),
+BaseSeason AS (SELECT x.*, ra.RaceYear FROM IBase x JOIN IRace ra ON ra.RaceId = x.RaceId),
+Owners AS (SELECT RaceYear, ResultNumber, min(DriverId) AS lo, max(DriverId) AS hi FROM BaseSeason GROUP BY RaceYear, ResultNumber),
+Claim AS (
+  SELECT ResultId, turn, 0 AS rule, RaceId AS g1, Position AS g2, ResultId AS owner,
+         EXISTS (SELECT 1 FROM IBase x WHERE x.RaceId = B.RaceId AND x.Position = B.Position) AS taken FROM B WHERE RaceYear >= {I.POSITION_GATE}
+  UNION ALL SELECT ResultId, turn, 1, RaceId, DriverId, ResultId,
+         EXISTS (SELECT 1 FROM IBase x WHERE x.RaceId = B.RaceId AND x.DriverId = B.DriverId) FROM B WHERE RaceYear >= {I.DRIVER_GATE}
+  UNION ALL SELECT ResultId, turn, 2, B.RaceYear, B.ResultNumber, DriverId::VARCHAR, coalesce(lo <> DriverId OR hi <> DriverId, FALSE)
+         FROM B LEFT JOIN Owners o ON o.RaceYear = B.RaceYear AND o.ResultNumber = B.ResultNumber WHERE B.RaceYear >= {I.NUMBER_GATE}),
+Turn AS (
+  SELECT DISTINCT 0 AS step, ResultId, 'U' AS st FROM Claim
+  UNION ALL
+  SELECT step + 1, ResultId, CASE WHEN st <> 'U' THEN st WHEN bool_or(clash) THEN 'R' WHEN bool_or(waits) THEN 'U' ELSE 'A' END
+  FROM (SELECT step, c.ResultId, st, bool_or(st = 'U') OVER () AS going,
+               taken OR coalesce(min(CASE WHEN st = 'A' THEN owner END) OVER w <> owner OR max(CASE WHEN st = 'A' THEN owner END) OVER w <> owner, FALSE) AS clash,
+               coalesce(min(CASE WHEN st = 'U' THEN owner END) OVER w <> owner OR max(CASE WHEN st = 'U' THEN owner END) OVER w <> owner, FALSE) AS waits
+        FROM Claim c JOIN Turn t ON t.ResultId = c.ResultId
+        WINDOW w AS (PARTITION BY rule, g1, g2 ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE going GROUP BY step, ResultId, st),
+Final AS (SELECT ResultId, st FROM Turn WHERE step = (SELECT max(step) FROM Turn)),
+Broken AS (SELECT ResultId, min(rule) AS rule FROM (
+             SELECT c.ResultId, rule, taken OR coalesce(min(CASE WHEN st = 'A' THEN owner END) OVER w <> owner
+                                                        OR max(CASE WHEN st = 'A' THEN owner END) OVER w <> owner, FALSE) AS clash
+             FROM Claim c JOIN Final f ON f.ResultId = c.ResultId
+             WINDOW w AS (PARTITION BY rule, g1, g2 ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+           WHERE clash GROUP BY ResultId)
+SELECT B.ResultId, CASE WHEN rule IS NULL THEN 'accepted' ELSE 'rejected' END AS Status,
+       ['Position is already occupied in race', 'Driver already has a result in this race',
+        'ResultNumber already used by another driver in this season'][rule + 1] AS Error
+FROM B LEFT JOIN Broken ON Broken.ResultId = B.ResultId
+"""
+
+
+def _partial_sql(key: str, gate: int, message: str, moves: str) -> str:
+    """The moves that fit: a move fails if it is not the first into its place, or if one who is there stays or fails."""
+    return "WITH RECURSIVE " + _with(IRACE, IRES).removeprefix("WITH ") + f"""
+, Move AS (SELECT m.*, ra.RaceYear >= {gate} AND m.{key} IS NOT NULL AS asks
+           FROM (SELECT ResultId, RaceId, {moves} AS {key}, row_number() OVER (ORDER BY {_SEQ}) AS turn FROM IRes WHERE LineStatus = 'O') m
+           JOIN IRace ra ON ra.RaceId = m.RaceId),
+First AS (SELECT RaceId, {key}, arg_min(ResultId, turn) AS winner FROM Move WHERE asks GROUP BY RaceId, {key}),
+Leaves AS (SELECT r.ResultId, f.winner, m.ResultId IS NOT NULL AS moves
+           FROM IRes r JOIN First f ON f.RaceId = r.RaceId AND f.{key} = r.{key} LEFT JOIN Move m ON m.ResultId = r.ResultId WHERE r.ResultId <> f.winner),
+Failed AS (
+  SELECT m.ResultId FROM Move m JOIN First f ON f.RaceId = m.RaceId AND f.{key} = m.{key} WHERE asks AND m.ResultId <> winner
+  UNION SELECT winner FROM Leaves WHERE NOT moves
+  UNION SELECT l.winner FROM Failed f JOIN Leaves l ON l.ResultId = f.ResultId AND l.moves)
+SELECT m.ResultId, CASE WHEN f.ResultId IS NULL THEN 'accepted' ELSE 'rejected' END AS Status, CASE WHEN f.ResultId IS NOT NULL THEN '{message}' END AS Error
+FROM Move m LEFT JOIN (SELECT DISTINCT ResultId FROM Failed) f ON f.ResultId = m.ResultId
+"""
+
+
+U2_PARTIAL = _partial_sql("Position", I.POSITION_GATE, "Position is already occupied in race", """CASE WHEN DriverId % 7 = 0 THEN -Position WHEN DriverId % 11 = 0 THEN NULL
+    WHEN DriverId % 2 = 0 THEN Position + 1 ELSE 8 - Position END""")
+U4_PARTIAL = _partial_sql("DriverId", I.DRIVER_GATE, "Driver already has a result in this race", "DriverId + CASE WHEN Position % 2 = 1 THEN 1 ELSE -1 END")
+
 # creates with keys that exist, keys given twice and drivers that are gone, in the order of the checks
 U_KEYS = _with(IRACE, IRES, ISPLIT) + f"""
 , Asked AS (SELECT * FROM IBatch UNION ALL SELECT * FROM IBase WHERE DriverId % 9 = 0
@@ -576,6 +635,9 @@ ORACLE.update({
     "t15_combined_rules_clean": _combined_sql(_T15_CLEAN),
     "u_key_checks": U_KEYS,
     "s8_last_change": S8_LAST,
+    "t15_combined_replay": T15_REPLAY,
+    "u2_update_partial": U2_PARTIAL,
+    "u4_update_partial": U4_PARTIAL,
     "s8_file_overlay": S8_FILES,
     "s9_file_update": S9_FILES,
     "s14_publish_clean": S14_CLEAN,
@@ -729,6 +791,12 @@ _FIN = hundredths("SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)", "COUNT
 
 ORACLE.update({
     "w5_w6_periods_lag": Q4_ALL,
+    "w6_global_islands": _with(RACE) + """, Pair AS (SELECT DISTINCT CustomerId AS DriverId, RaceYear FROM Race),
+        Flag AS (SELECT *, CASE WHEN lag(DriverId) OVER w = DriverId AND lag(RaceYear) OVER w + 1 = RaceYear THEN 0 ELSE 1 END AS fresh
+                 FROM Pair WINDOW w AS (ORDER BY DriverId, RaceYear)),
+        Nr AS (SELECT *, sum(fresh) OVER (ORDER BY DriverId, RaceYear) AS Island FROM Flag)
+        SELECT DriverId, CAST(min(RaceYear) AS BIGINT) AS FromYear, CAST(max(RaceYear) AS BIGINT) AS ToYear, CAST(Island AS BIGINT) AS Island
+        FROM Nr GROUP BY DriverId, Island""",
     "f12_name_split": _with(PART_DRIVER) + "SELECT DriverId, Firstname, Lastname FROM Driver",
     "f15_nth_part": f"""SELECT o_orderkey AS OrderId, {_nth('o_orderpriority', '-', 1)} AS Part1,
         {_nth('o_orderpriority', '-', 2)} AS Part2, {_nth('o_orderpriority', '-', 3)} AS Part3 FROM orders""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from podium.functions import (
     full_name, hundredths_of_percent, nth_part, percent_text_fixed, percent_text_trimmed,
 )
-from podium.operators.periods import active_periods, periods_report
+from podium.operators.periods import active_periods, numbered_islands, periods_report
 from podium.plans import model
 from podium.sources.tables import read_tables
 
@@ -22,6 +22,12 @@ def w5_w6_periods_lag(spark: SparkSession, root: str) -> DataFrame:
                           name_col=full_name("Firstname", "Lastname"))
 
 
+def w6_global_islands(spark: SparkSession, root: str) -> DataFrame:
+    """W5 + W6 over the whole table, not per driver: all periods numbered in one ordered pass."""
+    pairs = model.race(read_tables(spark, root)).select(F.col("CustomerId").alias("DriverId"), "RaceYear").distinct()
+    return numbered_islands(pairs).select("DriverId", *[F.col(c).cast("long").alias(c) for c in ("FromYear", "ToYear", "Island")])
+
+
 def f12_name_split(spark: SparkSession, root: str) -> DataFrame:
     """split full names at the first space (one-word names get an empty last name)."""
     return model.part_driver(read_tables(spark, root))
@@ -68,6 +74,7 @@ def j9_anti(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "w5_w6_periods_lag": w5_w6_periods_lag,
+    "w6_global_islands": w6_global_islands,
     "f12_name_split": f12_name_split,
     "f15_nth_part": f15_nth_part,
     "f5_f6_percent_text": f5_f6_percent_text,

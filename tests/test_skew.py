@@ -10,6 +10,10 @@ from podium.operators import rules as R
 from podium.operators import upsert as U
 from podium.operators.completion import min_completion
 from podium.operators.fastest import fastest_per_group
+from podium.operators.hints import join_on_hot_key
+from podium.operators.ingest import _look_up
+from podium.operators.keys import group_row_number
+from podium.operators.shares import career_wins_window
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -96,3 +100,38 @@ def test_null_keys_are_not_joined(spark, skewed):
              .withColumn("Position", F.lit(None).cast("int")))
     report = U.create_unique(rows, batch, races, R.position_rule())
     assert report.filter("Status = 'accepted'").count() == 60_000
+
+
+def test_hot_key_join_of_two_types(spark):
+    """Keys of different widths meet as in a plain join."""
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    right = spark.createDataFrame([(1, "x"), (3, "y")], "k long, w string")
+    got = join_on_hot_key(left, right, "k", "left").select("k", "v", "w").collect()
+    assert sorted(map(str, got)) == sorted(map(str, left.join(right, "k", "left").select("k", "v", "w").collect()))
+
+
+HOT_RACE_JOINS = {
+    "group_row_number": lambda rows, races: group_row_number(rows, ["RaceId"], ["ResultId"]),
+    "ingest_look_up": lambda rows, races: _look_up(rows, races, ["RaceId"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOT_RACE_JOINS))
+def test_joins_of_keys_and_ingest_split_a_hot_race(spark, skewed, name):
+    """The join on the race is split by AQE, where a plain join after an aggregate on the race is not."""
+    rows, races = skewed
+    plan = final_plan(HOT_RACE_JOINS[name](rows, races.groupBy("RaceId").agg(F.min("RaceYear").alias("RaceYear"))))
+    assert "skew=true" in plan
+    control = final_plan(rows.join(rows.groupBy("RaceId").agg(F.min("ResultId").alias("first")), "RaceId"))
+    assert "skew=true" not in control
+
+
+def test_windows_over_a_hot_group_are_spread(spark, skewed):
+    """Q1's and Q5's window forms: no window takes a whole race or driver, and the answers are the grouped forms'."""
+    rows, races = skewed
+    drivers = spark.range(997).select(F.col("id").cast("int").alias("DriverId"), F.lit("a").alias("Firstname"), F.col("id").cast("string").alias("Lastname"))
+    q1 = {m: sorted(map(str, min_completion(rows, races, drivers, season_value=2030, threshold=0.0, method=m).collect())) for m in ("window", "aggregate")}
+    assert q1["window"] == q1["aggregate"]
+    for plan in (final_plan(min_completion(rows, races, drivers, season_value=2030, threshold=0.0, method="window")),
+                 final_plan(career_wins_window(rows.withColumn("DriverId", F.col("RaceId")), min_wins=0))):
+        assert "Window [" in plan and all("_part" in line.split("Window [")[1] for line in plan.splitlines() if "Window [" in line and "Group" not in line)
