@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from podium.functions import (
     full_name, hundredths_of_percent, nth_part, percent_text_fixed, percent_text_trimmed,
 )
+from podium.operators.exists import exists_between, exists_where
 from podium.operators.periods import active_periods, numbered_islands, periods_report
 from podium.plans import model
 from podium.sources.tables import read_tables
@@ -22,6 +23,26 @@ def w5_w6_periods_lag(spark: SparkSession, root: str) -> DataFrame:
                           name_col=full_name("Firstname", "Lastname"))
 
 
+def j8_exists_other(spark: SparkSession, root: str) -> DataFrame:
+    """Results whose number another driver of the same race has too (EXISTS with ``<>``)."""
+    rows = model.result(read_tables(spark, root)).select("RaceId", "DriverId", F.expr("ResultNumber % 20").alias("Number"), "PartId")
+    return exists_where(rows, rows.select("RaceId", "Number", "DriverId"), ["RaceId", "Number"], "DriverId", "<>", "DriverId")
+
+
+def j10_no_later_race(spark: SparkSession, root: str) -> DataFrame:
+    """A competitor's last races of a season (NOT EXISTS with ``<``)."""
+    rows = model.race(read_tables(spark, root)).select("CustomerId", "RaceYear", "RaceDate", "RaceId")
+    last = exists_where(rows, rows, ["CustomerId", "RaceYear"], "RaceDate", "<", "RaceDate", anti=True)
+    return last.select("RaceId", "CustomerId", F.col("RaceDate").cast("string").alias("RaceDate"))
+
+
+def j10_again_within(spark: SparkSession, root: str) -> DataFrame:
+    """J10 with a range: races that the competitor follows up within 30 days (EXISTS with BETWEEN)."""
+    rows = model.race(read_tables(spark, root)).select("CustomerId", "RaceDate", "RaceId")
+    soon = exists_between(rows, rows, "CustomerId", F.date_add("RaceDate", 1), F.date_add("RaceDate", 30), "RaceDate")
+    return soon.select("RaceId", "CustomerId", F.col("RaceDate").cast("string").alias("RaceDate"))
+
+
 def w6_global_islands(spark: SparkSession, root: str) -> DataFrame:
     """W5 + W6 over the whole table, not per driver: all periods numbered in one ordered pass."""
     pairs = model.race(read_tables(spark, root)).select(F.col("CustomerId").alias("DriverId"), "RaceYear").distinct()
@@ -75,6 +96,9 @@ def j9_anti(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "w5_w6_periods_lag": w5_w6_periods_lag,
     "w6_global_islands": w6_global_islands,
+    "j8_exists_other": j8_exists_other,
+    "j10_no_later_race": j10_no_later_race,
+    "j10_again_within": j10_again_within,
     "f12_name_split": f12_name_split,
     "f15_nth_part": f15_nth_part,
     "f5_f6_percent_text": f5_f6_percent_text,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from podium.sources import snapshots
+from podium.sources.clustering import CURVE, along_curve
 from podium.sources.sinks import ConstraintViolation, shared_folder
 from podium.sources.snapshots import Snapshots, VersionConflict
 
@@ -127,3 +128,19 @@ def test_empty_table_and_struct_keys(spark, store):
     store.append({"T": spark.createDataFrame([((1, 1), "x"), ((1, 2), "y")], "k struct<a:long,b:long>, v string")})
     store.update("T", spark.createDataFrame([((1, 2), "z")], "k struct<a:long,b:long>, v string"), "k")
     assert [(tuple(r.k), r.v) for r in store.read("T").orderBy("v").collect()] == [((1, 1), "x"), ((1, 2), "z")]
+
+
+def test_one_layout_for_two_filters(spark, store):
+    """Files along a curve over both columns: a range of the first and a value of the second each open under a fifth."""
+    df = spark.range(60_000).select((F.col("id") % 9973).alias("RaceId"), ((F.col("id") * 7919) % 997).alias("DriverId"), F.col("id").alias("v"))
+    df = df.unionByName(spark.createDataFrame([(None, 5, -1), (5, None, -2)], "RaceId long, DriverId long, v long"))
+    rows = along_curve(df, "RaceId", "DriverId")
+    part = store.put_aside("T", rows, cluster=[CURVE], files=256, ranges=["RaceId", "DriverId"])
+    store.commit(0, {"T": {"schema": df.schema.jsonValue(), "parts": [part]}})
+    files = len(store.files("T"))
+    by_race, by_driver = store.read_near("T", 1, {"RaceId": [(4000, 4200)]}), store.read_near("T", 1, {"DriverId": [(500, 500)]})
+    assert files > 200 and len(by_race.inputFiles()) <= 0.2 * files and len(by_driver.inputFiles()) <= 0.2 * files
+    assert rows_of(by_race.filter("RaceId BETWEEN 4000 AND 4200")) == rows_of(df.filter("RaceId BETWEEN 4000 AND 4200"))
+    assert rows_of(by_driver.filter("DriverId = 500")) == rows_of(df.filter("DriverId = 500"))
+    assert store.read("T").count() == df.count()
+    assert store.read_near("T", 1, {"RaceId": [(-9, -1)]}).count() == 0
