@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from podium.operators import rules as R
 from podium.operators import upsert as U
+from podium.operators.counts import RuleCounts
 from podium.operators.replay import create_replay, update_partial
 from podium.operators.overlay import overlay_rows, update_columns
 from podium.plans.publish_job import apply_and_publish
@@ -406,6 +407,26 @@ def t15_combined_rules(spark: SparkSession, root: str) -> DataFrame:
                                        races(t), rules))
 
 
+def x3_maintained_counts(spark: SparkSession, root: str) -> DataFrame:
+    """R1, R2 and R4 after a load, an arriving batch and an update batch, from counts that the batches change: what
+    the rules report for the groups that the update touches."""
+    t = read_tables(spark, root)
+    base, batch = _split(t)
+    rules = [R.position_rule(POSITION_GATE), R.driver_rule(DRIVER_GATE), R.number_owner_rule(NUMBER_GATE)]
+    counts = RuleCounts(Snapshots(spark, fresh_folder(spark, "rule_counts")), rules)
+    counts.build(base.select(*RESULT_COLS), races(t))
+    counts.apply(races(t), added={"results": batch.select(*RESULT_COLS)})
+    new = _update_batch(t)
+    old = results(t).filter(F.col("LineStatus") == "O").select(*RESULT_COLS)
+    counts.apply(races(t), added={"results": new}, removed={"results": old})
+    touched = R.with_season(new, races(t))
+    out = []
+    for name, one, two, n in (("R1", "RaceId", "Position", "Count"), ("R2", "RaceId", "DriverId", "Count"), ("R4", "RaceYear", "ResultNumber", "Drivers")):
+        v = counts.violations(name, touched)
+        out.append(v.select(F.lit(name).alias("Rule"), F.col(one).cast("long").alias("First"), F.col(two).cast("long").alias("Second"), F.col(n).cast("long").alias("Count")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def t15_combined_replay(spark: SparkSession, root: str) -> DataFrame:
     """T15 row by row: the arriving results under R1, R2 and R4, as if created one after the other."""
     t = read_tables(spark, root)
@@ -461,6 +482,7 @@ QUERIES = {
     "u_key_checks": u_key_checks,
     "s8_last_change": s8_last_change,
     "t15_combined_replay": t15_combined_replay,
+    "x3_maintained_counts": x3_maintained_counts,
     "u2_update_partial": u2_update_partial,
     "u4_update_partial": u4_update_partial,
     "s14_publish_clean": s14_publish_clean,

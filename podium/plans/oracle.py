@@ -538,6 +538,16 @@ FROM B LEFT JOIN Broken ON Broken.ResultId = B.ResultId
 """
 
 
+X3_COUNTS = _with(IRACE, IRES) + f"""
+, State AS (SELECT s.*, ra.RaceYear, CASE WHEN LineStatus = 'O' THEN Position + 1 ELSE Position END AS Place FROM IRes s JOIN IRace ra ON ra.RaceId = s.RaceId)
+SELECT 'R1' AS Rule, RaceId AS First, Place AS Second, count(*) AS Count FROM State WHERE RaceYear >= {I.POSITION_GATE}
+GROUP BY RaceId, Place HAVING count(*) > 1 AND bool_or(LineStatus = 'O')
+UNION ALL SELECT 'R2', RaceId, DriverId, count(*) FROM State WHERE RaceYear >= {I.DRIVER_GATE} GROUP BY RaceId, DriverId HAVING count(*) > 1 AND bool_or(LineStatus = 'O')
+UNION ALL SELECT 'R4', RaceYear, ResultNumber, count(DISTINCT DriverId) FROM State WHERE RaceYear >= {I.NUMBER_GATE}
+GROUP BY RaceYear, ResultNumber HAVING count(DISTINCT DriverId) > 1 AND bool_or(LineStatus = 'O')
+"""
+
+
 def _partial_sql(key: str, gate: int, message: str, moves: str) -> str:
     """The moves that fit: a move fails if it is not the first into its place, or if one who is there stays or fails."""
     return "WITH RECURSIVE " + _with(IRACE, IRES).removeprefix("WITH ") + f"""
@@ -608,6 +618,7 @@ ORACLE.update({
     "u_key_checks": U_KEYS,
     "s8_last_change": S8_LAST,
     "t15_combined_replay": T15_REPLAY,
+    "x3_maintained_counts": X3_COUNTS,
     "u2_update_partial": U2_PARTIAL,
     "u4_update_partial": U4_PARTIAL,
     "s8_file_overlay": S8_FILES,
