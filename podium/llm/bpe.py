@@ -16,6 +16,7 @@ import unicodedata
 from functools import lru_cache
 from itertools import accumulate
 
+import ahocorasick
 import regex
 
 # Unicode White_Space, and Latin characters that NFC leaves alone, that lower to
@@ -143,27 +144,39 @@ class PrefixBpe:
     merged; the same holds for the left edge of the right token. A pair of edge symbols merges across the seam
     if its rank comes before both parents (on equal ranks the pair further left goes
     first). Ranks of parts are smaller than the rank of the whole, which makes rank the clock.
+
+    All tokens that a word spells somewhere come from one pass of an Aho-Corasick automaton, in order of their ends.
     """
 
+    SEAMS = 600_000  # seams kept
+
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
         self.rank = {pair: i for i, pair in enumerate(vocab.merges)}
         self.parts = {a + b: (a, b) for a, b in vocab.merges}
         self.born = {a + b: i for i, (a, b) in enumerate(vocab.merges)}
-        # every beginning of a token: the token inside a word and at its end that it is, if any
-        self.starts: dict[str, tuple[str | None, str | None]] = {}
+        self.after: dict[str, dict[str, int]] = {}
+        for (a, b), i in self.rank.items():
+            self.after.setdefault(a, {})[b] = i
+        # what a token spells: its length, the token inside a word and the one at its end
+        bodies: dict[str, tuple[int, str | None, str | None]] = {}
         for token in vocab.ids:
             if token not in vocab.specials:
                 body = token.removesuffix(vocab.mark)
-                for i in range(1, len(body) + 1):
-                    self.starts.setdefault(body[:i], (None, None))
-                inside, end = self.starts[body]
-                self.starts[body] = (inside, token) if token != body else (token, end)
-        self.seam = lru_cache(maxsize=250_000)(self._stable)
+                _, inside, end = bodies.get(body, (0, None, None))
+                bodies[body] = (len(body), inside, token) if token != body else (len(body), token, end)
+        self.spelled = ahocorasick.Automaton()
+        for body, found in bodies.items():
+            if body:
+                self.spelled.add_word(body, found)
+        self.spelled.make_automaton()
+        self.spelling = PieceCache(vocab.byte_level)  # of single characters
+        self.kept = 0
+        self.seams = PieceCache(lambda left: PieceCache(lambda right: self._seam(left, right)))
         self.right_edge = lru_cache(maxsize=50_000)(lambda t: self._edge(t, 1))
         self.left_edge = lru_cache(maxsize=50_000)(lambda t: self._edge(t, 0))
         self.whole = lru_cache(maxsize=100_000)(self._is_whole)
-        self.counts = lru_cache(maxsize=100_000)(self._counts)
+        self.counts = lru_cache(maxsize=400_000)(self._counts)
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
         """Symbols on an edge of the token's merge tree, each with its parent's rank."""
@@ -183,8 +196,23 @@ class PrefixBpe:
                     out.append(q)
         return out
 
+    def _seam(self, left: str, right: str) -> bool:
+        self.kept += 1
+        if self.kept > self.SEAMS:
+            self.seams.clear()
+            self.kept = 0
+        return self._stable(left, right)
+
     def _stable(self, left: str, right: str) -> bool:
-        return not self._crossing(left, right)
+        edge = self.left_edge(right)
+        for x, x_until in self.right_edge(left):
+            merges = self.after.get(x)
+            if merges:
+                for y, y_until in edge:
+                    q = merges.get(y)
+                    if q is not None and q < x_until and q <= y_until:
+                        return False
+        return True
 
     def _is_whole(self, token: str) -> bool:
         """Does the token's own string give the token?"""
@@ -201,25 +229,27 @@ class PrefixBpe:
             ends = range(1, len(s) + 1)
         else:
             for c in word:
-                s += self.v.byte_level(c)
+                s += self.spelling[c]
                 ends.append(len(s))
-        n, starts, seam = len(s), self.starts, self.seam
+        n, seams = len(s), self.seams
         last: list[str | None] = [None] * (n + 1)
         inner, closed = [0] * (n + 1), [0] * (n + 1)
-        for b in range(n):
-            before, count = last[b], inner[b] + 1
-            for i in range(b + 1, n + 1):
-                found = starts.get(s[b:i])
-                if found is None:
-                    break
-                inside, end = found
-                if inside is not None and last[i] is None and (self.whole(inside) if b == 0 else seam(before, inside)):
+        for i, (size, inside, end) in self.spelled.iter(s):  # by end, so all prefixes before are known
+            b, i = i + 1 - size, i + 1
+            if b:
+                stable, count = seams[last[b]], inner[b] + 1
+                if inside is not None and last[i] is None and stable[inside]:
                     last[i], inner[i] = inside, count
-                if end is not None and not closed[i] and (self.whole(end) if b == 0 else seam(before, end)):
+                if end is not None and not closed[i] and stable[end]:
                     closed[i] = count
+            else:
+                if inside is not None and last[i] is None and self.whole(inside):
+                    last[i], inner[i] = inside, 1
+                if end is not None and not closed[i] and self.whole(end):
+                    closed[i] = 1
         if n and not all(closed[1:]):
             raise ValueError(f"no tokens for {word!r}")
-        return tuple(closed[e] for e in ends)
+        return tuple(closed[1:]) if len(ends) == n else tuple([closed[e] for e in ends])
 
     def piece_counts(self, piece: str) -> list[int]:
         """Token counts of every prefix of a piece without white space (NFC)."""
