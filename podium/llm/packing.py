@@ -42,17 +42,24 @@ def _piece_bytes(path: str, kind: str) -> PieceCache:
     """Per worker: the ids of a piece as numbers of type ``kind``; a piece of several words is put
     together from its words' entries."""
     vocab = vocabulary(path)
+    written = [i.to_bytes(np.dtype(kind).itemsize, "little") for i in range(vocab.size)]
+    tokenize = vocab.model.tokenize
 
-    def ids(piece: str) -> bytes:
-        words = vocab.plain_words(piece)
+    def word(w: str) -> bytes:
+        if not w.isascii() or not w.isalpha():
+            w = vocab.byte_level(w)
+        return b"".join([written[t.id] for t in tokenize(w)])
+
+    def piece(p: str) -> bytes:
+        words = vocab.plain_words(p)
         if words is None:
-            return np.array(vocab.piece_ids(piece), kind).tobytes()
+            return b"".join([written[i] for i in vocab.piece_ids(p)])
         if len(words) == 1:
-            return np.array(vocab.word_ids(words[0]), kind).tobytes()
-        return b"".join([cache[w] for w in words])
+            return word(words[0]) if words[0] == p else kept[words[0]]
+        return b"".join([kept[w] for w in words])
 
-    cache = PieceCache(ids)
-    return cache
+    kept = PieceCache(piece, limit=1_200_000)
+    return kept
 
 
 def token_bytes(text: str | None, path: str, kind: str = "<u4") -> bytes:
