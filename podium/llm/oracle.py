@@ -24,7 +24,7 @@ s AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR usual) AS k
 m AS (SELECT avg(k / n) AS mean, var_pop(k / n) AS var FROM s),
 v AS (SELECT source, CASE WHEN var > 1e-12
              THEN (k + greatest(mean * (1 - mean) / var - 1, 1.0) * mean) / (n + greatest(mean * (1 - mean) / var - 1, 1.0))
-             ELSE mean END >= 0.5 AS host_bad FROM s, m)
+             ELSE mean END >= least(0.5, CASE WHEN var > 1e-12 THEN mean + sqrt(var) ELSE 0.5 END) AS host_bad FROM s, m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_bad,
        NOT base_failed AND NOT (CASE WHEN host_bad THEN strict ELSE usual END) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source

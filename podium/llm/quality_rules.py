@@ -4,8 +4,9 @@ Base counts (``base_counts``) and the rules on them (``RULES``) look at one docu
 ``host_rates`` adds up failures per host (the ``source`` column), and shrinks each
 host's failure rate with a beta prior fitted to all hosts by moments: a host with few
 documents stays close to the mean of the hosts, a large one keeps its own rate.
-``judge`` joins the host's verdict back: documents of a host whose shrunk rate is at or
-over ``host_limit`` must pass the strict rules, all others the usual ones. A document
+``judge`` joins the host's verdict back: documents of a host whose shrunk rate lies ``host_deviations`` standard
+deviations of the hosts' rates above their mean, or at ``host_limit``, must pass the strict rules, all
+others the usual ones. A document
 that breaks no rule is kept whatever its host looks like.
 
 Defined results: a null text counts as empty; it has no words and fails the base rule. A null
@@ -45,6 +46,7 @@ class Limits:
     min_word_chars_x10: int = 20
     max_word_chars_x10: int = 150
     host_limit: float = 0.5
+    host_deviations: float = 1.0
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -114,12 +116,12 @@ def soft_failed(b, limits: Limits, strict: bool) -> Column:
     )
 
 
-def host_rates(failures: DataFrame, host: str, failed: str) -> DataFrame:
-    """Per host: n_docs, n_failed, and the failure rate shrunk by an empirical beta prior.
+def host_rates(failures: DataFrame, host: str, failed: str, limits: Limits = Limits()) -> DataFrame:
+    """Per host: n_docs, n_failed, the failure rate shrunk by an empirical beta prior, and whether it is bad.
 
     The prior Beta(a, b) has the mean and the variance of the hosts' own rates (moments over
     all hosts): a + b = mean (1 - mean) / variance - 1, at least 1. With one host, or equal
-    rates, the variance is 0 and every host gets the common mean.
+    rates, the variance is 0 and every host gets the common mean; then only ``host_limit`` makes a host bad.
     """
     hosts = failures.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
@@ -128,7 +130,8 @@ def host_rates(failures: DataFrame, host: str, failed: str) -> DataFrame:
     mean, var = spread["mean"], spread["var"]
     weight = F.greatest(mean * (1 - mean) / F.when(var > 1e-12, var) - 1, F.lit(1.0))
     shrunk = F.when(weight.isNull(), mean).otherwise((F.col("n_failed") + weight * mean) / (F.col("n_docs") + weight))
-    return hosts.withColumn("shrunk_rate", shrunk)
+    bad_from = F.least(F.lit(limits.host_limit), F.when(var > 1e-12, mean + limits.host_deviations * F.sqrt(var)))
+    return hosts.withColumn("shrunk_rate", shrunk).withColumn("bad", F.col("shrunk_rate") >= bad_from)
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
@@ -141,8 +144,7 @@ def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> D
     b = F.col
     flagged = counts.withColumn("base_failed", base_failed(b, limits)).withColumn(
         "failed", F.col("base_failed") | soft_failed(b, limits, strict=False))
-    hosts = host_rates(flagged, "host", "failed").select(
-        F.col("host").alias("judged_host"), (F.col("shrunk_rate") >= limits.host_limit).alias("host_bad"))
+    hosts = host_rates(flagged, "host", "failed", limits).select(F.col("host").alias("judged_host"), F.col("bad").alias("host_bad"))
     joined = flagged.join(hosts, F.col("host").eqNullSafe(F.col("judged_host")), "left")
     fails = F.when(F.col("host_bad"), soft_failed(b, limits, strict=True)).otherwise(soft_failed(b, limits, strict=False))
     return joined.select(
@@ -153,19 +155,18 @@ def judge(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> D
 def keep_good(docs: DataFrame, limits: Limits = Limits(), host: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they came.
 
-    The texts are read twice (host totals, then verdicts) and never shuffled by row:
-    only the hosts' verdicts join to them.
+    The texts are counted once: the rows are stored with what they pass, and the host totals and the
+    verdicts read that. Rows are never shuffled; only the hosts' verdicts join to them.
     """
     name = free_name(docs, "base")
     counted = base_counts(docs)
     b = lambda field: F.col(f"{name}.{field}")
-    totals = counted.select(F.col(host).alias("host"),
-                            (base_failed(b, limits) | soft_failed(b, limits, strict=False)).alias("failed"))
-    bad = stored(host_rates(totals, "host", "failed").where(F.col("shrunk_rate") >= limits.host_limit).select("host"), "bad-hosts")
     passes = ~base_failed(b, limits) & ~soft_failed(b, limits, strict=False)
     strict = ~base_failed(b, limits) & ~soft_failed(b, limits, strict=True)
     one, other, key, seen = (free_name(docs, k) for k in ("passes", "passes_strict", "bad_host", "host_is_bad"))
-    flagged = counted.withColumn(one, passes).withColumn(other, strict).drop(name).where(F.col(one))
+    flagged = stored(counted.withColumn(one, passes).withColumn(other, strict).drop(name), "quality-flags")
+    totals = flagged.select(F.col(host).alias("host"), (~F.col(one)).alias("failed"))
+    bad = stored(host_rates(totals, "host", "failed", limits).where("bad").select("host"), "bad-hosts")
     verdicts = bad.select(F.col("host").alias(key), F.lit(True).alias(seen))
-    joined = flagged.join(verdicts, F.col(host).eqNullSafe(F.col(key)), "left")
+    joined = flagged.where(F.col(one)).join(verdicts, F.col(host).eqNullSafe(F.col(key)), "left")
     return joined.where(F.col(seen).isNull() | F.col(other)).select(*docs.columns)
