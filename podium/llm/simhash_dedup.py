@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.common import bounded_sample, free_name, stored
+from podium.operators.hints import join_on_hot_key
 
 SEED = 42
 BITS = 64
@@ -249,7 +250,7 @@ def links(distinct: DataFrame, distance: int = 3, parts: tuple[int, ...] = (2, 3
     ).select("fp", F.xxhash64("x.m", "x.k").alias("key"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = counts.where(F.col("n") > block).select(F.col("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    joined = keyed.join(hot, "key", "left")
+    joined = join_on_hot_key(keyed, hot, "key", "left")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     groups = F.when(F.col("blocks").isNull(), F.array(F.col("key"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -271,7 +272,7 @@ def connected(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        pairs = both.join(least, "a")
+        pairs = join_on_hot_key(both, least, "a")
         if large:
             out = pairs.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -302,23 +303,22 @@ def components(prints: DataFrame, distance: int = 3) -> DataFrame:
     every row of ``prints`` (doc_id, fp)."""
     members = _members(prints, distance)
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = members.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    by_print = join_on_hot_key(members, least, "root").select("fp", "component_id")
+    return join_on_hot_key(prints, by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """One document of each near-duplicate component: the row with the smallest doc_id, then the
-    smallest text hash, with its columns as they came. The hash tells texts under one doc_id apart, so each
-    component keeps its own. Rows without a doc_id cannot be told apart: they stay."""
-    named, text_key = docs.where(F.col("doc_id").isNotNull()), F.sha2("text", 256)
-    keyed = named.select("doc_id", "text", text_key.alias("row_key"))
+    """One document of each near-duplicate component: the row with the smallest doc_id (none counts as the
+    greatest), then the smallest text hash, with its columns as they came. The hash finds the row again, so rows
+    that share a doc_id, or have none, are told apart by their texts and each component keeps its own."""
+    text_key = F.sha2("text", 256)
+    keyed = docs.select("doc_id", "text", text_key.alias("row_key"))
     prints = stored(keyed.mapInArrow(_fingerprint_batches, "doc_id long, row_key string, fp long"), "fingerprints")
-    rows = prints.join(_members(prints, distance), "fp")
-    firsts = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    rows = join_on_hot_key(prints, _members(prints, distance), "fp")
+    firsts = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("least"))
     least, row_key = free_name(docs, "least"), free_name(docs, "row_key")
     firsts = firsts.select(F.col("least").alias(least)).distinct()
-    found = named.withColumn(row_key, text_key)
-    here = (F.col("doc_id") == F.col(f"{least}.doc_id")) & F.col(row_key).eqNullSafe(F.col(f"{least}.row_key"))
-    kept = found.join(firsts, here, "left_semi").dropDuplicates(["doc_id", row_key]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = docs.withColumn(row_key, text_key)
+    here = F.col("doc_id").eqNullSafe(F.col(f"{least}.doc_id")) & F.col(row_key).eqNullSafe(F.col(f"{least}.row_key"))
+    return found.join(firsts, here, "left_semi").dropDuplicates(["doc_id", row_key]).select(*docs.columns)
