@@ -14,7 +14,8 @@ one window. They are a stated query set: sent to the workers in blocks of at mos
 ``block_bytes`` of text, one pass over the documents for each block.
 
 Defined results: a null or wordless text has no words, no hits and is not contaminated. Null or
-wordless items have no windows; repeated items count by their distinct item_id. Repeated document
+wordless items have no windows; items without an id are one item, which counts and has no place in the list of
+ids; repeated items count by their distinct item_id. Repeated document
 rows are judged each by itself. With no items nothing is hit. Only ``doc_id``, ``text``
 and ``item_id`` are read.
 """
@@ -161,10 +162,15 @@ class FMIndex:
 
 # -- phrases ----------------------------------------------------------------------------
 
+def _named_first(item_id: str | None) -> tuple[bool, str]:
+    """Sorts ids as strings, no id last."""
+    return item_id is None, item_id or ""
+
+
 class Phrases:
     """The distinct windows of a block of items, as word numbers."""
 
-    def __init__(self, items: list[tuple[str, str | None]]):
+    def __init__(self, items: list[tuple[str | None, str | None]]):
         self.numbers: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set[str]] = {}
         for item_id, text in items:
@@ -175,7 +181,7 @@ class Phrases:
         self.rows = np.zeros((len(windows), WINDOW), np.int64)
         for k, w in enumerate(windows):
             self.rows[k, :len(w)] = w
-        self.items = [sorted(x) for x in windows.values()]
+        self.items = [sorted(x, key=_named_first) for x in windows.values()]
         self.shortest = int(self.lengths.min()) if len(windows) else 0
 
 
@@ -225,7 +231,7 @@ def find_hits(shard: list[np.ndarray], phrases: Phrases) -> list[tuple[list[tupl
     doc = np.searchsorted(doc_start, word, side="right") - 1
     for d, w in np.unique(np.stack([doc, which], 1), axis=0):
         out[d][1].extend(phrases.items[w])
-    return [(spans, sorted(set(ids))) for spans, ids in out]
+    return [(spans, sorted(set(ids), key=_named_first)) for spans, ids in out]
 
 
 SCHEMA = "n_words long, spans array<struct<begin:long,end:long>>, items array<string>"
@@ -272,10 +278,10 @@ def _search_batches(shared, shard_words: int):
     return run
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
+def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[str | None, str | None]]]:
     """The items in blocks of bounded size; one block is on the driver at a time while it is filled."""
     blocks, now, size = [], [], 0
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     for r in rows.toLocalIterator():
         n = len(r.text or "")
         if now and size + n > block_bytes:
