@@ -5,7 +5,7 @@
 order), so a hot group lies over many neighbouring partitions, and each partition computes its running values
 alone. What a partition needs from those before it is one small row: the values that its first group has
 reached there. Every partition hands on the totals of its last group; running totals over these rows - one per
-partition, so their number is bounded by the partition count - are the carries, and they are
+partition, so their number is bounded by the partition count - are the carries, which are stored and
 broadcast. The sorted rows are stored once in the shared folder, so a lost executor cannot deal
 them differently between the totals and the running values.
 
@@ -119,6 +119,7 @@ def scan(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], **v
     upto = Window.partitionBy(*group).orderBy("_part")
     carried = [_over_tails(held[n].kind, f"_sum_{n}", upto).alias(f"_from_{n}") for n in names]
     carry = tails.select(F.lead("_part").over(along).alias("_to"), *[F.col(g).alias(f"_g_{g}") for g in group], *carried).filter(F.col("_to").isNotNull())
+    carry = materialize(carry, "scan_carry")
     on = F.col("_part") == F.col("_to")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
