@@ -8,41 +8,49 @@ optional groups, groups that repeat on one side only become repeated groups, and
 A host's streams are folded in a tree, about ``FAN`` of them in one group and round, each round stored, until
 one wrapper is left; so a hot host is not one task's work. Digits in class and id values are one symbol.
 
-A slot's texts are then compared over all pages of the host: a slot in which no two pages differ, though at least
-``TEMPLATE_PAGES`` pages with different main texts have it, holds the template's own text and is no main text.
+What the matched pages show then decides what the wrapper's elements are, over all pages of the host. An element
+whose text is the same on two or more pages with different main texts is constant. A constant element is the
+template's own (a notice, say) if it is no heading, no varying element beside it is of its kind, and it stands before the first
+or after the last varying text; a constant part between varying ones, or a paragraph like the varying paragraphs, is the article's.
+On hosts without article (or main) elements the main region is the element that the varying text leads to: from
+the root down, the part that holds at least ``SHARE`` of it, as long as that part is one element a page and
+has several elements of its own; a varying h1 outside of it is kept.
 
 ``extract`` matches each page with its host's wrapper. A text is main text or not by its place on the page's
-own tag path: inside the article (or main) element and outside of menus, headers, footers, asides, forms, scripts,
+own tag path: inside the article (or main) element, or the region, and outside of menus, headers, footers, asides, forms, scripts,
 notices, adverts and comments, unless it is the template's. (The wrapper's optional alternatives are no path: one page never has them all.) A page that its wrapper does not match (cut off, say)
 is its own wrapper. Main texts join to blocks at block tags, in page order.
 
-Defined results: null or empty html gives an empty text. A page without an article or main element gives
-the texts of its body outside the excluded places. An url without a host belongs to the host ``""``. Repeated rows
+Defined results: null or empty html gives an empty text. A page without an article, main element or region
+gives the texts of its body outside the excluded places. An url without a host belongs to the host ``""``. Repeated rows
 are extracted each. Only ``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
 
 import difflib
-import hashlib
 import html
 import json
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from operator import eq
 
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from podium.llm.common import stored
 
-TOKEN = regex.compile(
+TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    regex.S | regex.I)
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">]++)*+)>",
+    re.S | re.I)
 ATTR = regex.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", regex.I)
 DIGITS = regex.compile(r"[0-9]+")
 
@@ -58,40 +66,60 @@ EXCLUDED_NAMES = regex.compile(
     r"sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|comment-\w+|replies|"
     r"disqus|discussion|share|sharing|social|related|recommend\w*|popup|modal|overlay|login|signup|search|pagination|pager|skip)(?:$|[\s_-])", regex.I)
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 TEXT = "#"
-LONGEST_GROUP = 48
+SHORT_GROUP = 48
 FAN = 64
-TEMPLATE_PAGES = 3
+SHARE = 0.7
 STEPS = 20_000
+KNOWN_TAGS = 50_000
 
 
 def tokens(page: str | None) -> list[tuple[str, str]]:
     """(symbol, text) pairs: a tag with its class, id and role, or ``#`` with its raw text. Comments and
     elements whose content is no markup are gone."""
     page = page or ""
-    out, at = [], 0
+    out: list[tuple[str, str]] = []
+    at = 0
 
-    def text(upto: int) -> None:
-        if page[at:upto].strip():
+    def text(piece: str) -> None:
+        if piece and not piece.isspace():
             if out and out[-1][0] == TEXT:  # a comment stood between
-                out[-1] = (TEXT, out[-1][1] + page[at:upto])
+                out[-1] = (TEXT, out[-1][1] + piece)
             else:
-                out.append((TEXT, page[at:upto]))
+                out.append((TEXT, piece))
 
     for m in TOKEN.finditer(page):
-        text(m.start())
-        at = m.end()
-        if m["name"]:
-            name = m["name"].lower()
-            if m["close"]:
-                out.append(("/" + name, ""))
-            else:
-                marks = " ".join(f"{k.lower()}={DIGITS.sub('0', v.strip(chr(34) + chr(39)))}" for k, v in ATTR.findall(m["attrs"]))
-                out.append((f"{name} {marks}".strip(), ""))
-    text(len(page))
+        start, end = m.span()
+        if start > at:
+            text(page[at:start])
+        at = end
+        tag = m[0]
+        symbol = _tags.get(tag)
+        if symbol is None:
+            symbol = _symbol(m)
+            if len(tag) <= 100:
+                if len(_tags) >= KNOWN_TAGS:
+                    _tags.clear()
+                _tags[tag] = symbol
+        if symbol[0]:
+            out.append(symbol)
+    text(page[at:])
     return out
 
 
+_tags: dict[str, tuple[str, str]] = {}
+
+
+def _symbol(m: re.Match) -> tuple[str, str]:
+    name = (m["name"] or "").lower()
+    if m["close"]:
+        return "/" + name, ""
+    attrs = m["attrs"] if name else ""
+    marks = " ".join(f"{k.lower()}={DIGITS.sub('0', v.strip(chr(34) + chr(39)))}" for k, v in ATTR.findall(attrs)) if "=" in attrs else ""
+    return f"{name} {marks}".strip(), ""
+
+
 # -- places ------------------------------------------------------------------------------------
 
 def _is_excluded(symbol: str, inside_article: bool) -> bool:
@@ -111,54 +139,117 @@ def _is_article(symbol: str) -> bool:
     return symbol.split(" ")[0] in ("article", "main") or "role=main" in symbol.lower()
 
 
-def places(symbols: list[str]) -> list[bool]:
-    """For each symbol: is a text there main text?"""
-    open_: list[tuple[str, bool, bool]] = []  # name, excluded, inside an article
-    state: list[tuple[bool, bool]] = []
-    for s in symbols:
-        if s.startswith("/"):
+@lru_cache(maxsize=50_000)
+def _tag(symbol: str) -> tuple[str, bool, bool, bool, bool]:
+    """name, excluded outside and inside an article, an article itself, a block."""
+    name = symbol.split(" ")[0]
+    return name, _is_excluded(symbol, False), _is_excluded(symbol, True), _is_article(symbol), name in BLOCK
+
+
+@dataclass
+class Outline:
+    """A page's elements: for each symbol the element it stands in (its symbol's number, -1: none), for each
+    opening tag where its element ends, and for each text whether its place is main text."""
+
+    parents: list[int]
+    ends: list[int]
+    main: list[bool]
+    has_article: bool
+
+
+def outline(symbols: list[str]) -> Outline:
+    root = ("", False, False, -1)
+    open_: list[tuple[str, bool, bool, int]] = []  # name, excluded, inside an article, number
+    n = len(symbols)
+    parents, ends = [-1] * n, [n] * n
+    texts: list[tuple[int, bool, bool]] = []
+
+    def close_from(k: int, at: int) -> None:
+        for x in open_[k:]:
+            ends[x[3]] = at
+        del open_[k:]
+
+    for i, s in enumerate(symbols):
+        top = open_[-1] if open_ else root
+        if s == TEXT:
+            parents[i] = top[3]
+            texts.append((i, top[1], top[2]))
+        elif s[0] == "/":
             name = s[1:]
-            if any(o[0] == name for o in open_):
-                while open_.pop()[0] != name:
-                    pass
-        elif s != TEXT:
-            name = s.split(" ")[0]
-            if name in BLOCK:  # an open paragraph ends where a block begins
+            for k in range(len(open_) - 1, -1, -1):
+                if open_[k][0] == name:
+                    close_from(k, i)
+                    break
+        else:
+            name, outside, inside, is_article, is_block = _tag(s)
+            if is_block and open_:  # an open paragraph ends where a block begins
                 names = [o[0] for o in open_]
-                if "p" in names and not {"td", "th", "li"}.intersection(names[names.index("p"):]):
-                    del open_[names.index("p"):]
+                if "p" in names:
+                    k = names.index("p")
+                    if not {"td", "th", "li"}.intersection(names[k:]):
+                        close_from(k, i)
             if open_ and open_[-1][0] in CLOSED_BY.get(name, ()):
-                open_.pop()
-            excluded, article = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
-            if name not in VOID:
-                open_.append((name, excluded or _is_excluded(s, article), article or _is_article(s)))
-        state.append((open_[-1][1], open_[-1][2]) if open_ else (False, False))
-    found = any(article and not excluded and s == TEXT for s, (excluded, article) in zip(symbols, state))
-    return [s == TEXT and not excluded and (article or not found) for s, (excluded, article) in zip(symbols, state)]
+                close_from(len(open_) - 1, i)
+            top = open_[-1] if open_ else root
+            parents[i] = top[3]
+            if name in VOID:
+                ends[i] = i
+            else:
+                open_.append((name, top[1] or (inside if top[2] else outside), top[2] or is_article, i))
+    found = any(article and not excluded for _, excluded, article in texts)
+    main = [False] * n
+    for i, excluded, article in texts:
+        main[i] = not excluded and (article or not found)
+    return Outline(parents, ends, main, found)
+
+
+def places(symbols: list[str]) -> list[bool]:
+    """For each symbol: is a text there main text, by the tags and names around it alone?"""
+    return outline(symbols).main
 
 
 # -- wrappers ----------------------------------------------------------------------------------
 # An item is a symbol, ["+", items] or ["?", items]; a wrapper is a list of items.
 
+def _grouped(items: list, size: int) -> list:
+    """Runs of ``size`` items that repeat side by side as repeated groups."""
+    out, i = [], 0
+    while i < len(items):
+        if i + 2 * size <= len(items) and items[i] == items[i + size] and items[i:i + size] == items[i + size:i + 2 * size]:
+            j = i + size
+            while items[j:j + size] == items[i:i + size]:
+                j += size
+            out.append(["+", items[i:i + size]])
+            i = j
+        else:
+            out.append(items[i])
+            i += 1
+    return out
+
+
 def collapse(symbols: list) -> list:
-    """Runs that repeat side by side become repeated groups, short ones first."""
+    """Runs that repeat side by side become repeated groups, short ones first. Above ``SHORT_GROUP`` items, the sizes
+    tried are the distances from an item to its next occurrence."""
     items = list(symbols)
-    for size in range(2, LONGEST_GROUP + 1):
+    for size in range(2, SHORT_GROUP + 1):
         if 2 * size > len(items):
-            break
-        out, i = [], 0
-        while i < len(items):
-            if i + 2 * size <= len(items) and items[i] == items[i + size] and items[i:i + size] == items[i + size:i + 2 * size]:
-                j = i + size
-                while items[j:j + size] == items[i:i + size]:
-                    j += size
-                out.append(["+", items[i:i + size]])
-                i = j
-            else:
-                out.append(items[i])
-                i += 1
-        items = out
-    return items
+            return items
+        if sum(map(eq, items, items[size:])) >= size:
+            items = _grouped(items, size)
+    size = SHORT_GROUP
+    while True:
+        last: dict[str, int] = {}
+        sizes: dict[int, int] = {}
+        for i, x in enumerate(items):
+            key = x if isinstance(x, str) else _key(x)
+            gap = i - last.get(key, i)
+            if gap > size and 2 * gap <= len(items):
+                sizes[gap] = sizes.get(gap, 0) + 1
+            last[key] = i
+        size = next((g for g in sorted(sizes) if sum(map(eq, items, items[g:])) >= g), 0)
+        if not size:
+            return items
+        items = _grouped(items, size)
 
 
 def _key(item) -> str:
@@ -182,11 +273,12 @@ def _bits(mask: int) -> Iterator[int]:
 
 class Matcher:
     """The wrapper as a position automaton, a state being the set of items that may have been read
-    last; its steps are worked out when a page first needs them. Texts are optional. ``template`` holds the text
-    hash of each slot whose text is the template's."""
+    last; its steps are worked out when a page first needs them. Texts are optional. ``verdict``: what the host's
+    pages show of the items (``judge_items``)."""
 
-    def __init__(self, wrapper: list, template: dict[int, int] | None = None):
-        self.template = template or {}
+    def __init__(self, wrapper: list, verdict: dict | None = None):
+        verdict = verdict or {}
+        self.constant, self.region = frozenset(verdict.get("constant", ())), verdict.get("region")
         self.follow = [0]  # of the start, then of each item
         self.places_of: dict[str, int] = {}
         empty, first, last = self._build(wrapper)
@@ -243,15 +335,44 @@ class Matcher:
             out.append(next(p for p in _bits(state) if self.follow[p] >> out[-1] & 1))
         return out[::-1] if symbols else []
 
-    def main_texts(self, symbols: list[str], hashes: list[int] | None = None) -> list[bool] | None:
+    def main_texts(self, symbols: list[str]) -> list[bool] | None:
         """For each symbol of a page: main text? None if the wrapper does not match."""
         path = self.path(symbols)
         if path is None:
             return None
-        main = places(symbols)
-        if self.template and hashes:
-            main = [m and self.template.get(p) != h for m, p, h in zip(main, path, hashes)]
-        return main
+        found = outline(symbols)
+        if self.region is not None and not found.has_article and self.region in path:
+            self._keep_region(symbols, path, found)
+        if self.constant and not self.constant.isdisjoint(path):
+            self._drop_template(symbols, path, found)
+        return found.main
+
+    def _keep_region(self, symbols: list[str], path: list[int], found: Outline) -> None:
+        inside = [p == self.region for p in path]
+        for i, parent in enumerate(found.parents):  # parents come first
+            inside[i] = inside[i] or parent >= 0 and (inside[parent] or symbols[parent].split(" ")[0] == "h1" and path[parent] not in self.constant)
+        if any(m and x for m, x in zip(found.main, inside)):
+            found.main = [m and x for m, x in zip(found.main, inside)]
+
+    def _drop_template(self, symbols: list[str], path: list[int], found: Outline) -> None:
+        constant = [s != TEXT and p in self.constant for s, p in zip(symbols, path)]
+        varying = []  # main texts outside of constant elements
+        for i, parent in enumerate(found.parents):
+            constant[i] = constant[i] or parent >= 0 and constant[parent]
+            if found.main[i] and not constant[i]:
+                varying.append(i)
+        if not varying:
+            return
+        beside: dict[int, set[str]] = {}  # kinds of the varying elements by their parent
+        for i, parent in enumerate(found.parents):
+            if not constant[i] and symbols[i] != TEXT and symbols[i][0] != "/":
+                beside.setdefault(parent, set()).add(symbols[i])
+        for i, parent in enumerate(found.parents):
+            whole = constant[i] and symbols[i] != TEXT and symbols[i][0] != "/" and (parent < 0 or not constant[parent])
+            if (whole and symbols[i].split(" ")[0] not in HEADINGS and symbols[i] not in beside.get(parent, ())
+                    and not varying[0] < i < varying[-1]):
+                for j in range(i, found.ends[i]):
+                    found.main[j] = False
 
     def accepts(self, symbols: list[str]) -> bool:
         return self.path(symbols) is not None
@@ -347,7 +468,7 @@ def host_of(url):
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), pages and template (JSON: slots and their text's hash), one row per host."""
+    """host, wrapper (JSON), pages and verdict (JSON: its constant items and its region), one row per host."""
     kind = "host string, stream string, pages long"
     source = pages.select(host_of(F.col("url")).alias("host"), "html")
     seen = source.mapInArrow(_stream_batches, kind)
@@ -361,66 +482,124 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         folded = parts.groupBy("host", "part").applyInPandas(_fold_group, kind)
         now = stored(folded.groupBy("host", "stream").agg(F.sum("pages").alias("pages")), "streams")
     whole = now.select("host", F.col("stream").alias("wrapper"), "pages")
-    texts = source.join(whole, "host").select("host", "html", "wrapper").mapInArrow(
-        _slot_batches, "host string, slot long, least long, most long, page long")
-    slots = texts.groupBy("host", "slot").agg(F.min("least").alias("text"), F.max("most").alias("most"), F.countDistinct("page").alias("n"))
-    fixed = slots.where((F.col("text") == F.col("most")) & (F.col("n") >= TEMPLATE_PAGES))
-    template = fixed.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "text")))).alias("template"))
-    return whole.join(template, "host", "left").select("host", "wrapper", "pages", "template")
-
+    seen = source.join(whole, "host").select("host", "html", "wrapper").mapInArrow(
+        _item_batches, "host string, item long, parent long, symbol string, least long, most long, page long, occurrences long, chars long, pages long")
+    items = seen.groupBy("host", "item", "parent", "symbol").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.countDistinct("page").alias("different"),
+        F.sum("occurrences").alias("occurrences"), F.sum("chars").alias("chars"), F.sum("pages").alias("pages"))
+    verdicts = items.groupBy("host").applyInPandas(_judge_host, "host string, verdict string")
+    return whole.join(verdicts, "host", "left").select("host", "wrapper", "pages", "verdict")
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
+def _text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(" ".join(text.split()).encode("utf-8", "replace")) >> 1
 
-def _text_hashes(stream: list[tuple[str, str]]) -> list[int]:
-    return [_hash(" ".join(html.unescape(text).split())) if symbol == TEXT else 0 for symbol, text in stream]
 
-
-def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least and largest text hash of a task's main texts by host and slot, with up to ``TEMPLATE_PAGES``
-    different pages (hashes of their main texts) while the slot's texts are the same."""
-    slots: dict[tuple[str, int], list] = {}
+def item_facts(stream: list[tuple[str, str]], path: list[int]) -> list[tuple[int, int, str, int, int]]:
+    """(item, parent's item or -1, symbol, hash of its texts, characters) of every element of a matched page that
+    holds main text. Characters count on pages without an article only: there they lead to the region."""
+    symbols = [s for s, _ in stream]
+    found = outline(symbols)
+    hashes, chars = [0], [0]
+    for (_, text), m in zip(stream, found.main):
+        hashes.append(hashes[-1] + (_text_hash(text) if m else 0))
+        chars.append(chars[-1] + (len(text) if m else 0))
+    facts = []
+    for i, (s, parent) in enumerate(zip(symbols, found.parents)):
+        if s != TEXT and s[0] != "/" and chars[end := found.ends[i]] > chars[i]:
+            facts.append((path[i], path[parent] if parent >= 0 else -1, s, (hashes[end] - hashes[i]) % (1 << 63),
+                          0 if found.has_article else chars[end] - chars[i]))
+    return facts
+
+
+def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task's pages show of each host's items, added up; up to two different pages (hashes of their main
+    texts) are named while an item's texts are the same."""
+    seen: dict[tuple[str, int, int, str], list] = {}
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.int64()] * 6
+    names = ["host", "item", "parent", "symbol", "least", "most", "page", "occurrences", "chars", "pages"]
 
     def out():
-        rows = [(h, s, a, b, k) for (h, s), (a, b, keys) in slots.items() for k in (keys if a == b else [None])]
-        cols = list(zip(*rows)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] + [pa.int64()] * 4)],
-                                          ["host", "slot", "least", "most", "page"])
+        rows = []
+        for key, (least, most, keys, occurrences, chars, pages) in seen.items():
+            named = sorted(keys) if least == most else [None]
+            rows += [(*key, least, most, k, *((occurrences, chars, pages) if j == 0 else (0, 0, 0))) for j, k in enumerate(named)]
+        cols = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
     for batch in batches:
         for host, page, wrapper in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("wrapper").to_pylist()):
             stream = tokens(page.as_py())
-            symbols = [s for s, _ in stream]
-            path = _matcher(wrapper).path(symbols)
-            if path is None:
-                continue
-            hashes = _text_hashes(stream)
-            found = [(p, h) for p, h, m in zip(path, hashes, places(symbols)) if m]
-            key = _hash(repr([h for _, h in found]))
-            for p, h in found:
-                entry = slots.setdefault((host, p), [h, h, set()])
-                entry[0], entry[1] = min(entry[0], h), max(entry[1], h)
-                if len(entry[2]) < TEMPLATE_PAGES:
+            path = _matcher(wrapper).path([s for s, _ in stream])
+            facts = item_facts(stream, path) if path is not None else []
+            key = hash(tuple(sorted(f[3] for f in facts if f[1] == -1))) if len(facts) != 1 else facts[0][3]
+            here = set()
+            for item, parent, symbol, text, chars in facts:
+                entry = seen.setdefault((host, item, parent, symbol), [text, text, set(), 0, 0, 0])
+                entry[0], entry[1] = min(entry[0], text), max(entry[1], text)
+                if len(entry[2]) < 2:
                     entry[2].add(key)
-        if len(slots) > 50_000:
+                entry[3] += 1
+                entry[4] += chars
+                if item not in here:
+                    entry[5] += 1
+                    here.add(item)
+        if len(seen) > 50_000:
             yield out()
-            slots.clear()
+            seen.clear()
     yield out()
 
 
+def judge_items(rows: list[tuple[int, int, str, int | None, bool, int, int, int]]) -> dict:
+    """constant (items) and region (an item or None) of a host from (item, parent, symbol, hash of its text or None if
+    that differs, on different pages, occurrences, chars, pages)."""
+    texts: dict[int, set[int | None]] = {}
+    for row in rows:
+        texts.setdefault(row[0], set()).add(row[3])
+    constant = sorted({r[0] for r in rows if r[4] and r[3] is not None and len(texts[r[0]]) == 1})
+    under: dict[int, list] = {}
+    for row in rows:
+        if row[6] and row[0] not in constant:
+            under.setdefault(row[1], []).append(row)
+    region, at = None, -1
+    steps = set()
+    while under.get(at) and at not in steps:
+        steps.add(at)
+        best = max(under[at], key=lambda r: (r[6], -r[0]))
+        several = sum(r[5] for r in under.get(best[0], ()))
+        only = len(under.get(best[0], ())) == 1 and several <= best[5]
+        if best[6] < SHARE * sum(r[6] for r in under[at]) or best[5] > best[7] or not (several > best[5] or only):
+            break
+        at = best[0]
+        if several > best[5]:
+            region = at
+    return {"constant": constant, "region": region}
+
+
+def _judge_host(group: pd.DataFrame) -> pd.DataFrame:
+    rows = group.sort_values(["item", "parent", "symbol"])
+    verdict = judge_items([(int(r.item), int(r.parent), r.symbol, int(r.least) if r.least == r.most else None, r.different >= 2, int(r.occurrences), int(r.chars), int(r.pages))
+                           for r in rows.itertuples()])
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "verdict": [json.dumps(verdict)]})
+
+
 # -- extraction --------------------------------------------------------------------------------
 
 @lru_cache(maxsize=1000)
-def _matcher(wrapper: str, template: str | None = None) -> Matcher:
-    return Matcher(json.loads(wrapper), dict(json.loads(template or "[]")))
+def _matcher(wrapper: str, verdict: str | None = None) -> Matcher:
+    return Matcher(json.loads(wrapper), json.loads(verdict or "{}"))
+
+
+@lru_cache(maxsize=50_000)
+def _is_block(symbol: str) -> bool:
+    return symbol.lstrip("/").split(" ")[0] in BLOCK
 
 
 def page_text(page: str | None, matcher: Matcher | None = None) -> str:
     """The main text: blocks joined by a line feed, white space inside a block as one space."""
     stream = tokens(page)
     symbols = [s for s, _ in stream]
-    main = matcher.main_texts(symbols, _text_hashes(stream) if matcher.template else None) if matcher else None
+    main = matcher.main_texts(symbols) if matcher else None
     if main is None:
         main = places(symbols)
     blocks, now = [], []
@@ -428,7 +607,7 @@ def page_text(page: str | None, matcher: Matcher | None = None) -> str:
         if symbol == TEXT:
             if is_main:
                 now.append(html.unescape(text))
-        elif symbol.lstrip("/").split(" ")[0] in BLOCK:
+        elif _is_block(symbol):
             blocks.append("".join(now))
             now = []
         elif symbol == "br":
@@ -441,12 +620,12 @@ def page_text(page: str | None, matcher: Matcher | None = None) -> str:
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [page_text(p.as_py(), _matcher(w, t) if w is not None else None)
-                 for p, w, t in zip(batch.column("html"), batch.column("wrapper").to_pylist(), batch.column("template").to_pylist())]
+                 for p, w, t in zip(batch.column("html"), batch.column("wrapper").to_pylist(), batch.column("verdict").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """page_id, url and text of every row of ``pages``."""
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = own.join(wrappers.select("host", "wrapper", "template"), "host", "left").select("page_id", "url", "html", "wrapper", "template")
+    joined = own.join(wrappers.select("host", "wrapper", "verdict"), "host", "left").select("page_id", "url", "html", "wrapper", "verdict")
     return joined.mapInArrow(_extract_batches, "page_id long, url string, text string")

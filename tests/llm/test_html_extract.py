@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -84,13 +85,70 @@ def test_table_with_nulls_copies_and_clashes(spark):
     assert extract(none, infer_wrappers(none)).count() == 0
 
 
-def test_constant_texts_of_a_host_are_its_template(spark):
-    notice = "<div class='x7'>Read us daily</div>"
-    rows = [(i, f"http://h.org/{i}", page(f"<article id='post-{i}'><h1>t{i}</h1><p>p{i}</p>{notice}</article>")) for i in range(5)]
-    rows += [(10 + i, f"http://two.org/{i}", page(f"<article><h1>same</h1><p>p{i}</p></article>")) for i in range(2)]
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_constant_texts_of_a_host_are_its_template(spark, n):
+    notice, heading = "<div class='x7'>Read us daily</div>", "<h2>Ingredients</h2>"
+    bodies = {
+        "notice": lambda i: f"<h1>t{i}</h1><p>p{i}</p>{notice}", "heading": lambda i: f"<h1>t{i}</h1>{heading}<p>p{i}</p>",
+        "between": lambda i: f"<p>p{i}</p><div class='x7'>then</div><ul><li>l{i}</li></ul>", "alike": lambda i: f"<p><b>Hello</b></p><p>p{i}</p>",
+        "same": lambda i: "<h1>same</h1><p>all of it</p>", "title": lambda i: f"<h1>same</h1><p>p{i}</p>"}
+    rows = [(i, f"http://{host}.org/{i}", page(f"<article id='post-{i}'>{body(i)}</article>")) for host, body in bodies.items() for i in range(n)]
     pages = spark.createDataFrame(rows, PAGE)
+    got = {(r.url.split("/")[2][:-4], r.page_id): r.text for r in extract(pages, infer_wrappers(pages)).collect()}
+    for i in range(n):
+        assert got["notice", i] == f"t{i}\np{i}"
+        assert got["heading", i] == f"t{i}\nIngredients\np{i}"
+        assert got["between", i] == f"p{i}\nthen\nl{i}"
+        assert got["alike", i] == f"Hello\np{i}"
+        assert got["same", i] == "same\nall of it" and got["title", i] == f"same\np{i}"
+    plain = {(r[1].split("/")[2][:-4], r[0]): page_text(r[2]) for r in rows}
+    assert {k for k in got if got[k] != plain[k]} == {("notice", i) for i in range(n)}
+
+
+@pytest.mark.parametrize("n", [2, 3, 6])
+def test_main_region_is_found_without_article_and_listed_names(spark, n):
+    def body(i):
+        text = "".join(f"<p>{i} {k} " + "word " * 20 + "</p>" for k in range(2 + i % 3))
+        return (f"<div class='k1'><div class='k2'><a href='/a'>Start</a> <a href='/{i}'>Seen {i}</a></div><h1>t{i}</h1>"
+                f"<div class='k3'>{text}</div><div class='k4'><p>other {i}</p><p>more {i}</p></div></div>")
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", page(body(i))) for i in range(n)], PAGE)
     got = {r.page_id: r.text for r in extract(pages, infer_wrappers(pages)).collect()}
-    assert got == {i: f"t{i}\np{i}" for i in range(5)} | {10 + i: f"same\np{i}" for i in range(2)}
+    assert got == {i: "\n".join([f"t{i}"] + [f"{i} {k}" + " word" * 20 for k in range(2 + i % 3)]) for i in range(n)}
+
+
+def accepted(wrapper, stream):
+    """Brute force: the places in ``stream`` where the wrapper can end when it begins at 0."""
+    ends = {0}
+    for x in wrapper:
+        now = set()
+        for at in ends:
+            if isinstance(x, str):
+                now |= ({at} if x == "#" else set()) | ({at + 1} if stream[at:at + 1] == [x] else set())
+            else:
+                new = {at + e for e in accepted(x[1], stream[at:])}
+                now |= new | ({at} if x[0] == "?" else set())
+                while x[0] == "+" and new:
+                    new = {a + e for a in new for e in accepted(x[1], stream[a:])} - now
+                    now |= new
+        ends = now
+    return ends
+
+
+def test_wrappers_equal_brute_force_matching():
+    draw = random.Random(7)
+    for _ in range(150):
+        streams = [[s for _ in range(draw.randint(1, 4)) for s in draw.choice((["p", "#", "/p"], ["hr"], ["ul", "li", "#", "/li", "/ul"], ["p", "b", "#", "/b", "/p"]))]
+                   for _ in range(draw.randint(1, 4))]
+        wrapper = fold([collapse(s) for s in streams])
+        matcher = Matcher(wrapper)
+        assert all(matcher.accepts(s) for s in streams)  # templates of a host without nested groups
+        for s in streams + [s[:draw.randint(0, len(s))] for s in streams] + [draw.sample(s, len(s)) for s in streams]:
+            assert matcher.accepts(s) == (len(s) in accepted(wrapper, s)), (wrapper, s)
+
+
+def test_long_blocks_become_groups():
+    block = ["div"] + [f"t{k}" for k in range(80)] + ["/div"]
+    assert collapse(["x"] + block * 3 + ["y"]) == ["x", ["+", block], "y"]
 
 
 def test_many_streams_of_a_host_fold_in_rounds(spark, monkeypatch):
