@@ -50,17 +50,20 @@ def fold_of(doc_id: Column | str, folds: int) -> Column:
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """About ``n`` rows (all, if there are fewer): those whose hash of ``key`` is under the share
-    that ``n`` is of all rows, so the same rows whatever the partitioning, and no shuffle. Only
-    for fitting a model; ``n`` is a documented parameter of its caller."""
+    that ``n`` is of all rows, so the same rows whatever the partitioning, and no shuffle. ``df`` must hold
+    distinct rows: a key that holds many would come whole. Only for fitting a model; ``n`` is a
+    documented parameter of its caller."""
     rows = df.select(key).count()
     share = min(1.0, n / max(1, rows))
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The doc_id, text and other columns of ``ids`` for the documents named there. ``ids`` must be a
-    ``bounded_sample``: its bound is what makes the broadcast safe, and no text is shuffled."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    """The doc_id, text and other columns of ``ids`` for the documents named there, one text an id (the smallest, where
+    an id has several). ``ids`` must be a ``bounded_sample``: its bound is what makes the broadcast safe, and
+    only texts named there are shuffled."""
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy(*ids.columns).agg(F.min("text").alias("text"))
 
 
 def tokenizer_path(name_or_path: str) -> str:

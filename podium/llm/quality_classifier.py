@@ -159,11 +159,11 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
           max_unlabelled: int = MAX_UNLABELLED) -> tuple[Network | None, float]:
     """From positives whose crc32 fold (of 5) is not 0, and documents without a label."""
     usable = labels.select("doc_id", "quality").where(fold_of("doc_id", 5) != 0)
-    good = bounded_sample(usable.where(F.col("quality") == 1).select("doc_id"), "doc_id", max_positive)
+    good = bounded_sample(usable.where(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", max_positive)
     free = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti")
     if free.limit(1).count() == 0:
         free = usable.select("doc_id")
-    mixed = bounded_sample(free, "doc_id", max_unlabelled)
+    mixed = bounded_sample(free.distinct(), "doc_id", max_unlabelled)
 
     def vectors(ids: DataFrame) -> np.ndarray:
         got = texts_of(docs, ids).select("text").mapInArrow(_feature_batches, "x array<double>").toPandas()["x"]
