@@ -71,6 +71,11 @@ def active_periods(pairs: DataFrame, *, driver: str = "DriverId", season: str =
     """
     distinct_pairs = pairs.select(driver, season).distinct()
     islands = season_islands(distinct_pairs, driver=driver, season=season, method=method)
+    return listed_periods(islands, driver=driver, sep=sep, dash=dash)
+
+
+def listed_periods(islands: DataFrame, *, driver: str = "DriverId", sep: str = ", ", dash: str = "-") -> DataFrame:
+    """``driver, Ranges, Periods`` from ``season_islands`` rows."""
     ranged = islands.withColumn("_range", year_range("FromYear", "ToYear", dash))
     sep_sql = sep.replace("'", "''")
     return ranged.groupBy(driver).agg(

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from podium.functions import full_name, strict_name, text
 from podium.operators import keys as key_ops
 from podium.operators import standings as standings_ops
+from podium.operators.continuation import continue_standings, in_place
 from podium.operators.standings import build_standings, final_standings, season_champions
 from podium.plans import model
-from podium.sources.sinks import input_fingerprint, stored_table
+from podium.sources.sinks import input_fingerprint, materialize, stored_table
 from podium.sources.tables import read_tables
 
 
@@ -41,6 +42,23 @@ def _championship(spark: SparkSession, root: str):
 def standings_table(spark: SparkSession, root: str) -> DataFrame:
     """SURVEY 2.16 standings builder: ``RaceId, DriverId, Points, Position`` for every round."""
     _, _, _, standings = _championship(spark, root)
+    return _standings_columns(standings)
+
+
+def standings_continued(spark: SparkSession, root: str) -> DataFrame:
+    """The same from stored standings that are continued: of every season but the last the rounds up to the ninth are
+    stored; the other rounds and the whole last season come as a batch."""
+    _, rr, races, _ = _championship(spark, root)
+    last = races.agg(F.max("RaceYear")).first()[0] or 0
+    early = (F.col("RaceYear") < last) & (F.col("NrOfRound") <= 9)
+    points = rr.select("RaceId", "DriverId", "Points")
+    old, new = races.where(early), races.where(~early)
+    stored = materialize(build_standings(points.join(old, "RaceId", "left_semi"), old), "standings_early")
+    changed = continue_standings(stored, old, points.join(new, "RaceId", "left_semi"), new)
+    return _standings_columns(in_place(stored, materialize(changed, "standings_late"), "RaceId"))
+
+
+def _standings_columns(standings: DataFrame) -> DataFrame:
     return standings.select(F.col("RaceId").cast("long").alias("RaceId"),
                             F.col("DriverId").cast("long").alias("DriverId"),
                             F.col("Points").cast("double").alias("Points"),
@@ -88,6 +106,7 @@ def q7_lateral_top1(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "standings_builder": standings_table,
+    "standings_continued": standings_continued,
     "q3_apply_rewrite": q3_apply_rewrite,
     "q7_lateral_top1": q7_lateral_top1,
     "q3_unbroken_lead": q3_unbroken_lead,

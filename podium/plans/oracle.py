@@ -241,6 +241,7 @@ ORACLE.update({
     "q3_apply_rewrite": Q3,
     "q7_lateral_top1": Q7,
     "standings_builder": STANDINGS,
+    "standings_continued": STANDINGS,
     "q3_unbroken_lead": Q3,
     "q7_final_standings": Q7,
 })
@@ -777,6 +778,7 @@ _FIN = hundredths("SUM(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)", "COUNT
 
 ORACLE.update({
     "w5_w6_periods_lag": Q4_ALL,
+    "q4_continued_periods": Q4_ALL,
     "j8_exists_other": _with(RESULT) + """, N AS (SELECT RaceId, DriverId, ResultNumber % 20 AS Number, PartId FROM Result)
         SELECT * FROM N WHERE EXISTS (SELECT 1 FROM N x WHERE x.RaceId = N.RaceId AND x.Number = N.Number AND x.DriverId <> N.DriverId)""",
     "j10_no_later_race": _with(RACE) + """SELECT RaceId, CustomerId, RaceDate::VARCHAR AS RaceDate FROM Race r

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from podium.functions import (
     full_name, hundredths_of_percent, nth_part, percent_text_fixed, percent_text_trimmed,
 )
+from podium.operators.continuation import continue_periods, in_place
 from podium.operators.exists import exists_between, exists_where
-from podium.operators.periods import active_periods, numbered_islands, periods_report
+from podium.operators.periods import active_periods, listed_periods, numbered_islands, periods_report, season_islands
 from podium.plans import model
+from podium.sources.sinks import materialize
 from podium.sources.tables import read_tables
 
 
@@ -23,6 +25,17 @@ def w5_w6_periods_lag(spark: SparkSession, root: str) -> DataFrame:
                           name_col=full_name("Firstname", "Lastname"))
 
 
+def q4_continued_periods(spark: SparkSession, root: str) -> DataFrame:
+    """Q4 on stored islands that are continued: all seasons but the last two are stored, these come as a batch."""
+    t = read_tables(spark, root)
+    pairs = model.race(t).select(F.col("CustomerId").alias("DriverId"), "RaceYear")
+    last = pairs.agg(F.max("RaceYear")).first()[0] or 0
+    stored = materialize(season_islands(pairs.where(F.col("RaceYear") < last - 1).distinct()), "islands")
+    changed = continue_periods(stored, pairs.where(F.col("RaceYear") >= last - 1))
+    periods = listed_periods(in_place(stored, materialize(changed, "islands_changed"), "DriverId"))
+    return periods_report(periods, model.customer_driver(t), name_col=full_name("Firstname", "Lastname"))
+
+
 def j8_exists_other(spark: SparkSession, root: str) -> DataFrame:
     """Results whose number another driver of the same race has too (EXISTS with ``<>``)."""
     rows = model.result(read_tables(spark, root)).select("RaceId", "DriverId", F.expr("ResultNumber % 20").alias("Number"), "PartId")
@@ -95,6 +108,7 @@ def j9_anti(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "w5_w6_periods_lag": w5_w6_periods_lag,
+    "q4_continued_periods": q4_continued_periods,
     "w6_global_islands": w6_global_islands,
     "j8_exists_other": j8_exists_other,
     "j10_no_later_race": j10_no_later_race,
