@@ -1,7 +1,7 @@
 """Snapshot overlays: UPDATE without update-in-place.
 
 Plain parquet has no MERGE, so an update produces the next snapshot as a
-DataFrame: unchanged rows (anti-join on the key) plus the changed rows. The key
+DataFrame: the rows, each with its change if it has one (one left join on the key). The key
 is the table's primary key, so the join partitions are as even as the keys.
 """
 
@@ -33,16 +33,14 @@ def overlay_rows(base: DataFrame, changes: DataFrame, key: str | Sequence[str],
     Change rows whose key is not in ``base`` update nothing (like an UPDATE that
     matches no row). Columns absent from ``changes`` become NULL, as the
     procedures' omitted arguments do. Of several changes of a key the last one holds
-    (``last_change``), so a key never becomes two rows.
+    (``last_change``), so a key never becomes two rows. Base and batch meet once.
     """
     keys = _keys(key)
-    changes = last_change(changes, keys, seq)
-    matched = changes.join(base.select(*keys), keys, "left_semi")
-    for field in base.schema.fields:
-        if field.name not in matched.columns:
-            matched = matched.withColumn(field.name, F.lit(None).cast(field.dataType))
-    kept = base.join(changes.select(*keys), keys, "left_anti")
-    return kept.unionByName(matched.select(*base.columns))
+    rest = [c for c in base.columns if c not in keys]
+    chg = last_change(changes, keys, seq)
+    chg = chg.select(*keys, *[(F.col(c) if c in chg.columns else F.lit(None)).alias(f"_new_{c}") for c in rest], F.lit(True).alias("_hit"))
+    joined = base.join(chg, keys, "left")
+    return joined.select(*[c if c in keys else F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in base.columns])
 
 
 def update_columns(base: DataFrame, changes: DataFrame, key: str | Sequence[str],

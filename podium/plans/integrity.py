@@ -21,7 +21,7 @@ from podium.operators.counts import RuleCounts
 from podium.operators.replay import create_replay, update_partial
 from podium.operators.overlay import overlay_rows, update_columns
 from podium.plans.publish_job import apply_and_publish
-from podium.sources.sinks import ConstraintViolation, files_for, fresh_folder, path_exists
+from podium.sources.sinks import ConstraintViolation, files_for, fresh_folder, materialize, path_exists
 from podium.sources.snapshots import Snapshots
 from podium.sources.tables import Tables, read_tables
 
@@ -391,7 +391,7 @@ def s14_publish_refused(spark: SparkSession, root: str) -> DataFrame:
         apply_and_publish(base, batch, races(t), [rule], target)
     except ConstraintViolation as violation:
         refused = violation.name
-    state = overlay_rows(base, batch, "ResultId")
+    state = materialize(overlay_rows(base, batch, "ResultId"), "refused_state")  # the groups and the touched rows are read from it
     touched = state.join(batch.select("ResultId"), "ResultId", "left_semi")
     v = R.violations(rule, state, touched, races=races(t))
     return v.select("RaceId", "Position", F.col("Count").cast("long").alias("Count"), F.lit(refused).alias("Refused"),
@@ -419,7 +419,7 @@ def x3_maintained_counts(spark: SparkSession, root: str) -> DataFrame:
     new = _update_batch(t)
     old = results(t).filter(F.col("LineStatus") == "O").select(*RESULT_COLS)
     counts.apply(races(t), added={"results": new}, removed={"results": old})
-    touched = R.with_season(new, races(t))
+    touched = materialize(R.with_season(new, races(t)).select("RaceId", "Position", "DriverId", "RaceYear", "ResultNumber"), "touched")
     out = []
     for name, one, two, n in (("R1", "RaceId", "Position", "Count"), ("R2", "RaceId", "DriverId", "Count"), ("R4", "RaceYear", "ResultNumber", "Drivers")):
         v = counts.violations(name, touched)
