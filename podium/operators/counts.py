@@ -22,7 +22,7 @@ from podium.operators.rules import MSG_NUMBER_OWNER, MSG_SEASON_CAP, CapRule, Ow
 from podium.sources.snapshots import LISTED, Snapshots
 
 MERGED = 8
-LEAD, N = "_lead", "_n"
+LEAD, N, SIGN = "_lead", "_n", "_sign"
 
 
 def group_columns(rule) -> list[str]:
@@ -36,19 +36,22 @@ def group_columns(rule) -> list[str]:
 
 def counted(rule, rows: DataFrame, races: DataFrame | None) -> DataFrame:
     """The rows' groups with their number: group columns and ``_n``. Rows that the rule exempts are left out. rows: results (races for a
-    cap rule). The count is partial before any shuffle; the gate's season joins the groups, not the rows."""
+    cap rule); with a column ``_sign`` its sum is the number. The count is partial before any shuffle; the gate's season joins the groups, not the rows."""
     columns = group_columns(rule)
+    number = (F.sum(SIGN) if SIGN in rows.columns else F.count(F.lit(1))).alias(N)
     if isinstance(rule, CapRule):
-        return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias(N))
+        return rows.groupBy(*columns).agg(number)
     held = [c for c in columns if c != rule.season]
     kept = rows
     for c in held:
         kept = kept.filter(F.col(c).isNotNull())
-    by_race = kept.groupBy(*dict.fromkeys([_race(rule), *held])).agg(F.count(F.lit(1)).alias(N))
+    by_race = kept.groupBy(*dict.fromkeys([_race(rule), *held])).agg(number).filter(F.col(N) != 0)
     seasons = races.select(_race(rule), rule.season)
     placed = join_on_hot_key(by_race, seasons, _race(rule))
     if rule.from_year is not None:
         placed = placed.filter(F.col(rule.season) >= rule.from_year)
+    if isinstance(rule, UniqueRule):  # the groups name the race, so they are whole
+        return placed.select(*columns, N)
     return placed.groupBy(*columns).agg(F.sum(N).alias(N))
 
 
@@ -79,12 +82,12 @@ class RuleCounts:
         changed = {}
         for name, rule in self.rules.items():
             table = "races" if isinstance(rule, CapRule) else "results"
-            signed = [counted(rule, rows[table], races).withColumn(N, F.col(N) * sign)
-                      for rows, sign in ((added or {}, 1), (removed or {}, -1)) if table in rows]
+            signed = [rows[table].withColumn(SIGN, F.lit(sign)) for rows, sign in ((added or {}, 1), (removed or {}, -1)) if table in rows]
             if not signed:
                 continue
-            delta = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
-            delta = delta.groupBy(*group_columns(rule)).agg(F.sum(N).alias(N)).filter(F.col(N) != 0)
+            asked = [*dict.fromkeys([*([] if isinstance(rule, CapRule) else [_race(rule)]), *[c for c in group_columns(rule) if isinstance(rule, CapRule) or c != rule.season]]), SIGN]
+            signed = [rows.select(*asked) for rows in signed]
+            delta = counted(rule, signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1]), races).filter(F.col(N) != 0)
             parts = state[name]["parts"] + self._parts(name, rule, self._led(rule, delta))
             small = [p for p in parts if not p.get("merged")]
             if len(small) >= MERGED:
@@ -94,7 +97,7 @@ class RuleCounts:
         return self.store.commit(base, changed)
 
     def _parts(self, name: str, rule, rows: DataFrame, merged: bool = False) -> list[dict]:
-        part = self.store.put_aside(name, rows, cluster=[LEAD, *group_columns(rule)], ranges=[LEAD], files=None if merged else 1)
+        part = self.store.put_aside(name, rows, cluster=[LEAD, *group_columns(rule)], ranges=[LEAD], files=None if merged else 0)
         return [{**part, "merged": merged}] if part["ranges"] else []
 
     def _led(self, rule, rows: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ class RuleCounts:
             return self._summed(rule, self.store.read(name, version))
         keys = [c for c in group_columns(rule) if not isinstance(rule, OwnerRule) or c != rule.owner]
         groups = touched.select(*keys).distinct()
-        lead = self._led(rule, groups.select(keys[0], F.lit(0).alias(N)))
+        lead = self._led(rule, touched.select(*dict.fromkeys([keys[0], *group_columns(rule)[:1]]), F.lit(0).alias(N)))
         if not lead.schema[LEAD].dataType.simpleString() == self.store.read(name, version).schema[LEAD].dataType.simpleString():
             raise TypeError(f"{keys[0]} of the touched rows has another type than the counts'")
         values = [r[0] for r in lead.select(LEAD).where(F.col(LEAD).isNotNull()).distinct().limit(LISTED + 1).collect()]

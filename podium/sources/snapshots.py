@@ -128,11 +128,12 @@ class Snapshots:
         """Write rows where no reader looks; the part takes effect when a ``commit`` names it.
 
         cluster: range-partition (into ``files``) and sort by these columns, so that each file covers a narrow
-        range of them and their filters skip files. ranges: columns (of whole numbers or strings) whose least and greatest
+        range of them and their filters skip files. ``files`` 0: as many as the rows' bytes ask for. ranges: columns (of whole numbers or strings) whose least and greatest
         value in each file the pointer keeps, for ``read_near``.
         """
         if cluster:
-            df = df.repartitionByRange(files or int(self.spark.conf.get("spark.sql.shuffle.partitions")), *cluster).sortWithinPartitions(*cluster)
+            n = [] if files == 0 else [files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))]
+            df = df.repartitionByRange(*n, *cluster).sortWithinPartitions(*cluster)
         folder = f"{table}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
         part = {"folder": folder, "gone": []}
