@@ -21,9 +21,7 @@ Decisions that differ from the reference on purpose (SURVEY 6.2):
 from __future__ import annotations
 
 import datetime as dt
-import operator
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,11 +191,9 @@ def _resolve(stage: DataFrame, races: DataFrame, drivers: DataFrame, constructor
 
 
 def _look_up(lines: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
-    """The lines with the ids of their keys (NULL where there are none). A key with most lines is split; lines without
-    a key are not joined at all, so they do not meet in one partition."""
-    has_key = reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
-    found = join_on_hot_key(lines.filter(has_key), ids, keys, "left")
-    return found.unionByName(lines.filter(~has_key), allowMissingColumns=True)
+    """The lines with the ids of their keys (NULL where there are none), in one pass. A key with most lines is split; lines without
+    a key are dealt by their other columns, so they do not meet in one partition."""
+    return join_on_hot_key(lines, ids, keys, "left", spread_nulls=True)
 
 
 def unresolved(resolved: DataFrame) -> DataFrame:
